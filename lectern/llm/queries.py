@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing
+from . import chat_format, decontamination, mixing, token_lengths, token_shards
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _bpe() -> str:
+    """The vocabulary file; it belongs to the machine and is not copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per distinct encoded length, with the suffix sums from there on."""
+    return token_lengths.suffix_sums(token_lengths.length_histogram(_read(spark, sf_dir, "documents"), _bpe()))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))["documents"]
 
@@ -48,8 +60,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.read_tokens(token_shards.write_tokens(_read(spark, sf_dir, "documents"), _bpe()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op6_chat_format, op7_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mixing, op6_chat_format, op7_decontamination, op9_token_shards)}
 
 
 #: Reads the same turns straight from the table; the length counts the control
