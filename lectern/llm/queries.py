@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing, token_lengths, token_shards
+from . import chat_format, decontamination, html_extract, language_id, mixing, token_lengths, token_shards, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))["documents"]
 
 
+def _fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(_fold(4) != 2))
+    out = language_id.predict(docs.select("doc_id", "text", (_fold(4) == 2).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the formatted strings, taken from what is read back from them."""
     said = "</s>[INST] ok [/INST]"
@@ -60,12 +72,24 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_tokens(token_shards.write_tokens(_read(spark, sf_dir, "documents"), _bpe()))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(_fold(3) != 1))
+    out = toxicity.score(docs.select("doc_id", "text", (_fold(3) == 1).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mixing, op6_chat_format, op7_decontamination, op9_token_shards)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mixing, op4_language_id, op6_chat_format, op7_decontamination, op8_html_extraction, op9_token_shards, op10_toxicity)}
 
 
 #: Reads the same turns straight from the table; the length counts the control

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bpe import hash_pieces, slices, utf8
-from ._words import WORD_BYTE, lowered, word_hashes
+from ._words import WORD_BYTE, lowered, runs
 
 #: Words that insult, by language; a-z and non-ASCII letters, lower case.
 LEXICON = {
@@ -48,11 +48,22 @@ PATTERNS = {
 }
 
 
+#: Lengths in bytes of the stems that stand beside the words; longer words of a family share them.
+STEMS = (4, 5, 6)
+
+
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of letters, A-Z lowered) in order, and the text of each."""
+    """Hashes of all words (runs of letters, A-Z lowered) and of their stems, and the text of each."""
     data, offsets = lowered(column)
-    hashes, counts = word_hashes(data, offsets, WORD_BYTE[data])
-    return hashes, np.repeat(np.arange(len(column)), counts)
+    starts, ends = runs(WORD_BYTE[data], offsets)
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    hashes, owners = [hash_pieces(data, starts, ends - starts)], [owner]
+    for n in STEMS:
+        longer = ends - starts > n
+        stem = hash_pieces(data, starts[longer], np.full(int(longer.sum()), n))
+        hashes.append(stem ^ np.uint64(n))  # a stem is not the word of the same letters
+        owners.append(owner[longer])
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -70,11 +81,17 @@ def mark(keys: np.ndarray, hashes: np.ndarray, owner: np.ndarray, texts: int) ->
     return out
 
 
-def mine(hashes: np.ndarray, owner: np.ndarray, toxic: np.ndarray, least: int = 8, odds: float = 12.0) -> np.ndarray:
+def distinct_pairs(hashes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct words, then (word index, text) of each word that a text holds."""
+    keys, at = np.unique(hashes, return_inverse=True)
+    code = np.unique(at * texts + owner)
+    return keys, code // max(texts, 1), code % max(texts, 1)
+
+
+def mine(hashes: np.ndarray, owner: np.ndarray, toxic: np.ndarray, least: int = 8, odds: float = 40.0) -> np.ndarray:
     """Words found in at least ``least`` toxic texts and ``odds`` times as often there as in clean ones."""
-    pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
-    keys, at = np.unique(pairs[0], return_inverse=True)
-    bad = toxic[pairs[1].astype(np.int64)]
+    keys, at, who = distinct_pairs(hashes, owner, len(toxic))
+    bad = toxic[who]
     n1, n0 = np.bincount(at[bad], minlength=len(keys)), np.bincount(at[~bad], minlength=len(keys))
     rate1, rate0 = n1 / max(1, toxic.sum()), (n0 + 0.5) / max(1, (~toxic).sum())
     return keys[(n1 >= least) & (rate1 >= odds * rate0)]
@@ -86,7 +103,7 @@ def votes(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     words = mark(lexicon, hashes, owner, len(column)).astype(np.int8)
     texts = [(t or "").lower() for t in column.to_pylist()]
     patterns = np.array([[bool(re.search(p, t)) for p in PATTERNS.values()] for t in texts], np.int8).reshape(len(texts), len(PATTERNS))
-    spoken = words.any(1)
+    spoken = words.any(1)  # the lexicon holds words and stems
     clean = np.stack([np.where(spoken, 0, -1), np.where(spoken | patterns[:, :3].any(1), 0, -1)], 1).astype(np.int8)
     return np.concatenate([words, patterns, clean], 1)
 
@@ -100,10 +117,10 @@ class LabelModel:
     balance: float
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
+        """An abstention (0) says nothing about the class; votes add their log-likelihood ratio."""
         cols = np.arange(v.shape[1])
-        score = np.log(self.balance / (1 - self.balance)) * np.ones(len(v))
-        for k, a in ((1, 1.0), (0, -1.0)):
-            score += a * (self.logs[cols, k, v + 1] * self.weight).sum(1)
+        ratio = np.where(v == 0, 0.0, self.logs[cols, 1, v + 1] - self.logs[cols, 0, v + 1])
+        score = np.log(self.balance / (1 - self.balance)) + ratio @ self.weight
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
@@ -112,12 +129,12 @@ def fit_label_model(v: np.ndarray, balance: float, rounds: int = 25) -> LabelMod
     n, m = v.shape
     q = np.clip(np.where((v == 1).any(1), 0.9, 0.02), 0, 1)
     weight = np.ones(m)
-    one_hot = np.stack([v == x for x in (-1, 0, 1)], 2).astype(np.float64)
+    one_hot = [(v == x).astype(np.float32) for x in (-1, 0, 1)]
     model = LabelModel(np.zeros((m, 2, 3)), weight, balance)
     for i in range(rounds):
         by_class = []
         for w in (1 - q, q):
-            rates = (np.einsum("n,nmk->mk", w, one_hot) + 0.5) / (w.sum() + 1.5)
+            rates = (np.stack([w @ x for x in one_hot], 1) + 0.5) / (w.sum() + 1.5)
             by_class.append(np.log(rates))
         logs = np.stack(by_class, 1)
         if i == rounds // 2:
@@ -154,12 +171,10 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def fit_classifier(column: pa.Array, q: np.ndarray, sample_weight: np.ndarray, features: int = 400, ridge: float = 0.5) -> ToxicityModel:
+def fit_classifier(column: pa.Array, q: np.ndarray, sample_weight: np.ndarray, features: int = 400, ridge: float = 0.05) -> ToxicityModel:
     """Logistic regression on soft labels, over the ``features`` words that tell the classes apart best."""
     hashes, owner = words_of(column)
-    pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
-    keys, at = np.unique(pairs[0], return_inverse=True)
-    who = pairs[1].astype(np.int64)
+    keys, at, who = distinct_pairs(hashes, owner, len(column))
     n = np.bincount(at, minlength=len(keys))
     p = q.mean()
     z = (np.bincount(at, q[who], len(keys)) - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
