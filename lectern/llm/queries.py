@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, language_id, mixing, token_lengths, token_shards, toxicity
+from . import chat_format, decontamination, html_extract, language_id, mixing, ngram_join, token_lengths, token_shards, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.suffix_sums(token_lengths.length_histogram(_read(spark, sf_dir, "documents"), _bpe()))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))["documents"]
 
@@ -89,7 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mixing, op4_language_id, op6_chat_format, op7_decontamination, op8_html_extraction, op9_token_shards, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_mixing, op4_language_id, op6_chat_format, op7_decontamination, op8_html_extraction, op9_token_shards, op10_toxicity)}
 
 
 #: Reads the same turns straight from the table; the length counts the control
