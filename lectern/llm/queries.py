@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, language_id, mixing, ngram_join, token_lengths, token_shards, toxicity
+from . import ann_forest, chat_format, decontamination, html_extract, language_id, mixing, ngram_join, token_lengths, token_shards, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the formatted strings, taken from what is read back from them."""
     said = "</s>[INST] ok [/INST]"
@@ -93,7 +97,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_mixing, op4_language_id, op6_chat_format, op7_decontamination, op8_html_extraction, op9_token_shards, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_mixing, op4_language_id, op5_ann_forest, op6_chat_format, op7_decontamination, op8_html_extraction, op9_token_shards, op10_toxicity)}
 
 
 #: Reads the same turns straight from the table; the length counts the control
