@@ -1,3 +1,83 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: five operators of lectern.llm, one after the other.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import decontamination, language_id, mixing, ngram_join, token_shards
+from lectern.llm._store import Scratch, small_enough
+
+#: A text is rejected if its best language is hardly ahead of the others.
+LEAST_SCORE = 0.3
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a determined language; a missing lang is filled in."""
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+    out = language_id.predict(docs, language_id.train(docs.filter(fold != 2)))
+    out = out.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each component of similar documents.
+
+    Rows that repeat a doc_id are one document; rows without doc_id stay.
+    """
+    store = Scratch(spark, "near-duplicates")
+    joined = ngram_join.join(docs).filter("doc_id IS NOT NULL")
+    named = store.write(joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c")), "named")
+    gone = store.write(named.filter("c != doc_id").select("doc_id"), "gone")
+    twice = store.write(named.filter("n > 1 AND c = doc_id").select("doc_id"), "twice")
+    kept = docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    twice = F.broadcast(twice) if small_enough(twice) else twice
+    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops whole documents: as many copies as the mix takes of their words, rounded."""
+    taken = mixing.mix(docs)["documents"].groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_shards.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_shards.read_tokens(files)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("ngram_join", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_shards", token_stage),
+]
+
+#: Languages, similarity classes and token ids cannot be put in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = store.write(stage(spark, docs, sf_dir), f"{i}-{name}")
+    return docs

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,20 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(table))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of ``key``.
+
+    A share by hash goes first, so that tasks do not each send ``n`` rows to
+    be merged; ties go by the hash of all columns.
+    """
+    total, whole = df.count(), 1 << 30
+    share = min(whole, int(1.5 * n / max(total, 1) * whole) + 1)
+    h = F.xxhash64(F.lit("sample"), key)
+    return df.filter(F.pmod(h, F.lit(whole)) < share).orderBy(F.pmod(h, F.lit(whole)), F.xxhash64(*df.columns)).limit(n)
+
+
+def small_enough(ids: DataFrame, limit: int = 8 << 20, width: int = 16) -> bool:
+    """Whether a written table of ids may be broadcast: its rows are counted against ``limit`` bytes."""
+    return ids.count() * width <= limit
