@@ -46,9 +46,11 @@ from ._words import ASCII_SPACE, finish, lowered, word_hashes
 
 CHUNK = 1 << 15
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-#: Prefix extensions that a document may choose from, and the cost of a verification in postings.
-LAYERS = np.array([1, 2, 3, 4, 6, 8, 12, 16])
-VERIFY = 20.0
+#: Values of l that a document may choose from.
+LAYERS = np.array([m << e for e in range(10) for m in (2, 3)][:-1] + [1])
+LAYERS.sort()
+#: Costs, in postings: of verifying a candidate, for each shingle; and the list entries that a token meets by chance.
+VERIFY, CHANCE = 0.4, 0.05
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -87,15 +89,24 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "cls", "chunk", "sketch"]
-        sketch, mask = np.zeros(1 << bits, np.uint32), np.uint64((1 << bits) - 1)
+        sketch, mask, held = np.zeros(1 << bits, np.uint32), np.uint64((1 << bits) - 1), []
+
+        def add() -> None:
+            nonlocal sketch
+            sketch += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+            held.clear()
+
         for rows in batches:
             for a, b in slices(rows.column(1)):
                 sets = shingle_sets(rows.column(1).slice(a, b - a), n)
-                every = np.concatenate(sets)
-                sketch += np.bincount((every & mask).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                held.append((np.concatenate(sets) & mask).astype(np.int32))
+                if sum(map(len, held)) > 1 << 22:
+                    add()
                 k = len(sets)
                 cols = [rows.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        if held:
+            add()
         press = zstandard.ZstdCompressor(level=1)
         for c in range(max(1, (1 << bits) // CHUNK)):
             part = sketch[c * CHUNK : (c + 1) * CHUNK]
@@ -107,7 +118,12 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
 
 def _estimates(parts: DataFrame, bits: int) -> np.ndarray:
-    """Excess of each counter over what the mean load explains: 0 for nearly all. Sums stream by chunk; the result has 4 << bits bytes."""
+    """A byte per counter: 4 log2(1 + excess over what the mean load explains), 0 for nearly all.
+
+    Sums stream by chunk on the executors; the result has 1 << bits bytes whatever the input.
+    """
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    mean = total / (1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -116,35 +132,34 @@ def _estimates(parts: DataFrame, bits: int) -> np.ndarray:
             for c, data in zip(rows.column(0).to_pylist(), rows.column(1)):
                 part = np.frombuffer(expand.decompress(data.as_py(), max_output_size=4 * CHUNK), np.uint32)
                 sums[c] = sums.get(c, 0) + part.astype(np.uint64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()])], ["chunk", "counts"])
-
-    counts = np.zeros(1 << bits, np.uint64)
-    for r in parts.filter("chunk IS NOT NULL").select("chunk", "sketch").repartition(16, "chunk").mapInArrow(run, "chunk int, counts binary").collect():
-        part = np.frombuffer(r["counts"], np.uint64)
-        counts[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
-    mean = counts.sum() / len(counts)
-    excess = counts.astype(np.float64) - mean - 3 * np.sqrt(mean)
-    return np.where(excess > 1, np.minimum(excess, 4e9), 0).astype(np.uint32)
+        for c, x in sums.items():
+            excess = np.maximum(x - mean - 3 * np.sqrt(mean), 0)
+            level = np.where(excess > 1, np.round(4 * np.log2(1 + excess)), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()])], ["chunk", "levels"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    for r in parts.filter("chunk IS NOT NULL").select("chunk", "sketch").repartition(16, "chunk").mapInArrow(run, "chunk int, levels binary").collect():
+        part = np.frombuffer(r["levels"], np.uint8)
+        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
+    return out
 
 
-def adaptive_prefix(s: np.ndarray, est: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """Prefix tokens in the global order (estimate, hash), and the chosen l.
+def adaptive_prefix(s: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Prefix tokens in the global order (level of the estimate, hash), and the chosen l.
 
-    Cost of l: the postings themselves, the list entries they meet, and the
-    candidates left if each must be met l times, weighed by VERIFY.
+    Cost of l: the postings themselves, the list entries they are expected to
+    meet, and the verification of the candidates left, a share 1 / l of those.
     """
     n = len(s)
     overlap = -(-num * n // den)
     first = n - overlap + 1
-    if est.any():
-        order = np.argsort(est, kind="stable")  # s is sorted, so ties stay by hash
-        s, est = s[order], est[order]
-        choices = LAYERS[LAYERS <= overlap]
-        met = np.cumsum(est, dtype=np.float64)[first + choices - 2]
-        ell = int(choices[np.argmin(first + choices + met + VERIFY * met / choices)])
-    else:
-        ell = 1
+    choices = LAYERS[LAYERS <= overlap]
+    lengths = first + choices - 1
+    if level.any():
+        order = np.argsort(level, kind="stable")  # s is sorted, so ties stay by hash
+        s, level = s[order], level[order]
+    met = np.cumsum(2.0 ** (level[: lengths[-1]] / 4.0) - (1 - CHANCE))[lengths - 1]
+    ell = int(choices[np.argmin(lengths + met + VERIFY * n * met / choices)])
     return s[: first + ell - 1], ell
 
 
@@ -331,7 +346,7 @@ def _members(docs: DataFrame, clustered: DataFrame, n: int) -> DataFrame:
     return sets.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls", "block", "copies", "tokens")
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 21, long_list: int = 8, block_shingles: int = 400_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 23, long_list: int = 16, block_shingles: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of ``docs``.
 
     Two documents link when den * |intersection| >= num * |union|.
