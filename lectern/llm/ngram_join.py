@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ._bpe import slices
 from ._components import components
-from ._store import Scratch
+from ._store import Scratch, small_enough
 from ._words import ASCII_SPACE, finish, lowered, word_hashes
 
 CHUNK = 1 << 15
@@ -114,7 +114,7 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 cols = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([press.compress(part.tobytes())])]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, chunk int, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long, chunk int, sketch binary")
 
 
 def _estimates(parts: DataFrame, bits: int) -> np.ndarray:
@@ -339,6 +339,7 @@ def _members(docs: DataFrame, clustered: DataFrame, n: int) -> DataFrame:
                 others = [rows.column(c).slice(a, b - a).take(pa.array(ok, pa.int32())) for c in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([*others, pa.array([sets[i].tobytes() for i in ok], pa.binary())], ["cls", "cluster", "nb", "copies", "tokens"])
 
+    clustered = F.broadcast(clustered) if small_enough(clustered, 32 << 20, 64) else clustered  # beyond that the texts are shuffled
     rows = docs.select("doc_id", "text").join(clustered, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls", "cluster", "nb", "copies")
     sets = rows.mapInArrow(run, "cls long, cluster long, nb int, copies long, tokens binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
@@ -362,7 +363,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int =
     clusters = components(found, store, "clusters").join(classes.withColumnRenamed("cls", "node"), "node")
     clusters = store.write(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster"), "rep", "copies", "n"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("nb"))
-    clustered = clusters.join(sizes, "cluster").select("cls", "cluster", "rep", "nb", "copies")
+    clustered = store.write(clusters.join(sizes, "cluster").select("cls", "cluster", "rep", "nb", "copies"), "clustered")
     verified = store.write(_verify(_members(docs, clustered, n), num, den), "links")
     linked = components(verified.filter("b IS NOT NULL").select(F.col("a").alias("u"), F.col("b").alias("v")), store, "components")
     degree = verified.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
