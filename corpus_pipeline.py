@@ -22,9 +22,10 @@ LEAST_SCORE = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a determined language; a missing lang is filled in."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
-    out = language_id.predict(docs, language_id.train(docs.filter(fold != 2)))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")  # names of other columns cannot clash
+    out = language_id.predict(packed, language_id.train(docs.filter(fold != 2)))
     out = out.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return out.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents: as many copies as the mix takes of their words, rounded."""
-    taken = mixing.mix(docs)["documents"].groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mixing.mix(docs)["documents"].groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0")
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,8 +182,9 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, num: int = 1,
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 13, num: int = 1, den: int = 20) -> DataFrame:
     """``docs`` without contaminated rows: rows without candidates pass as they are."""
     m = match(docs, items, n)
-    clean = verify(docs, m, num, den).filter(~F.col("contaminated")).select(*docs.columns)
-    rest = docs.join(_hint(m.found.select("found_in"), m.small), F.col("doc_id").eqNullSafe(F.col("found_in")), "left_anti")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")  # names of other columns cannot clash
+    clean = verify(packed, m, num, den).filter(~F.col("contaminated")).select("row.*")
+    rest = docs.join(_hint(m.found.select(F.col("found_in").alias("_found_in")), m.small), docs["doc_id"].eqNullSafe(F.col("_found_in")), "left_anti").select(*docs.columns)
     return rest.unionByName(clean)
 
 
@@ -199,7 +200,7 @@ def proximity(docs: DataFrame, phrases: DataFrame, slop: int, broadcast_bytes: i
     items = store.write(windows(phrases, 1 << 30), "items")
     small = _small(items, broadcast_bytes)
     terms = items.select(F.explode("w").alias("term")).distinct()
-    counts = term_counts(docs.select("text"), terms, small)
+    counts = term_counts(docs.select("doc_id", "text"), terms, small)
     marks = anchors(items, counts, 1).select("item_key", "term")
     index = store.write(postings(docs.select("doc_id", "text"), terms, small), "postings")
     inside = index.join(_hint(marks, small), "term").select("doc_id", "item_key").distinct()

@@ -125,9 +125,10 @@ class LabelModel:
 
 
 def fit_label_model(v: np.ndarray, balance: float, rounds: int = 25) -> LabelModel:
-    """EM from the unweighted vote; correlations given the class are estimated once the rates have settled."""
+    """EM from the majority of votes; correlations given the class are estimated once the rates have settled."""
     n, m = v.shape
-    q = np.clip(np.where((v == 1).any(1), 0.9, 0.02), 0, 1)
+    lean = v.sum(1, dtype=np.int64)
+    q = np.select([lean > 0, lean < 0], [0.9, 0.02], balance)
     weight = np.ones(m)
     one_hot = [(v == x).astype(np.float32) for x in (-1, 0, 1)]
     model = LabelModel(np.zeros((m, 2, 3)), weight, balance)
