@@ -38,14 +38,16 @@ BLOCK = frozenset(
 SCORED = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 div section article".split())
 #: Never part of the main text.
 DROPPED = frozenset("nav footer aside form button select input label dialog menu head script style noscript template textarea iframe svg canvas object math audio video".split())
-#: Names (class, id, role) of parts beside the main text.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menus?|breadcrumbs?|sidebars?|side|footers?|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widgets?|pagination|pager|"
-    r"complementary|contentinfo|navigation|search|skip|toc|tags?)(?=$|[\s_-])"
-)
-#: Names that keep a node in spite of the former.
-INSIDE = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?=$|[\s_-])")
+#: Names (class, id, role) of parts that are never the main text, and of parts that are not unless named as such too.
+EDGE, END = r"(?:^|[\s_-])(?:", r")(?=$|[\s_-])"
+NEVER = re.compile(
+    EDGE + r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebars?|footers?|topbar|toolbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|"
+    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|pagination|pager|complementary|contentinfo|navigation" + END
+)
+SELDOM = re.compile(EDGE + r"banner|side|headers?|masthead|share|sharing|social|related|recommend\w*|widgets?|search|skip|toc|tags?" + END)
+INSIDE = re.compile(EDGE + r"article|main|content|post|entry|story|body|text" + END)
+#: Class names that tell of a layout, not of the part itself.
+LAYOUT = ("has-", "with-", "without-", "no-", "is-")
 #: Start tags that close an open element of these names.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -153,12 +155,28 @@ def _close(here: Node, tags: tuple[str, ...], depth_of: dict[str, int], scope: f
     return here
 
 
+def _holds_main(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in ("article", "main"):
+            return True
+        stack += [i for i in x.items if not isinstance(i, str)]
+    return False
+
+
 def _beside(node: Node, in_article: bool) -> bool:
+    """Whether a node is no part of the main text: by its element, or by its names unless it holds an article itself."""
     if node.tag in DROPPED or node.names == "#hidden":
         return True
     if node.tag == "header" and not in_article:
         return True
-    return bool(node.names) and node.tag not in ("html", "body", "article", "main") and BESIDE.search(node.names) is not None and INSIDE.search(node.names) is None
+    if not node.names or node.tag in ("html", "body", "article", "main"):
+        return False
+    names = " ".join(t for t in node.names.split() if not t.startswith(LAYOUT))
+    if NEVER.search(names) or (not in_article and SELDOM.search(names) and not INSIDE.search(names)):
+        return not _holds_main(node)
+    return False
 
 
 def _postorder(root: Node) -> list[Node]:

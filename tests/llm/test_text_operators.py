@@ -133,6 +133,8 @@ def test_label_model_discounts_correlated_voters():
 PAGES = {
     "<html><head><title>T</title><script>x</script></head><body><nav><a href=1>Menu, one</a></nav><article><h1>Head</h1><p>One, two&amp; three<br>four</p><ul><li>a<li>b</ul></article><footer>f, f, f</footer></body></html>": "Head One, two& three four a b",
     "<div class='post'><p>Long <b>bo</b>ld text, with commas, and more.</div><div class='sidebar'><p>no, no, no</div><div id=comments><p>me, too</div>": "Long bold text, with commas, and more.",
+    "<div class='site-header'><h2>Site, name</h2></div><div class='wrapper has-sidebar'><div class='cookie-notice'><p>We use cookies, ok</p></div><main><h1>T</h1><p>Body, of, it.</p>"
+    "<section class='post-comments'><p>First, comment</p></section><div class='ad-slot'>Buy</div></main><div class='sidebar-content'><p>x, y</p></div></div>": "T Body, of, it.",
     "plain\n  text": "plain text",
     "<p>a<p>b": "a b",
     "<div>" * 3000 + "deep": "deep",
