@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, hash_sample
 
 
 @dataclass
@@ -123,7 +123,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = 5, trees: int = 4, target
     store = Scratch(spark, "forest")
     data, dims = usable(rows)
     schema = "query_id long, vec_id long, score double"
-    got = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    got = hash_sample(data, F.col("vec_id"), sample).collect()
     if not got:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total = data.count()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bpe import Encoder, slices
-from ._store import Scratch
+from ._store import Scratch, hash_sample
 
 MAGIC = b"LTOK"
 HEAD = struct.Struct("<4sB8sQ")  # magic, bytes per id, dictionary hash, documents
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: i
     encoder = Encoder(tokenizer, bits=14)
     width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
     rows = docs.select("doc_id", "text")
-    chosen = rows.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(sample).collect()
+    chosen = hash_sample(rows, F.col("doc_id"), sample).collect()
     samples = [np.append(encoder.encode(pa.array([r["text"]], pa.string()))[0], end_id).astype(f"<u{width}").tobytes() for r in chosen]
     dictionary = train(samples, dict_bytes).as_bytes()
     dict_hash = dictionary_hash(dictionary)
