@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bpe import slices
+from ._bpe import frugal, slices
+from ._store import small_batches
 from ._words import lowered
 
 ORDERS = (1, 2, 3, 4)
@@ -119,6 +120,7 @@ def train(labelled: DataFrame, per_lang: int = 200, per_class: int = 32) -> Lang
 def predict(docs: DataFrame, model: LanguageModel | None, batch: int = 64) -> DataFrame:
     """Adds lang_pred and score (0 to 1) to every row, from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def score(columns: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -144,4 +146,4 @@ def predict(docs: DataFrame, model: LanguageModel | None, batch: int = 64) -> Da
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     source = docs.select(*keep)
     schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(frugal(score), schema)

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bpe import slices
+from ._bpe import frugal, slices
 from ._components import components
 from ._store import Scratch, small_enough
 from ._words import ASCII_SPACE, finish, lowered, word_hashes
@@ -100,7 +100,7 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
             for a, b in slices(rows.column(1)):
                 sets = shingle_sets(rows.column(1).slice(a, b - a), n)
                 held.append((np.concatenate(sets) & mask).astype(np.int32))
-                if sum(map(len, held)) > 1 << 22:
+                if sum(map(len, held)) > 1 << 21:
                     add()
                 k = len(sets)
                 cols = [rows.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
@@ -114,7 +114,7 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 cols = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([press.compress(part.tobytes())])]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long, chunk int, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, n long, cls long, chunk int, sketch binary")
 
 
 def _estimates(parts: DataFrame, bits: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def _estimates(parts: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()])], ["chunk", "levels"])
 
     out = np.zeros(1 << bits, np.uint8)
-    for r in parts.filter("chunk IS NOT NULL").select("chunk", "sketch").repartition(16, "chunk").mapInArrow(run, "chunk int, levels binary").collect():
+    for r in parts.filter("chunk IS NOT NULL").select("chunk", "sketch").repartition(16, "chunk").mapInArrow(frugal(run), "chunk int, levels binary").collect():
         part = np.frombuffer(r["levels"], np.uint8)
         out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
     return out
@@ -189,7 +189,7 @@ def _postings(docs: DataFrame, est: np.ndarray, n: int, num: int, den: int, bits
                     cols = [np.concatenate(tokens).view(np.int64), np.repeat(cls, k), np.repeat(size, k).astype(np.int32), np.repeat(ells, k).astype(np.int16), np.concatenate(layers)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "cls", "n", "ell", "layer"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, n int, ell short, layer short")
+    return docs.select("text").mapInArrow(frugal(run), "token long, cls long, n int, ell short, layer short")
 
 
 def _candidates(postings: DataFrame, num: int, den: int, long_list: int) -> DataFrame:
@@ -255,7 +255,7 @@ def _candidates(postings: DataFrame, num: int, den: int, long_list: int) -> Data
             yield pairs(*carry, held, False)
 
     ordered = postings.repartition("token").sortWithinPartitions("token", "n", "cls")
-    met = ordered.mapInArrow(run, "a long, b long, need short, c long")
+    met = ordered.mapInArrow(frugal(run), "a long, b long, need short, c long")
     met = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"), F.min("need").alias("low"))
     return met.filter("low = 0 OR c >= need").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -323,7 +323,7 @@ def _verify(members: DataFrame, num: int, den: int) -> DataFrame:
             yield solve(held, key[1] != key[2])
 
     ordered = members.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-    return ordered.mapInArrow(run, "a long, b long, links long")
+    return ordered.mapInArrow(frugal(run), "a long, b long, links long")
 
 
 def _members(docs: DataFrame, clustered: DataFrame, n: int) -> DataFrame:
@@ -341,13 +341,13 @@ def _members(docs: DataFrame, clustered: DataFrame, n: int) -> DataFrame:
 
     clustered = F.broadcast(clustered) if small_enough(clustered, 32 << 20, 64) else clustered  # beyond that the texts are shuffled
     rows = docs.select("doc_id", "text").join(clustered, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls", "cluster", "nb", "copies")
-    sets = rows.mapInArrow(run, "cls long, cluster long, nb int, copies long, tokens binary")
+    sets = rows.mapInArrow(frugal(run), "cls long, cluster long, nb int, copies long, tokens binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return sets.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls", "block", "copies", "tokens")
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 23, long_list: int = 16, block_shingles: int = 1_500_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 22, long_list: int = 16, block_shingles: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of ``docs``.
 
     Two documents link when den * |intersection| >= num * |union|.

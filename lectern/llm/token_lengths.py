@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bpe import Encoder, slices
+from ._bpe import frugal, slices, Encoder
 
 BLOCK = 1024
 
@@ -35,7 +35,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
                 length, docs = np.unique(n, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(docs, pa.int64())], ["length", "n_docs"])
 
-    parts = docs.select(text).mapInArrow(count, "length long, n_docs long")
+    parts = docs.select(text).mapInArrow(frugal(count), "length long, n_docs long")
     return parts.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 

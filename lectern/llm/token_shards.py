@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bpe import Encoder, slices
+from ._bpe import frugal, slices, Encoder
 from ._store import Scratch, hash_sample
 
 MAGIC = b"LTOK"
@@ -42,7 +42,7 @@ def train(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
     """A dictionary of about ``size`` bytes; the raw samples where there are too few to train on."""
     try:
         return zstandard.train_dictionary(size, samples)
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError):
         return zstandard.ZstdCompressionDict(b"".join(samples)[:size] or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
@@ -106,7 +106,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: i
     n_parts = min(4096, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     encoder = Encoder(tokenizer, bits=14)
     width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
-    rows = docs.select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = hash_sample(rows, F.col("doc_id"), sample).collect()
     samples = [np.append(encoder.encode(pa.array([r["text"]], pa.string()))[0], end_id).astype(f"<u{width}").tobytes() for r in chosen]
     dictionary = train(samples, dict_bytes).as_bytes()
@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: i
             yield flush()
 
     ordered = rows.repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = store.write(ordered.mapInArrow(encode, "part int, seq int, base long, n_docs long, n_tokens long, shard binary"), "shards")
+    shards = store.write(ordered.mapInArrow(frugal(encode), "part int, seq int, base long, n_docs long, n_tokens long, shard binary"), "shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part, at most 4096
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
     return TokenFiles(shards, parts, dictionary)
@@ -166,7 +166,7 @@ def read_tokens(files: TokenFiles) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = files.shards.join(F.broadcast(files.parts), "part").select((F.col("base") + F.col("part_base")).alias("base"), "shard")
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(frugal(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(files: TokenFiles, doc_ids: list[int]) -> DataFrame:
@@ -180,4 +180,4 @@ def read_documents(files: TokenFiles, doc_ids: list[int]) -> DataFrame:
                 at = [i for i, d in enumerate(shard.doc_ids) if d in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([shard.doc_ids[i] for i in at], pa.int64()), pa.array([shard.ids(i).tolist() for i in at], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return files.shards.select("shard").mapInArrow(pick, "doc_id long, ids array<long>")
+    return files.shards.select("shard").mapInArrow(frugal(pick), "doc_id long, ids array<long>")

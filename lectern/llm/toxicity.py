@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bpe import hash_pieces, slices, utf8
+from ._bpe import frugal, hash_pieces, slices, utf8
+from ._store import small_batches
 from ._words import WORD_BYTE, lowered, runs
 
 #: Words that insult, by language; a-z and non-ASCII letters, lower case.
@@ -225,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Toxicity
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """Adds score and predicted to every row of ``docs``, from ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     source = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -237,4 +239,4 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
             out = [*rows.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, schema=rows.schema.append(pa.field("score", pa.float64())).append(pa.field("predicted", pa.int32())))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
