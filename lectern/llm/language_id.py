@@ -1,12 +1,21 @@
 """Language ID: a string kernel, Nystrom landmarks and one-versus-rest kernel ridge.
 
-The kernel of two texts counts the n-grams (UTF-8 bytes of the text with A-Z
-lowered, n = 1..4: a blended spectrum) that are present in both, over the
-geometric mean of how many each has. n-grams are hashed to ``dims`` buckets. Landmarks are
+Every text is laid out in pieces of at most ``PIECE`` bytes that together hold
+each of its n-grams once. The kernel of two pieces counts the n-grams (UTF-8
+bytes of the text with A-Z lowered, n = 1..4: a blended spectrum) that are
+present in both, over the geometric mean of how many each has. n-grams are
+hashed to ``dims`` buckets; as pieces are bounded, these never fill up. The
+kernel of two texts is the mean over all pairs of their pieces, by the number of
+letters in each piece, so it does not fall with a text's length. Landmarks are
 training texts; with K their kernel matrix, a text's features are its kernel
 row times K^(-1/2), and a ridge regression for each language is fitted on them.
 Scoring is presence matrix x landmarks, then x weights, in batches.
 
+The score follows from the lead of the best language over the mean of the
+others, so it depends neither on the text's length nor on the number of
+languages: a text that speaks for none gets 0.25, a sure one nearly 1, and with
+one language alone it is 1.
+
 The classifier is fitted on a bounded, documented sample: at most about
 ``per_lang`` texts of each language, chosen by a hash of doc_id. All texts are
 scored whole.
@@ -30,32 +39,73 @@ from pyspark.sql import types as T
 
 from ._bpe import frugal, slices
 from ._store import small_batches
-from ._words import lowered
+from ._words import WORD_BYTE, lowered
 
 ORDERS = (1, 2, 3, 4)
+PIECE = 1024
 UNDETERMINED = "und"
 ASCII_LETTER = re.compile("[A-Za-z]")
 
 
+def _mark(data: np.ndarray, rows: np.ndarray, left: np.ndarray, texts: int, dims: int) -> np.ndarray:
+    """texts x dims matrix of the n-grams that start at each byte, of row ``rows`` and with ``left`` bytes to the text's end."""
+    out, n = np.zeros((texts, dims), bool), len(rows)
+    flat = out.reshape(-1)
+    gram = np.zeros(n, np.uint32)
+    for order in range(1, max(ORDERS) + 1):
+        gram = gram * np.uint32(0x01000193) + data[order - 1 : order - 1 + n] + np.uint32(1)
+        if order not in ORDERS:
+            continue
+        h = (gram ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        whole = left >= order
+        flat[rows[whole] * dims + (h[whole] & np.uint32(dims - 1))] = True
+    return out.astype(np.float32)
+
+
 def presence(column: pa.Array, dims: int) -> np.ndarray:
     """texts x dims matrix of n-gram presence, float32."""
     data, offsets = lowered(column)
-    n, texts = int(offsets[-1]), len(column)
-    out = np.zeros((texts, dims), bool)
-    if n:
-        flat = out.reshape(-1)
-        rows = np.repeat(np.arange(texts, dtype=np.int64) * dims, np.diff(offsets))
-        left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
-        gram = np.zeros(n, np.uint32)
-        for order in range(1, max(ORDERS) + 1):
-            gram = gram * np.uint32(0x01000193) + data[order - 1 : order - 1 + n] + np.uint32(1)
-            if order not in ORDERS:
-                continue
-            h = (gram ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(15)
-            whole = left >= order
-            flat[rows[whole] + (h[whole] & np.uint32(dims - 1))] = True
-    return out.astype(np.float32)
+    rows = np.repeat(np.arange(len(column), dtype=np.int64), np.diff(offsets))
+    return _mark(data, rows, offsets[1:][rows] - np.arange(len(rows)), len(column), dims)
+
+
+def pieces(column: pa.Array, dims: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts and rows of n-gram presence of their pieces, in order: length 1 times the piece's share of its text's letters.
+
+    An n-gram belongs to the piece it starts in. The shares of a text without letters are equal.
+    """
+    data, offsets = lowered(column)
+    sizes = np.diff(offsets)
+    parts = -(-sizes // PIECE)
+    owner = np.repeat(np.arange(len(sizes)), parts)
+    if not len(owner):
+        return
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    bounds = np.append(offsets[owner] + nth * sizes[owner] // parts[owner], offsets[-1])
+    letters = np.add.reduceat(WORD_BYTE[data[: offsets[-1]]], bounds[:-1], dtype=np.int64)
+    total = np.bincount(owner, letters, len(sizes))[owner]
+    share = np.where(total > 0, letters / np.maximum(total, 1), 1 / parts[owner])
+    for a in range(0, len(owner), block):
+        z = min(a + block, len(owner))
+        rows = np.repeat(np.arange(z - a), np.diff(bounds[a : z + 1]))
+        left = offsets[owner[a:z] + 1][rows] - np.arange(bounds[a], bounds[z])
+        x = _mark(data[bounds[a] :], rows, left, z - a, dims)
+        yield owner[a:z], x * (share[a:z] / np.sqrt(x.sum(1))).astype(np.float32)[:, None]
+
+
+def add_up(out: np.ndarray, owner: np.ndarray, values: np.ndarray) -> None:
+    """Adds the rows ``values`` to the rows of ``out`` named by ``owner``, which is sorted."""
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    out[owner[first]] += np.add.reduceat(values, first, axis=0)
+
+
+def mean_pieces(column: pa.Array, dims: int) -> np.ndarray:
+    """texts x dims matrix: the weighted mean of each text's pieces."""
+    out = np.zeros((len(column), dims), np.float32)
+    for owner, x in pieces(column, dims):
+        add_up(out, owner, x)
+    return out
 
 
 def has_letter(text: str | None) -> bool:
@@ -64,7 +114,7 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class LanguageModel:
-    """langs; landmarks (m x dims presence, rows scaled to length 1); weights (m x langs), bias."""
+    """langs; landmarks (m x dims, means of their pieces); weights (m x langs), bias."""
 
     langs: list[str]
     landmarks: np.ndarray
@@ -73,19 +123,17 @@ class LanguageModel:
     dims: int
 
     def margins(self, column: pa.Array) -> np.ndarray:
-        x = presence(column, self.dims)
-        sizes = np.maximum(x.sum(1, keepdims=True), 1)
-        kernel = (x @ self.landmarks.T) / np.sqrt(sizes)
-        return kernel.astype(np.float64) @ self.weights + self.bias
+        kernel = np.zeros((len(column), len(self.landmarks)))
+        for owner, x in pieces(column, self.dims):
+            add_up(kernel, owner, x @ self.landmarks.T)
+        return kernel @ self.weights + self.bias
 
 
 def fit(texts: list[str], langs: list[str], per_class: int = 32, ridge: float = 1e-2, dims: int = 1 << 13) -> LanguageModel:
     """Fits on labelled texts. The first ``per_class`` texts of a language are landmarks."""
     names = sorted(set(langs))
     y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
-    parts = [presence(pa.array(texts[a : a + 64], pa.string()), dims) for a in range(0, len(texts), 64)]
-    x = np.concatenate(parts)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    x = np.concatenate([mean_pieces(pa.array(texts[a : a + 64], pa.string()), dims) for a in range(0, len(texts), 64)])
     order = [i for name in names for i in [j for j, lang in enumerate(langs) if lang == name][:per_class]]
     marks = x[order]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -117,6 +165,16 @@ def train(labelled: DataFrame, per_lang: int = 200, per_class: int = 32) -> Lang
     return fit(texts, langs, per_class) if texts else None
 
 
+def certainty(margins: np.ndarray) -> np.ndarray:
+    """Score of each row's best language by its lead over the mean of the others: what a softmax gives when three others stand there."""
+    n = margins.shape[1]
+    if n < 2:
+        return np.ones(len(margins))
+    best = margins.max(1)
+    lead = best - (margins.sum(1) - best) / (n - 1)
+    return 1 / (1 + 3 * np.exp(-4 * lead))
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, batch: int = 64) -> DataFrame:
     """Adds lang_pred and score (0 to 1) to every row, from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -136,10 +194,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, batch: int = 64) -> Da
                         scores += [0.0] * len(part)
                         continue
                     f = m.margins(part)
-                    p = np.exp(4 * (f - f.max(1, keepdims=True)))
-                    p /= p.sum(1, keepdims=True)
                     preds += [m.langs[k] if ok else UNDETERMINED for k, ok in zip(f.argmax(1).tolist(), known)]
-                    scores += [float(v) if ok else 0.0 for v, ok in zip(p.max(1), known)]
+                    scores += [float(v) if ok else 0.0 for v, ok in zip(certainty(f), known)]
             out = [*rows.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, schema=rows.schema.append(pa.field("lang_pred", pa.string())).append(pa.field("score", pa.float64())))
 

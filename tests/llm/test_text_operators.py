@@ -90,6 +90,44 @@ def test_language_id_on_held_out_rows(spark):
     assert language_id.train(docs.limit(0)) is None and language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_of_long_texts_with_growing_vocabulary():
+    """Neither the language nor the score is lost with length: megabytes of ever new words."""
+    rng = np.random.default_rng(8)
+    ends = {"aa": "tion ness ing ed ly".split(), "bb": "ung keit lich en er".split(), "cc": "eux ment age oir ais".split()}
+
+    def text(lang, n):
+        letters = rng.integers(97, 123, (n, 5), np.uint8)
+        return " ".join(bytes(w).decode() + ends[lang][k] for w, k in zip(letters, rng.integers(0, 5, n)))
+
+    model = language_id.fit([text(lang, 60) for lang in ends for _ in range(40)], [lang for lang in ends for _ in range(40)], per_class=16)
+    for lang in ends:
+        long = text(lang, 400_000)
+        assert len(long) > 3_000_000
+        f = model.margins(pa.array([long[:20_000], long, None, ""], pa.string()))
+        assert [model.langs[k] for k in f[:2].argmax(1)] == [lang, lang]
+        short, whole = language_id.certainty(f[:2])
+        assert short > 0.9 and abs(short - whole) < 0.02
+
+
+def test_language_pieces_hold_every_ngram_once():
+    texts = ["xyz" * 2000 + "Ä", "", None, "12 " * 700, "ab"]
+    column, dims = pa.array(texts, pa.string()), 1 << 13
+    owner, rows = zip(*language_id.pieces(column, dims, block=2))
+    owner, rows = np.concatenate(owner), np.concatenate(rows)
+    assert np.bincount(owner).tolist() == [6, 0, 0, 3, 1]
+    whole = language_id.presence(column, dims)
+    assert all(((rows[owner == i] > 0).any(0) == (whole[i] > 0)).all() for i in (0, 3, 4))
+    share = np.sqrt((rows**2).sum(1))
+    assert np.bincount(owner, share) == pytest.approx([1, 0, 0, 1, 1], abs=1e-5)
+
+
+def test_language_score_does_not_depend_on_the_number_of_languages():
+    margins = lambda n, best: np.array([[best] + [(2 - n - best) / (n - 1)] * (n - 1)])
+    for n in (3, 10, 100):
+        assert language_id.certainty(margins(n, (2 - n) / n))[0] == pytest.approx(0.25)
+        assert language_id.certainty(margins(n, 1.0))[0] == pytest.approx(1 / (1 + 3 * np.exp(-8)))
+
+
 def test_presence_kernel_by_hand():
     x = language_id.presence(pa.array(["Ab", "", None, "ab"]), 1 << 13)
     assert x.sum(1).tolist() == [3, 0, 0, 3] and (x[0] == x[3]).all()  # a, b, ab
