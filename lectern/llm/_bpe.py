@@ -5,7 +5,8 @@ numbers, punctuation, white space) and then encodes each piece on its own. The
 cut is made here with numpy on the UTF-8 bytes of whole batches; pieces that
 the memo does not hold go to the tokenizers library in one call. The memo is a
 direct-mapped table of fixed size. Texts with characters outside ASCII and the
-Latin letters U+00C0-U+024F are encoded whole by the library.
+Latin letters U+00C0-U+024F, or with the content of an added token such as
+``<|endoftext|>``, are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -155,7 +156,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mask = np.uint64((1 << bits) - 1)
         self.most_ids = most_ids
         self.clear()
@@ -201,6 +202,8 @@ class Encoder:
         """Ids of all texts in order (or none), and the number of ids of each text."""
         data, offsets = utf8(column)
         starts, unsure = cut(data, offsets)
+        for content in self.added:
+            unsure |= np.asarray(pc.fill_null(pc.match_substring(column, content), False))
         sizes = np.diff(starts, append=offsets[-1])
         counts = np.zeros(len(column), np.int64)
         owner = np.searchsorted(offsets, starts, side="right") - 1

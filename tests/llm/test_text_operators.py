@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from lectern.llm import html_extract, language_id, token_lengths, token_shards, toxicity
 from lectern.llm._bpe import Encoder
@@ -62,6 +63,24 @@ def test_token_files_round_trip(spark, encoder):
     assert token_shards.read_tokens(token_shards.write_tokens(docs.limit(0), PATH)).count() == 0
 
 
+def test_added_tokens_are_the_librarys(spark, encoder):
+    """Against a fresh tokenizer with the file's own settings."""
+    fresh = Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> a", "<|endoftext|>", "<|endoftext|><|endoftext|> \n", "<|endoftext| >", None, "é<|endoftext|>é 中", "it's<|endoftext|>'s", " x <|endoftext|>" * 500, *TRICKY]
+    expected = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [87, 220, 50256, 257]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    flat, counts = encoder.encode(column)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == expected
+    assert encoder.encode(column, count_only=True)[1].tolist() == list(map(len, expected))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, token_shards.read_tokens(token_shards.write_tokens(docs, PATH, partitions=2)).collect()))
+    starts = np.cumsum([0] + [len(x) + 1 for x in expected])
+    assert got == [(i, starts[i], len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(expected)]
+    lengths = sorted(r["length"] for r in token_lengths.length_histogram(docs, PATH).collect() for _ in range(r["n_docs"]))
+    assert lengths == sorted(map(len, expected))
+
+
 def test_shard_refuses_another_dictionary():
     with pytest.raises(ValueError):
         token_shards.Shard(token_shards.pack([1], [1], [b""], 2, b"12345678"), b"other")
