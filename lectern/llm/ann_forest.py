@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch, hash_sample
@@ -113,17 +113,54 @@ def usable(rows: DataFrame) -> tuple[DataFrame, int]:
     return ok.filter(F.size("embedding") == dims), dims
 
 
+def id_sample(data: DataFrame, n: int) -> list[Row]:
+    """vec_id, embedding of at most ``n`` ids, one row each, whatever the number of their rows; empty only if ``data`` is."""
+    ids = data.select("vec_id").distinct()
+    some = hash_sample(ids, F.col("vec_id"), n)
+    if some.isEmpty():
+        some = ids.orderBy(F.xxhash64("vec_id")).limit(n)
+    return data.join(F.broadcast(some), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").collect()
+
+
+def best(ids: np.ndarray, v: np.ndarray, norms: np.ndarray, asks: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+    """query_id, vec_id, score: the ``k`` ids nearest to each query among the rows of a block, which are sorted by id."""
+    qn = np.linalg.norm(q, axis=1)
+    close = (q @ v.T) / (qn[:, None] * norms[None, :])
+    close[asks[:, None] == ids[None, :]] = -np.inf
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    of_id = np.maximum.reduceat(close, first, axis=1)  # a repeated id takes one place
+    nth = np.cumsum(np.append(0, ids[1:] != ids[:-1]))  # each row's place in of_id
+    out: list[tuple[int, int, float]] = []
+    for i, row in enumerate(of_id):
+        n = min(k, len(row))
+        edge = np.partition(row, len(row) - n)[len(row) - n] - 1e-12  # rounding must not part equal vectors
+        if len(first) == len(ids):
+            near = np.flatnonzero(row >= edge)
+        else:  # of each id, the rows that rounding could put first
+            near = np.flatnonzero((close[i] >= edge) & (close[i] >= row[nth] - 1e-12))
+        near = near[np.isfinite(close[i, near])]
+        exact = np.array([np.dot(q[i], v[j]) / (qn[i] * norms[j]) for j in near])
+        kept: dict[int, float] = {}
+        for o in np.lexsort((ids[near], -exact)).tolist():
+            if len(kept) == k:
+                break
+            kept.setdefault(int(ids[near[o]]), float(exact[o]))
+        out += [(int(asks[i]), d, s) for d, s in kept.items()]
+    cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())]
+    return pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "score"])
+
+
 def nearest(rows: DataFrame, queries: Column, k: int = 5, trees: int = 4, target: float = 0.97, sample: int = 4096, leaf_rows: int = 512, block_rows: int = 4096, block_queries: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest found among all other rows.
 
     ``queries``: which rows of vec_id, embedding are queries. The trees are
-    grown on at most ``sample`` rows, chosen by a hash of vec_id.
+    grown on at most ``sample`` rows of different ids, chosen by a hash of vec_id.
     """
     spark = rows.sparkSession
     store = Scratch(spark, "forest")
     data, dims = usable(rows)
     schema = "query_id long, vec_id long, score double"
-    got = hash_sample(data, F.col("vec_id"), sample).collect()
+    got = id_sample(data, sample)
     if not got:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total = data.count()
@@ -161,27 +198,6 @@ def nearest(rows: DataFrame, queries: Column, k: int = 5, trees: int = 4, target
     left = index.join(blocks, ["tree", "leaf"]).select("*", part("nr").alias("r")).select("tree", "leaf", "r", every("nq").alias("q"), F.lit(0).alias("ask"), "id", "v")
     right = probes.join(blocks, ["tree", "leaf"]).select("*", part("nq").alias("q")).select("tree", "leaf", every("nr").alias("r"), "q", F.lit(1).alias("ask"), "id", "v")
 
-    def best(ids: np.ndarray, v: np.ndarray, norms: np.ndarray, asks: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        qn = np.linalg.norm(q, axis=1)
-        close = (q @ v.T) / (qn[:, None] * norms[None, :])
-        close[asks[:, None] == ids[None, :]] = -np.inf
-        out: list[tuple[int, int, float]] = []
-        for i, row in enumerate(close):
-            n = min(k, len(row))
-            edge = np.partition(row, len(row) - n)[len(row) - n]
-            near = np.flatnonzero(row >= edge - 1e-12)  # rounding must not part equal vectors
-            near = near[np.isfinite(row[near])]
-            exact = np.array([np.dot(q[i], v[j]) / (qn[i] * norms[j]) for j in near])
-            order = np.lexsort((ids[near], -exact))
-            kept: dict[int, float] = {}
-            for o in order.tolist():
-                if len(kept) == k:
-                    break
-                kept.setdefault(int(ids[near[o]]), float(exact[o]))
-            out += [(int(asks[i]), d, s) for d, s in kept.items()]
-        cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())]
-        return pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "score"])
-
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vs = None, [], []
         for b in batches:
@@ -196,9 +212,11 @@ def nearest(rows: DataFrame, queries: Column, k: int = 5, trees: int = 4, target
                     ids.append(names), vs.append(x)
                 elif ids:
                     v = np.concatenate(vs)
-                    norms = np.linalg.norm(v, axis=1)
+                    near, norms = np.concatenate(ids), np.linalg.norm(v, axis=1)
+                    order = np.argsort(near, kind="stable")
+                    near, v, norms = near[order], v[order], norms[order]
                     for s in range(0, len(x), 64):
-                        yield best(np.concatenate(ids), v, norms, names[s : s + 64], x[s : s + 64])
+                        yield best(near, v, norms, names[s : s + 64], x[s : s + 64], k)
 
     meet = left.unionByName(right).repartition("tree", "leaf", "r", "q").sortWithinPartitions("tree", "leaf", "r", "q", "ask")
     found = meet.mapInArrow(rank, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

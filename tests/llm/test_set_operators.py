@@ -199,6 +199,39 @@ def test_neighbours(spark):
     assert ann_forest.nearest(df.filter("vec_id < 3"), F.col("vec_id") == 1).count() == 2
 
 
+def nearest_ids(x, ids, query, k=5):
+    """Brute force: (id, score) of the k best other ids of a query's vector."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = {}
+    for i, s in zip(ids, unit @ (query / np.linalg.norm(query))):
+        score[i] = max(s, score.get(i, -2))
+    return sorted(score.items(), key=lambda p: (-round(p[1], 12), p[0]))[:k]
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Rows that repeat an id near a query, equal or not, take one place."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 8))
+    x[0] = x[100] + 0.001  # the query
+    equal, varied = np.repeat(x[100:101], 40, 0), x[100] + rng.standard_normal((150, 8)) * 0.01
+    x, ids = np.concatenate([x, equal, varied]), [*range(300), *[100] * 40, *[101] * 150]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    others = [j for j, i in enumerate(ids) if i]
+    expected = nearest_ids(x[others], [ids[j] for j in others], x[0])
+    for block_rows in (4096, 64):
+        found = ann_forest.nearest(df, F.col("vec_id") == 0, leaf_rows=600, block_rows=block_rows).orderBy("rank").collect()
+        assert [(r["rank"], r["vec_id"]) for r in found] == [(n + 1, i) for n, (i, _) in enumerate(expected)]
+        assert [r["score"] for r in found] == pytest.approx([s for _, s in expected], abs=1e-12)
+
+
+def test_neighbours_of_few_ids(spark):
+    rows = [(i % 3, [1.0, float(i % 3)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sample in (1, 2, 8):
+        found = ann_forest.nearest(df.dropDuplicates(["vec_id"]).unionByName(df.filter("vec_id > 0")), F.col("vec_id") == 0, sample=sample).orderBy("rank").collect()
+        assert [(r["rank"], r["vec_id"]) for r in found] == [(1, 1), (2, 2)]
+
+
 def test_chats(spark):
     said = ["", "</s>[INST] ok", "<|end|>\\l\\b|>", "a\nb", "\\", "<|user|>x<|end|>", "é中🙂"]
     rows = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(said)]
