@@ -190,11 +190,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 13, num: int =
 
 def proximity(docs: DataFrame, phrases: DataFrame, slop: int, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """item_id, doc_id, first, last: places where all terms of a phrase occur in order
-    with at most ``slop`` other words between neighbours.
+    with at most ``slop`` other words between neighbours, one row for each pair
+    of first and last word.
 
     The lists of the terms are intersected from the rarest on: the rarest term
-    restricts the documents, then each term's nearest position after the one
-    before it is taken along the phrase.
+    restricts the documents, then all positions of each term that can be reached
+    from those of the one before it are carried along the phrase, for each start.
     """
     store = Scratch(docs.sparkSession, "proximity")
     items = store.write(windows(phrases, 1 << 30), "items")
@@ -208,15 +209,13 @@ def proximity(docs: DataFrame, phrases: DataFrame, slop: int, broadcast_bytes: i
     needed = items.select("item_key", F.posexplode("w").alias("offset", "term"))
     rows = inside.join(_hint(needed, small), "item_key").join(lists, ["doc_id", "term"], "left")
     rows = rows.groupBy("doc_id", "item_key").agg(F.array_sort(F.collect_list(F.struct("offset", F.coalesce("at", F.array().cast("array<int>")).alias("at")))).alias("l"))
-    first = F.transform(F.col("l")[0]["at"], lambda p: F.struct(p.alias("first"), p.alias("last")))
+    first = F.transform(F.col("l")[0]["at"], lambda p: F.struct(p.alias("first"), F.array(p).alias("ends")))
 
     def follow(acc: Column, term: Column) -> Column:
-        reach = F.transform(
-            acc,
-            lambda c: F.struct(c["first"].alias("first"), F.array_min(F.filter(term["at"], lambda q: (q > c["last"]) & (q <= c["last"] + 1 + slop))).alias("last")),
-        )
-        return F.filter(reach, lambda c: c["last"].isNotNull())
+        near = lambda c, q: F.exists(c["ends"], lambda e: (q > e) & (q <= e + 1 + slop))
+        reach = F.transform(acc, lambda c: F.struct(c["first"].alias("first"), F.filter(term["at"], lambda q: near(c, q)).alias("ends")))
+        return F.filter(reach, lambda c: F.size(c["ends"]) > 0)
 
     spans = F.aggregate(F.slice("l", F.lit(2), F.size("l")), first, follow)
-    out = rows.select("doc_id", "item_key", F.explode(spans).alias("s"))
-    return out.join(_hint(items.select("item_key", "item_id"), small), "item_key").select("item_id", "doc_id", "s.first", "s.last")
+    out = rows.select("doc_id", "item_key", F.explode(spans).alias("s")).select("doc_id", "item_key", "s.first", F.explode("s.ends").alias("last"))
+    return out.join(_hint(items.select("item_key", "item_id"), small), "item_key").select("item_id", "doc_id", "first", "last")

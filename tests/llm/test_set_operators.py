@@ -199,6 +199,28 @@ def test_neighbours(spark):
     assert ann_forest.nearest(df.filter("vec_id < 3"), F.col("vec_id") == 1).count() == 2
 
 
+def places(words, terms, slop):
+    """Brute force: all pairs of first and last word."""
+    out = set()
+    for first, w in enumerate(words):
+        ends = {first} if w == terms[0] else set()
+        for t in terms[1:]:
+            ends = {q for e in ends for q in range(e + 1, min(e + 2 + slop, len(words))) if words[q] == t}
+        out |= {(first, e) for e in ends}
+    return out
+
+
+def test_proximity_with_repeated_terms(spark):
+    """A later occurrence of a term can be the only one from which the next is in reach."""
+    rnd = random.Random(9)
+    docs = [(0, "a b x b x x c"), *[(i, " ".join(rnd.choice("abcx") for _ in range(rnd.choice([5, 40])))) for i in range(1, 25)]]
+    phrases = [(1, "a b c"), (2, "a b a"), (3, "b b"), (4, "c"), (5, "a b c a")]
+    df, ph = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(phrases, "item_id long, text string")
+    got = sorted(map(tuple, decontamination.proximity(df, ph, 2).collect()))
+    assert (1, 0, 0, 6) in got
+    assert got == sorted((i, d, *p) for i, t in phrases for d, text in docs for p in places(text.split(), t.split(), 2))
+
+
 def nearest_ids(x, ids, query, k=5):
     """Brute force: (id, score) of the k best other ids of a query's vector."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
