@@ -1,26 +1,32 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct n-word shingles (64-bit hashes). With all
-sets sorted by one global order, rare shingles first, two sets of Jaccard
-similarity >= t share at least one token in their 1-prefixes (|s| - ceil(t|s|) + 1
-tokens), and at least l tokens in their l-prefixes, which are l - 1 tokens
-longer. Each document picks its own l by estimated candidate cost; a pair must
-share min(l) tokens of the layers that both have before it is verified.
-
-1. Scan: size and hash of each set (equal sets become one class), and a
-   count sketch of all shingles, of fixed size, whose excess over its mean
-   estimates how many documents hold a shingle.
-2. Scan: each class's adaptive prefix goes out as postings (token, class),
-   dealt by token and sorted by set size; lists are read as a stream.
-   Short lists give pairs, counted over all tokens. Long lists (``long_list``
-   classes and more) give only links to the first class of each size range, so
-   that work stays linear: their pairs are left to step 4, which counts all.
-3. Connected components of what remains are candidate clusters: no link of two
-   different sets leaves a cluster.
-4. Scan: the sets of clustered classes meet by blocks of bounded size; all
-   pairs of a block pair are counted exactly inside the kernel, which gives
-   out a spanning forest of the links and each class's number of links.
-5. Connected components of the links.
+A document is the set of its distinct n-word shingles (64-bit hashes); equal
+sets are one class. With all sets sorted by one global order, rare shingles
+first, two sets of Jaccard similarity >= t share at least one token in their
+1-prefixes (|s| - ceil(t|s|) + 1 tokens), and at least l tokens in their
+l-prefixes, which are l - 1 tokens longer. Each class picks its own l by
+estimated candidate cost; a pair must share min(l) tokens of the layers that
+both have before it is verified.
+
+1. Scan: the set of each text. Sets are dealt to packs by a hash of the class,
+   where a class stands once.
+2. Frequencies: each pack asks for the document frequency of its distinct
+   shingles, by ranges (buckets) of the hash, and is told a level, a byte for
+   each: how many classes hold it, on a logarithmic scale. Nothing is broadcast:
+   the exchange follows the input, four bytes and one for each shingle of a pack.
+3. Prefixes: shingles that no other class holds come first in the order and need
+   no posting. A class whose 1-prefix holds only such is done: it links with
+   nothing. Of the others the prefix goes out as postings (token, class).
+4. Lists are read as a stream, sorted by set size. Short lists (at most
+   ``long_list`` classes) give pairs, counted over all tokens under min(l). A
+   long list joins its classes through the first of each size range, so that
+   work stays linear: its pairs are counted under the same rule in step 5.
+5. Connected components of what remains are candidate clusters: no link of two
+   different sets leaves a cluster. Sets of a cluster meet by blocks of bounded
+   size. There prefix tokens are counted pair by pair, pairs with min(l) are
+   verified exactly, and a spanning forest of the links and each class's number
+   of links come out. Copies of a class are numbers of members, never rows.
+6. Connected components of the links.
 
 Defined results: null texts and texts without words have the empty set, which
 links with nothing; fewer than n words are one shingle; repeated rows and equal
@@ -32,25 +38,28 @@ Sets are compared by 64-bit hashes of their shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bpe import frugal, slices
+from ._bpe import frugal, give_back, slices
 from ._components import components
 from ._store import Scratch, small_enough
 from ._words import ASCII_SPACE, finish, lowered, word_hashes
 
-CHUNK = 1 << 15
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 #: Values of l that a document may choose from.
 LAYERS = np.array([m << e for e in range(10) for m in (2, 3)][:-1] + [1])
 LAYERS.sort()
-#: Costs, in postings: of verifying a candidate, for each shingle; and the list entries that a token meets by chance.
-VERIFY, CHANCE = 0.4, 0.05
+#: Cost, in postings, of verifying a candidate, for each shingle.
+VERIFY = 0.4
+#: Steps of a level for each doubling of the number of classes that hold a shingle.
+STEPS = 8
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -84,112 +93,164 @@ def set_hash(s: np.ndarray) -> int:
     return int(finish(np.array([x], np.uint64)).view(np.int64)[0])
 
 
-def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """doc_id, n, cls of each document; and rows chunk, sketch with a partition's shingle counts."""
+def _packed(docs: DataFrame, n: int, packs: int) -> DataFrame:
+    """Rows of two kinds, dealt to packs: ``doc`` with doc_id, n, cls and m (how many such rows
+    there are), by both; and the sets with n, cls and tokens, once for each class, by class."""
+    names = ["pack", "doc", "doc_id", "n", "cls", "m", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "cls", "chunk", "sketch"]
-        sketch, mask, held = np.zeros(1 << bits, np.uint32), np.uint64((1 << bits) - 1), []
-
-        def add() -> None:
-            nonlocal sketch
-            sketch += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
-            held.clear()
-
+        seen: set[int] = set()
         for rows in batches:
             for a, b in slices(rows.column(1)):
                 sets = shingle_sets(rows.column(1).slice(a, b - a), n)
-                held.append((np.concatenate(sets) & mask).astype(np.int32))
-                if sum(map(len, held)) > 1 << 21:
-                    add()
-                k = len(sets)
-                cols = [rows.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        if held:
-            add()
-        press = zstandard.ZstdCompressor(level=1)
-        for c in range(max(1, (1 << bits) // CHUNK)):
-            part = sketch[c * CHUNK : (c + 1) * CHUNK]
-            if part.any():
-                cols = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([press.compress(part.tobytes())])]
+                found: dict[tuple[int | None, int], int] = {}
+                new = []
+                names_of = list(map(set_hash, sets))
+                for i, key in enumerate(zip(rows.column(0).slice(a, b - a).to_pylist(), names_of)):
+                    found[key] = found.get(key, 0) + 1
+                    if len(sets[i]) and key[1] not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()  # repeats are dropped again where a pack's rows meet
+                        seen.add(key[1])
+                        new.append(i)
+                size = dict(zip(names_of, map(len, sets)))
+                at = [(d or 0) * 31 + c for d, c in found]
+                k = len(found)
+                cols = [
+                    pa.array([x % packs for x in at], pa.int32()), pa.array(np.ones(k, bool)), pa.array([d for d, _ in found], pa.int64()), pa.array([size[c] for _, c in found], pa.int64()),
+                    pa.array([c for _, c in found], pa.int64()), pa.array(list(found.values()), pa.int64()), pa.nulls(k, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names)
+                k = len(new)
+                cols = [
+                    pa.array([names_of[i] % packs for i in new], pa.int32()), pa.array(np.zeros(k, bool)), pa.nulls(k, pa.int64()), pa.array([len(sets[i]) for i in new], pa.int64()),
+                    pa.array([names_of[i] for i in new], pa.int64()), pa.nulls(k, pa.int64()), pa.array([sets[i].tobytes() for i in new], pa.binary()),
+                ]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, n long, cls long, chunk int, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "pack int, doc boolean, doc_id long, n long, cls long, m long, tokens binary")
+    return rows.repartition("pack").groupBy("pack", "doc", "doc_id", "n", "cls").agg(F.sum("m").alias("m"), F.first("tokens").alias("tokens"))
 
 
-def _estimates(parts: DataFrame, bits: int) -> np.ndarray:
-    """A byte per counter: 4 log2(1 + excess over what the mean load explains), 0 for nearly all.
+def _flat(tokens: pa.ChunkedArray) -> np.ndarray:
+    """All tokens of a binary column, in order."""
+    return np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in tokens] or [np.zeros(0, np.uint64)])
 
-    Sums stream by chunk on the executors; the result has 1 << bits bytes whatever the input.
-    """
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    mean = total / (1 << bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        expand = zstandard.ZstdDecompressor()
-        for rows in batches:
-            for c, data in zip(rows.column(0).to_pylist(), rows.column(1)):
-                part = np.frombuffer(expand.decompress(data.as_py(), max_output_size=4 * CHUNK), np.uint32)
-                sums[c] = sums.get(c, 0) + part.astype(np.uint64)
-        for c, x in sums.items():
-            excess = np.maximum(x - mean - 3 * np.sqrt(mean), 0)
-            level = np.where(excess > 1, np.round(4 * np.log2(1 + excess)), 0).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()])], ["chunk", "levels"])
-
-    out = np.zeros(1 << bits, np.uint8)
-    for r in parts.filter("chunk IS NOT NULL").select("chunk", "sketch").repartition(16, "chunk").mapInArrow(frugal(run), "chunk int, levels binary").collect():
-        part = np.frombuffer(r["levels"], np.uint8)
-        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
-    return out
+def levels_of(df: np.ndarray) -> np.ndarray:
+    """A byte for each document frequency: 0 for 1 alone."""
+    return np.minimum(np.round(STEPS * np.log2(np.maximum(df, 1))), 255).astype(np.uint8)
 
 
-def adaptive_prefix(s: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """Prefix tokens in the global order (level of the estimate, hash), and the chosen l.
+def _levels(packed: DataFrame, bits: int) -> DataFrame:
+    """pack, bucket, levels: of the pack's distinct shingles in each of 1 << ``bits`` ranges, in ascending order.
 
-    Cost of l: the postings themselves, the list entries they are expected to
-    meet, and the verification of the candidates left, a share 1 / l of those.
+    Inside a bucket the next 32 bits stand for a shingle. Two that share them add
+    up, for all packs alike, so the order stays one order.
+    """
+
+    def ask(rows: pa.Table) -> pa.Table:
+        sets = rows.filter(pc.invert(rows["doc"]))
+        tokens, counts = np.unique(_flat(sets["tokens"]), return_counts=True)
+        bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+        sub = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(tokens) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(tokens))
+        press = zstandard.ZstdCompressor(level=1)
+        pack = rows["pack"][0].as_py()
+        out = pa.table(
+            {
+                "pack": pa.array([pack] * len(starts), pa.int32()),
+                "bucket": pa.array(bucket[starts]),
+                "subs": pa.array([sub[a:z].tobytes() for a, z in zip(starts, ends)], pa.binary()),
+                "counts": pa.array([press.compress(counts[a:z].astype(np.uint32).tobytes()) for a, z in zip(starts, ends)], pa.binary()),
+            }
+        )
+        give_back()
+        return out
+
+    def answer(rows: pa.Table) -> pa.Table:
+        subs = [np.frombuffer(x.as_py(), np.uint32) for x in rows["subs"]]
+        expand, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        counts = np.concatenate([np.frombuffer(expand.decompress(x.as_py(), max_output_size=4 * len(s)), np.uint32) for x, s in zip(rows["counts"], subs)])
+        _, at = np.unique(np.concatenate(subs), return_inverse=True)
+        level = levels_of(np.bincount(at, counts)[at])
+        ends = np.cumsum(list(map(len, subs)))
+        told = [press.compress(level[z - len(s) : z].tobytes()) for s, z in zip(subs, ends)]
+        out = pa.table({"pack": rows["pack"], "bucket": rows["bucket"], "levels": pa.array(told, pa.binary())})
+        give_back()
+        return out
+
+    asked = packed.groupBy("pack").applyInArrow(ask, "pack int, bucket long, subs binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "pack int, bucket long, levels binary")
+
+
+def adaptive_prefix(s: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Prefix tokens that other classes hold, in the global order (level, hash), their layers, and the chosen l.
+
+    Cost of l: the postings themselves, the list entries that they meet, and the
+    verification of the candidates left, a share 1 / l of those.
     """
     n = len(s)
     overlap = -(-num * n // den)
     first = n - overlap + 1
     choices = LAYERS[LAYERS <= overlap]
     lengths = first + choices - 1
-    if level.any():
-        order = np.argsort(level, kind="stable")  # s is sorted, so ties stay by hash
-        s, level = s[order], level[order]
-    met = np.cumsum(2.0 ** (level[: lengths[-1]] / 4.0) - (1 - CHANCE))[lengths - 1]
-    ell = int(choices[np.argmin(lengths + met + VERIFY * n * met / choices)])
-    return s[: first + ell - 1], ell
-
-
-def _postings(docs: DataFrame, est: np.ndarray, n: int, num: int, den: int, bits: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(est)
-
+    order = np.argsort(level, kind="stable")  # s is sorted, so ties stay by hash
+    s, level = s[order], level[order]
+    alone = int(np.searchsorted(level, 1))
+    met = np.cumsum(2.0 ** (level[: lengths[-1]] / STEPS) - 1)[lengths - 1]
+    ell = int(choices[np.argmin(np.maximum(lengths - alone, 0) + met + VERIFY * n * met / choices)])
+    layer = np.maximum(np.arange(first + ell - 1) - first + 2, 1)
+    return s[alone : first + ell - 1], layer[alone:].astype(np.int16), ell
+
+
+def _prefixes(packed: DataFrame, levels: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of documents as they are, and the sets whose prefix holds a token of another set, with ell, prefix, layers."""
+    schema = "doc boolean, doc_id long, n long, cls long, m long, tokens binary, ell short, prefix binary, layers binary"
+
+    def choose(rows: pa.Table, told: pa.Table) -> pa.Table:
+        docs, sets = rows.filter(rows["doc"]), rows.filter(pc.invert(rows["doc"]))
+        plain = ["doc", "doc_id", "n", "cls", "m"]
+        kept, prefixes = [], []
+        if len(sets):
+            expand = zstandard.ZstdDecompressor()
+            told = told.sort_by("bucket")
+            level = np.concatenate([np.frombuffer(expand.decompress(x.as_py(), max_output_size=1 << 31), np.uint8) for x in told["levels"]])
+            flat = _flat(sets["tokens"])
+            size = sets["n"].to_numpy()
+            ends = np.cumsum(size)
+            level = level[np.unique(flat, return_inverse=True)[1]]
+            alone = np.add.reduceat(level == 0, ends - size, dtype=np.int64)
+            for i in np.flatnonzero(alone < size - -(-num * size // den) + 1).tolist():
+                part = slice(ends[i] - size[i], ends[i])
+                prefixes.append(adaptive_prefix(flat[part], level[part], num, den))
+                kept.append(i)
+        sets = sets.take(pa.array(kept, pa.int64())).select([*plain, "tokens"])
+        sets = sets.append_column("ell", pa.array([p[2] for p in prefixes], pa.int16()))
+        sets = sets.append_column("prefix", pa.array([p[0].tobytes() for p in prefixes], pa.binary()))
+        sets = sets.append_column("layers", pa.array([p[1].tobytes() for p in prefixes], pa.binary()))
+        docs = docs.select(plain)
+        for name, kind in (("tokens", pa.binary()), ("ell", pa.int16()), ("prefix", pa.binary()), ("layers", pa.binary())):
+            docs = docs.append_column(name, pa.nulls(len(docs), kind))
+        give_back()
+        return pa.concat_tables([docs, sets.cast(docs.schema)])
+
+    return packed.groupBy("pack").cogroup(levels.groupBy("pack")).applyInArrow(choose, schema)
+
+
+def _postings(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mask, seen = shared.value, np.uint64((1 << bits) - 1), set()
         for rows in batches:
-            for a, b in slices(rows.column(0)):
-                tokens, cls, size, ells, layers = [], [], [], [], []
-                for s in shingle_sets(rows.column(0).slice(a, b - a), n):
-                    c = set_hash(s)
-                    if not len(s) or c in seen:
-                        continue
-                    if len(seen) > 500_000:
-                        seen.clear()  # repeats are dropped again when lists are read
-                    seen.add(c)
-                    prefix, ell = adaptive_prefix(s, table[(s & mask).astype(np.int64)], num, den)
-                    tokens.append(prefix)
-                    cls.append(c), size.append(len(s)), ells.append(ell)
-                    layer = np.ones(len(prefix), np.int16)
-                    layer[len(prefix) - ell + 1 :] = np.arange(2, ell + 1)
-                    layers.append(layer)
-                if tokens:
-                    k = list(map(len, tokens))
-                    cols = [np.concatenate(tokens).view(np.int64), np.repeat(cls, k), np.repeat(size, k).astype(np.int32), np.repeat(ells, k).astype(np.int16), np.concatenate(layers)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "cls", "n", "ell", "layer"])
-
-    return docs.select("text").mapInArrow(frugal(run), "token long, cls long, n int, ell short, layer short")
+            for a in range(0, rows.num_rows, 512):
+                part = rows.slice(a, 512)
+                tokens = [np.frombuffer(x.as_py(), np.int64) for x in part.column(3)]
+                layers = np.concatenate([np.frombuffer(x.as_py(), np.int16) for x in part.column(4)])
+                k = list(map(len, tokens))
+                cols = [np.concatenate(tokens), np.repeat(part.column(0).to_numpy(), k), np.repeat(part.column(1).to_numpy(), k).astype(np.int32), np.repeat(part.column(2).to_numpy(), k), layers]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "cls", "n", "ell", "layer"])
+
+    return sets.select("cls", "n", "ell", "prefix", "layers").mapInArrow(frugal(run), "token long, cls long, n int, ell short, layer short")
 
 
 def _candidates(postings: DataFrame, num: int, den: int, long_list: int) -> DataFrame:
@@ -260,43 +321,74 @@ def _candidates(postings: DataFrame, num: int, den: int, long_list: int) -> Data
     return met.filter("low = 0 OR c >= need").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def links_of_group(sets: list[np.ndarray], blocks: np.ndarray, cross: bool, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, the later j linked with it), by exact intersection sizes. ``cross``: only pairs of different blocks."""
-    g = len(sets)
-    sizes = np.array(list(map(len, sets)))
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(g), sizes)
-    _, ids, df = np.unique(flat, return_inverse=True, return_counts=True)
-    met = df[ids] > 1  # what no other set holds meets nothing
-    ids, owner = ids[met], owner[met]
-    bounds = np.searchsorted(owner, np.arange(g + 1))
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges starts[i]..ends[i], one range after the other."""
+    size = np.maximum(ends - starts, 0)
+    return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+@dataclass
+class Member:
+    """A class in a group: its set, and its prefix with layers and l."""
+
+    cls: int
+    block: int
+    copies: int
+    ell: int
+    tokens: np.ndarray
+    prefix: np.ndarray
+    layers: np.ndarray
+
+
+def links_of_group(group: list[Member], cross: bool, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, the later j linked with it). ``cross``: only pairs of different blocks.
+
+    Pairs that share min(l) prefix tokens are verified by exact intersection sizes.
+    """
+    g = len(group)
+    blocks, ell = np.array([m.block for m in group]), np.array([m.ell for m in group])
+    sizes = np.array([len(m.tokens) for m in group])
+    _, token = np.unique(np.concatenate([m.prefix for m in group]), return_inverse=True)
+    held = np.array([len(m.prefix) for m in group])
+    order = np.argsort(token, kind="stable")  # lists of the tokens, each in the order of the group
+    owner, layer = np.repeat(np.arange(g), held)[order], np.concatenate([m.layers for m in group])[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    stop = np.searchsorted(token[order], token, side="right")
+    mine = np.append(0, np.cumsum(held))
+    _, ids, df = np.unique(np.concatenate([m.tokens for m in group]), return_inverse=True, return_counts=True)
     mark = np.zeros(len(df), bool)
+    bounds = np.append(0, np.cumsum(sizes))
     for i in range(g - 1):
-        mine = ids[bounds[i] : bounds[i + 1]]
-        rest = slice(bounds[i + 1], None)
-        mark[mine] = True
-        both = np.bincount(owner[rest][mark[ids[rest]]], minlength=g)
-        mark[mine] = False
-        ok = (both > 0) & (den * both >= num * (sizes[i] + sizes - both))
+        own = slice(mine[i], mine[i + 1])
+        at = _ranges(place[own] + 1, stop[own])
+        j = owner[at]
+        need = np.minimum(ell[i], ell[j])
+        ok = np.maximum(np.repeat(layer[place[own]], stop[own] - place[own] - 1), layer[at]) <= need
+        shared = np.bincount(j[ok], minlength=g)
+        j = np.flatnonzero((shared > 0) & (shared >= np.minimum(ell[i], ell)))
         if cross:
-            ok &= blocks != blocks[i]
-        j = np.flatnonzero(ok)
+            j = j[blocks[j] != blocks[i]]
+        if not len(j):
+            continue
+        all_i = ids[bounds[i] : bounds[i + 1]]
+        mark[all_i] = True
+        common = np.add.reduceat(mark[ids[_ranges(bounds[j], bounds[j + 1])]], np.cumsum(sizes[j]) - sizes[j], dtype=np.int64)
+        mark[all_i] = False
+        j = j[den * common >= num * (sizes[i] + sizes[j] - common)]
         if len(j):
             yield i, j
 
 
 def _verify(members: DataFrame, num: int, den: int) -> DataFrame:
-    """cluster, x, y, cls, block, copies, tokens -> a, b (a forest of the links) and a, links (b null)."""
-
-    def solve(rows: list[tuple[int, int, int, bytes]], cross: bool) -> pa.RecordBatch:
-        rows = list({r[0]: r for r in rows}.values())
-        cls = np.array([r[0] for r in rows], np.int64)
-        blocks = np.array([r[1] for r in rows])
-        copies = np.array([r[2] for r in rows], np.int64)
-        label = np.arange(len(rows))
-        degree = np.zeros(len(rows), np.int64)
+    """Sets by cluster and pair of blocks x, y -> a, b (a forest of the links) and a, links (b null)."""
+
+    def solve(group: list[Member], cross: bool) -> pa.RecordBatch:
+        cls, copies = np.array([m.cls for m in group], np.int64), np.array([m.copies for m in group], np.int64)
+        label = np.arange(len(group))
+        degree = np.zeros(len(group), np.int64)
         a, b = [], []
-        for i, js in links_of_group([np.frombuffer(r[3], np.uint64) for r in rows], blocks, cross, num, den):
+        for i, js in links_of_group(group, cross, num, den):
             degree[i] += copies[js].sum()
             degree[js] += copies[i]
             for other in np.unique(label[js]).tolist():
@@ -313,12 +405,12 @@ def _verify(members: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for rows in batches:
-            for cluster, x, y, cls, block, copies, tokens in zip(*[c.to_pylist() for c in rows.columns]):
+            for cluster, x, y, cls, block, copies, ell, tokens, prefix, layers in zip(*[c.to_pylist() for c in rows.columns]):
                 if (cluster, x, y) != key:
                     if len(held) > 1:
                         yield solve(held, key[1] != key[2])
                     key, held = (cluster, x, y), []
-                held.append((cls, block, copies, tokens))
+                held.append(Member(cls, block, copies, ell, np.frombuffer(tokens, np.uint64), np.frombuffer(prefix, np.uint64), np.frombuffer(layers, np.int16)))
         if len(held) > 1:
             yield solve(held, key[1] != key[2])
 
@@ -326,57 +418,48 @@ def _verify(members: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(frugal(run), "a long, b long, links long")
 
 
-def _members(docs: DataFrame, clustered: DataFrame, n: int) -> DataFrame:
-    """The sets of clustered classes, recomputed from the text of a document of each, for all its block pairs."""
+def _members(sets: DataFrame, clustered: DataFrame) -> DataFrame:
+    """The sets of clustered classes, for all their block pairs."""
+    clustered = F.broadcast(clustered) if small_enough(clustered, 32 << 20, 64) else clustered  # beyond that the sets are shuffled
+    rows = sets.select("cls", "ell", "tokens", "prefix", "layers").join(clustered, "cls")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return rows.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls", "block", "copies", "ell", "tokens", "prefix", "layers")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts = rows.column(0)
-            for a, b in slices(texts):
-                sets = shingle_sets(texts.slice(a, b - a), n)
-                want = rows.column(1).slice(a, b - a).to_pylist()
-                ok = [i for i, s in enumerate(sets) if set_hash(s) == want[i]]  # not another text of the same doc_id
-                others = [rows.column(c).slice(a, b - a).take(pa.array(ok, pa.int32())) for c in range(1, 5)]
-                yield pa.RecordBatch.from_arrays([*others, pa.array([sets[i].tobytes() for i in ok], pa.binary())], ["cls", "cluster", "nb", "copies", "tokens"])
-
-    clustered = F.broadcast(clustered) if small_enough(clustered, 32 << 20, 64) else clustered  # beyond that the texts are shuffled
-    rows = docs.select("doc_id", "text").join(clustered, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls", "cluster", "nb", "copies")
-    sets = rows.mapInArrow(frugal(run), "cls long, cluster long, nb int, copies long, tokens binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return sets.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls", "block", "copies", "tokens")
-
-
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bits: int = 22, long_list: int = 16, block_shingles: int = 1_500_000) -> DataFrame:
+
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long_list: int = 16, pack_bytes: int = 16 << 20, block_shingles: int = 3_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of ``docs``.
 
     Two documents link when den * |intersection| >= num * |union|.
     ``component_id`` is the smallest doc_id reachable by links; ``n_links``
-    counts the linked documents, copies with the same set included.
+    counts the linked documents, copies with the same set included. A pack
+    holds about ``pack_bytes`` of text, less where that would leave cores idle.
     """
-    store = Scratch(docs.sparkSession, "ngram-join")
-    scanned = store.write(_scan(docs, n, bits), "scanned")
-    est = _estimates(scanned, bits)
-    every = scanned.filter("chunk IS NULL").select("doc_id", "n", "cls")
-    classes = every.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
-    found = store.write(_candidates(_postings(docs, est, n, num, den, bits), num, den, long_list), "candidates")
+    spark = docs.sparkSession
+    store = Scratch(spark, "ngram-join")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    packs = 1 + max(total // pack_bytes, min(total >> 20, 4 * spark.sparkContext.defaultParallelism))
+    packed = _packed(docs, n, packs)
+    levels = _levels(packed, max(0, (packs - 1).bit_length()))
+    table = store.write(_prefixes(packed, levels, num, den), "sets")
+    every, sets = table.filter("doc").select("doc_id", "n", "cls", "m"), table.filter("NOT doc")
+    classes = every.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.sum("m").alias("copies"), F.first("n").alias("n"))
+    classes = store.write(classes, "classes")
+    found = store.write(_candidates(_postings(sets), num, den, long_list), "candidates")
     clusters = components(found, store, "clusters").join(classes.withColumnRenamed("cls", "node"), "node")
     clusters = store.write(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster"), "rep", "copies", "n"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("nb"))
-    clustered = store.write(clusters.join(sizes, "cluster").select("cls", "cluster", "rep", "nb", "copies"), "clustered")
-    verified = store.write(_verify(_members(docs, clustered, n), num, den), "links")
+    clustered = store.write(clusters.join(sizes, "cluster").select("cls", "cluster", "nb", "copies"), "clustered")
+    verified = store.write(_verify(_members(sets, clustered), num, den), "links")
     linked = components(verified.filter("b IS NOT NULL").select(F.col("a").alias("u"), F.col("b").alias("v")), store, "components")
     degree = verified.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-    named = linked.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    named = store.write(linked.join(classes.select(F.col("cls").alias("node"), "rep"), "node"), "named")
     names = named.groupBy("component").agg(F.min("rep").alias("name"))
     named = named.join(names, "component").select(F.col("node").alias("cls"), "name")
     whole = classes.join(named, "cls", "left").join(degree, "cls", "left")
-    whole = whole.select("cls", F.coalesce("name", "rep").alias("name"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = every.join(whole, "cls", "left")
-    empty = F.col("n") == 0
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
-        F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
-    )
+    whole = store.write(whole.select("cls", F.coalesce("name", "rep").alias("name"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "whole")
+    # both sides are plain tables here, so that a class with very many documents can be split
+    out = every.filter("n > 0").join(whole, "cls").select("doc_id", "n", "name", "links", "m")
+    none = every.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("name"), F.lit(0).cast("long").alias("links"), "m")
+    out = out.unionByName(none).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("name").alias("component_id"), F.col("links").cast("long").alias("n_links"))

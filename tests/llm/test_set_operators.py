@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lectern.llm import ann_forest, chat_format, decontamination, mixing, ngram_join
@@ -37,7 +38,7 @@ def similar(docs, n=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"long_list": 3, "block_shingles": 500, "bits": 12}])
+@pytest.mark.parametrize("options", [{}, {"long_list": 3, "block_shingles": 500, "pack_bytes": 4000}])
 def test_ngram_join_is_exact(spark, options):
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(50)]
@@ -66,11 +67,40 @@ def test_prefixes_share_enough_tokens():
     for _ in range(300):
         a = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 120)).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 40, 5).astype(np.uint64)]))
-        level = lambda s: (s % np.uint64(5) == 0).astype(np.uint8) * np.uint8(20)
         met = len(np.intersect1d(a, b))
+        level = lambda s, c: np.where(np.isin(s, c), 8, 20 * (s % np.uint64(7) == 0)).astype(np.uint8) + (s % np.uint64(5) == 0).astype(np.uint8)
         if 100 * met >= 80 * (len(a) + len(b) - met):
-            (pa, la), (pb, lb) = (ngram_join.adaptive_prefix(s, level(s), 80, 100) for s in (a, b))
-            assert len(np.intersect1d(pa, pb)) >= min(la, lb)
+            (pa, la, ea), (pb, lb, eb) = (ngram_join.adaptive_prefix(s, level(s, np.intersect1d(a, b)), 80, 100) for s in (a, b))
+            both = {t for t, x in zip(pa.tolist(), la) if x <= min(ea, eb)} & {t for t, x in zip(pb.tolist(), lb) if x <= min(ea, eb)}
+            assert len(both) >= min(ea, eb)
+
+
+def test_a_passage_in_many_documents_costs_no_pairs(spark):
+    """A passage that 500 documents share is in no prefix but of those that hold little else."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(60)]
+    docs = [(i, " ".join([word() for _ in range(100)] + passage + [word() for _ in range(rnd.randrange(60))])) for i in range(500)]
+    docs += [(600 + i, " ".join([word() for _ in range(rnd.choice([1, 4, 9]))] + passage)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    packed = ngram_join._packed(df, 5, 3)
+    table = ngram_join._prefixes(packed, ngram_join._levels(packed, 2), 80, 100).filter("NOT doc")
+    assert table.count() == 40
+    got = ngram_join.join(df).select("doc_id", "n_shingles", "component_id", "n_links")
+    assert sorted(map(tuple, got.collect())) == similar(docs)
+
+
+def test_frequencies_are_exact(spark):
+    rnd = random.Random(4)
+    docs = [(i, " ".join(rnd.choices("abcd", k=rnd.randrange(40)))) for i in range(200)] * 2
+    packed = ngram_join._packed(spark.createDataFrame(docs, "doc_id long, text string"), 5, 5)
+    sets = {r["cls"]: np.frombuffer(r["tokens"], np.uint64) for r in packed.filter("NOT doc").collect()}
+    df = collections.Counter(t for s in sets.values() for t in s.tolist())
+    told = {(r["pack"], r["bucket"]): np.frombuffer(zstandard.decompress(r["levels"], 1 << 20), np.uint8) for r in ngram_join._levels(packed, 2).collect()}
+    for pack in range(5):
+        mine = np.unique(np.concatenate([s for c, s in sets.items() if c % 5 == pack]))
+        level = np.concatenate([told[pack, b] for b in range(4) if (pack, b) in told])
+        assert level.tolist() == ngram_join.levels_of(np.array([df[t] for t in mine.tolist()])).tolist()
 
 
 def test_components_of_a_path(spark):
