@@ -6,13 +6,15 @@ cut is made here with numpy on the UTF-8 bytes of whole batches; pieces that
 the memo does not hold go to the tokenizers library in one call. The memo is a
 direct-mapped table of fixed size. Texts with characters outside ASCII and the
 Latin letters U+00C0-U+024F, or with the content of an added token such as
-``<|endoftext|>``, are encoded whole by the library.
+``<|endoftext|>``, are encoded whole by the library; so are all texts where the
+file asks for another way to cut or for a normalizer.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -23,6 +25,8 @@ import pyarrow.compute as pc
 OTHER, LETTER, NUMBER, SPACE, UNSURE = 0, 1, 2, 3, 4
 #: What follows an apostrophe as a piece of its own.
 SUFFIXES = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: The way of cutting that ``cut`` follows.
+CUTTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 PAD = 64
@@ -157,6 +161,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        cutter = self.tokenizer.pre_tokenizer
+        self.known = cutter is not None and self.tokenizer.normalizer is None and json.loads(cutter.__getstate__()) == CUTTER
         self.mask = np.uint64((1 << bits) - 1)
         self.most_ids = most_ids
         self.clear()
@@ -202,6 +208,7 @@ class Encoder:
         """Ids of all texts in order (or none), and the number of ids of each text."""
         data, offsets = utf8(column)
         starts, unsure = cut(data, offsets)
+        unsure |= not self.known
         for content in self.added:
             unsure |= np.asarray(pc.fill_null(pc.match_substring(column, content), False))
         sizes = np.diff(starts, append=offsets[-1])

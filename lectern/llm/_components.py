@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, store: Scratch, name: str) -> DataFrame:
+    """The least neighbours are written, so that the join has plain tables on both sides and a hub's edges can be split."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = store.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -33,7 +34,7 @@ def components(edges: DataFrame, store: Scratch, name: str) -> DataFrame:
         if (state["n"], state["s"]) == seen or state["n"] == 0:
             break
         seen, i = (state["n"], state["s"]), i + 1
-        now = store.write(_small_star(_large_star(now)), f"{name}-{i}")
-        store.drop(f"{name}-{i - 1}")
+        now = store.write(_small_star(_large_star(now, store, f"{name}-least-{i}")), f"{name}-{i}")
+        store.drop(f"{name}-{i - 1}"), store.drop(f"{name}-least-{i}")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -9,11 +9,13 @@ store that Spark writes to can hold, and which the commit protocol protects
 when executors are lost.
 
 Documents stand in ascending doc_id order: a range shuffle of the texts, a sort
-inside partitions, and shards of bounded size, built while rows stream by.
+inside partitions, and shards of bounded size, built while rows stream by. A
+hash of the text and the partition a row comes from stand behind doc_id in the
+range, so that a repeated or missing doc_id is spread over tasks too.
 
 Defined results: null and empty texts have the end id alone; repeated doc_ids
-stand side by side, ordered by text; null doc_ids come first; an empty table
-gives no shards. Other columns are not read.
+stand side by side, ordered by a hash of the text, then by text; null doc_ids
+come first; an empty table gives no shards. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -95,19 +97,23 @@ class TokenFiles:
     dictionary: bytes
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: int | None = None, sample: int = 400, dict_bytes: int = 1 << 16, shard_ids: int = 1 << 20) -> TokenFiles:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: int | None = None, sample: int = 400, sample_bytes: int = 1 << 18, dict_bytes: int = 1 << 16, shard_ids: int = 1 << 20, part_bytes: int = 128 << 20) -> TokenFiles:
     """Encodes doc_id, text and writes shards of about ``shard_ids`` ids.
 
-    The dictionary is trained on ``sample`` documents, chosen by hash.
-    ``partitions`` (at most 4096) defaults to the session's shuffle partitions.
+    The dictionary is trained on ``sample`` documents of at most ``sample_bytes``
+    each, chosen by hash. ``partitions`` defaults to one for each ``part_bytes``
+    of text, and to the session's shuffle partitions at least.
     """
     spark = docs.sparkSession
     store = Scratch(spark, "tokens")
-    n_parts = min(4096, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if partitions is None:
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+        partitions = max(total // part_bytes + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     encoder = Encoder(tokenizer, bits=14)
     width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = hash_sample(rows, F.col("doc_id"), sample).collect()
+    short = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+    chosen = hash_sample(short, F.col("doc_id"), sample).collect()
     samples = [np.append(encoder.encode(pa.array([r["text"]], pa.string()))[0], end_id).astype(f"<u{width}").tobytes() for r in chosen]
     dictionary = train(samples, dict_bytes).as_bytes()
     dict_hash = dictionary_hash(dictionary)
@@ -145,9 +151,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: i
         if ids:
             yield flush()
 
-    ordered = rows.repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    keys = [F.col("doc_id").asc_nulls_first(), "_hash"]
+    dealt = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.spark_partition_id().alias("_from"))
+    ordered = dealt.repartitionByRange(partitions, *keys, "_from").sortWithinPartitions(*keys, "text").select("doc_id", "text")
     shards = store.write(ordered.mapInArrow(frugal(encode), "part int, seq int, base long, n_docs long, n_tokens long, shard binary"), "shards")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part, at most 4096
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
     return TokenFiles(shards, parts, dictionary)
 

@@ -8,12 +8,14 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from lectern.llm import html_extract, language_id, token_lengths, token_shards, toxicity
 from lectern.llm._bpe import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)  # with the file's own settings
 TRICKY = ["", None, " ", "it's we'll 's 'sx ''s", "a  b\n\n c \t", "x" * 70_000, "é×÷ß ½ ²", "中文 text 🙂", "<|endoftext|> a", "don't’s", "9 99a9 _-_", " x\u0085y"]
 
 
@@ -27,13 +29,24 @@ def encoder():
 def test_memo_encodes_as_the_library(encoder, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     flat, counts = encoder.encode(pa.array(texts, pa.string()))
-    expected = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    expected = [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == expected
 
 
+def test_another_way_of_cutting_goes_to_the_library(tmp_path):
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    other.save(str(tmp_path / "digits.json"))
+    mine = Encoder(str(tmp_path / "digits.json"))
+    assert not mine.known and Encoder(PATH).known
+    texts = ["12345 it's 99", "", None, "plain words"]
+    flat, counts = mine.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_length_histogram_and_sums(spark, encoder):
     texts = TRICKY * 2
-    lengths = np.array([len(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts])
+    lengths = np.array([len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for t in texts])
     docs = spark.createDataFrame([(t, 1) for t in texts], "text string, length int")
     sums = token_lengths.suffix_sums(token_lengths.length_histogram(docs, PATH))
     for r in sums.collect():
@@ -53,13 +66,20 @@ def test_token_files_round_trip(spark, encoder):
     files = token_shards.write_tokens(docs, PATH, partitions=3, shard_ids=50)
     got = sorted(map(tuple, token_shards.read_tokens(files).collect()), key=lambda r: r[1])
     start, expected = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    for i, t in [(r["doc_id"], r["text"]) for r in sorted(order, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))]:
+        ids = [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 0]
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == expected
+    hot = spark.createDataFrame([(1, f"t{i % 7}" if i % 3 else "same") for i in range(900)], "doc_id long, text string").repartition(6)
+    files_of = token_shards.write_tokens(hot, PATH, partitions=6, shard_ids=50)
+    sizes = [r["n"] for r in files_of.shards.groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(sizes) == 900 and max(sizes) < 400
+    starts = sorted((r["start"], r["n_tokens"]) for r in token_shards.read_tokens(files_of).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     few = token_shards.read_documents(files, [10**12, -5]).collect()
-    assert {r["doc_id"]: r["ids"] for r in few}[-5] == [*encoder.tokenizer.encode("low", add_special_tokens=False).ids, 0]
+    assert {r["doc_id"]: r["ids"] for r in few}[-5] == [*LIBRARY.encode("low", add_special_tokens=False).ids, 0]
     assert token_shards.read_tokens(token_shards.write_tokens(docs.limit(0), PATH)).count() == 0
 
 
