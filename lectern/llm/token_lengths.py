@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bpe import frugal, slices, Encoder
+from ._store import Scratch
 
 BLOCK = 1024
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """length, n_docs: one row per distinct encoded length."""
+    """length, n_docs: one row per distinct encoded length. It is written, so that texts are encoded once however often it is read."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
@@ -36,7 +37,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(docs, pa.int64())], ["length", "n_docs"])
 
     parts = docs.select(text).mapInArrow(frugal(count), "length long, n_docs long")
-    return parts.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return Scratch(docs.sparkSession, "lengths").write(parts.groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
