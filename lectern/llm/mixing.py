@@ -18,6 +18,7 @@ Defined results
 - null or empty text: size 0, takes nothing;
 - null source: a source of its own, the last in order;
 - repeated rows: each is a document; ties in the shuffle go by doc_id, then size;
+- slots are whole numbers, each given once; surplus ones are left out;
 - an empty table: no rows; a source without words: target 0.
 """
 
@@ -28,6 +29,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import Scratch
+
 GOLDEN = (math.sqrt(5) - 1) / 2
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -63,17 +66,25 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), bud
     return s.select("ord", "source", "source_size", target.alias("target"))
 
 
+def shuffled(doc_id: Column, size: Column) -> Column:
+    """Where a document stands on its source's line, before ties."""
+    return F.xxhash64(F.lit("mix"), doc_id, size)
+
+
 def _lines(docs: DataFrame, per_bucket: int) -> DataFrame:
-    """Adds ``start``: where a document begins on its source's shuffled line."""
-    h = F.xxhash64(F.lit("mix"), "doc_id")
+    """Adds ``start``: where a document begins on its source's shuffled line. Rows that repeat id, source and size
+    go as one with their number, so a repeated row does not meet itself in one window."""
     n = docs.count()
-    docs = docs.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(n // per_bucket + 1)))
-    sums = docs.groupBy("ord", "bucket").agg(F.sum("size").alias("s"))
+    docs = docs.groupBy("doc_id", "source", "ord", "size").agg(F.count(F.lit(1)).alias("m"))
+    docs = docs.withColumn("h", shuffled(F.col("doc_id"), F.col("size"))).withColumn("bucket", F.pmod("h", F.lit(n // per_bucket + 1)))
+    length = F.col("size") * F.col("m")
+    sums = docs.groupBy("ord", "bucket").agg(F.sum(length).alias("s"))
     before = Window.partitionBy("ord").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("ord", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("ord", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return docs.join(sums, ["ord", "bucket"]).withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "bucket", "h")
+    docs = docs.withColumn("inside", F.coalesce(F.sum(length).over(inside), F.lit(0)))
+    docs = docs.join(sums, ["ord", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return docs.withColumn("start", F.col("base") + F.col("inside") + F.col("copy") * F.col("size")).drop("base", "inside", "bucket", "h", "m")
 
 
 def schedule(targets: DataFrame, block: int, slots: int, chunk: int = 4096) -> DataFrame:
@@ -98,12 +109,14 @@ def schedule(targets: DataFrame, block: int, slots: int, chunk: int = 4096) -> D
     ranked = got.withColumn("inside", inside).join(counts, ["ord", "c"]).select("ord", (F.col("base") + F.col("inside") - 1).alias("rank"), "slot")
     need = targets.select("ord", _ranks_needed(F.floor("target"), F.col("source_size"), block).alias("need"))
     have = counts.groupBy("ord").agg(F.max("upto").alias("have"))
+    # one row per source: its missing slots follow those of the sources before it
+    short = need.join(have, "ord", "left").withColumn("have", F.coalesce("have", F.lit(0))).withColumn("missing", F.greatest(F.col("need") - F.col("have"), F.lit(0)))
+    behind = F.coalesce(F.sum("missing").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     short = (
-        need.join(have, "ord", "left")
-        .withColumn("have", F.coalesce("have", F.lit(0)))
-        .filter("need > have")
-        .select("ord", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
-        .select("ord", "rank", (F.lit(slots) + F.col("rank")).alias("slot"))
+        short.withColumn("behind", behind)
+        .filter("missing > 0")
+        .select("ord", "have", "behind", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
+        .select("ord", "rank", (F.lit(slots) + F.col("behind") + F.col("rank") - F.col("have")).alias("slot"))
     )
     return ranked.join(need, "ord").filter("rank < need").select("ord", "rank", "slot").unionByName(short)
 
@@ -123,8 +136,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     every document. ``schedule``: slot, source, block, epoch, tokens, in slot order the mix
     itself. About ``slots`` slots, more once a block would pass ``largest_block`` tokens.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
+    store = Scratch(docs.sparkSession, "mixing")
+    sized = store.write(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")  # texts are split once
+    targets = store.write(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs), "targets")
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
     wanted = int(total * budget)
     block = max(1, min(largest_block, -(-wanted // slots)))
@@ -137,8 +151,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
         .withColumn("before", F.col("epoch") * F.col("source_size") + F.col("block") * block)
         .withColumn("tokens", F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.floor("target") - F.col("before")))
     )
+    plan = store.write(plan, "schedule")
     taken = plan.groupBy("ord", "block").agg(F.collect_list("tokens").alias("lengths"))  # an entry per epoch
-    placed = _lines(sized.join(F.broadcast(targets), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"]), per_bucket)
+    owners = targets.select(F.col("ord"), F.col("source").alias("of"))
+    placed = _lines(sized.join(F.broadcast(owners), F.col("source").eqNullSafe(F.col("of"))).drop("of"), per_bucket)
     pieces = placed.filter("size > 0").select(
         "doc_id", "ord", "size", "start", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block")
     )

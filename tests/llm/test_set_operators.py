@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 
 import numpy as np
@@ -143,7 +144,45 @@ def test_mixing(spark, slots):
     assert len(got) == len(rows) and sum(size.values()) == sum(len((t or "").split()) for _, _, t in rows)
     for s, t in filled(size).items():
         assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= 1
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df, slots=slots)["documents"].collect()))
+    again = mixing.mix(df, slots=slots)
+    assert sorted(map(str, got)) == sorted(map(str, again["documents"].collect()))
+    # the schedule by hand: golden-ratio points through the cumulative targets, missing slots at the end
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    total = sum(size.values()) * 1.5
+    block = max(1, -(-int(total) // slots))
+    points, want = -(-int(total) // block), {s: int(target[s] + 1e-6) for s in names}
+    uppers = list(itertools.accumulate(target[s] / sum(target.values()) for s in names))
+    given = collections.defaultdict(list)
+    for i in range(points):
+        u = i * mixing.GOLDEN - math.floor(i * mixing.GOLDEN)
+        owner = next((s for s, hi in zip(names, uppers) if hi > u), names[-1])
+        given[owner].append(i)
+    slot, by_hand = points, []
+    for s in names:
+        done = 0
+        for rank in itertools.count():
+            if done >= want[s]:
+                break
+            per = -(-size[s] // block)
+            n = min(block, size[s] - rank % per * block, want[s] - done)
+            if rank < len(given[s]):
+                at = given[s][rank]
+            else:
+                at, slot = slot, slot + 1
+            by_hand.append((at, s, rank % per, rank // per, n))
+            done += n
+    plan = [tuple(r) for r in again["schedule"].select("slot", "source", "block", "epoch", "tokens").collect()]
+    assert sorted(plan, key=lambda r: r[0]) == sorted(by_hand, key=lambda r: r[0]) and len({r[0] for r in plan}) == len(plan)
+    # each document's share of the blocks taken, along its source's shuffled line
+    lines = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n")).withColumn("h", mixing.shuffled(F.col("doc_id"), F.col("n"))).collect()
+    expected, buckets = [], len(rows) // 4096 + 1
+    for s in names:
+        start = 0
+        for r in sorted((r for r in lines if r["source"] == s), key=lambda r: (r["h"] % buckets, r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["n"])):
+            part = sum(max(0, min(start + r["n"], b * block + n) - max(start, b * block)) for _, o, b, _, n in by_hand if o == s)
+            expected.append((str(r["doc_id"]), str(s), r["n"], part))
+            start += r["n"]
+    assert sorted(expected) == sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["taken"]) for r in got)
     assert mixing.mix(df.limit(0))["documents"].count() == 0
 
 
