@@ -13,7 +13,10 @@ space; blocks are joined by one space, in page order.
 
 Defined results: null and empty html give the empty string, as do pages
 without text; repeated rows are extracted one by one; broken, unclosed and
-deeply nested markup is read as far as it goes; very long pages are read whole.
+deeply nested markup is read as far as it goes: a quote that is not closed ends
+with its tag, a comment that is not closed with the next ``>``; very long pages
+are read whole, in time that grows with their length. An input column named
+main_text is replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._bpe import frugal
+from ._store import small_batches
+
 #: Elements without content, and raw-text elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math canvas object".split())
@@ -36,7 +42,9 @@ BLOCK = frozenset(
 )
 #: Elements whose text is paragraph-like and earns points.
 SCORED = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 div section article".split())
-#: Never part of the main text.
+#: Small blocks that read on with a text beside them.
+BLOCK_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure br hr".split())
+#: Never part of the main text, but for forms that hold it.
 DROPPED = frozenset("nav footer aside form button select input label dialog menu head script style noscript template textarea iframe svg canvas object math audio video".split())
 #: Names (class, id, role) of parts that are never the main text, and of parts that are not unless named as such too.
 EDGE, END = r"(?:^|[\s_-])(?:", r")(?=$|[\s_-])"
@@ -46,27 +54,32 @@ NEVER = re.compile(
 )
 SELDOM = re.compile(EDGE + r"banner|side|headers?|masthead|share|sharing|social|related|recommend\w*|widgets?|search|skip|toc|tags?" + END)
 INSIDE = re.compile(EDGE + r"article|main|content|post|entry|story|body|text" + END)
-#: Class names that tell of a layout, not of the part itself.
-LAYOUT = ("has-", "with-", "without-", "no-", "is-")
+#: Class names that tell of a layout or a state, not of the part itself: such a name counts up to there.
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no|is|not)[_-].*$|[^\s_-]+[_-](?:open|closed|enabled|disabled|allowed|off|on)$")
+#: Characters of paragraphs that make a form part of the text: some pages stand in one form as a whole.
+FORM_PROSE = 400
 #: Start tags that close an open element of these names.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
 }
 SCOPE = frozenset("ul ol dl table body html article section div td th tr select".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
+#: A quoted value ends before white space, ``/`` or ``>``, or holds no angle brackets; else its quote is a stray one.
+VALUE = r"""[^>"']|"[^"<>]*"|'[^'<>]*'|"[^"]{0,20000}"(?=[\s/>])|'[^']{0,20000}'(?=[\s/>])"""
+TOKEN = re.compile(rf"(<!--)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)(?:((?:{VALUE})*+)(?:>|$)|([^>]*)(?:>|$))", re.S)
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "names", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "items", "names", "score", "chars", "linked", "commas", "holds", "prose")
 
     def __init__(self, tag: str, parent: "Node | None", names: str = ""):
         self.tag, self.parent, self.names = tag, parent, names
         self.items: list["Node | str"] = []
         self.score = 0.0
-        self.chars = self.linked = self.commas = 0
+        self.chars = self.linked = self.commas = self.prose = 0
+        self.holds = False
 
 
 def _names(attributes: str) -> str | None:
@@ -87,6 +100,7 @@ def parse(page: str) -> Node:
     at, here, skipping = 0, root, ""
     depth_of: dict[str, int] = {}
     pos, lower = 0, None
+    last_comment_end = page.rfind("-->")
     while True:
         m = TOKEN.search(page, pos)
         if m is None:
@@ -94,9 +108,13 @@ def parse(page: str) -> Node:
         if m.start() > at:
             here.items.append(_html.unescape(page[at : m.start()]))
         at = pos = m.end()
-        if m[2]:
-            tag = m[2].lower()
-            if tag in RAW and not m[3].endswith("/"):
+        if m[1]:
+            closed = last_comment_end >= m.start() + 2
+            end = page.find("-->" if closed else ">", m.start() + 2)
+            at = pos = len(page) if end < 0 else end + (3 if closed else 1)
+        elif m[3]:
+            tag, attributes = m[3].lower(), m[4] if m[4] is not None else m[5]
+            if tag in RAW and not attributes.endswith("/"):
                 lower = lower or page.lower()  # only ASCII letters matter, and lower() may change lengths
                 if len(lower) != len(page):
                     lower = page.translate(ASCII_LOWER)
@@ -115,14 +133,14 @@ def parse(page: str) -> Node:
                 if tag in ("br", "hr"):
                     here.items.append(Node(tag, here))
                 continue
-            names = _names(m[3]) if m[3] else ""
+            names = _names(attributes) if attributes else ""
             node = Node(tag, here, "#hidden" if names is None else names)
             here.items.append(node)
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 here = node
                 depth_of[tag] = depth_of.get(tag, 0) + 1
-        elif m[1]:
-            tag = m[1].lower()
+        elif m[2]:
+            tag = m[2].lower()
             if depth_of.get(tag):
                 while here.tag != tag:
                     depth_of[here.tag] -= 1
@@ -155,32 +173,44 @@ def _close(here: Node, tags: tuple[str, ...], depth_of: dict[str, int], scope: f
     return here
 
 
-def _holds_main(node: Node) -> bool:
-    stack = [node]
+def _look_inside(root: Node) -> None:
+    """For each node, whether it is or holds an article or main element, and the characters of its paragraphs: one pass, children first."""
+    order, stack = [], [root]
     while stack:
-        x = stack.pop()
-        if x.tag in ("article", "main"):
-            return True
-        stack += [i for i in x.items if not isinstance(i, str)]
-    return False
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.items if not isinstance(x, str)]
+    for node in reversed(order):
+        node.holds |= node.tag in ("article", "main")
+        if node.tag in ("p", "pre", "blockquote"):
+            node.prose = sum(len(x.strip()) for x in node.items if isinstance(x, str)) + sum(len(x.strip()) for y in node.items if not isinstance(y, str) and y.tag != "a" for x in y.items if isinstance(x, str))
+        if node.parent is not None:
+            node.parent.holds |= node.holds
+            node.parent.prose += node.prose if node.tag not in DROPPED or node.tag == "form" else 0
 
 
 def _beside(node: Node, in_article: bool) -> bool:
     """Whether a node is no part of the main text: by its element, or by its names unless it holds an article itself."""
-    if node.tag in DROPPED or node.names == "#hidden":
+    if node.tag == "form" and node.names != "#hidden":
+        if not node.holds and node.prose < FORM_PROSE:
+            return True
+    elif node.tag in DROPPED or node.names == "#hidden":
         return True
     if node.tag == "header" and not in_article:
         return True
     if not node.names or node.tag in ("html", "body", "article", "main"):
         return False
-    names = " ".join(t for t in node.names.split() if not t.startswith(LAYOUT))
+    if not NEVER.search(node.names) and not SELDOM.search(node.names):
+        return False
+    names = " ".join(LAYOUT.sub("", t) for t in node.names.split())
     if NEVER.search(names) or (not in_article and SELDOM.search(names) and not INSIDE.search(names)):
-        return not _holds_main(node)
+        return not node.holds
     return False
 
 
 def _postorder(root: Node) -> list[Node]:
     """Kept nodes, children before parents. Nodes beside the main text are taken out."""
+    _look_inside(root)
     order, stack = [], [(root, False)]
     while stack:
         node, in_article = stack.pop()
@@ -221,7 +251,7 @@ def _measure(order: list[Node]) -> None:
         node.score *= 1 - density
 
 
-def best_nodes(root: Node) -> list[Node]:
+def best_nodes(root: Node) -> list[Node | str]:
     """The best container and the siblings that belong to it, in page order."""
     order = _postorder(root)
     _measure(order)
@@ -232,19 +262,36 @@ def best_nodes(root: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     limit = max(10.0, best.score * 0.2)
+    items = best.parent.items
     kept = []
-    for x in best.parent.items:
+    for n, x in enumerate(items):
         if isinstance(x, str):
             continue
         density = x.linked / x.chars if x.chars else 1.0
         alike = bool(best.names) and x.names == best.names and x.tag == best.tag
         prose = x.tag == "p" and density < 0.25 and x.chars > 80
         if x is best or (x.chars and x.tag not in ("ul", "ol") and (x.score + (best.score * 0.2 if alike else 0) >= limit and density < 0.5)) or prose:
-            kept.append(x)
-    return kept
+            kept.append(n)
+    if best.tag not in ("article", "main"):  # those say themselves where the text ends
+        low, high = kept[0], kept[-1]
+        while low > 0 and _joins(items[low - 1]):
+            low -= 1
+        while high + 1 < len(items) and _joins(items[high + 1]):
+            high += 1
+        sure = set(kept)
+        kept = [n for n in range(low, high + 1) if n in sure or _joins(items[n])]
+    return [items[n] for n in kept]
+
+
+def _joins(x: Node | str) -> bool:
+    """Whether a small sibling between or directly around kept ones reads on with them: text, a heading, a list, a short paragraph."""
+    if isinstance(x, str):
+        return True
+    small = x.tag in BLOCK_TEXT or x.tag not in BLOCK
+    return small and (not x.chars or x.linked < 0.25 * x.chars)
 
 
-def render(nodes: list[Node]) -> str:
+def render(nodes: list[Node | str]) -> str:
     """Text of the nodes: inline text runs on, blocks are parted by a space."""
     out: list[str] = []
     stack: list[Node | str] = nodes[::-1]
@@ -266,6 +313,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """Replaces the html column of every row by ``main_text``."""
+    small_batches(pages.sparkSession)
     source = pages.select(*[c for c in pages.columns if c != "main_text"])
     schema = T.StructType([*[f for f in source.schema.fields if f.name != column], T.StructField("main_text", T.StringType())])
 
@@ -276,4 +324,4 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             kept = [i for i in range(rows.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in kept], texts], [*[rows.schema.names[i] for i in kept], "main_text"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)

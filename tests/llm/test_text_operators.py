@@ -236,3 +236,39 @@ def test_html_over_tables(spark):
     t = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, None, "y"), (2, None, "y")], "page_id long, html string, main_text string")
     assert sorted(map(tuple, html_extract.extract(t).collect())) == [(1, "a"), (2, ""), (2, "")]
     assert html_extract.extract(t.limit(0)).count() == 0
+
+
+LONG = "Long prose, with words. " * 30
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><form id=all><div><p>{LONG}</p></div></form></body>", LONG.strip()),
+        ("<body><form class=entry><p>Sign in</p><input></form><p>Body text here.</p></body>", "Body text here."),
+        ("<p data='x>Hello world it is</p><p>More here, it's fine</p>", "Hello world it is More here, it's fine"),
+        ('<div title="a > b" class=\'c\'><a href="x"title="<b>y</b>">t</a> z</div>', "t z"),
+        ("<p>one</p><!-- open <b>x</b>> <p>two, three</p>", "one x> two, three"),
+        ("<!-->x<!-- a --> y<!-- b > c --> z", "x y z"),
+        (f"<body><h1>T</h1><div class=content>{LONG}</div><ul><li>a</li></ul><p>Short end.</p></body>", f"T {LONG}a Short end."),
+        (f"<body><div class=content>{LONG}</div><ul><li><a href=x>link</a></li></ul><p>after</p></body>", LONG.strip()),
+        (f"<div class='content-with-sidebar'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div class='post comment-closed'><p>{LONG}</p></div><div class='comment-content'><p>{LONG}{LONG}</p></div>", LONG.strip()),
+    ],
+)
+def test_html_by_hand(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_html_in_time_that_grows_with_its_length():
+    import time
+
+    began = time.process_time()
+    for page in ("<div class='menu x'>" * 20_000 + "<p>text, here</p>", "<p data='x>" * 20_000, "<!-- x " * 50_000, "<p>" + "word, " * 400_000):
+        html_extract.main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_html_replaces_a_column_of_its_name(spark):
+    got = html_extract.extract(spark.createDataFrame([(1, "<p>a</p>", "old"), (2, None, None)], "page_id long, html string, main_text string"))
+    assert got.columns == ["page_id", "main_text"] and sorted(map(tuple, got.collect())) == [(1, "a"), (2, "")]
