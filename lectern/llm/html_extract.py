@@ -259,6 +259,8 @@ def best_nodes(root: Node) -> list[Node | str]:
     if not holders:
         return [root]
     best = max(reversed(holders), key=lambda x: x.score)  # of equals the outermost
+    if best.tag in ("body", "#root"):  # nobody has set the text apart: lists of links are menus
+        best.items = [x for x in best.items if isinstance(x, str) or x.tag not in ("ul", "ol", "dl") or x.linked < 0.8 * x.chars]
     if best.parent is None:
         return [best]
     limit = max(10.0, best.score * 0.2)
