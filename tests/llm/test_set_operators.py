@@ -268,6 +268,30 @@ def test_neighbours(spark):
     assert ann_forest.nearest(df.filter("vec_id < 3"), F.col("vec_id") == 1).count() == 2
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_deep_trees_keep_their_recall(spark, kind):
+    """Most levels are cut on the executors here: the sample has 200 of 12,000 rows."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 24))
+    if kind == "clustered":
+        x = np.repeat(rng.standard_normal((600, 24)), 20, 0) + x * 0.15
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = collections.defaultdict(dict)
+    for r in ann_forest.nearest(df, F.col("vec_id") % 150 == 0, sample=200, leaf_rows=50).collect():
+        found[r["query_id"]][r["rank"]] = r["vec_id"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    met = [len(set(f.values()) & set(np.argsort(-(u @ u[q]))[1:6].tolist())) for q, f in found.items()]
+    assert len(found) == 80 and sum(met) / 400 >= 0.95
+
+
+def test_a_repeated_id_does_not_crowd_out_the_rest(spark):
+    """Every leaf taken holds one id alone; the others are found all the same."""
+    rows = [(1, [1.0, 0.001 * i]) for i in range(2000)] + [(0, [1.0, 0.0])] + [(i, [-1.0, 0.1 * i]) for i in range(2, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann_forest.nearest(df, F.col("vec_id") == 0, leaf_rows=20, sample=8).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 8, 7, 6, 5]
+
+
 def places(words, terms, slop):
     """Brute force: all pairs of first and last word."""
     out = set()

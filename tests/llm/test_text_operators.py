@@ -251,7 +251,7 @@ LONG = "Long prose, with words. " * 30
         ("<p>one</p><!-- open <b>x</b>> <p>two, three</p>", "one x> two, three"),
         ("<!-->x<!-- a --> y<!-- b > c --> z", "x y z"),
         (f"<body><h1>T</h1><div class=content>{LONG}</div><ul><li>a</li></ul><p>Short end.</p></body>", f"T {LONG}a Short end."),
-        (f"<body><div class=content>{LONG}</div><ul><li><a href=x>link</a></li></ul><p>after</p></body>", LONG.strip()),
+        (f"<body><div class=content>{LONG}</div><ul><li><a href=x>link</a></li></ul><p>after</p></body>", f"{LONG}after"),
         (f"<div class='content-with-sidebar'><p>{LONG}</p></div>", LONG.strip()),
         (f"<div class='post comment-closed'><p>{LONG}</p></div><div class='comment-content'><p>{LONG}{LONG}</p></div>", LONG.strip()),
     ],
