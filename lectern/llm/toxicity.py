@@ -1,20 +1,32 @@
 """Toxicity by weak supervision.
 
-Voters: every word of a lexicon (a fixed list for four languages, and words
-mined from labelled training rows), patterns over the whole text, and voters
-for clean text. A generative label model gives each voter class-conditional
-vote rates, estimated by expectation-maximisation without labels beyond the
-class balance; voters whose votes are correlated given the class share their
-weight. A logistic regression over word presence is then trained on the
-posterior labels and scores all texts in batches.
-
-Fitted on a bounded sample: at most ``per_class`` labelled texts of each class,
-chosen by a hash of doc_id. Every text is scored whole, from its words alone.
+Voters: every word of a lexicon and patterns over the whole text; a voter votes
+for toxic or abstains. The lexicon has a fixed part for four languages and a part
+that is mined from labelled training rows: words and stems that are many times
+as frequent in toxic texts. So labels of the sample do name voters; beyond that
+they set the class balance and choose the sample, and no label of a single text
+is looked at again.
+
+A generative label model has a hidden class, a factor for whether anybody votes
+at all, and for each vote cast a factor that depends on one other voter: P(vote |
+class, vote of its parent). Who abstains in a text in which others vote says
+nothing: texts differ in length and language. Which voters are paired is
+estimated from their dependence given the class (a spanning forest of the largest
+conditional mutual information), the factors by expectation-maximisation, under
+the known share of toxic texts. Voters that say the same, such as a word and its
+stem, are so counted about once, and a voter that is heard where nobody else
+votes counts for little. A logistic regression over word presence is then trained
+on the posterior labels and scores all texts in batches.
+
+Fitted on a bounded sample: at most about ``per_class`` labelled texts of each
+class, of at most ``sample_bytes`` each, chosen by a hash of doc_id. Every text
+is scored whole, from its words alone.
 
 Defined results: null and empty texts get the score of a text without words;
-repeated rows are scored one by one; rows with a null label do not teach; with
-no label of both classes the fixed lexicon alone votes, over an even balance;
-an empty table gives no rows. Other columns stay as they are.
+repeated rows are scored one by one; rows with a null label do not teach; where
+the sample lacks a class nothing is fitted, and the fixed lexicon scores with set
+weights (``ALONE``: one word reaches 0.73); an empty table gives no rows. Input
+columns named score or predicted are replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -40,6 +52,9 @@ LEXICON = {
     "fr": "idiot imbécile crétin ordure minable abruti connard débile raté salaud dégoûtant pathétique".split(),
     "es": "idiota imbécil estúpido estúpida basura escoria patético asqueroso inútil perdedor payaso cabrón".split(),
 }
+FIXED = sorted({w for words in LEXICON.values() for w in words})
+#: Weight of a word of the fixed lexicon and bias, where nothing can be fitted.
+ALONE = (4.0, -3.0)
 #: Patterns over the lower-cased text: threats, dismissals, and shouting.
 PATTERNS = {
     "threat": r"\b(?:kill|hurt|hate) (?:you|yourself|them)\b",
@@ -99,66 +114,99 @@ def mine(hashes: np.ndarray, owner: np.ndarray, toxic: np.ndarray, least: int =
 
 
 def votes(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
-    """texts x voters in {-1, 0, 1}: lexicon words and patterns vote 1; two voters for clean text vote -1."""
+    """texts x voters: which lexicon words occur, then which patterns do."""
     hashes, owner = words_of(column)
-    words = mark(lexicon, hashes, owner, len(column)).astype(np.int8)
     texts = [(t or "").lower() for t in column.to_pylist()]
-    patterns = np.array([[bool(re.search(p, t)) for p in PATTERNS.values()] for t in texts], np.int8).reshape(len(texts), len(PATTERNS))
-    spoken = words.any(1)  # the lexicon holds words and stems
-    clean = np.stack([np.where(spoken, 0, -1), np.where(spoken | patterns[:, :3].any(1), 0, -1)], 1).astype(np.int8)
-    return np.concatenate([words, patterns, clean], 1)
+    patterns = np.array([[bool(re.search(p, t)) for p in PATTERNS.values()] for t in texts], bool).reshape(len(texts), len(PATTERNS))
+    return np.concatenate([mark(lexicon, hashes, owner, len(column)), patterns], 1)
 
 
 @dataclass
 class LabelModel:
-    """log P(vote | class) per voter, weights for correlated voters, and the class balance."""
+    """``parent`` of each voter (itself: none), ``logs``: log P(vote | class, parent's vote), voters x class x parent's
+    vote x vote; ``heard``: log P(any vote | class), class x whether; ``bias``: log odds of the classes before any evidence."""
+
+    parent: np.ndarray
+    logs: np.ndarray
+    heard: np.ndarray
+    bias: float
 
-    logs: np.ndarray  # voters x classes x (vote -1, 0, 1)
-    weight: np.ndarray
-    balance: float
+    def evidence(self, v: np.ndarray) -> np.ndarray:
+        """Log odds that the votes of each row add."""
+        v = v.astype(np.int64)
+        gain = self.logs[:, 1, :, 1] - self.logs[:, 0, :, 1]  # of a vote, by the parent's
+        cast = np.where(v == 1, gain[np.arange(v.shape[1]), v[:, self.parent]], 0.0)
+        return cast.sum(1) + (self.heard[1] - self.heard[0])[v.any(1).astype(int)]
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        """An abstention (0) says nothing about the class; votes add their log-likelihood ratio."""
-        cols = np.arange(v.shape[1])
-        ratio = np.where(v == 0, 0.0, self.logs[cols, 1, v + 1] - self.logs[cols, 0, v + 1])
-        score = np.log(self.balance / (1 - self.balance)) + ratio @ self.weight
-        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-
-
-def fit_label_model(v: np.ndarray, balance: float, rounds: int = 25) -> LabelModel:
-    """EM from the majority of votes; correlations given the class are estimated once the rates have settled."""
-    n, m = v.shape
-    lean = v.sum(1, dtype=np.int64)
-    q = np.select([lean > 0, lean < 0], [0.9, 0.02], balance)
-    weight = np.ones(m)
-    one_hot = [(v == x).astype(np.float32) for x in (-1, 0, 1)]
-    model = LabelModel(np.zeros((m, 2, 3)), weight, balance)
-    for i in range(rounds):
-        by_class = []
-        for w in (1 - q, q):
-            rates = (np.stack([w @ x for x in one_hot], 1) + 0.5) / (w.sum() + 1.5)
-            by_class.append(np.log(rates))
-        logs = np.stack(by_class, 1)
-        if i == rounds // 2:
-            weight = 1 / (1 + _excess(v, q))
-        model = LabelModel(logs, weight, balance)
-        q = model.posterior(v)
-    return model
+        """P(toxic | votes) of each row."""
+        return _sigmoid(self.bias + self.evidence(v))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _excess(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Sum over the other voters of their correlation within the classes, where it is clear."""
-    total = np.zeros(v.shape[1])
+def _bias(evidence: np.ndarray, balance: float) -> float:
+    """The log odds at which the rows are toxic in the known share."""
+    low, high = -60.0, 60.0
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (low, mid) if _sigmoid(mid + evidence).mean() > balance else (mid, high)
+    return low
+
+
+def _tables(one: np.ndarray, other: np.ndarray, both: np.ndarray, total: float) -> np.ndarray:
+    """Counts by vote of the first and vote of the second, from the counts of votes, of votes by both, and of rows."""
+    return np.stack([np.stack([total - one - other + both, other - both], -1), np.stack([one - both, both], -1)], -2)
+
+
+def pairs_of(v: np.ndarray, q: np.ndarray, least: float = 12.0) -> np.ndarray:
+    """The parent of each voter: a spanning forest of the pairs that depend most on each other within the classes.
+
+    ``least``: twice the rows times the conditional mutual information that a pair must have.
+    """
+    m = v.shape[1]
+    gain = np.zeros((m, m))
     x = v.astype(np.float64)
     for w in (q, 1 - q):
-        share = w.sum() / len(w)
-        c = x - (w[:, None] * x).sum(0) / max(w.sum(), 1e-9)
-        cov = (c * w[:, None]).T @ c
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.abs(cov / sd[:, None] / sd[None, :])
-        np.fill_diagonal(corr, 0)
-        total += share * np.where(corr > 0.3, corr, 0).sum(1)
-    return total
+        both, total = (x * w[:, None]).T @ x, max(w.sum(), 1e-9)
+        one = np.diag(both)
+        n = np.maximum(_tables(one[:, None], one[None, :], both, total), 0)
+        apart = n.sum(-1, keepdims=True) * n.sum(-2, keepdims=True) / total
+        gain += np.where(n > 0, n * np.log(np.maximum(n, 1e-12) / np.maximum(apart, 1e-12)), 0).sum((-1, -2))
+    gain = np.where(2 * gain > least, gain, 0)
+    np.fill_diagonal(gain, 0)
+    parent, best, left = np.arange(m), np.zeros(m), np.ones(m, bool)
+    for _ in range(m):  # Prim's way; a new root where nothing is tied to those taken
+        i = int(np.argmax(np.where(left, best, -1)))
+        left[i] = False
+        nearer = left & (gain[i] > best)
+        parent[nearer], best[nearer] = i, gain[i][nearer]
+    return parent
+
+
+def fit_label_model(v: np.ndarray, balance: float, rounds: int = 24) -> LabelModel:
+    """EM from "any vote at all". Pairs are chosen anew up to two thirds of the rounds; then only factors are estimated."""
+    m = v.shape[1]
+    any_vote, cols, x = v.any(1), np.arange(m), v.astype(np.float64)
+    q = np.where(any_vote, 0.9, balance * 0.1)
+    parent = cols
+    for i in range(rounds):
+        if i and i % 4 == 0 and i <= 2 * rounds // 3:
+            parent = pairs_of(v, q)
+        logs, heard = np.zeros((m, 2, 2, 2)), np.zeros((2, 2))
+        for c, w in enumerate((1 - q, q)):
+            one, total = w @ x, w.sum()
+            alone = np.stack([total - one + 0.5, one + 0.5], 1) / (total + 1.0)  # P(vote | class)
+            n = _tables(one[parent], one, w @ (x * x[:, parent]), total)
+            tied = (n + 2 * alone[:, None, :]) / (n.sum(-1, keepdims=True) + 2)
+            logs[:, c] = np.log(np.where((parent == cols)[:, None, None], alone[:, None, :], tied))
+            heard[c] = np.log((np.array([w[~any_vote].sum(), w[any_vote].sum()]) + 0.5) / (w.sum() + 1.0))
+        model = LabelModel(parent, logs, heard, 0.0)
+        model.bias = _bias(model.evidence(v), balance)
+        q = model.posterior(v)
+    return model
 
 
 @dataclass
@@ -195,32 +243,34 @@ def fit_classifier(column: pa.Array, q: np.ndarray, sample_weight: np.ndarray, f
 
 
 def fit(texts: list[str | None], toxic: list[int], balance: float) -> ToxicityModel:
-    """``toxic`` labels mine words and are not looked at again; ``balance``: share of toxic texts."""
+    """``toxic`` labels mine words and give the sample's balance; ``balance``: share of toxic texts in the table."""
     column = pa.array(texts, pa.string())
     label = np.array(toxic, bool)
     hashes, owner = words_of(column)
-    fixed = hash_words(sorted({w for words in LEXICON.values() for w in words}))
-    lexicon = np.unique(np.concatenate([fixed, mine(hashes, owner, label)]))
+    lexicon = np.unique(np.concatenate([hash_words(FIXED), mine(hashes, owner, label)]))
     v = votes(column, lexicon)
-    v = v[:, (v != 0).any(0)]
+    v = v[:, v.any(0)]
     in_sample = float(np.clip(label.mean() if len(label) else 0.5, 0.02, 0.98))
     q = fit_label_model(v, in_sample).posterior(v) if v.shape[1] else np.full(len(texts), in_sample)
     # the sample holds the classes in other shares than the table
-    weight = np.where(label, balance / in_sample, (1 - balance) / (1 - in_sample)) * 1.0
+    weight = q * balance / in_sample + (1 - q) * (1 - balance) / (1 - in_sample)
     return fit_classifier(column, q, weight)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 1 << 15) -> ToxicityModel:
     """``docs``: doc_id, text and ``labels``: doc_id, toxic, training rows only."""
-    known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), "toxic")
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "toxic")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    pick = F.xxhash64(F.lit("toxicity"), "id")
-    chosen = known.filter("toxic = 1").orderBy(pick, "id").limit(per_class).unionByName(known.filter("toxic = 0").orderBy(pick, "id").limit(per_class))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).orderBy("doc_id", "text", "toxic").limit(4 * per_class).collect()  # chosen: at most 2 * per_class rows
-    if not rows or len({r["toxic"] for r in rows}) < 2:
-        words = sorted({w for words in LEXICON.values() for w in words})
-        return ToxicityModel(np.sort(hash_words(words)), np.full(len(words), 4.0), -3.0)
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts[1] / (counts[0] + counts[1]))
+    if len(counts) == 2:
+        whole = 1 << 30
+        lot = F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(whole))
+        share = F.when(F.col("toxic") == 1, int(min(1.0, per_class / counts[1]) * whole)).otherwise(int(min(1.0, per_class / counts[0]) * whole))
+        chosen = known.filter(lot < share).distinct()  # about per_class rows of each class
+        text = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+        rows = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).orderBy("doc_id", "text", "toxic").limit(3 * per_class).collect()
+        if len({r["toxic"] for r in rows}) == 2:
+            return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts[1] / (counts[0] + counts[1]))
+    return ToxicityModel(np.sort(hash_words(FIXED)), np.full(len(FIXED), ALONE[0]), ALONE[1])
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token counts, token files, language, toxicity and html: against the library, brute force, or held-out rows."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -196,15 +197,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(edge, untaught).filter("doc_id = 4").first()["predicted"] == 1
 
 
-def test_label_model_discounts_correlated_voters():
-    rng = np.random.default_rng(0)
-    y = rng.random(2000) < 0.3
-    vote = lambda acc: np.where(rng.random(2000) < 0.6, np.where((rng.random(2000) < acc) == y, 1, -1), 0)
-    weak = vote(0.6)
-    v = np.stack([*map(vote, (0.9, 0.9, 0.85, 0.8, 0.85)), weak, weak, weak], 1).astype(np.int8)
+def simulated(n, seed=0):
+    """Six voters for toxic: three good ones, a word with its stem (one vote said twice), and one that guesses."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.3
+    cast = lambda toxic, clean: rng.random(n) < np.where(y, toxic, clean)
+    word = cast(0.4, 0.05)
+    stem = word | cast(0.02, 0.02)
+    return y, np.stack([cast(0.6, 0.02), cast(0.5, 0.02), cast(0.5, 0.03), word, stem, cast(0.15, 0.15)], 1)
+
+
+def test_label_model_against_a_posterior_by_hand():
+    y, v = simulated(20_000)
+    model = toxicity.fit_label_model(v, 0.3)
+    prior = 1 / (1 + np.exp(-model.bias))
+    for votes in itertools.product((0, 1), repeat=6):
+        by_class = []
+        for c in (0, 1):
+            p = (prior if c else 1 - prior) * np.exp(model.heard[c, int(any(votes))])
+            for j, x in enumerate(votes):
+                if x:
+                    p *= np.exp(model.logs[j, c, votes[model.parent[j]], 1])
+            by_class.append(p)
+        assert model.posterior(np.array([votes]))[0] == pytest.approx(by_class[1] / sum(by_class))
+    assert model.posterior(v).mean() == pytest.approx(0.3, abs=1e-3)
+    assert np.mean((model.posterior(v) > 0.5) == y) > 0.9
+
+
+def test_label_model_finds_who_says_the_same():
+    y, v = simulated(20_000, 1)
     model = toxicity.fit_label_model(v, 0.3)
-    assert model.weight[5:].max() < model.weight[:5].min()
-    assert np.mean((model.posterior(v) > 0.5) == y) > 0.8
+    assert model.parent[3] == 4 or model.parent[4] == 3  # word and stem are paired
+    gain = lambda *j: model.evidence(np.isin(np.arange(6), j)[None])[0] - model.evidence(np.isin(np.arange(6), [5])[None])[0]
+    assert gain(3, 4) < gain(3) + 0.5 * gain(4) and gain(0) > gain(5) + 1  # counted about once; a guess weighs less
+    truth = [np.log(v[y, j].mean() / v[~y, j].mean()) for j in (0, 1, 2)]
+    mine = [model.logs[j, 1, model.parent[j] == j and 1 or 0, 1] - model.logs[j, 0, model.parent[j] == j and 1 or 0, 1] for j in (0, 1, 2)]
+    assert np.allclose(truth, mine, atol=1.0)
+
+
+def test_toxicity_replaces_columns_of_its_names(spark):
+    model = toxicity.train(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
+    got = toxicity.score(spark.createDataFrame([(1, "you idiot", "x", "y")], "doc_id long, text string, score string, kept string"), model)
+    assert got.columns == ["doc_id", "text", "kept", "score", "predicted"] and got.first()["predicted"] == 1 and got.first()["kept"] == "y"
 
 
 PAGES = {
