@@ -1,8 +1,9 @@
 """Chat formatting: a finite-state machine over roles and a declarative template.
 
 All of it is DataFrame functions. A conversation becomes one string in which
-every turn stands between control strings; control strings inside a text or a
-role are escaped, so that the string can be read back exactly.
+every turn stands between control strings; what could make a control string inside
+a text or a role is escaped, as the template asks, so that the string can be read
+back exactly. A conversation is one value of the result, so its turns meet in one task.
 
 Defined results
 - null text or null role: the empty string;
@@ -23,7 +24,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """Control strings, roles under loss, and the turn order as a state machine."""
+    """Control strings, roles under loss, and the turn order as a state machine.
+
+    Control strings begin with a character that is neither letter nor digit and
+    hold no backslash; a template in which ``end`` comes about where none is
+    meant, even between empty texts, is refused.
+    """
 
     open: str = "<|"
     close: str = "|>"
@@ -41,22 +47,43 @@ class Template:
     )
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        for c in (self.open, self.close, self.end):
+            if not c or c[0].isalnum() or "\\" in c:
+                raise ValueError(f"{c!r} cannot be a control string")
+        turn = self.open + self.close + self.end
+        if (turn * 2).find(self.end) != len(self.open + self.close) or (turn * 2).find(self.end, len(turn)) != len(turn) + len(self.open + self.close):
+            raise ValueError("the end of a turn would be found where none is")
+
+    def escapes(self) -> tuple[tuple[str, str], ...]:
+        """What stands for the backslash and for each first character of a control string, backslash first."""
+        firsts = list(dict.fromkeys(c[0] for c in (self.open, self.close, self.end)))
+        spare = iter("acdefghijkmno")
+        return (("\\", "\\b"), *((c, {"<": "\\l", "|": "\\p"}.get(c) or "\\" + next(spare)) for c in firsts))
+
+    def completes(self, before: str) -> str:
+        """Characters with which a text after the control string ``before`` could go on to ``end``."""
+        tails = [before[i:] for i in range(len(before))]
+        return "".join(sorted({self.end[len(t)] for t in tails if self.end.startswith(t) and len(t) < len(self.end)}))
+
 
 DEFAULT = Template()
-#: What stands for a character that control strings are made of.
-ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("|", "\\p"))
+#: Stands before a text that could complete a control string with what comes before it; it means nothing.
+APART = "\\z"
 
 
-def escape(col: Column) -> Column:
-    """No ``<`` and no ``|`` is left, so no control string can occur."""
-    for plain, coded in ESCAPES:
+def escape(col: Column, template: Template = DEFAULT, before: str = "") -> Column:
+    """No first character of a control string is left, nor one at the start that completes ``before``, so no control string can come about."""
+    for plain, coded in template.escapes():
         col = F.replace(col, F.lit(plain), F.lit(coded))
-    return col
+    risky = template.completes(before) if before else ""
+    return F.when(F.substring(col, 1, 1).isin(*risky), F.concat(F.lit(APART), col)).otherwise(col) if risky else col
 
 
-def unescape(col: Column) -> Column:
+def unescape(col: Column, template: Template = DEFAULT) -> Column:
     """The inverse: the backslash comes last, as it was coded first."""
-    for plain, coded in reversed(ESCAPES):
+    col = F.replace(col, F.lit(APART), F.lit(""))
+    for plain, coded in reversed(template.escapes()):
         col = F.replace(col, F.lit(coded), F.lit(plain))
     return col
 
@@ -97,8 +124,8 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
         F.transform(
             "t",
             lambda t: F.array(
-                F.struct(F.concat(F.lit(template.open), escape(t["role"]), F.lit(template.close)).alias("text"), F.lit(False).alias("loss")),
-                F.struct(escape(t["text"]).alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
+                F.struct(F.concat(F.lit(template.open), escape(t["role"], template, template.open), F.lit(template.close)).alias("text"), F.lit(False).alias("loss")),
+                F.struct(escape(t["text"], template, template.close).alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
                 F.struct(F.lit(template.end).alias("text"), F.lit(False).alias("loss")),
             ),
         )
@@ -121,13 +148,13 @@ def read_turns(formatted: Column, template: Template = DEFAULT) -> Column:
     return F.transform(
         pieces,
         lambda p: F.struct(
-            unescape(F.substring(p, F.lit(n + 1), F.instr(p, template.close) - n - 1)).alias("role"),
-            unescape(F.substring(p, F.instr(p, template.close) + m, F.length(p))).alias("text"),
+            unescape(F.substring(p, F.lit(n + 1), F.locate(template.close, p, n + 1) - n - 1), template).alias("role"),
+            unescape(F.substring(p, F.locate(template.close, p, n + 1) + m, F.length(p)), template).alias("text"),
         ),
     )
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: Template = DEFAULT) -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
     kept = F.filter(segments, lambda s: s["loss"])
-    return F.array_join(F.transform(kept, lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(kept, lambda s: unescape(s["text"], template)), "")

@@ -11,8 +11,8 @@
 
 All steps are DataFrame functions. The benchmark side is broadcast only while
 its measured size is under ``broadcast_bytes``; beyond that the same joins
-shuffle. Candidates are one row per (document, item, diagonal), whatever the
-number of windows on it.
+shuffle, and words pass a sieve of hashed terms before. Candidates are one row per (document, item) with its
+diagonals, whatever the number of windows on them.
 
 Defined results
 - null text: no words, on either side; such an item has no window;
@@ -77,9 +77,36 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """term -> corpus count n, over all words of all documents; 0 if it never occurs."""
-    found = tokens(docs).select("term").join(_hint(terms, small), "term")
-    return terms.join(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+    """term -> corpus count n, over all words of all documents; 0 if it never occurs.
+
+    Beyond the broadcast limit words are counted before they meet the terms, so
+    that a frequent word is one row for each task.
+    """
+    found = tokens(docs).select("term")
+    if small:
+        found = found.join(F.broadcast(terms), "term")
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def sieve(terms: DataFrame, cells: int = 1 << 17) -> DataFrame:
+    """One row, ``bits``: ``cells`` longs with a bit for the hash of each term."""
+    h = F.pmod(F.xxhash64("term"), F.lit(64 * cells))
+    cell = terms.select(h.alias("h")).groupBy((F.col("h") / 64).cast("long").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 64 AS INT))")).alias("b"))
+    every = terms.sparkSession.range(cells).withColumnRenamed("id", "cell").join(cell, "cell", "left").select("cell", F.coalesce("b", F.lit(0)).alias("b"))
+    return every.agg(F.array_sort(F.collect_list(F.struct("cell", "b")))["b"].alias("bits"))  # cells rows, whatever the terms
+
+
+def known_terms(words_: DataFrame, terms: DataFrame, small: bool, cells: int = 1 << 17) -> DataFrame:
+    """The rows of ``words_`` whose term is in ``terms``. Where those are shuffled, a sieve goes first: most words are in
+    none, and frequent ones would meet in one task only to be dropped there."""
+    if small:
+        return words_.join(F.broadcast(terms), "term")
+    bits = sieve(terms, cells).scalar()
+    h = F.pmod(F.xxhash64("term"), F.lit(64 * cells))
+    marked = words_.withColumns({"_h": h, "_bits": bits})
+    marked = marked.filter(F.expr("(shiftrightunsigned(get(_bits, CAST(_h DIV 64 AS INT)), CAST(_h % 64 AS INT)) & 1) = 1")).drop("_h", "_bits")
+    return marked.join(terms, "term")
 
 
 def anchors(items: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
@@ -93,33 +120,37 @@ def anchors(items: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """term, doc_id, pos: the index over the marked terms, and each document's length."""
+    """term, doc_id, pos: the index over the marked terms, and each document's length. ``terms`` is a written table."""
     length = terms.sparkSession.range(1).select(F.lit(LENGTH).alias("term"))
-    return tokens(docs).join(_hint(terms.union(length), small), "term")
+    if small:
+        return known_terms(tokens(docs), terms.union(length), True)
+    every = tokens(docs)
+    return known_terms(every.filter(F.col("term") != LENGTH), terms, False).unionByName(every.filter(F.col("term") == LENGTH).select("term", "doc_id", "pos"))
 
 
 def candidates(index: DataFrame, marks: DataFrame, items: DataFrame, rarest: int, small: bool) -> DataFrame:
-    """doc_id, item_key, diag where the offset-adjusted lists of some window meet."""
+    """doc_id, item_key, diags: where the offset-adjusted lists of some window meet."""
     met = index.join(_hint(marks, small), "term").select("doc_id", "item_key", (F.col("pos") - F.col("offset")).alias("diag"), "offset")
-    met = met.groupBy("doc_id", "item_key", "diag").agg(F.collect_set("offset").alias("offsets"))
+    met = met.groupBy("doc_id", "item_key", "diag").agg(F.array_sort(F.collect_set("offset")).alias("o"))
     need = items.select("item_key", F.least(F.lit(rarest), F.col("n_win")).alias("need"), "n_win")
+    met = met.join(_hint(need, small), "item_key").filter(F.size("o") >= F.col("need"))
     # enough offsets inside the span of one window
-    within = F.exists("offsets", lambda a: F.size(F.filter("offsets", lambda b: (b >= a) & (b < a + F.col("n_win")))) >= F.col("need"))
-    return met.join(_hint(need, small), "item_key").filter(within).select("doc_id", "item_key", "diag")
+    within = F.exists(F.sequence(F.lit(0), F.size("o") - F.col("need")), lambda i: F.get("o", i + F.col("need") - 1) - F.get("o", i) < F.col("n_win"))
+    return met.filter(within).groupBy("doc_id", "item_key").agg(F.collect_list("diag").alias("diags"))
 
 
 def phrase_hits(doc_words: Column, item_words: Column, diag: Column, n_win: Column) -> Column:
-    """Document positions inside a window of the item that lies on ``diag``."""
+    """Document positions inside a window of the item that lies on ``diag``: runs without a mismatch, of that length at least."""
     size = F.size(item_words)
-    # ends[j]: length of the run of equal words that ends at item offset j
-    same = F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.get(doc_words, diag + j) == F.get(item_words, j))
-    ends = F.aggregate(
-        same,
-        F.array().cast("array<int>"),
-        lambda acc, e: F.concat(acc, F.array(F.when(F.coalesce(e, F.lit(False)), F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + 1).otherwise(0))),
-    )
-    last = F.filter(F.transform(ends, lambda r, j: F.when(r >= n_win, diag + j)), lambda p: p.isNotNull())
-    return F.array_distinct(F.flatten(F.transform(last, lambda p: F.sequence(p - n_win + 1, p))))
+    other = F.filter(F.sequence(F.lit(0), size - 1), lambda j: ~F.get(doc_words, diag + j).eqNullSafe(F.get(item_words, j)))
+    ends = F.concat(F.array(F.lit(-1)), other, F.array(size))
+
+    def between(e: Column) -> Column:
+        runs = F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        long_ = F.filter(runs, lambda r: r["b"] - r["a"] - 1 >= n_win)
+        return F.flatten(F.transform(long_, lambda r: F.sequence(diag + r["a"] + 1, diag + r["b"] - 1)))
+
+    return F.flatten(F.transform(F.array(ends), between))  # a transform of one element binds it: it is computed once
 
 
 @dataclass
@@ -140,10 +171,11 @@ def match(docs: DataFrame, items: DataFrame, n: int = 13, rarest: int = 2, broad
     terms = items.select(F.explode("w").alias("term")).distinct()
     text = docs.select("doc_id", "text")
     marks = store.write(anchors(items, term_counts(text, terms, small), rarest), "marks")
-    index = store.write(postings(text, marks.select("term").distinct(), small), "postings")
+    marked = store.write(marks.select("term").distinct(), "terms")
+    index = store.write(postings(text, marked, small), "postings")
     found = candidates(index.filter(F.col("term") != LENGTH), marks, items, rarest, small)
     found = found.join(_hint(items.select("item_key", "item_id", "w", "n_win"), small), "item_key")
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "w", "n_win", "diag")).alias("found"))
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "w", "n_win", "diags")).alias("found"))
     found = store.write(found.withColumnRenamed("doc_id", "found_in"), "candidates")
     lengths = index.filter(F.col("term") == LENGTH).select("doc_id", F.col("pos").cast("long").alias("n_words"))
     return Matches(lengths, found, _small(found, broadcast_bytes))
@@ -157,8 +189,9 @@ def verify(docs: DataFrame, m: Matches, num: int = 1, den: int = 20) -> DataFram
     contaminated if it has a hit and den * n_hit >= num * n_words.
     """
     body = docs.join(_hint(m.found, m.small), F.col("doc_id").eqNullSafe(F.col("found_in"))).drop("found_in")
-    body = body.withColumn("_words", words(F.col("text")))
-    matched = F.transform("found", lambda f: F.struct(f["item_id"].alias("item_id"), phrase_hits(F.col("_words"), f["w"], f["diag"], f["n_win"]).alias("hits")))
+    body = body.withColumn("_words", F.explode(F.array(words(F.col("text")))))  # a row of its own, so that no lambda splits the text again
+    on_diagonals = lambda f: F.flatten(F.transform(f["diags"], lambda d: phrase_hits(F.col("_words"), f["w"], d, f["n_win"])))
+    matched = F.transform("found", lambda f: F.struct(f["item_id"].alias("item_id"), on_diagonals(f).alias("hits")))
     body = body.withColumn("_m", F.filter(matched, lambda f: F.size(f["hits"]) > 0))
     body = body.withColumn("n_words", F.size("_words").cast("long"))
     body = body.withColumn("hits", F.array_sort(F.array_distinct(F.flatten(F.transform("_m", lambda f: f["hits"])))))
@@ -168,9 +201,9 @@ def verify(docs: DataFrame, m: Matches, num: int = 1, den: int = 20) -> DataFram
     return body.withColumn("contaminated", bad).drop("_words", "_m", "found")
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 13, num: int = 1, den: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = 13, num: int = 1, den: int = 20, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, hits, item_ids, n_hit, contaminated of every document."""
-    m = match(docs, items, n)
+    m = match(docs, items, n, broadcast_bytes=broadcast_bytes)
     seen = verify(docs.select("doc_id", "text"), m, num, den)
     rest = m.lengths.join(_hint(m.found.select("found_in"), m.small), F.col("doc_id").eqNullSafe(F.col("found_in")), "left_anti")
     none = rest.select(
@@ -200,7 +233,7 @@ def proximity(docs: DataFrame, phrases: DataFrame, slop: int, broadcast_bytes: i
     store = Scratch(docs.sparkSession, "proximity")
     items = store.write(windows(phrases, 1 << 30), "items")
     small = _small(items, broadcast_bytes)
-    terms = items.select(F.explode("w").alias("term")).distinct()
+    terms = store.write(items.select(F.explode("w").alias("term")).distinct(), "terms")
     counts = term_counts(docs.select("doc_id", "text"), terms, small)
     marks = anchors(items, counts, 1).select("item_key", "term")
     index = store.write(postings(docs.select("doc_id", "text"), terms, small), "postings")

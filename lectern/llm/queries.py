@@ -65,6 +65,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "bad_turn",
     )
 
 
@@ -101,7 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Reads the same turns straight from the table; the length counts the control
-#: strings of a turn (11 characters) and one more for each escaped character.
+#: strings of a turn (11 characters), one more for each escaped character, and two
+#: before a role that could complete ``<|`` to ``<|end|>``. The turn order breaks
+#: where two neighbours are no move of the state machine.
 _CHAT_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -109,11 +113,16 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT conv_id,
   count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(11 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<|]', '', 'g'))) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(11 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<|]', '', 'g')) + CASE WHEN role LIKE 'e%' THEN 2 ELSE 0 END) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (NOT ok) = 0 AND max_by(role, k) = 'assistant' AS valid,
+  CAST(min(k) FILTER (NOT ok) AS INT) AS bad_turn
+FROM (
+  SELECT *, CASE WHEN k = 0 THEN role IN ('system', 'user') ELSE (p, role) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) END AS ok
+  FROM (SELECT *, row_number() OVER w - 1 AS k, lag(role) OVER w AS p FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)))
+GROUP BY conv_id
 """
 
 #: Windows of 13 words (or all of a shorter item) joined with document windows of the same length.

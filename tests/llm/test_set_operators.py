@@ -229,6 +229,8 @@ def test_decontamination_is_exact(spark):
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["item_ids"]), r["contaminated"]) for r in out)
     expected = hits(docs, items)
     assert got == expected
+    beyond = decontamination.contamination(df, ben, broadcast_bytes=0).collect()  # nothing is broadcast, words pass the sieve
+    assert sorted(map(str, beyond)) == sorted(map(str, out))
     kept = decontamination.drop_contaminated(df, ben)
     assert kept.columns == df.columns and kept.count() == sum(not x[-1] for x in expected)
     assert {r["found"] for r in kept.collect()} == {2}
@@ -363,6 +365,24 @@ def test_chats(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("strings", [("<|", "|>", "<|end|>"), ("[", "]", "[/INST]"), ("<s>", "</s>", "</s></t>"), ("#", ">", "##"), ("((", "))", "|)")])
+def test_chats_read_back_under_any_template(spark, strings):
+    t = chat_format.Template(*strings)
+    parts = ["", "end", "/INST", "e", "x", ">", "/t>", "\\z", "\\", *strings, *[c for s in strings for c in s], strings[0] + "user" + strings[1]]
+    turns = [(i, j, role, text) for i, (role, text) in enumerate(itertools.product(parts, parts)) for j in range(2)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(2)
+    out = chat_format.format_conversations(df, t)
+    for r in out.select("conv_id", chat_format.read_turns(F.col("formatted"), t).alias("turns")).collect():
+        role, text = turns[2 * r["conv_id"]][2:]
+        assert [(x["role"], x["text"]) for x in r["turns"]] == [(role, text)] * 2, (role, text)
+
+
+def test_templates_that_cannot_be_read_back_are_refused():
+    for strings in [("<", ">", "<>"), ("a<", ">", "|"), ("", ">", "|"), ("<", "\\>", "|"), ("[", "]", "]"), ("#", ">", "#>#")]:
+        with pytest.raises(ValueError):
+            chat_format.Template(*strings)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
