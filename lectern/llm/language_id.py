@@ -17,12 +17,14 @@ languages: a text that speaks for none gets 0.25, a sure one nearly 1, and with
 one language alone it is 1.
 
 The classifier is fitted on a bounded, documented sample: at most about
-``per_lang`` texts of each language, chosen by a hash of doc_id. All texts are
-scored whole.
+``per_lang`` texts of each language, of at most ``sample_bytes`` each (or as long
+as a language's shortest text, where that is longer), chosen by a hash of doc_id.
+All texts are scored whole.
 
 Defined results: null texts and texts without a letter get ``und`` and score
 0.0; repeated rows are scored one by one; an empty table gives no rows; without
-labelled rows every text gets ``und``. Other columns stay as they are.
+labelled rows every text gets ``und``. Input columns named lang_pred or score are
+replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -148,20 +150,22 @@ def fit(texts: list[str], langs: list[str], per_class: int = 32, ridge: float =
     return LanguageModel(names, marks.astype(np.float32), root @ beta, offset - mean @ beta, dims)
 
 
-def training_sample(labelled: DataFrame, per_lang: int) -> tuple[list[str], list[str]]:
+def training_sample(labelled: DataFrame, per_lang: int, sample_bytes: int) -> tuple[list[str], list[str]]:
     """About ``per_lang`` texts of each language, by a hash of doc_id: a share per language, no sort of all rows."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    if not counts:
+    size = F.octet_length("text")
+    found = rows.groupBy("lang").agg(F.count_if(size <= sample_bytes).alias("n"), F.min(size).alias("least")).collect()  # one row per language
+    if not found:
         return [], []
-    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, int(min(1.0, per_lang / n) * (1 << 20)))])
-    rows = rows.filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
-    got = rows.orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_lang * len(counts)).collect()
+    entry = lambda r: (F.lit(r["lang"]), F.struct(F.lit(max(sample_bytes, r["least"])).alias("bytes"), F.lit(int(min(1.0, per_lang / max(r["n"], 1)) * (1 << 20))).alias("share")))
+    terms = F.element_at(F.create_map(*[x for r in sorted(found, key=lambda r: r["lang"]) for x in entry(r)]), F.col("lang"))
+    rows = rows.filter((size <= terms["bytes"]) & (F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) < terms["share"]))
+    got = rows.orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_lang * len(found)).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-def train(labelled: DataFrame, per_lang: int = 200, per_class: int = 32) -> LanguageModel | None:
-    texts, langs = training_sample(labelled, per_lang)
+def train(labelled: DataFrame, per_lang: int = 200, per_class: int = 32, sample_bytes: int = 1 << 16) -> LanguageModel | None:
+    texts, langs = training_sample(labelled, per_lang, sample_bytes)
     return fit(texts, langs, per_class) if texts else None
 
 

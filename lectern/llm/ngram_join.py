@@ -46,6 +46,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bpe import frugal, give_back, slices
 from ._components import components
@@ -428,11 +429,13 @@ def _members(sets: DataFrame, clustered: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long_list: int = 16, pack_bytes: int = 16 << 20, block_shingles: int = 3_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of ``docs``.
+    """doc_id, n_shingles, component_id, n_links, class_id, group_id of every row of ``docs``.
 
     Two documents link when den * |intersection| >= num * |union|.
     ``component_id`` is the smallest doc_id reachable by links; ``n_links``
-    counts the linked documents, copies with the same set included. A pack
+    counts the linked documents, copies with the same set included. ``class_id``
+    names the set itself and ``group_id`` the component by its sets, also where
+    doc_ids repeat or are missing (null for the empty set). A pack
     holds about ``pack_bytes`` of text, less where that would leave cores idle.
     """
     spark = docs.sparkSession
@@ -455,11 +458,23 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long_list:
     degree = verified.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     named = store.write(linked.join(classes.select(F.col("cls").alias("node"), "rep"), "node"), "named")
     names = named.groupBy("component").agg(F.min("rep").alias("name"))
-    named = named.join(names, "component").select(F.col("node").alias("cls"), "name")
+    named = named.join(names, "component").select(F.col("node").alias("cls"), "name", F.col("component").alias("group"))
     whole = classes.join(named, "cls", "left").join(degree, "cls", "left")
-    whole = store.write(whole.select("cls", F.coalesce("name", "rep").alias("name"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "whole")
+    whole = store.write(whole.select("cls", F.coalesce("group", "cls").alias("group"), F.coalesce("name", "rep").alias("name"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "whole")
     # both sides are plain tables here, so that a class with very many documents can be split
-    out = every.filter("n > 0").join(whole, "cls").select("doc_id", "n", "name", "links", "m")
-    none = every.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("name"), F.lit(0).cast("long").alias("links"), "m")
+    out = every.filter("n > 0").join(whole, "cls").select("doc_id", "n", "name", "links", "m", "cls", "group")
+    none = every.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("name"), F.lit(0).cast("long").alias("links"), "m", "cls", F.lit(None).cast("long").alias("group"))
     out = out.unionByName(none).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("name").alias("component_id"), F.col("links").cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("name").alias("component_id"), F.col("links").cast("long").alias("n_links"), F.col("cls").alias("class_id"), F.col("group").alias("group_id"))
+
+
+def class_of(docs: DataFrame, n: int = 5) -> DataFrame:
+    """row (all columns of ``docs``), class_id: the set of each row's text, 0 for the empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            names = [set_hash(s) for a, b in slices(rows.column(1)) for s in shingle_sets(rows.column(1).slice(a, b - a), n)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.int64())], ["row", "class_id"])
+
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return packed.mapInArrow(frugal(run), T.StructType([packed.schema["row"], T.StructField("class_id", T.LongType())]))

@@ -413,6 +413,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{sf}/e").count() == 0
 
 
+def test_pipeline_with_repeated_and_missing_ids(spark, tmp_path):
+    """Rows decide, not ids: a unique text stays though its doc_id stands on a copy too."""
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    text = lambda: " ".join(rnd.choice("the and of that with from have this".split()) + str(rnd.randrange(30)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c + " x"), (None, a), (None, d), (None, d), (None, e), (9, e), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    kept = sorted((str(r["doc_id"]), (r["text"] or "").removesuffix(" x")) for r in got.collect())
+    assert kept == sorted([("1", a), ("2", b), ("3", c), ("None", d), ("9", e), ("7", ""), ("7", "")])
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(map(tuple, docs.collect()))
+    assert max(collections.Counter(map(tuple, mixed.collect())).values()) <= 4  # two rows are equal
+
+
 def test_every_operator_has_a_query():
     names = {q.split("_")[0] for q in llm_queries.queries()}
     assert names == {f"op{n}" for n in range(1, 11)}

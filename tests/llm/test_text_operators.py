@@ -306,3 +306,32 @@ def test_html_in_time_that_grows_with_its_length():
 def test_html_replaces_a_column_of_its_name(spark):
     got = html_extract.extract(spark.createDataFrame([(1, "<p>a</p>", "old"), (2, None, None)], "page_id long, html string, main_text string"))
     assert got.columns == ["page_id", "main_text"] and sorted(map(tuple, got.collect())) == [(1, "a"), (2, "")]
+
+
+def test_language_features_are_those_of_the_kernel():
+    """Landmarks, K^(-1/2) and ridge by hand, from n-gram sets: the model's margins are the same."""
+    rnd = np.random.default_rng(3)
+    vocabulary = {"a": "sol mar luz tierra cielo".split(), "b": "haus baum licht wasser stein".split(), "c": "wind rock tree lake moon".split()}
+    texts, langs = zip(*[(" ".join(rnd.choice(vocabulary[k], 12)), k) for k in "abc" * 8])
+    model = language_id.fit(list(texts), list(langs), per_class=3, ridge=1e-2, dims=1 << 18)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)}
+    sets = [grams(t.encode()) for t in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = [i for k in "abc" for i in [j for j, lang in enumerate(langs) if lang == k][:3]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks]))
+    half = vectors / np.sqrt(values) @ vectors.T  # the whole K^(-1/2)
+    z = np.array([[kernel(s, sets[j]) for j in marks] for s in sets]) @ half
+    y = np.array([[1.0 if lang == k else -1.0 for k in "abc"] for lang in langs])
+    zc = z - z.mean(0)
+    beta = np.linalg.solve(zc.T @ zc + 1e-2 * len(z) * np.eye(len(marks)), zc.T @ y)
+    expected = zc @ beta + y.mean(0)
+    got = model.margins(pa.array(texts, pa.string()))
+    assert np.allclose(got, expected, atol=2e-3)  # hashing may join two n-grams
+
+
+def test_language_sample_is_bounded_by_bytes(spark):
+    rows = [(i, "short text", "en") for i in range(5)] + [(9, "long " * 1000, "en"), (10, "lang " * 2000, "de"), (11, "länger " * 3000, "de"), (12, None, "fr"), (13, "no label", None)]
+    texts, langs = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200, 100)
+    assert sorted(zip(langs, map(len, texts))) == [("de", 10_000), *[("en", 10)] * 5]
+    got = language_id.predict(spark.createDataFrame([(1, "x", "old", 7)], "doc_id long, text string, lang_pred string, more int"), None)
+    assert got.columns == ["doc_id", "text", "more", "lang_pred", "score"] and got.first()["lang_pred"] == "und"
