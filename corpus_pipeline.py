@@ -29,21 +29,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of similar documents.
+    """Keeps one document of each group of similar documents: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; rows without doc_id stay.
+    A doc_id that stands on one row decides by itself. Rows whose doc_id repeats
+    or is missing are told apart by their text: of such rows one stays in a group
+    that has no smaller doc_id. Rows without words stay.
     """
     store = Scratch(spark, "near-duplicates")
-    joined = ngram_join.join(docs).filter("doc_id IS NOT NULL")
-    named = store.write(joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c")), "named")
-    gone = store.write(named.filter("c != doc_id").select("doc_id"), "gone")
-    twice = store.write(named.filter("n > 1 AND c = doc_id").select("doc_id"), "twice")
-    kept = docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
-    if twice.isEmpty():
+    joined = store.write(ngram_join.join(docs).select("doc_id", "n_shingles", "component_id", "class_id", "group_id"), "joined")
+    once = joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
+    ids = store.write(once.filter("doc_id IS NULL OR n > 1 OR c != doc_id").select("doc_id", (F.col("doc_id").isNull() | (F.col("n") > 1)).alias("odd")), "ids")
+    beside = F.broadcast(ids) if small_enough(ids) else ids
+    kept = docs.join(beside, docs["doc_id"].eqNullSafe(beside["doc_id"]), "left_anti").select(*docs.columns)
+    odd = ids.filter("odd").select(F.col("doc_id").alias("_odd"))
+    if odd.isEmpty():
         return kept
-    twice = F.broadcast(twice) if small_enough(twice) else twice
-    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    told = joined.join(odd, joined["doc_id"].eqNullSafe(odd["_odd"])).select("doc_id", "class_id", "component_id", "group_id").distinct()
+    told = store.write(told.select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class"), "component_id", "group_id"), "told")
+    rows = ngram_join.class_of(docs.join(F.broadcast(odd) if small_enough(odd) else odd, docs["doc_id"].eqNullSafe(F.col("_odd")), "left_semi").select(*docs.columns))
+    rows = rows.join(told, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("class_id") == F.col("_class")))
+    first = rows.filter(F.col("group_id").isNotNull() & F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("group_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.unionByName(first.select("row.*").select(*docs.columns)).unionByName(rows.filter("group_id IS NULL").select("row.*").select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +57,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops whole documents: as many copies as the mix takes of their words, rounded."""
-    taken = mixing.mix(docs)["documents"].groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    """Repeats or drops whole documents: as many copies as the mix takes of their words, rounded.
+
+    Rows that repeat a doc_id in a source each get the largest number that one of them has, 2 at most.
+    """
+    mixed = mixing.mix(docs)["documents"].groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"))
+    taken = mixed.agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0")
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & docs["source"].eqNullSafe(F.col("_mix_source")))
     return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
