@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,43 +100,51 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
 
-STRING = r'"(?:\\.|[^"\\])*"'
-NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
-#: Patterns for missing commas, applied in this order: before a key, between brackets, after a string, after a number or word.
-REPAIRS = (
-    (rf"((?:{STRING}|{NUMBER}|true|false|null|\]|\}}))\s*({STRING}\s*:)", "$1,$2"),
-    (r"(\}|\])\s*(\{|\[)", "$1,$2"),
-    (rf"({STRING})\s*({STRING}\s*:)", "$1,$2"),
-    (rf"({NUMBER}|true|false|null)\s*({STRING}\s*:)", "$1,$2"),
-)
+#: The parts of a JSON text: strings, brackets and marks, words and numbers, white space; any other character stands alone.
+JSON_PART = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+|\s+|.'
 
 
 def strip_fences(c: Column) -> Column:
-    """The part from the first { to the last }, without a Markdown fence or prose around; other text as it is.
-
-    One reference to ``c``: the repairs below nest this, and a tree that
-    doubled at each level would never be planned.
-    """
+    """The part from the first { to the last }, without a Markdown fence or prose around; other text as it is."""
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)^[^{]*(\{.*\})[^}]*$", "$1"))
 
 
 def repair(c: Column) -> Column:
-    """Adds commas that are missing between values."""
-    t = strip_fences(c)
-    for pattern, to in REPAIRS:
-        t = F.regexp_replace(t, pattern, to)
-    return t
+    """Puts a comma wherever a value ends and the next thing begins another one. Strings are taken whole, so what stands in them stays."""
+    parts = F.filter(F.regexp_extract_all(strip_fences(c), F.lit(f"(?s){JSON_PART}"), F.lit(0)), lambda p: F.trim(p, F.lit(" \t\r\n")) != "")
 
+    def joined(p: Column) -> Column:
+        ends = lambda x: ~x.isin("{", "[", ",", ":")
+        begins = lambda x: ~x.isin("}", "]", ",", ":")
+        glued = F.transform(p, lambda x, i: F.when((i > 0) & ends(F.get(p, i - 1)) & begins(x), F.concat(F.lit(","), x)).otherwise(x))
+        return F.array_join(glued, "")
+
+    return F.array_join(F.transform(F.array(parts), joined), "")  # a transform of one element binds it
 
-def parse_reply(c: Column, schema: str) -> Column:
-    """from_json of the reply as it is, else repaired once, else twice; null if none is an object.
 
-    Text after a complete object (JSON readers stop there) does no harm.
-    """
+def repaired(text: str) -> str:
+    """``repair`` for one text at hand."""
+    out: list[str] = []
+    for part in re.findall(JSON_PART, text, re.S):
+        if part.strip(" \t\r\n"):
+            if out and out[-1] not in ("{", "[", ",", ":") and part not in ("}", "]", ",", ":"):
+                out.append(",")
+            out.append(part)
+    return "".join(out)
+
+
+def parse_reply(c: Column, schema: str) -> Column:
+    """from_json of the reply as it is, else repaired; null if neither is an object. What follows a complete object does no harm."""
     raw = strip_fences(c)
-    once = repair(raw)
     good = lambda t: F.when(F.try_parse_json(t).isNotNull() & t.startswith("{"), F.from_json(t, schema))
-    return F.coalesce(good(raw), good(once), good(repair(once)), F.when(raw.startswith("{"), F.from_json(F.regexp_extract(raw, r"(?s)^(\{.*?\})\s*(?:[^\s,\]\}].*)?$", 1), schema)))
+    return F.coalesce(good(raw), good(repair(raw)), F.when(raw.startswith("{"), F.from_json(F.regexp_extract(raw, r"(?s)^(\{.*?\})\s*(?:[^\s,\]\}].*)?$", 1), schema)))
+
+
+def parse_error(c: Column, schema: str, preview: int = 200) -> Column:
+    """Why a reply has no object, with the beginning of it; null if it has one."""
+    blank = strip(F.coalesce(c, F.lit(""))) == ""
+    bad = F.concat(F.lit("no JSON object in the reply: "), F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "), 1, preview))
+    return F.when(parse_reply(c, schema).isNull(), F.when(blank, F.lit("the reply is empty")).otherwise(bad))
 
 
 def message_text(content: Column) -> Column:

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: languages that can be chosen.
+#: Languages that can be chosen.
 LANGUAGES = (
-    "Japanese English Chinese Korean French German Spanish Italian Portuguese Russian Arabic Hindi Tamil Telugu Malayalam Kannada Thai Vietnamese Dutch Polish Ukrainian"
-).split()
+    "Japanese", "English", "Chinese", "Korean", "French", "German", "Spanish", "Italian", "Portuguese", "Russian", "Arabic",
+    "Hindi", "Tamil", "Telugu", "Malayalam", "Kannada", "Thai", "Vietnamese", "Dutch", "Polish", "Ukrainian",
+)
+ENTRY = "data array<struct<id:string,name:string,architecture:struct<input_modalities:array<string>,output_modalities:array<string>>>>"
+
+
+def read_catalog(payloads: DataFrame, column: str = "value") -> DataFrame:
+    """JSON payloads of a model service (one a row) -> id, name, inputs, outputs; unreadable ones give no rows."""
+    m = payloads.select(F.explode(F.from_json(column, ENTRY)["data"]).alias("m"))
+    return m.select("m.id", "m.name", F.col("m.architecture.input_modalities").alias("inputs"), F.col("m.architecture.output_modalities").alias("outputs"))
 
 
 def chat_models(catalog: DataFrame) -> DataFrame:

@@ -23,13 +23,14 @@ def wrap(text: str, width: float, size: float) -> list[str]:
     return fill([(w, advance(w)) for w in text.split()], width * 1000 / size)
 
 
-def fill(words: list[tuple[str, int]], room: float) -> list[str]:
+def fill(words: list[tuple[str, int]], room: float, blank: int = BLANK) -> list[str]:
     """``wrap`` over words with known widths: both in thousandths of the size, so that a search measures once."""
+    glue = " " if blank else ""
     lines: list[str] = []
     line, used = "", 0
     for word, w in words:
-        if line and used + BLANK + w <= room:
-            line, used = f"{line} {word}", used + BLANK + w
+        if line and used + blank + w <= room:
+            line, used = f"{line}{glue}{word}", used + blank + w
             continue
         if line:
             lines.append(line)
@@ -78,6 +79,26 @@ def fit_cell(text: str, width: float, height: float, size: float, min_scale: flo
     return s, [text], "the cell needed the least size"
 
 
+#: Margin in pixels, share of the height that a size starts from, gap between lines as a share of their height.
+IMAGE_MARGIN, IMAGE_START, IMAGE_GAP = 4, 0.78, 0.08
+
+
+def fit_pixels(text: str, width: int, height: int, min_scale: float = 0.9) -> tuple[int, list[str], bool]:
+    """(size, lines, cut) of a text in a box of an image, in whole pixels: the largest size at which all lines stand in the box."""
+    room, tall = max(8, width - IMAGE_MARGIN), max(8, height - IMAGE_MARGIN)
+    start = max(8, int(tall * IMAGE_START))
+    least = max(7, int(start * min_scale))
+    clean = text.replace("\n", " ").strip()
+    words = [(w, advance(w)) for w in (clean.split() if " " in clean else clean)]
+    blank = BLANK if " " in clean else 0  # scripts without blanks run on
+    for size in range(start, least - 1, -1):
+        lines = fill(words, room * 1000 / size, blank)
+        line = max(1, round((ASCENDER - DESCENDER) * size))
+        if lines and len(lines) * line + (len(lines) - 1) * max(1, int(line * IMAGE_GAP)) <= tall:
+            return size, lines, False
+    return least, fill(words, room * 1000 / least, blank)[: max(1, tall // least)], True
+
+
 def plan_fit(units: DataFrame, min_scale: float = 0.9) -> DataFrame:
     """doc_id, page, unit_id, kind, translation, bbox, n_lines, size -> doc_id, page, unit_id, final_size, fitted, warning."""
     schema = "doc_id long, page int, unit_id string, final_size double, fitted array<string>, warning string"

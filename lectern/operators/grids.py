@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.geometry import box, center_x, center_y, cluster, height, overlap_x, width
@@ -40,43 +44,46 @@ def match_grid(lines: DataFrame, grids: DataFrame) -> DataFrame:
     return lines.join(first, [*PAGE, "ord"], "left")
 
 
-def split_span(span: Column, borders: Column) -> Column:
-    """Cuts a span at the inner borders it crosses, in proportion to its characters, at a blank if it has one inside.
-
-    span: struct<text, bbox, ...> -> array of such.
-    """
-
-    def piece(s: Column, text: Column, x0: Column, x1: Column) -> Column:
-        b = box(x0, s["bbox"]["y0"], x1, s["bbox"]["y1"])
-        return F.struct(text.alias("text"), b.alias("bbox"), s["font"].alias("font"), s["size"].alias("size"), s["color"].alias("color"), s["flags"].alias("flags"))
-
-    def cut(s: Column, border: Column) -> Column:
-        x0, x1 = s["bbox"]["x0"], s["bbox"]["x1"]
-        share = (border - x0) / F.greatest(F.lit(0.001), x1 - x0)
-        # transforms of one element bind a value, so that it is computed once and not once per character
-        sizes = F.transform(F.array(F.length(s["text"])), lambda n: F.struct(n.alias("n"), F.greatest(F.lit(1), F.least(n - 1, F.bround(n * share).cast("int"))).alias("at")))
-
-        def place(z: Column) -> Column:
-            n, at = z["n"], z["at"]
-            blanks = F.transform(F.split(s["text"], ""), lambda c, i: F.when((i > 0) & (i < n - 1) & c.rlike(f"(?U){tx.WHITE}"), F.struct(F.abs(i - at).alias("d"), i.alias("i"))))
-            at = F.coalesce(F.array_min(blanks)["i"], at)
-            return F.struct(n.alias("n"), at.alias("at"), (x0 + (x1 - x0) * (at / n)).alias("mid"))
-
-        left = lambda p: piece(s, F.substring(s["text"], F.lit(1), p["at"]), x0, p["mid"])
-        right = lambda p: piece(s, F.substring(s["text"], p["at"] + 1, p["n"]), p["mid"], x1)
-        parts = F.flatten(F.transform(F.transform(sizes, place), lambda p: F.array(left(p), right(p))))
-        return F.when((x0 < border) & (border < x1) & (F.length(s["text"]) > 1), parts).otherwise(F.array(s))
-
-    whole = F.array(piece(span, span["text"], span["bbox"]["x0"], span["bbox"]["x1"]))
-    return F.aggregate(borders, whole, lambda acc, border: F.flatten(F.transform(acc, lambda s: cut(s, border))))
+def cut_text(text: str, x0: float, x1: float, borders: list[float]) -> list[tuple[str, float, float]]:
+    """A text from x0 to x1 cut at the borders it crosses, in proportion to its characters, at the nearest blank inside if it has one."""
+    pieces = [(text, x0, x1)]
+    for border in borders:
+        out = []
+        for t, a, z in pieces:
+            n = len(t)
+            if n < 2 or not a < border < z:
+                out.append((t, a, z))
+                continue
+            at = max(1, min(n - 1, round(n * ((border - a) / max(0.001, z - a)))))
+            at = min((i for i in range(1, n - 1) if t[i].isspace()), key=lambda i: abs(i - at), default=at)
+            middle = a + (z - a) * (at / n)
+            out += [(t[:at], a, middle), (t[at:], middle, z)]
+        pieces = out
+    return pieces
+
+
+def cut_spans(lines: DataFrame) -> DataFrame:
+    """Lines with a grid -> the same with ``pieces``: their spans, cut at the inner borders of the grid. Few lines stand in grids; they go through Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            at = rows.schema.get_field_index("spans")
+            xs = rows.column(rows.schema.get_field_index("grid")).field("xs").to_pylist()
+            pieces = []
+            for spans, borders in zip(rows.column(at).to_pylist(), xs):
+                cut = [(s, *p) for s in spans or [] for p in cut_text(s["text"] or "", s["bbox"]["x0"], s["bbox"]["x1"], borders[1:-1])]
+                pieces.append([s | {"text": t, "bbox": s["bbox"] | {"x0": a, "x1": z}} for s, t, a, z in cut])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pieces, rows.schema.field(at).type)], [*rows.schema.names, "pieces"])
+
+    inside = lines.filter("grid IS NOT NULL").select(*PAGE, "ord", "grid", "bbox", "spans")
+    return inside.mapInArrow(run, T.StructType([*inside.schema.fields, T.StructField("pieces", inside.schema["spans"].dataType)]))
 
 
 def cell_lines(lines: DataFrame) -> DataFrame:
     """Lines with a grid -> one row per line and column that holds a span's middle (within 1 point, so a span near a
     border stands in both): doc_id, page, ord, grid, col, x0, x1, row_key, text, bbox, spans. Spans outside go."""
     xs = F.col("grid.xs")
-    inner = F.slice(xs, F.lit(2), F.size(xs) - 2)
-    cut = lines.filter("grid IS NOT NULL").withColumn("pieces", F.flatten(F.transform("spans", lambda s: split_span(s, inner))))
+    cut = cut_spans(lines)
     columns = F.transform(F.sequence(F.lit(0), F.size(xs) - 2), lambda i: F.struct(i.alias("col"), F.get(xs, i).alias("x0"), F.get(xs, i + 1).alias("x1")))
     c = cut.select(*PAGE, "ord", "grid", "pieces", (F.bround(F.col("bbox.y0") / 2) * 2).alias("row_key"), F.explode(columns).alias("c"))
     inside = F.filter("pieces", lambda s: (center_x(s["bbox"]) >= F.col("c.x0") - 1) & (center_x(s["bbox"]) <= F.col("c.x1") + 1))

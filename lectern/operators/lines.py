@@ -2,11 +2,15 @@
 
 A fragment joins the latest of the last eight merged rows whose middle and
 height are near; a merged row's box grows, and with it what it attracts. That
-order-dependent fold runs per page in Arrow batches.
+order-dependent fold runs over the sorted pages of a partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,13 +47,25 @@ def merge_rows(lines: DataFrame) -> DataFrame:
     joined back by (doc_id, page, ord).
     """
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        found = assign_rows(list(zip(pdf.x0, pdf.y0, pdf.x1, pdf.y1)))
-        return pdf[[*KEYS, "ord"]].assign(row=[r for r, _ in found], turn=[t for _, t in found])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted pages stream by; the last one of a frame may go on in the next."""
+        rest: pd.DataFrame | None = None
+        for pdf in chain(frames, [None]):
+            if pdf is not None:
+                rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if rest is None or not len(rest):
+                continue
+            keys = rest[KEYS].to_numpy()
+            starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+            ready = len(rest) if pdf is None else int(starts[-1])
+            corners = list(zip(rest.x0, rest.y0, rest.x1, rest.y1))
+            found = [x for a, z in zip(starts, np.append(starts[1:], len(rest))) if z <= ready for x in assign_rows(corners[a:z])]
+            if found:
+                yield rest.iloc[:ready][[*KEYS, "ord"]].assign(row=[r for r, _ in found], turn=[t for _, t in found])
+            rest = rest.iloc[ready:].reset_index(drop=True)
 
-    flat = lines.select(*KEYS, "ord", "bbox.*")
-    rows = flat.groupBy(*KEYS).applyInPandas(page, "doc_id long, page int, ord int, row int, turn int")
+    flat = lines.select(*KEYS, "ord", "bbox.*").repartition(*KEYS).sortWithinPartitions(*KEYS, "ord")
+    rows = flat.mapInPandas(run, "doc_id long, page int, ord int, row int, turn int")
     spans = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "spans"))), lambda s: s["spans"]))
     # spans keep the order in which fragments took their turn, then sort stably by their left edge
     merged = (

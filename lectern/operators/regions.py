@@ -68,6 +68,13 @@ def place_regions(placements: DataFrame, images: DataFrame, regions: DataFrame)
     )
 
 
+def by_placement(regions: DataFrame, placements: DataFrame) -> DataFrame:
+    """doc_id, page, xref, occ, rect, regions: what is redrawn in each place of an image. Places that are not there have none."""
+    keys = ["doc_id", "page", "xref", "occ"]
+    group = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("region_id", "bbox_px", "translation"))).alias("regions"))
+    return group.join(placements.select(*keys, "rect"), keys).select(*keys, "rect", "regions")
+
+
 def border_color(pixels: DataFrame) -> DataFrame:
     """region_id, r, g, b of border pixels -> their upper median by channel."""
     middle = lambda c: F.element_at(F.array_sort(F.collect_list(c)), F.expr("CAST(count(1) DIV 2 + 1 AS INT)"))

@@ -41,14 +41,25 @@ def inspection(units: DataFrame, routes: DataFrame, regions: DataFrame | None =
 
 
 def render_report(units: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """doc_id, pages, warnings, validation_pass. ``units``: with translation, final_size, warning."""
-    u = F.struct("unit_ord", F.col("unit_id").alias("id"), "kind", F.col("text").alias("source"), "translation", bbox_list(F.col("bbox")).alias("bbox"), F.col("n_lines").alias("original_line_count"), F.col("final_size").alias("final_font_size"), "warning")
-    pages = units.groupBy(*PAGE).agg(F.array_sort(F.collect_list(u)).alias("units"), F.count_if(F.col("warning").isNotNull()).alias("warned"))
+    """doc_id, pages, warnings, validation_pass. ``units``: with translation, final_size, warning, error.
+
+    A unit without a translation stands in the report with its error, and its document does not pass.
+    """
+    u = F.struct("unit_ord", F.col("unit_id").alias("id"), "kind", F.col("text").alias("source"), "translation", bbox_list(F.col("bbox")).alias("bbox"), F.col("n_lines").alias("original_line_count"), F.col("final_size").alias("final_font_size"), "warning", "error")
+    pages = units.groupBy(*PAGE).agg(F.array_sort(F.collect_list(u)).alias("units"), F.count_if(F.col("warning").isNotNull() | F.col("error").isNotNull()).alias("warned"), F.count_if(F.col("error").isNotNull()).alias("lost"))
     check = F.struct("text_count", F.col("text_text").alias("text_text_collisions"), F.col("text_drawing").alias("text_drawing_collisions"), F.col("outside").alias("outside_safe_regions"), "pass", "skipped")
     v = verdicts.select(*PAGE, check.alias("validation"))
     all_pages = page_keys(pages, v).join(pages, PAGE, "left").join(v, PAGE, "left")
-    failed = (~F.coalesce("validation.pass", F.lit(False))).cast("long")
+    failed = ~F.coalesce("validation.pass", F.lit(False))
+    lost = F.coalesce("lost", F.lit(0))
     page = F.struct((F.col("page") + 1).alias("page"), "units", "validation")
     return all_pages.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(page)).alias("pages"), (F.coalesce(F.sum("warned"), F.lit(0)) + F.sum(failed)).alias("warnings"), F.bool_and(F.coalesce("validation.pass", F.lit(False))).alias("validation_pass")
+        F.array_sort(F.collect_list(page)).alias("pages"), (F.coalesce(F.sum("warned"), F.lit(0)) + F.sum(failed.cast("long"))).alias("warnings"), F.bool_and(~failed & (lost == 0)).alias("validation_pass")
     )
+
+
+def summary(reports: DataFrame) -> DataFrame:
+    """line: what a console shows of each document, in order of doc_id."""
+    units = F.aggregate("pages", F.lit(0), lambda n, p: n + F.coalesce(F.size(p["units"]), F.lit(0)))
+    state = F.when(F.col("validation_pass"), "passed").otherwise("failed")
+    return reports.orderBy("doc_id").select(F.format_string("document %s: %d pages, %d units, %d warnings, checks %s", F.col("doc_id").cast("string"), F.size("pages"), units, "warnings", state).alias("line"))

@@ -1,6 +1,6 @@
-"""Translating units: cache, batches, a pluggable translator, and the recovery of what it left out.
+"""Translating units: cache, batches, a pluggable backend, and the recovery of what it left out.
 
-A translator is any object with ``translate(units) -> str``: it gets a list of
+A backend is any object with ``translate(units) -> str``: it gets a list of
 {"id", "kind", "text"} and returns its reply, JSON or prose around JSON.
 """
 
@@ -22,7 +22,7 @@ BATCH, ATTEMPTS, LONGEST_WAIT, DEPTH = 4, 6, 30, 3
 RETRY_STATES = (429, 500, 502, 503, 504)
 
 
-class Translator(Protocol):
+class Backend(Protocol):
     def translate(self, units: list[dict]) -> str: ...
 
 
@@ -34,7 +34,7 @@ class ServiceError(RuntimeError):
         self.status = status
 
 
-class EchoTranslator:
+class EchoBackend:
     """A stand-in without a network: each text in brackets with the language."""
 
     def __init__(self, target: str):
@@ -56,7 +56,7 @@ def lookup(units: DataFrame, cache: DataFrame) -> DataFrame:
 
 def distinct_misses(found: DataFrame) -> DataFrame:
     """One unit per cache key among the misses: the first in order. Equal texts cost one call."""
-    first = F.min_by(F.struct("doc_id", "unit_id", "kind", "text"), F.struct("doc_id", "page", "unit_ord"))
+    first = F.min_by(F.struct("doc_id", "page", "unit_ord", "unit_id", "kind", "text"), F.struct("doc_id", "page", "unit_ord"))
     return found.filter("cached IS NULL").groupBy("cache_key").agg(first.alias("u")).select("cache_key", "u.*")
 
 
@@ -81,14 +81,20 @@ def missing(pending: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def read_reply(reply: str) -> dict[str, str]:
-    """id -> translation of one reply, as ``parse_translations`` reads it."""
+    """id -> translation of one reply, as ``parse_translations`` reads it: as it is, else with missing commas put in."""
     a, b = reply.find("{"), reply.rfind("}")
     if a < 0 or b < a:
         return {}
-    try:
-        items = json.loads(reply[a : b + 1]).get("translations", [])
-    except (json.JSONDecodeError, AttributeError):
+    raw = reply[a : b + 1]
+    for text in (raw, tx.repaired(raw)):
+        try:
+            found, _ = json.JSONDecoder().raw_decode(text)  # what follows a complete object does no harm
+            break
+        except json.JSONDecodeError:
+            continue
+    else:
         return {}
+    items = found.get("translations", [])
     out = {}
     for x in items if isinstance(items, list) else []:
         if isinstance(x, dict):
@@ -99,11 +105,11 @@ def read_reply(reply: str) -> dict[str, str]:
     return out
 
 
-def call(translator: Translator, units: list[dict], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> str:
+def call(backend: Backend, units: list[dict], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> str:
     """One request, tried again with growing waits while the service says so."""
     for n in range(attempts):
         try:
-            return translator.translate(units)
+            return backend.translate(units)
         except ServiceError as e:
             if e.status not in RETRY_STATES or n == attempts - 1:
                 raise
@@ -111,14 +117,14 @@ def call(translator: Translator, units: list[dict], attempts: int = ATTEMPTS, sl
     raise AssertionError("unreachable")
 
 
-def translate_units(translator: Translator, units: list[dict], **options) -> dict[str, str]:
+def translate_units(backend: Backend, units: list[dict], **options) -> dict[str, str]:
     """Translations of a batch. What a reply leaves out is halved and asked again, at last one by one; then it is an error."""
     out: dict[str, str] = {}
     work = [(units, 0)]
     while work:
         part, depth = work.pop()
         known = {u["id"] for u in part}
-        out |= {k: v for k, v in read_reply(call(translator, part, **options)).items() if k in known}
+        out |= {k: v for k, v in read_reply(call(backend, part, **options)).items() if k in known}
         left = [u for u in part if u["id"] not in out]
         if not left:
             continue
@@ -131,33 +137,43 @@ def translate_units(translator: Translator, units: list[dict], **options) -> dic
     return out
 
 
-def translate_misses(misses: DataFrame, translator: Translator, size: int = BATCH) -> DataFrame:
-    """cache_key, doc_id, unit_id, kind, text -> cache_key, translation, error.
+def translate_misses(misses: DataFrame, backend: Backend, size: int = BATCH) -> DataFrame:
+    """cache_key, doc_id, page, unit_ord, kind, text -> cache_key, translation, error.
 
-    Requests of ``size`` units go out where the rows are, in partitions; a
-    failing batch becomes error rows. Write the result before it is read
-    twice: a recomputed partition pays its calls again.
+    Requests hold ``size`` units of a document, in order (``batches``); a failing
+    request becomes error rows. Write the result before it is read: a
+    recomputed partition pays its calls again.
     """
 
+    def ask(rows: list[tuple[str, str, str]]) -> pd.DataFrame:
+        # keys name units in requests: unit ids repeat between documents
+        try:
+            got, error = translate_units(backend, [{"id": k, "kind": kind, "text": t} for k, kind, t in rows]), None
+        except Exception as e:  # noqa: BLE001  whatever a backend raises is that request's error
+            got, error = {}, f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"cache_key": [r[0] for r in rows], "translation": [got.get(r[0]) for r in rows], "error": [error] * len(rows)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
         for pdf in frames:
-            for a in range(0, len(pdf), size):
-                part = pdf.iloc[a : a + size]
-                # keys name units in requests: unit ids repeat between documents
-                asked = [{"id": k, "kind": kind, "text": t} for k, kind, t in zip(part.cache_key, part.kind, part.text)]
-                try:
-                    got, error = translate_units(translator, asked), None
-                except RuntimeError as e:
-                    got, error = {}, str(e)
-                yield pd.DataFrame({"cache_key": part.cache_key, "translation": [got.get(k) for k in part.cache_key], "error": error})
+            for doc_id, batch, *row in zip(pdf.doc_id, pdf.batch, pdf.cache_key, pdf.kind, pdf.text):
+                if held and (doc_id, batch) != at:
+                    yield ask(held)
+                    held = []
+                at = (doc_id, batch)
+                held.append(tuple(row))
+        if held:
+            yield ask(held)
 
-    return misses.select("cache_key", "kind", "text").mapInPandas(run, "cache_key string, translation string, error string")
+    dealt = batches(misses, size).repartition("doc_id", "batch").sortWithinPartitions("doc_id", "batch", "page", "unit_ord")
+    return dealt.select("doc_id", "batch", "cache_key", "kind", "text").mapInPandas(run, "cache_key string, translation string, error string")
 
 
 def resolve(found: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Units of ``lookup`` with translation (and error) from the cache or from ``fresh``."""
-    f = fresh.select("cache_key", F.col("translation").alias("new"), "error")
-    return found.join(f, "cache_key", "left").withColumn("translation", F.coalesce("cached", "new")).drop("new", "cached")
+    """Units of ``lookup`` with translation from the cache or from ``fresh``, or an error."""
+    f = fresh.select("cache_key", F.col("translation").alias("new"), F.col("error").alias("_error"))
+    out = found.join(f, "cache_key", "left").withColumn("translation", F.coalesce("cached", "new"))
+    return out.withColumn("error", F.when(F.col("translation").isNull(), F.coalesce("_error", F.lit("the backend gave no translation")))).drop("new", "cached", "_error")
 
 
 def cache_rows(resolved: DataFrame, source: str, target: str, model: str) -> DataFrame:

@@ -27,6 +27,19 @@ rules AS (
     FROM lines) WHERE x0 IS NOT NULL)"""
 SOURCE = f"source AS (SELECT * FROM lines WHERE {strip('text')} <> '' AND regexp_matches(text, '[A-Za-z\\x{{c0}}-\\x{{ff}}]'))"
 ITEMS = f"items AS (SELECT doc_id, page, ord, {strip('text')} AS text, x0, y0, x1, y1 FROM lines WHERE {strip('text')} <> '')"
+#: Two spans a line: three letters at 20 points, the rest at 10 or 12. The longer one is the line's size, the first of equals.
+STYLED = """
+styled AS (SELECT s.* REPLACE (CASE WHEN ord % 5 = 0 THEN x0 + 30 ELSE x0 END AS x0), CASE WHEN ord % 4 = 3 THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END AS rest FROM source s),
+sized AS (SELECT *, CASE WHEN least(3, length(text)) >= length(text) - 3 THEN 20.0::DOUBLE ELSE rest END AS size FROM styled),
+seq AS (SELECT *, lag(x0) OVER w AS px0, lag(y0) OVER w AS py0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, lag(size) OVER w AS psize, row_number() OVER w - 1 AS k FROM sized WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, ord)),
+starts AS (
+  SELECT *, CASE WHEN px0 IS NOT NULL AND abs(psize - size) <= 0.8 AND (
+      (py0 < 285 AND y0 < 285 AND px1 - px0 > 150 AND (px0 + px1) / 2 > 160 AND (px0 + px1) / 2 < 435 AND x1 - x0 > 150 AND (x0 + x1) / 2 > 160 AND (x0 + x1) / 2 < 435 AND y0 - py1 <= 30)
+      OR (y0 - py1 BETWEEN 3 AND 12 AND NOT (py0 < 215 AND y0 < 215) AND px1 - px0 >= 300 AND x1 - x0 >= 300 AND abs(px0 - x0) <= 25)) THEN 0 ELSE 1 END AS s
+  FROM seq),
+blocks AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS block FROM starts),
+spans AS (SELECT doc_id, page, block, k, 1 AS i, least(3, length(text)) AS n, 20.0::DOUBLE AS size FROM blocks UNION ALL SELECT doc_id, page, block, k, 2, greatest(0, length(text) - 3), rest FROM blocks),
+style AS (SELECT doc_id, page, block, arg_min(size, (-n, k, i)) AS size FROM spans GROUP BY doc_id, page, block)"""
 UNITS = f"""
 seq AS (SELECT *, lag(x0) OVER w AS px0, lag(y0) OVER w AS py0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, row_number() OVER w - 1 AS k FROM source WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, ord)),
 starts AS (
@@ -45,7 +58,9 @@ units AS (
       WHEN n_lines >= 3 AND widest >= 267.75 THEN 'paragraph' WHEN length(t) < 90 THEN 'label' ELSE 'paragraph' END AS kind
   FROM agg)"""
 KEYS = "keyed AS (SELECT doc_id, text, sha256('v9-tablecells|French|English|m|' || text) AS cache_key FROM documents WHERE text IS NOT NULL)"
-CACHE = "cache AS (SELECT cache_key, CASE WHEN min(doc_id) % 20 = 0 THEN '' ELSE 'T: ' || any_value(text) END AS translation FROM keyed WHERE doc_id % 2 = 0 GROUP BY cache_key)"
+CACHE = """
+old AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '?' END AS text FROM documents WHERE text IS NOT NULL),
+cache AS (SELECT sha256('v9-tablecells|French|English|m|' || text) AS cache_key, CASE WHEN min(doc_id) % 20 = 0 THEN '' ELSE 'T: ' || text END AS translation FROM old GROUP BY text)"""
 QUALITY = f"""
 q AS (
   SELECT doc_id, page, CAST(sum(length(t)) AS BIGINT) AS chars, count(*) FILTER (t <> '') AS lines, least(1.0, sum(a) / (595.0::DOUBLE * 842.0::DOUBLE)) AS area_ratio,
@@ -104,7 +119,7 @@ def oracle_sql() -> dict[str, str]:
         "cache_keys": _with(KEYS) + "SELECT doc_id, cache_key FROM keyed",
         "cache_hit_miss": _with(KEYS, CACHE) + "SELECT doc_id, coalesce(translation, '') <> '' AS hit, sha256(nullif(translation, '')) AS cached_sha FROM keyed LEFT JOIN cache USING (cache_key)",
         "call_batches": _with(LINES, SOURCE, UNITS) + "SELECT doc_id, unit_id, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY page, unit_ord) - 1) // 4 AS INT) AS batch FROM units",
-        "cache_upsert": _with(KEYS, CACHE, "new AS (SELECT cache_key, 'new ' || max(doc_id) AS translation FROM keyed WHERE doc_id % 3 = 0 GROUP BY cache_key)")
+        "cache_upsert": _with(KEYS, CACHE, "new AS (SELECT cache_key, 'new ' || max(doc_id) AS translation FROM keyed GROUP BY cache_key)")
         + "SELECT cache_key, sha256(coalesce(new.translation, cache.translation)) AS translation_sha FROM cache FULL JOIN new USING (cache_key)",
         "dedupe_savings": "SELECT count(*) AS units, count(DISTINCT text) AS calls FROM documents",
         "missing_ids": _with(LINES, SOURCE, UNITS) + "SELECT doc_id, unit_id FROM units WHERE unit_id LIKE '%3'",
@@ -126,7 +141,7 @@ SELECT doc_id, page, a, b, round(area, 6) AS area FROM p WHERE area > 0.4 AND ar
         "document_verdict": _with(LINES, RULES, ITEMS, CROSSINGS, OUTSIDE, VERDICT) + "SELECT doc_id, count(*) AS pages, bool_and(pass) AS validation_pass, count(*) FILTER (NOT pass) AS warnings FROM verdicts GROUP BY doc_id",
         "table_grids": _with(LINES, GRIDS)
         + "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY top) - 1 AS INT) AS grid_ord, round(top, 6) AS top, round(bottom, 6) AS bottom, CAST(3 AS INT) AS n_xs, 50.3::DOUBLE AS x_first FROM bands JOIN reach USING (doc_id, page) WHERE bottom - top >= 12 AND 36 <= top + 2 AND y1 >= bottom - 2",
-        "region_page_boxes": "SELECT * FROM (VALUES (0, 120.0::DOUBLE, 240.0::DOUBLE, 220.0::DOUBLE, 340.0::DOUBLE), (1, -2.5, 2.5, 45.0, 50.0)) t(id, p_x0, p_y0, p_x1, p_y1)",
+        "region_page_boxes": "SELECT * FROM (VALUES (0, 60.0::DOUBLE, 85.0::DOUBLE, 160.0::DOUBLE, 135.0::DOUBLE), (1, -2.5, 2.5, 45.0, 50.0)) t(id, p_x0, p_y0, p_x1, p_y1)",
         "json_repair": "SELECT * FROM (VALUES (1, 'a', 'A'), (2, 'b', 'B'), (3, 'c', 'C'), (3, 'd', 'D'), (7, 'e', '2')) t(doc_id, unit_id, translation)",
         "image_regions": """SELECT * FROM (VALUES ('p1_img7_0_r1', 10.0::DOUBLE, 10.0::DOUBLE, 60.0::DOUBLE, 40.0::DOUBLE, 'a', 'A', 1.0::DOUBLE), ('p1_img7_0_r2', 20.0, 20.0, 90.0, 50.0, 'd', 'D', 0.0),
   ('p1_img7_1_r1', 220.0, 20.0, 320.0, 80.0, 'a', 'A', 1.0), ('p1_img7_1_r2', 240.0, 40.0, 380.0, 100.0, 'd', 'D', 0.0)) t(region_id, x0, y0, x1, y1, source_text, translation, confidence)""",
@@ -143,6 +158,25 @@ FROM p, c GROUP BY id""",
         "page_components": _with(LINES, RULES, SOURCE, UNITS)
         + """, u AS (SELECT doc_id, page, count(*) AS n FROM units GROUP BY doc_id, page), r AS (SELECT doc_id, page, count(*) AS n FROM rules GROUP BY doc_id, page)
 SELECT l.doc_id, l.page, l.n AS lines, coalesce(u.n, 0) AS units, coalesce(r.n, 0) AS rules FROM (SELECT doc_id, page, count(*) AS n FROM lines GROUP BY doc_id, page) l LEFT JOIN u USING (doc_id, page) LEFT JOIN r USING (doc_id, page)""",
+        "styled_units": _with(LINES, SOURCE, STYLED)
+        + f"""SELECT doc_id, printf('p%d_u%03d', page + 1, CAST(block + 1 AS INT)) AS unit_id, CAST(count(*) AS INT) AS n_lines, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, any_value(st.size) AS size,
+  sha256({strip("string_agg(text, chr(10) ORDER BY k)")}) AS text_sha FROM blocks JOIN style st USING (doc_id, page, block) GROUP BY doc_id, page, block""",
+        "page_images": _with(LINES, QUALITY, "n AS (SELECT doc_id, page, CASE WHEN count(*) <= 3 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS image_ratio FROM lines GROUP BY doc_id, page)")
+        + """SELECT doc_id, page, round(image_ratio, 6) AS image_ratio, CASE WHEN image_ratio >= 0.72 AND chars < 80 THEN 'full-page'
+  WHEN chars < 20 OR (chars < 80 AND image_ratio > 0.45 AND score < 0.75) THEN 'ocr' ELSE 'native' END AS mode FROM scored JOIN n USING (doc_id, page)""",
+        "drawn_grids": _with(LINES, GRIDS)
+        + "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY top) - 1 AS INT) AS grid_ord, round(top, 6) AS top, round(bottom, 6) AS bottom, CAST(3 AS INT) AS n_xs, 50.3::DOUBLE AS x_first FROM bands JOIN reach USING (doc_id, page) WHERE bottom - top >= 12 AND 36 <= top + 2 AND y1 >= bottom - 2",
+        "run_report": _with(LINES, SOURCE, UNITS)
+        + "SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS units, CAST(sum(length(text) + 5) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS lost FROM units GROUP BY doc_id",
+        "merged_rows": _with(LINES, f"w AS (SELECT doc_id, page, ord, y0, y1, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM lines)")
+        + """SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0) - 1 AS INT) AS ord, sha256(array_to_string(w, ' ')) AS text_sha, CAST(len(w) AS INT) AS n_spans,
+  50.0::DOUBLE AS x0, y0, 50.0::DOUBLE + (len(w) - 1) * 40 + 30 AS x1, y1 FROM w WHERE len(w) > 0""",
+        "ocr_codes": """SELECT i, code, pack, 'auto' AS mode FROM (VALUES (0, 'japan', 'jpn+eng'), (1, 'latin', 'eng'), (2, 'chinese', 'chi_tra+eng'), (3, 'korean', 'kor+eng'), (4, 'latin', 'eng'), (5, 'latin', 'eng'), (6, 'latin', 'eng'), (7, 'latin', 'eng'),
+  (8, 'latin', 'eng'), (9, 'latin', 'eng'), (10, 'arabic', 'ara+eng'), (11, 'hindi', 'hin+eng'), (12, 'tamil', 'tam+eng'), (13, 'telugu', 'tel+eng'), (14, 'malayalam', 'mal+eng'), (15, 'kannada', 'kan+eng'), (16, 'thai', 'tha+eng'), (17, 'latin', 'eng'),
+  (18, 'latin', 'eng'), (19, 'latin', 'eng'), (20, 'latin', 'eng'), (21, 'ch', 'chi_sim+eng'), (22, 'chinese', 'chi_tra+eng'), (23, 'latin', 'eng'), (24, 'latin', 'eng')) t(i, code, pack)""",
+        "recognized_text": """SELECT * FROM (VALUES (1::BIGINT, 0, 0, 'y', 2.5::DOUBLE, 2.5::DOUBLE, 25.0::DOUBLE, 7.5::DOUBLE, NULL::DOUBLE), (1, 0, 1, 'x', 5.0, 10.0, 30.0, 20.0, NULL),
+  (2, 0, 0, 'hi', 5.0, 5.0, 15.0, 10.0, 0.426667), (2, 0, 1, 'end', 2.5, 20.0, 17.5, 25.0, 0.426667)) t(doc_id, page, ord, text, x0, y0, x1, y1, confidence)""",
+        "extractor_payload": """SELECT * FROM (VALUES (1::BIGINT, 0, 0, 'a b', 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE, 2, 10.0::DOUBLE), (1, 0, 3, '日本', 5.0, 6.0, 7.0, 8.0, 2, 10.0)) t(doc_id, page, ord, text, x0, y0, x1, y1, n_spans, first_size)""",
         "inspection_report": _with(LINES, SOURCE, UNITS)
         + "SELECT l.doc_id, l.n AS pages, coalesce(u.n, 0) AS n_units FROM (SELECT doc_id, count(DISTINCT page) AS n FROM lines GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u USING (doc_id)",
     }

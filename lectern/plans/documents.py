@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fit, grids, lines, qa, quality, report, segment, translate
+from ..sources import sinks
+from ..sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -42,22 +44,39 @@ def inspect(page_lines: DataFrame, options: Options = Options(), rules: DataFram
     return report.inspection(units_of(page_lines, options, rules), routes)
 
 
-def translated_units(units: DataFrame, translator: translate.Translator, options: Options, cache: DataFrame | None = None) -> DataFrame:
-    """Units with translation. Without a cache in use, nothing is looked up."""
+def translated_units(units: DataFrame, backend: translate.Backend, options: Options, cache: DataFrame | None = None) -> DataFrame:
+    """Units with translation, or with error: a written table. Each distinct miss is asked for once. Without a cache in use, nothing is looked up."""
     keyed = translate.with_keys(units, options.source_language, options.target_language, options.model)
     if cache is not None and options.use_cache:
         found = translate.lookup(keyed, cache)
     else:
         found = keyed.withColumn("cached", F.lit(None).cast("string"))
-    return translate.resolve(found, translate.translate_misses(translate.distinct_misses(found), translator))
+    found = written(found, "found")
+    fresh = written(translate.translate_misses(translate.distinct_misses(found), backend), "fresh")
+    return written(translate.resolve(found, fresh), "resolved")
 
 
-def translate_documents(page_lines: DataFrame, translator: translate.Translator, options: Options = Options(), rules: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """The report of a run: sizes and lines of every unit, and the checks of the planned pages."""
+def translate_documents(
+    page_lines: DataFrame, backend: translate.Backend, options: Options = Options(), rules: DataFrame | None = None, cache: DataFrame | None = None, cache_root: str | None = None
+) -> DataFrame:
+    """The report of a run: sizes and lines of every unit, and the checks of the planned pages.
+
+    Units that stay without a translation are in it with their error, and their
+    document does not pass. With ``cache_root``, the cache and what is new go
+    there as its next version. A run with nothing to translate is an error.
+    """
     options.check()
-    resolved = translated_units(units_of(page_lines, options, rules), translator, options, cache).filter("translation IS NOT NULL")
-    placed = resolved.join(fit.plan_fit(resolved, options.min_font_scale), ["doc_id", "page", "unit_id"])
-    items = qa.rendered(placed.select("doc_id", "page", F.xxhash64("unit_id").alias("ord"), F.col("translation").alias("text"), "bbox"))
+    resolved = translated_units(units_of(page_lines, options, rules), backend, options, cache)
+    if resolved.isEmpty():
+        raise ValueError("there is nothing to translate")
+    if cache_root is not None:
+        rows = translate.cache_rows(resolved, options.source_language, options.target_language, options.model)
+        old = cache if cache is not None else rows.drop("ord").limit(0)
+        sinks.write_cache(page_lines.sparkSession, sinks.upsert(old, rows), cache_root)
+    there = resolved.filter("translation IS NOT NULL")
+    placed = written(resolved.join(fit.plan_fit(there, options.min_font_scale), ["doc_id", "page", "unit_id"], "left"), "placed")
+    items = qa.rendered(placed.filter("translation IS NOT NULL").select("doc_id", "page", F.xxhash64("unit_id").alias("ord"), F.col("translation").alias("text"), "bbox"))
     crossings = qa.rule_crossings(items, rules) if rules is not None else items.filter("false").select("doc_id", "page")
-    verdicts = qa.page_verdicts(items, qa.text_collisions(items), crossings, qa.outside_safe(items, qa.expected_regions(placed)))
+    expected = qa.expected_regions(placed.filter("translation IS NOT NULL"))
+    verdicts = qa.page_verdicts(items, qa.text_collisions(items), crossings, qa.outside_safe(items, expected))
     return report.render_report(placed, verdicts)

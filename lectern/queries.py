@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .functions import geometry as geo
 from .functions import text as tx
 from .operators import catalog, fit, grids, lines, qa, quality, regions, report, segment, translate
-from .plans.documents import Options, inspect
-from .sources import sinks
+from .plans.documents import Options, inspect, translate_documents
+from .sources import sinks, visuals
 from .sources.tables import mean_confidence, raw_lines, recognized_lines, recognized_words, synthetic_lines, synthetic_rules, table
 
 LATIN, SOURCE, TARGET, MODEL = "English", "French", "English", "m"
@@ -39,13 +39,38 @@ def _whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
-    """Half of the documents, every tenth of them with an empty text."""
-    keyed = translate.with_keys(_whole(spark, d).filter("doc_id % 2 = 0"), SOURCE, TARGET, MODEL)
+    """A row for each document: of those with an odd id under another text, so that they are misses; every tenth of the others with an empty text."""
+    changed = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("?")))
+    keyed = translate.with_keys(_whole(spark, d).filter("text IS NOT NULL").withColumn("text", changed), SOURCE, TARGET, MODEL)
     rows = keyed.groupBy("cache_key").agg(F.first("text").alias("source_text"), F.min("doc_id").alias("i"))
     done = F.when(F.col("i") % 20 == 0, "").otherwise(F.concat(F.lit("T: "), "source_text"))
     return rows.select("cache_key", "source_text", F.lit(SOURCE).alias("source_language"), F.lit(TARGET).alias("target_language"), F.lit(MODEL).alias("model"), done.alias("translation"))
 
 
+def _styled(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of two spans each, of several sizes and left edges."""
+    ln, b = _lines(spark, d), F.col("bbox")
+    x0 = F.when(F.col("ord") % 5 == 0, b["x0"] + 30).otherwise(b["x0"])
+    bb = geo.box(x0, b["y0"], b["x1"], b["y1"])
+    size = F.when(F.col("ord") % 4 == 3, 12.0).otherwise(10.0)
+    span = lambda t, s: F.struct(t.alias("text"), bb.alias("bbox"), F.lit("F").alias("font"), s.alias("size"), F.lit(0).alias("color"), F.lit(0).alias("flags"))
+    return ln.select("doc_id", "page", "ord", "text", bb.alias("bbox"), F.array(span(F.substring("text", 1, 3), F.lit(20.0)), span(F.expr("substr(text, 4)"), size)).alias("spans"))
+
+
+def _pages(spark: SparkSession, d: str, rules: DataFrame | None = None) -> DataFrame:
+    """Pages with what an extractor says of their images, and of the drawings in ``rules``: an image over four fifths of a page with three lines or fewer, over half of the others."""
+    share = F.when(F.count(F.lit(1)) <= 3, 0.8).otherwise(0.5)
+    pages = _lines(spark, d).groupBy("doc_id", "page").agg(share.alias("share"))
+    rect = lambda *v: F.array(*[x.cast("double") for x in v])
+    image = F.struct(F.lit(7).alias("xref"), F.lit("png").alias("ext"), F.lit(10).alias("width"), F.lit(10).alias("height"), F.lit("AAAA").alias("data"), F.array(rect(F.lit(0), F.lit(0), F.lit(595), 842 * F.col("share"))).alias("rects"))
+    pages = pages.select("doc_id", "page", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), F.array(image).alias("images"))
+    if rules is None:
+        return pages.withColumn("visuals", F.to_json(F.struct("images")))
+    b = F.col("bbox")
+    drawn = rules.groupBy("doc_id", "page").agg(F.collect_list(F.struct(rect(b["x0"], b["y0"], b["x1"], b["y1"]).alias("rect"))).alias("drawings"))
+    return pages.join(drawn, ["doc_id", "page"], "left").withColumn("visuals", F.to_json(F.struct("images", "drawings")))
+
+
 def source_lines_by_lang(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang")
     kept = _lines(spark, d).withColumn("ok", tx.is_source_text(F.col("text"), LATIN)).join(docs, "doc_id")
@@ -97,7 +122,7 @@ def call_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
-    keyed = translate.with_keys(_whole(spark, d).filter("doc_id % 3 = 0"), SOURCE, TARGET, MODEL)
+    keyed = translate.with_keys(_whole(spark, d).filter("text IS NOT NULL"), SOURCE, TARGET, MODEL)
     new = keyed.select("cache_key", F.col("text").alias("source_text"), F.lit(SOURCE).alias("source_language"), F.lit(TARGET).alias("target_language"), F.lit(MODEL).alias("model"), F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("translation"), F.col("doc_id").alias("ord"))
     return sinks.upsert(_cache(spark, d), new).select("cache_key", F.sha2("translation", 256).alias("translation_sha"))
 
@@ -190,7 +215,7 @@ def merged_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "page", "ord", F.sha2("text", 256).alias("text_sha"), F.size("spans").alias("n_spans"), "bbox.*")
 
 
-_REGIONS = "SELECT * FROM VALUES (0, 100D, 200D, 300D, 400D, 1000, 1000, array('100', '200', '600', '700')), (1, 0D, 0D, 50D, 50D, 100, 200, array('90', '10', '-5', '400')), (2, 0D, 0D, 10D, 10D, 100, 100, array('1', '1', '2', '50')), (3, 0D, 0D, 10D, 10D, 100, 100, array('1', 'x', '2', '50')) AS t(id, x0, y0, x1, y1, w, h, px)"
+_REGIONS = "SELECT * FROM VALUES (0, 40D, 60D, 240D, 160D, 800, 400, array('80', '100', '480', '300')), (1, 0D, 0D, 50D, 50D, 100, 200, array('90', '10', '-5', '400')), (2, 0D, 0D, 10D, 10D, 100, 100, array('1', '1', '2', '50')), (3, 0D, 0D, 10D, 10D, 100, 100, array('1', 'x', '2', '50')) AS t(id, x0, y0, x1, y1, w, h, px)"
 
 
 def region_page_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -291,11 +316,35 @@ def inspection_report(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.size("extraction").cast("long").alias("pages"), F.coalesce(F.size("units"), F.lit(0)).cast("long").alias("n_units"))
 
 
+def styled_units(spark: SparkSession, d: str) -> DataFrame:
+    return segment.segment(_styled(spark, d), LATIN).select("doc_id", "unit_id", "n_lines", "bbox.*", "size", F.sha2("text", 256).alias("text_sha"))
+
+
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    """Routes of pages with images, where there is a recognition engine and an image editor."""
+    q = quality.page_quality(_lines(spark, d), visuals.page_areas(_pages(spark, d)))
+    return quality.route(q, ocr=True, can_edit=True).select("doc_id", "page", F.round("image_ratio", 6).alias("image_ratio"), "mode")
+
+
+def drawn_grids(spark: SparkSession, d: str) -> DataFrame:
+    """``table_grids`` from the drawings that an extractor gives."""
+    g = grids.detect_grids(visuals.drawings(_pages(spark, d, _tables(spark, d)[1])))
+    return g.select("doc_id", "page", "grid_ord", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"), F.size("xs").alias("n_xs"), F.round(F.get("xs", 0), 6).alias("x_first"))
+
+
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run over all documents, with a backend that echoes."""
+    out = translate_documents(_lines(spark, d), translate.EchoBackend("de"), Options(LATIN, "German"))
+    each = F.flatten(F.transform("pages", lambda p: p["units"]))
+    chars = F.aggregate(each, F.lit(0).cast("long"), lambda n, u: n + F.length(u["translation"]))
+    return out.select("doc_id", F.size("pages").cast("long").alias("pages"), F.size(each).cast("long").alias("units"), chars.alias("chars"), F.size(F.filter(each, lambda u: u["error"].isNotNull())).cast("long").alias("lost"))
+
+
 FUNCTIONS = [
     source_lines_by_lang, page_quality_score, extraction_route, document_profile, paragraph_units, unit_kinds, dominant_style, cache_keys, cache_hit_miss, call_batches, cache_upsert,
     dedupe_savings, missing_ids, text_collisions, rule_crossings, outside_safe, uncovered_lines, decoration_rules, page_verdict, document_verdict, table_grids, grid_cells, merged_rows,
     region_page_boxes, json_repair, image_regions, fit_plan, model_catalog, image_model_catalog, target_languages, aspect_ratios, ocr_codes, recognized_text, extractor_payload, page_boxes,
-    page_components, inspection_report,
+    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report,
 ]
 
 

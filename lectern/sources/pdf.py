@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Iterator
 
@@ -16,13 +17,22 @@ def available() -> bool:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """file, page, width, height, text, image_count, drawing_count, raw (JSON of the text blocks): a row per page.
+    """file, page, width, height, text, image_count, drawing_count, raw (JSON of the text blocks), visuals (JSON of images
+    and drawings, see ``visuals``): a row per page.
 
     Files are read by Spark, a partition of files at a time; bytes are not shuffled.
     """
     if not available():
         raise RuntimeError("reading PDF files needs the pymupdf package on all executors")
 
+    def visuals(doc, page) -> str:
+        found = []
+        for info in page.get_images(full=True):
+            got = doc.extract_image(info[0]) or {}
+            data = base64.b64encode(got.get("image") or b"").decode()
+            found.append({"xref": info[0], "ext": got.get("ext"), "width": got.get("width"), "height": got.get("height"), "data": data, "rects": [list(r) for r in page.get_image_rects(info[0])]})
+        return json.dumps({"images": found, "drawings": [{"rect": list(d["rect"]) if d.get("rect") else None} for d in page.get_drawings()]})
+
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pymupdf
 
@@ -30,10 +40,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 with pymupdf.open(stream=content, filetype="pdf") as doc:
                     rows = [
-                        (path, i + 1, p.rect.width, p.rect.height, p.get_text("text"), len(p.get_images(full=True)), len(p.get_drawings()), json.dumps(p.get_text("dict"), default=str))
+                        (path, i + 1, p.rect.width, p.rect.height, p.get_text("text"), len(p.get_images(full=True)), len(p.get_drawings()), json.dumps(p.get_text("dict"), default=str), visuals(doc, p))
                         for i, p in enumerate(doc)
                     ]
-                yield pd.DataFrame(rows, columns=["file", "page", "width", "height", "text", "image_count", "drawing_count", "raw"])
+                yield pd.DataFrame(rows, columns=["file", "page", "width", "height", "text", "image_count", "drawing_count", "raw", "visuals"])
 
-    schema = "file string, page int, width double, height double, text string, image_count int, drawing_count int, raw string"
+    schema = "file string, page int, width double, height double, text string, image_count int, drawing_count int, raw string, visuals string"
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(pages, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schemas import CACHE
+
 
 def upsert(cache: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
     """The cache after the rows of ``new`` replaced those with equal keys; of equal new keys the last by ``order`` wins."""
@@ -22,13 +24,23 @@ def write_cache(spark: SparkSession, cache: DataFrame, root: str) -> str:
     return path
 
 
+def latest_cache(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest version of the cache under ``root``, or None."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    versions = sorted((int(n[1:]), n) for n in names if n[:1] == "v" and n[1:].isdigit())
+    return spark.read.schema(CACHE).parquet(f"{root.rstrip('/')}/{versions[-1][1]}") if versions else None
+
+
 def newest_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def write_reports(reports: DataFrame, path: str, pretty: bool = True) -> None:
-    """One JSON text per report row, in UTF-8."""
+def write_reports(reports: DataFrame, path: str, pretty: bool = False) -> None:
+    """One JSON text per report row, in UTF-8; on one line unless ``pretty``."""
     options = {"pretty": "true"} if pretty else {}
     reports.select(F.to_json(F.struct("*"), options).alias("value")).write.mode("overwrite").text(path)

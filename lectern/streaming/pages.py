@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,13 +33,16 @@ def events_per_window(events: DataFrame, window: str = "10 minutes", late: str =
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("w.start", "event_type", "n", "total")
 
 
-def upsert_stream(rows: DataFrame, root: str, checkpoint: str, current: Callable[[], DataFrame | None]) -> StreamingQuery:
-    """Each micro-batch of cache rows makes a new version of the cache under ``root``."""
+def upsert_stream(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch adds its rows to the cache under ``root`` as a delta; a repeated epoch overwrites its own."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = current()
-        before = before if before is not None else spark.createDataFrame([], CACHE)
-        sinks.upsert(before, batch).write.mode("overwrite").parquet(f"{root}/v{epoch}")
+        batch.select(*CACHE.names, F.lit(epoch).cast("long").alias("ord")).write.mode("overwrite").parquet(f"{root}/delta/epoch={epoch}")
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def compact(spark: SparkSession, root: str, cache: DataFrame | None = None) -> DataFrame:
+    """The cache after all deltas under ``root``, later ones first; write it as the next version from time to time."""
+    old = cache if cache is not None else spark.createDataFrame([], CACHE)
+    return sinks.upsert(old, spark.read.parquet(f"{root}/delta").drop("epoch"))
