@@ -70,6 +70,22 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return out
 
 
+def sparing(f: Callable) -> Callable:
+    """A function of groups that gives memory back once a group is through, when nothing holds its arrays any more."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        found = f(rows)
+        give_back()
+        return found
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = f(left, right)
+        give_back()
+        return found
+
+    return one if f.__code__.co_argcount == 1 else two  # Spark looks at the number of arguments
+
+
 def slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with at most ``most_bytes`` each, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ._bpe import frugal, give_back
+from ._bpe import frugal, sparing
 from ._store import Scratch, hash_sample
 
 
@@ -171,15 +171,13 @@ def deepen(data: DataFrame, dims: int, w: np.ndarray, top: np.ndarray, upper: in
 
     def cut(rows: pa.Table) -> pa.Table:
         p = np.stack([np.frombuffer(x.as_py(), np.float32) for x in rows["p"]])
-        out = pa.table({"tree": rows["tree"][:1], "node": rows["node"][:1], "cuts": pa.array([medians(p).tobytes()], pa.binary())})
-        give_back()
-        return out
+        return pa.table({"tree": rows["tree"][:1], "node": rows["node"][:1], "cuts": pa.array([medians(p).tobytes()], pa.binary())})
 
     lot = F.pmod(F.xxhash64(F.lit("cuts"), "vec_id", "embedding"), F.lit(1 << 30))
     chosen = data.select("vec_id", "embedding", lot.alias("lot")).mapInArrow(frugal(choose), "tree int, node long, p binary")
     cuts = np.zeros((trees, 1 << depth), np.float32)
     cuts[:, : 1 << upper] = top
-    for r in chosen.groupBy("tree", "node").applyInArrow(cut, "tree int, node long, cuts binary").toLocalIterator():
+    for r in chosen.groupBy("tree", "node").applyInArrow(sparing(cut), "tree int, node long, cuts binary").toLocalIterator():
         sub = np.frombuffer(r["cuts"], np.float32)
         for level in range(lower):
             n = 1 << level

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bpe import frugal, give_back, slices
+from ._bpe import frugal, slices, sparing
 from ._components import components
 from ._store import Scratch, small_enough
 from ._words import ASCII_SPACE, finish, lowered, word_hashes
@@ -159,7 +159,7 @@ def _levels(packed: DataFrame, bits: int) -> DataFrame:
         ends = np.append(starts[1:], len(tokens))
         press = zstandard.ZstdCompressor(level=1)
         pack = rows["pack"][0].as_py()
-        out = pa.table(
+        return pa.table(
             {
                 "pack": pa.array([pack] * len(starts), pa.int32()),
                 "bucket": pa.array(bucket[starts]),
@@ -167,8 +167,6 @@ def _levels(packed: DataFrame, bits: int) -> DataFrame:
                 "counts": pa.array([press.compress(counts[a:z].astype(np.uint32).tobytes()) for a, z in zip(starts, ends)], pa.binary()),
             }
         )
-        give_back()
-        return out
 
     def answer(rows: pa.Table) -> pa.Table:
         subs = [np.frombuffer(x.as_py(), np.uint32) for x in rows["subs"]]
@@ -178,12 +176,10 @@ def _levels(packed: DataFrame, bits: int) -> DataFrame:
         level = levels_of(np.bincount(at, counts)[at])
         ends = np.cumsum(list(map(len, subs)))
         told = [press.compress(level[z - len(s) : z].tobytes()) for s, z in zip(subs, ends)]
-        out = pa.table({"pack": rows["pack"], "bucket": rows["bucket"], "levels": pa.array(told, pa.binary())})
-        give_back()
-        return out
+        return pa.table({"pack": rows["pack"], "bucket": rows["bucket"], "levels": pa.array(told, pa.binary())})
 
-    asked = packed.groupBy("pack").applyInArrow(ask, "pack int, bucket long, subs binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "pack int, bucket long, levels binary")
+    asked = packed.groupBy("pack").applyInArrow(sparing(ask), "pack int, bucket long, subs binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(sparing(answer), "pack int, bucket long, levels binary")
 
 
 def adaptive_prefix(s: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -234,10 +230,9 @@ def _prefixes(packed: DataFrame, levels: DataFrame, num: int, den: int) -> DataF
         docs = docs.select(plain)
         for name, kind in (("tokens", pa.binary()), ("ell", pa.int16()), ("prefix", pa.binary()), ("layers", pa.binary())):
             docs = docs.append_column(name, pa.nulls(len(docs), kind))
-        give_back()
         return pa.concat_tables([docs, sets.cast(docs.schema)])
 
-    return packed.groupBy("pack").cogroup(levels.groupBy("pack")).applyInArrow(choose, schema)
+    return packed.groupBy("pack").cogroup(levels.groupBy("pack")).applyInArrow(sparing(choose), schema)
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -428,7 +423,7 @@ def _members(sets: DataFrame, clustered: DataFrame) -> DataFrame:
     return rows.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls", "block", "copies", "ell", "tokens", "prefix", "layers")
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long_list: int = 16, pack_bytes: int = 16 << 20, block_shingles: int = 3_000_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long_list: int = 16, pack_bytes: int = 8 << 20, block_shingles: int = 3_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, class_id, group_id of every row of ``docs``.
 
     Two documents link when den * |intersection| >= num * |union|.

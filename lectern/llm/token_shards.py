@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: i
         pending = 0
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 20):
                 flat, n = enc.encode(batch.column(1).slice(a, b - a))
                 ends = np.cumsum(n)
                 flat = flat.astype(f"<u{width}")
