@@ -17,11 +17,15 @@ import functools
 import json
 import os
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 OTHER, LETTER, NUMBER, SPACE, UNSURE = 0, 1, 2, 3, 4
 #: What follows an apostrophe as a piece of its own.
 SUFFIXES = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
@@ -168,14 +172,20 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new[:n]), unsure
 
 
+@functools.lru_cache(maxsize=1)
+def library(path: str) -> Tokenizer:
+    """The library's tokenizer, once for each process: every load leaves some megabytes behind that are never given back."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """Encodes batches of texts with a memo of ``1 << bits`` pieces and at most ``most_ids`` ids."""
 
     def __init__(self, path: str, bits: int = 20, most_ids: int = 4_000_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = library(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         cutter = self.tokenizer.pre_tokenizer
         self.known = cutter is not None and self.tokenizer.normalizer is None and json.loads(cutter.__getstate__()) == CUTTER
