@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, chat_format, decontamination, html_extract, language_id, mixing, ngram_join, token_lengths, token_shards, toxicity
+from . import ann_forest, chat_format, decontamination, html_extract, language_id, minhash, mixing, ngram_join, source_audit, token_lengths, token_shards, toxicity, vector_codes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(_read(spark, sf_dir, "documents"))
+    return ngram_join.join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    return vector_codes.encode(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_mixing, op4_language_id, op5_ann_forest, op6_chat_format, op7_decontamination, op8_html_extraction, op9_token_shards, op10_toxicity)}
+    found = (op1_token_counts, op2_ngram_join, op3_mixing, op4_language_id, op5_ann_forest, op6_chat_format, op7_decontamination, op8_html_extraction, op9_token_shards, op10_toxicity)
+    return {f.__name__: f for f in (*found, op11_vector_codes, op12_source_audit, op13_minhash)}
 
 
 #: Reads the same turns straight from the table; the length counts the control
@@ -147,5 +161,86 @@ FROM d LEFT JOIN h USING (k) LEFT JOIN it USING (k)
 """
 
 
+#: Sets of shingles joined shingle by shingle, links followed to all that they reach.
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM d),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= {least} * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k, k AS o FROM d UNION SELECT r.k, e.b FROM r JOIN e ON r.o = e.a),
+m AS (SELECT r.k, min(d.doc_id) AS c FROM r JOIN d ON r.o = d.k GROUP BY r.k),
+t AS (SELECT a AS k, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, {more}
+FROM d JOIN m USING (k) LEFT JOIN n USING (k) LEFT JOIN t USING (k)
+"""
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry of its codebook, in integers."""
+    square = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p.part, min({{'d': {square}, 'e': entry}}) AS m FROM p JOIN b{k} b ON p.part = b.part GROUP BY r, p.part)")
+        if k < rounds:
+            steps.append(
+                f"s{k} AS (SELECT a.part, m.e AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{k} a JOIN p USING (r, part), range(1, (SELECT max(len(x)) FROM p) + 1) t(i) GROUP BY ALL),\n"
+                f"n{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{k} GROUP BY ALL),\n"
+                f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.x, o.x) AS x FROM b{k} o LEFT JOIN n{k} n USING (part, entry))"
+            )
+    chain = ",\n".join(steps)
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT r, part, list_transform(v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}], lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM k, range({parts}) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM p WHERE r <= {entries}),
+{chain},
+o AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM b{rounds}, range(1, (SELECT max(len(x)) FROM p) + 1) t(i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN o USING (r), h
+"""
+
+
+#: All kept terms of all groups, dense.
+_AUDIT_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS MATERIALIZED (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+f AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM f),
+q AS (
+  SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM f GROUP BY ALL)),
+v AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN (
+    SELECT x.lang, x.source AS s1, y.source AS s2, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source != y.source GROUP BY ALL) s ON s.lang = a.lang AND s.s1 = a.source AND s.s2 = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM v)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": _CHAT_SQL, "op7_decontamination": _DECONTAMINATION_SQL}
+    return {
+        "op2_ngram_join": _NEAR_SQL.format(least=80, more="CAST(coalesce(n_links, 0) AS BIGINT) AS n_links"),
+        "op6_chat_format": _CHAT_SQL,
+        "op7_decontamination": _DECONTAMINATION_SQL,
+        "op11_vector_codes": _codes_sql(),
+        "op12_source_audit": _AUDIT_SQL,
+        "op13_minhash": _NEAR_SQL.format(least=85, more="doc_id IS NOT DISTINCT FROM c AS kept"),
+    }
