@@ -52,6 +52,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Values of a hash that a share is taken of: so many that no language is too large for one.
+HASHES = 1 << 62
+
+
+def hash_share(n: int, wanted: int) -> int:
+    """How many of ``HASHES`` values let about ``wanted`` of ``n`` rows through, and never none."""
+    return HASHES if n <= wanted else max(1, HASHES * wanted // n)
+
+
 def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     """At most ``n`` rows, those with the smallest hashes of ``key``.
 

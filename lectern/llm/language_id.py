@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bpe import frugal, slices
-from ._store import small_batches
+from ._store import HASHES, hash_share, small_batches
 from ._words import WORD_BYTE, lowered
 
 ORDERS = (1, 2, 3, 4)
@@ -157,9 +157,9 @@ def training_sample(labelled: DataFrame, per_lang: int, sample_bytes: int) -> tu
     found = rows.groupBy("lang").agg(F.count_if(size <= sample_bytes).alias("n"), F.min(size).alias("least")).collect()  # one row per language
     if not found:
         return [], []
-    entry = lambda r: (F.lit(r["lang"]), F.struct(F.lit(max(sample_bytes, r["least"])).alias("bytes"), F.lit(int(min(1.0, per_lang / max(r["n"], 1)) * (1 << 20))).alias("share")))
+    entry = lambda r: (F.lit(r["lang"]), F.struct(F.lit(max(sample_bytes, r["least"])).alias("bytes"), F.lit(hash_share(r["n"], per_lang)).alias("share")))
     terms = F.element_at(F.create_map(*[x for r in sorted(found, key=lambda r: r["lang"]) for x in entry(r)]), F.col("lang"))
-    rows = rows.filter((size <= terms["bytes"]) & (F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) < terms["share"]))
+    rows = rows.filter((size <= terms["bytes"]) & (F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(HASHES)) < terms["share"]))
     got = rows.orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_lang * len(found)).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
