@@ -3,7 +3,8 @@
 A page is read into a tree by a tolerant parser. Paragraph-like blocks earn
 points for length and commas, discounted by link density, and pass them to
 their ancestors: all to the parent, half to the grandparent, less further up.
-The best container is kept together with siblings that score or read alike;
+If the best container lies inside an article (by its element or its own name),
+that article is kept whole; else it is kept with siblings that score or read alike;
 parts that are never the main text (menus, headers of the page, footers,
 adverts, forms, comments and the like) are cut before, by element or by name.
 
@@ -53,6 +54,10 @@ NEVER = re.compile(
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|pagination|pager|complementary|contentinfo|navigation" + END
 )
 SELDOM = re.compile(EDGE + r"banner|side|headers?|masthead|share|sharing|social|related|recommend\w*|widgets?|search|skip|toc|tags?" + END)
+#: Names of parts that stand inside an article and are none of it, unless they hold paragraphs.
+BESIDES = re.compile(EDGE + r"share|sharing|social|related|recommend\w*|widgets?" + END)
+#: Names (class, id, role) that say that an element is the whole article.
+WHOLE = frozenset("article post entry story hentry main-article main-content".split())
 INSIDE = re.compile(EDGE + r"article|main|content|post|entry|story|body|text" + END)
 #: Class names that tell of a layout or a state, not of the part itself: such a name counts up to there.
 LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no|is|not)[_-].*$|[^\s_-]+[_-](?:open|closed|enabled|disabled|allowed|off|on)$")
@@ -189,6 +194,11 @@ def _look_inside(root: Node) -> None:
             node.parent.prose += node.prose if node.tag not in DROPPED or node.tag == "form" else 0
 
 
+def _is_whole(node: Node) -> bool:
+    """Whether an element says of itself that it is an article."""
+    return node.tag in ("article", "main") or (bool(node.names) and not WHOLE.isdisjoint(node.names.split()))
+
+
 def _beside(node: Node, in_article: bool) -> bool:
     """Whether a node is no part of the main text: by its element, or by its names unless it holds an article itself."""
     if node.tag == "form" and node.names != "#hidden":
@@ -196,13 +206,15 @@ def _beside(node: Node, in_article: bool) -> bool:
             return True
     elif node.tag in DROPPED or node.names == "#hidden":
         return True
-    if node.tag == "header" and not in_article:
+    if node.tag == "header" and not in_article and not _is_whole(node.parent):
         return True
     if not node.names or node.tag in ("html", "body", "article", "main"):
         return False
     if not NEVER.search(node.names) and not SELDOM.search(node.names):
         return False
     names = " ".join(LAYOUT.sub("", t) for t in node.names.split())
+    if in_article and not node.prose and BESIDES.search(names) and not INSIDE.search(names):
+        return not node.holds
     if NEVER.search(names) or (not in_article and SELDOM.search(names) and not INSIDE.search(names)):
         return not node.holds
     return False
@@ -261,6 +273,11 @@ def best_nodes(root: Node) -> list[Node | str]:
     best = max(reversed(holders), key=lambda x: x.score)  # of equals the outermost
     if best.tag in ("body", "#root"):  # nobody has set the text apart: lists of links are menus
         best.items = [x for x in best.items if isinstance(x, str) or x.tag not in ("ul", "ol", "dl") or x.linked < 0.8 * x.chars]
+    around = best
+    while around is not None and not _is_whole(around):
+        around = around.parent
+    if around is not None and around is not best:  # an article is kept whole: its title and sections may stand beside the best part
+        return [around]
     if best.parent is None:
         return [best]
     limit = max(10.0, best.score * 0.2)
