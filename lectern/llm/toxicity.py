@@ -13,14 +13,16 @@ class, vote of its parent). Who abstains in a text in which others vote says
 nothing: texts differ in length and language. Which voters are paired is
 estimated from their dependence given the class (a spanning forest of the largest
 conditional mutual information), the factors by expectation-maximisation, under
-the known share of toxic texts. Voters that say the same, such as a word and its
+the known share of toxic texts. As abstentions are left out, this is a conditional
+model of the votes cast and no normalised one of all voters. Voters that say the same, such as a word and its
 stem, are so counted about once, and a voter that is heard where nobody else
-votes counts for little. A logistic regression over word presence is then trained
-on the posterior labels and scores all texts in batches.
+votes counts for little. A logistic regression over words and stems (once, and at
+least twice), patterns and capitals is then trained on the posterior labels and
+scores all texts in batches.
 
 Fitted on a bounded sample: at most about ``per_class`` labelled texts of each
 class, of at most ``sample_bytes`` each, chosen by a hash of doc_id. Every text
-is scored whole, from its words alone.
+is scored whole, from itself alone.
 
 Defined results: null and empty texts get the score of a text without words;
 repeated rows are scored one by one; rows with a null label do not teach; where
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bpe import frugal, hash_pieces, slices, utf8
-from ._store import small_batches
+from ._store import HASHES, hash_share, small_batches
 from ._words import WORD_BYTE, lowered, runs
 
 #: Words that insult, by language; a-z and non-ASCII letters, lower case.
@@ -62,10 +64,10 @@ PATTERNS = {
     "name_calling": r"\b(?:you|you are|you're|they are|he is|she is) (?:an? )?(?:such an? )?(?:idiot|moron|loser|clown|fool|coward|scum|trash|pathetic|worthless|disgusting|stupid)\b",
     "shouting": r"!{3,}",
 }
-
+COMPILED = [re.compile(p) for p in PATTERNS.values()]
 
 #: Lengths in bytes of the stems that stand beside the words; longer words of a family share them.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +84,30 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
+#: Turns the name of a word or stem into that of "at least twice".
+TWICE = np.uint64(0x6A09E667F3BCC909)
+
+
+def with_repeats(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and a name of its own for each word or stem that a text holds at least twice: a stem in one word may be chance."""
+    order = np.lexsort((hashes, owner))
+    h, o = hashes[order], owner[order]
+    same = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+    return np.concatenate([hashes, h[1:][same] ^ TWICE]), np.concatenate([owner, o[1:][same]])
+
+
 def hash_words(words: list[str]) -> np.ndarray:
     data, offsets = utf8(pa.array(words, pa.string()))
     return hash_pieces(data, offsets[:-1], np.diff(offsets))
 
 
 def mark(keys: np.ndarray, hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-    """texts x keys matrix: which of the sorted ``keys`` occur."""
+    """texts x keys matrix: which of the sorted ``keys`` occur, at least once or twice as their names say."""
     out = np.zeros((texts, len(keys)), bool)
     if len(keys) and len(hashes):
+        names = np.unique(np.concatenate([keys, keys ^ TWICE]))
+        known = names[np.minimum(np.searchsorted(names, hashes), len(names) - 1)] == hashes
+        hashes, owner = with_repeats(hashes[known], owner[known])
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         hit = keys[at] == hashes
         out[owner[hit], at[hit]] = True
@@ -116,9 +133,19 @@ def mine(hashes: np.ndarray, owner: np.ndarray, toxic: np.ndarray, least: int =
 def votes(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     """texts x voters: which lexicon words occur, then which patterns do."""
     hashes, owner = words_of(column)
-    texts = [(t or "").lower() for t in column.to_pylist()]
-    patterns = np.array([[bool(re.search(p, t)) for p in PATTERNS.values()] for t in texts], bool).reshape(len(texts), len(PATTERNS))
-    return np.concatenate([mark(lexicon, hashes, owner, len(column)), patterns], 1)
+    return np.concatenate([mark(lexicon, hashes, owner, len(column)), patterns_of(column)], 1)
+
+
+def patterns_of(column: pa.Array) -> np.ndarray:
+    """texts x patterns: which of ``PATTERNS`` occur, and whether most letters (a to z) of the text are capitals."""
+    out = np.zeros((len(column), len(PATTERNS) + 1), bool)
+    for i, t in enumerate(column.to_pylist()):
+        if t:
+            low = t.lower()
+            out[i, :-1] = [p.search(low) is not None for p in COMPILED]
+            raw = np.frombuffer(t.encode(), np.uint8)
+            out[i, -1] = ((raw >= 65) & (raw <= 90)).sum() > ((raw >= 97) & (raw <= 122)).sum()
+    return out
 
 
 @dataclass
@@ -212,25 +239,24 @@ def fit_label_model(v: np.ndarray, balance: float, rounds: int = 24) -> LabelMod
 @dataclass
 class ToxicityModel:
     keys: np.ndarray  # sorted word hashes
-    weights: np.ndarray
+    weights: np.ndarray  # of keys, then of patterns
     bias: float
 
     def score(self, column: pa.Array) -> np.ndarray:
-        hashes, owner = words_of(column)
-        x = mark(self.keys, hashes, owner, len(column))
+        x = votes(column, self.keys)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
 def fit_classifier(column: pa.Array, q: np.ndarray, sample_weight: np.ndarray, features: int = 400, ridge: float = 0.05) -> ToxicityModel:
     """Logistic regression on soft labels, over the ``features`` words that tell the classes apart best."""
     hashes, owner = words_of(column)
-    keys, at, who = distinct_pairs(hashes, owner, len(column))
+    keys, at, who = distinct_pairs(*with_repeats(hashes, owner), len(column))
     n = np.bincount(at, minlength=len(keys))
     p = q.mean()
     z = (np.bincount(at, q[who], len(keys)) - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
     best = np.argsort(-np.abs(z), kind="stable")[:features]
     keys = np.sort(keys[best[(np.abs(z[best]) > 6) & (n[best] >= 5)]])
-    x = np.concatenate([mark(keys, hashes, owner, len(column)), np.ones((len(column), 1), bool)], 1).astype(np.float64)
+    x = np.concatenate([votes(column, keys), np.ones((len(column), 1), bool)], 1).astype(np.float64)
     penalty = ridge * np.eye(x.shape[1])
     penalty[-1, -1] = 1e-6
     beta = np.zeros(x.shape[1])
@@ -247,7 +273,7 @@ def fit(texts: list[str | None], toxic: list[int], balance: float) -> ToxicityMo
     column = pa.array(texts, pa.string())
     label = np.array(toxic, bool)
     hashes, owner = words_of(column)
-    lexicon = np.unique(np.concatenate([hash_words(FIXED), mine(hashes, owner, label)]))
+    lexicon = np.unique(np.concatenate([hash_words(FIXED), mine(*with_repeats(hashes, owner), label)]))
     v = votes(column, lexicon)
     v = v[:, v.any(0)]
     in_sample = float(np.clip(label.mean() if len(label) else 0.5, 0.02, 0.98))
@@ -262,15 +288,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_byte
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "toxic")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(counts) == 2:
-        whole = 1 << 30
-        lot = F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(whole))
-        share = F.when(F.col("toxic") == 1, int(min(1.0, per_class / counts[1]) * whole)).otherwise(int(min(1.0, per_class / counts[0]) * whole))
+        lot = F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(HASHES))
+        share = F.when(F.col("toxic") == 1, hash_share(counts[1], per_class)).otherwise(hash_share(counts[0], per_class))
         chosen = known.filter(lot < share).distinct()  # about per_class rows of each class
         text = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
         rows = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).orderBy("doc_id", "text", "toxic").limit(3 * per_class).collect()
         if len({r["toxic"] for r in rows}) == 2:
             return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts[1] / (counts[0] + counts[1]))
-    return ToxicityModel(np.sort(hash_words(FIXED)), np.full(len(FIXED), ALONE[0]), ALONE[1])
+    weights = np.append(np.full(len(FIXED), ALONE[0]), np.zeros(len(PATTERNS) + 1))
+    return ToxicityModel(np.sort(hash_words(FIXED)), weights, ALONE[1])
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

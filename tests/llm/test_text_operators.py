@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from lectern.llm import html_extract, language_id, token_lengths, token_shards, toxicity
+from lectern.llm import _store, html_extract, language_id, token_lengths, token_shards, toxicity
 from lectern.llm._bpe import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -335,3 +335,61 @@ def test_language_sample_is_bounded_by_bytes(spark):
     assert sorted(zip(langs, map(len, texts))) == [("de", 10_000), *[("en", 10)] * 5]
     got = language_id.predict(spark.createDataFrame([(1, "x", "old", 7)], "doc_id long, text string, lang_pred string, more int"), None)
     assert got.columns == ["doc_id", "text", "more", "lang_pred", "score"] and got.first()["lang_pred"] == "und"
+
+
+@pytest.mark.parametrize("n", [0, 1, 200, 201, 10**6, 3 * 10**8, 10**10, 10**15])
+def test_no_language_is_too_large_for_a_sample(n):
+    share = _store.hash_share(n, 200)
+    assert abs(share / _store.HASHES * n - min(n, 200)) < 1e-3
+    assert 0 < share <= _store.HASHES
+
+
+BODY = '<div class="article-body"><p>A, b, long text here.</p><p>More, text.</p></div>'
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><header><h1>T</h1></header>{BODY}</article>", "T A, b, long text here. More, text."),
+        (f'<article><h1>T</h1><div class="intro"><p>Begin.</p></div>{BODY}</article>', "T Begin. A, b, long text here. More, text."),
+        (f"<article><h1>T</h1>{BODY}<section><h2>H</h2><p>short</p></section></article>", "T A, b, long text here. More, text. H short"),
+        (f'<div class="post"><header><h1>T</h1></header>{BODY}</div>', "T A, b, long text here. More, text."),
+        (f'<article><h1>T</h1>{BODY}<div class="share-buttons"><a href=x>Tweet</a> <span>Share it</span></div></article>', "T A, b, long text here. More, text."),
+        (f'<header class="post-list"><h1>Site</h1></header><main><div class="post">{BODY}</div></main>', "A, b, long text here. More, text."),
+    ],
+)
+def test_html_keeps_articles_whole(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_html_of_generated_articles(data):
+    """Trees of sections built beside their text, among parts that are none of it: what comes out is what went in."""
+    word = st.text(alphabet="abcdefgh", min_size=1, max_size=9)
+    said = []
+
+    def text(most):
+        t = " ".join(data.draw(st.lists(word, min_size=1, max_size=most)))
+        said.append(t)
+        return t
+
+    def section(depth):
+        out = f"<h2>{text(4)}</h2>" if data.draw(st.booleans()) else ""
+        for _ in range(data.draw(st.integers(1, 3))):
+            kind = data.draw(st.sampled_from(["p", "ul", "quote", "deeper", "table"]))
+            if kind == "deeper" and depth < 3:
+                out += f"<div class={data.draw(st.sampled_from(['part', 'text', 'x']))}>{section(depth + 1)}</div>"
+            elif kind == "ul":
+                out += "<ul>" + "".join(f"<li>{text(6)}" for _ in range(2)) + "</ul>"
+            elif kind == "table":
+                out += f"<table><tr><td>{text(3)}<td>{text(3)}</table>"
+            else:
+                out += f"<blockquote>{text(9)}</blockquote>" if kind == "quote" else f"<p>{text(30)}</p>"
+        return out
+
+    body = section(0) + f"<p>{text(40)}, and, more</p>"
+    said[-1] += ", and, more"
+    holder = data.draw(st.sampled_from(["<article>{}</article>", "<main><article class=x>{}</article></main>", "<main>{}</main>", "<div class='hentry post'>{}</div>"]))
+    page = f"<nav><a href=1>menu</a></nav><div class=cookie-notice><p>We, use, cookies</p></div>{holder.format(body)}<aside><p>{'aside, ' * 30}</p></aside><footer>foot, foot</footer>"
+    assert html_extract.main_text(page) == " ".join(said)
