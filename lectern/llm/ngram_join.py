@@ -13,7 +13,9 @@ both have before it is verified.
 2. Frequencies: each pack asks for the document frequency of its distinct
    shingles, by ranges (buckets) of the hash, and is told a level, a byte for
    each: how many classes hold it, on a logarithmic scale. Nothing is broadcast:
-   the exchange follows the input, four bytes and one for each shingle of a pack.
+   the exchange follows the input, four bytes and one for each shingle of a pack,
+   in at most 1 << ``fan_bits`` rows for each pack (beyond that many packs it goes
+   by hops, each of which adds as many bytes again).
 3. Prefixes: shingles that no other class holds come first in the order and need
    no posting. A class whose 1-prefix holds only such is done: it links with
    nothing. Of the others the prefix goes out as postings (token, class).
@@ -37,7 +39,7 @@ Sets are compared by 64-bit hashes of their shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,43 +145,123 @@ def levels_of(df: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(STEPS * np.log2(np.maximum(df, 1))), 255).astype(np.uint8)
 
 
-def _levels(packed: DataFrame, bits: int) -> DataFrame:
-    """pack, bucket, levels: of the pack's distinct shingles in each of 1 << ``bits`` ranges, in ascending order.
+def _low_high(v: np.ndarray) -> tuple[bytes, bytes | None]:
+    """Sorted 64-bit values as 32-bit halves; the high one compressed, or None where it is 0."""
+    high = (v >> np.uint64(32)).astype(np.uint32)
+    return v.astype(np.uint32).tobytes(), zstandard.ZstdCompressor(level=1).compress(high.tobytes()) if high.any() else None
 
-    Inside a bucket the next 32 bits stand for a shingle. Two that share them add
-    up, for all packs alike, so the order stays one order.
+
+def _values(low: bytes, high: bytes | None) -> np.ndarray:
+    v = np.frombuffer(low, np.uint32).astype(np.uint64)
+    if high is not None:
+        v |= np.frombuffer(zstandard.ZstdDecompressor().decompress(high, max_output_size=len(low)), np.uint32).astype(np.uint64) << np.uint64(32)
+    return v
+
+
+def _all_values(rows: pa.Table) -> list[np.ndarray]:
+    return [_values(x, y) for x, y in zip(rows["low"].to_pylist(), rows["high"].to_pylist())]
+
+
+def _all_counts(rows: pa.Table, sizes: list[int]) -> np.ndarray:
+    expand = zstandard.ZstdDecompressor()
+    return np.concatenate([np.frombuffer(expand.decompress(x, max_output_size=4 * n), np.uint32) for x, n in zip(rows["counts"].to_pylist(), sizes)])
+
+
+def _split(node: int, prefix: int, v: np.ndarray, counts: np.ndarray, left: int, bits: int) -> pa.Table:
+    """Rows of the ranges that the next ``bits`` of the sorted ``left``-bit values name; what stays of a value is shorter by them."""
+    part = (v >> np.uint64(left - bits)).astype(np.int64) if bits else np.zeros(len(v), np.int64)
+    v = v & np.uint64((1 << (left - bits)) - 1)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(v)])
+    ends = np.append(starts[1:], len(v))[: len(starts)]
+    press = zstandard.ZstdCompressor(level=1)
+    pairs = [_low_high(v[a:z]) for a, z in zip(starts, ends)]
+    return pa.table(
+        {
+            "node": pa.array([node] * len(starts), pa.int64()),
+            "bucket": pa.array((prefix << bits) + part[starts], pa.int64()),
+            "low": pa.array([x for x, _ in pairs], pa.binary()),
+            "high": pa.array([y for _, y in pairs], pa.binary()),
+            "counts": pa.array([press.compress(np.minimum(counts[a:z], 2**32 - 1).astype(np.uint32).tobytes()) for a, z in zip(starts, ends)], pa.binary()),
+        }
+    )
+
+
+def _asked(packed: DataFrame, bits: int, fan_bits: int) -> list[DataFrame]:
+    """Each hop's rows (node, bucket, low, high, counts): distinct shingles of a node in a bucket, and in how many sets they are.
+
+    Nodes of the first hop are packs. A hop merges 1 << ``fan_bits`` nodes of a
+    bucket to one and splits the bucket in as many, so every hop has at most
+    that many rows for each pack.
     """
+    hops = max(1, -(-bits // fan_bits))
+    widths = [min(fan_bits, bits - h * fan_bits) for h in range(hops)]
+    schema, whole = "node long, bucket long, low binary, high binary, counts binary", min(64, 32 + bits)
 
     def ask(rows: pa.Table) -> pa.Table:
-        sets = rows.filter(pc.invert(rows["doc"]))
-        tokens, counts = np.unique(_flat(sets["tokens"]), return_counts=True)
-        bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
-        sub = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(tokens) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(tokens))
-        press = zstandard.ZstdCompressor(level=1)
-        pack = rows["pack"][0].as_py()
-        return pa.table(
-            {
-                "pack": pa.array([pack] * len(starts), pa.int32()),
-                "bucket": pa.array(bucket[starts]),
-                "subs": pa.array([sub[a:z].tobytes() for a, z in zip(starts, ends)], pa.binary()),
-                "counts": pa.array([press.compress(counts[a:z].astype(np.uint32).tobytes()) for a, z in zip(starts, ends)], pa.binary()),
-            }
-        )
+        tokens = _flat(rows.filter(pc.invert(rows["doc"]))["tokens"]) >> np.uint64(64 - whole)
+        return _split(rows["pack"][0].as_py(), 0, *np.unique(tokens, return_counts=True), whole, widths[0])
 
-    def answer(rows: pa.Table) -> pa.Table:
-        subs = [np.frombuffer(x.as_py(), np.uint32) for x in rows["subs"]]
-        expand, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        counts = np.concatenate([np.frombuffer(expand.decompress(x.as_py(), max_output_size=4 * len(s)), np.uint32) for x, s in zip(rows["counts"], subs)])
-        _, at = np.unique(np.concatenate(subs), return_inverse=True)
-        level = levels_of(np.bincount(at, counts)[at])
-        ends = np.cumsum(list(map(len, subs)))
-        told = [press.compress(level[z - len(s) : z].tobytes()) for s, z in zip(subs, ends)]
-        return pa.table({"pack": rows["pack"], "bucket": rows["bucket"], "levels": pa.array(told, pa.binary())})
+    out = [packed.groupBy("pack").applyInArrow(sparing(ask), schema)]
+    for h in range(1, hops):
+        left, width = whole - h * fan_bits, widths[h]
+
+        def merge(rows: pa.Table, left: int = left, width: int = width) -> pa.Table:
+            values = _all_values(rows)
+            merged, at = np.unique(np.concatenate(values), return_inverse=True)
+            counts = np.bincount(at, _all_counts(rows, list(map(len, values)))).astype(np.int64)
+            return _split(rows["node"][0].as_py() >> fan_bits, rows["bucket"][0].as_py(), merged, counts, left, width)
 
-    asked = packed.groupBy("pack").applyInArrow(sparing(ask), "pack int, bucket long, subs binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(sparing(answer), "pack int, bucket long, levels binary")
+        out.append(out[-1].groupBy("bucket", F.shiftright("node", fan_bits)).applyInArrow(sparing(_of_one(merge)), schema))
+    return out
+
+
+def _of_one(f: Callable) -> Callable:
+    """``f`` as a function of one argument, whatever defaults it has."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        return f(rows)
+
+    return run
+
+
+def _levels(packed: DataFrame, bits: int, fan_bits: int = 8, store: Scratch | None = None) -> DataFrame:
+    """node (a pack), bucket, levels: of the pack's distinct shingles, range by range in ascending order.
+
+    Ranges are as many as packs, 1 << ``bits``. Up to 1 << ``fan_bits`` packs the
+    exchange is direct; beyond, it goes and comes back by hops, so that rows stay in
+    proportion to packs. Inside a range the next 32 bits stand for a shingle. Two
+    that share them add up, for all packs alike, so the order stays one order.
+    """
+    asked = _asked(packed, bits, fan_bits)
+    if len(asked) > 1:
+        asked = [store.write(df, f"asked-{h}") for h, df in enumerate(asked)]
+    schema = "node long, bucket long, levels binary"
+
+    def tell(rows: pa.Table, values: list[np.ndarray], level: np.ndarray) -> pa.Table:
+        press, ends = zstandard.ZstdCompressor(level=1), np.cumsum(list(map(len, values)))
+        told = [press.compress(level[z - len(v) : z].tobytes()) for v, z in zip(values, ends)]
+        return pa.table({"node": rows["node"], "bucket": rows["bucket"], "levels": pa.array(told, pa.binary())})
+
+    def answer(rows: pa.Table) -> pa.Table:
+        values = _all_values(rows)
+        _, at = np.unique(np.concatenate(values), return_inverse=True)
+        return tell(rows, values, levels_of(np.bincount(at, _all_counts(rows, list(map(len, values)))))[at])
+
+    def pass_on(rows: pa.Table, told: pa.Table) -> pa.Table:
+        """``told``: the levels of the merged node's ranges; its values are those of ``rows``, merged again."""
+        expand, values = zstandard.ZstdDecompressor(), _all_values(rows)
+        level = np.concatenate([np.frombuffer(expand.decompress(x, max_output_size=1 << 31), np.uint8) for x in told.sort_by("bucket")["levels"].to_pylist()])
+        return tell(rows, values, level[np.unique(np.concatenate(values), return_inverse=True)[1]])
+
+    told = asked[-1].groupBy("bucket").applyInArrow(sparing(answer), schema)
+    for h in range(len(asked) - 2, -1, -1):
+        width = min(fan_bits, bits - (h + 1) * fan_bits)
+        back = told.withColumn("up", F.shiftright("bucket", width))
+        down = asked[h].groupBy("bucket", F.shiftright("node", fan_bits)).cogroup(back.groupBy("up", "node"))
+        told = down.applyInArrow(sparing(pass_on), schema)
+        if h:
+            told = store.write(told, f"told-{h}")
+    return told
 
 
 def adaptive_prefix(s: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -232,7 +314,7 @@ def _prefixes(packed: DataFrame, levels: DataFrame, num: int, den: int) -> DataF
             docs = docs.append_column(name, pa.nulls(len(docs), kind))
         return pa.concat_tables([docs, sets.cast(docs.schema)])
 
-    return packed.groupBy("pack").cogroup(levels.groupBy("pack")).applyInArrow(sparing(choose), schema)
+    return packed.groupBy("pack").cogroup(levels.groupBy(F.col("node").cast("int"))).applyInArrow(sparing(choose), schema)
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -423,7 +505,7 @@ def _members(sets: DataFrame, clustered: DataFrame) -> DataFrame:
     return rows.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "cls", "block", "copies", "ell", "tokens", "prefix", "layers")
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long_list: int = 16, pack_bytes: int = 8 << 20, block_shingles: int = 3_000_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long_list: int = 16, pack_bytes: int = 8 << 20, block_shingles: int = 3_000_000, fan_bits: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, class_id, group_id of every row of ``docs``.
 
     Two documents link when den * |intersection| >= num * |union|.
@@ -438,7 +520,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, long_list:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     packs = 1 + max(total // pack_bytes, min(total >> 20, 4 * spark.sparkContext.defaultParallelism))
     packed = _packed(docs, n, packs)
-    levels = _levels(packed, max(0, (packs - 1).bit_length()))
+    levels = _levels(packed, max(0, (packs - 1).bit_length()), fan_bits, store)
     table = store.write(_prefixes(packed, levels, num, den), "sets")
     every, sets = table.filter("doc").select("doc_id", "n", "cls", "m"), table.filter("NOT doc")
     classes = every.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.sum("m").alias("copies"), F.first("n").alias("n"))

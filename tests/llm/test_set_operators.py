@@ -39,7 +39,7 @@ def similar(docs, n=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"long_list": 3, "block_shingles": 500, "pack_bytes": 4000}])
+@pytest.mark.parametrize("options", [{}, {"long_list": 3, "block_shingles": 500, "pack_bytes": 4000}, {"pack_bytes": 4000, "fan_bits": 2}])
 def test_ngram_join_is_exact(spark, options):
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(50)]
@@ -97,11 +97,23 @@ def test_frequencies_are_exact(spark):
     packed = ngram_join._packed(spark.createDataFrame(docs, "doc_id long, text string"), 5, 5)
     sets = {r["cls"]: np.frombuffer(r["tokens"], np.uint64) for r in packed.filter("NOT doc").collect()}
     df = collections.Counter(t for s in sets.values() for t in s.tolist())
-    told = {(r["pack"], r["bucket"]): np.frombuffer(zstandard.decompress(r["levels"], 1 << 20), np.uint8) for r in ngram_join._levels(packed, 2).collect()}
-    for pack in range(5):
-        mine = np.unique(np.concatenate([s for c, s in sets.items() if c % 5 == pack]))
-        level = np.concatenate([told[pack, b] for b in range(4) if (pack, b) in told])
-        assert level.tolist() == ngram_join.levels_of(np.array([df[t] for t in mine.tolist()])).tolist()
+    for bits, fan_bits in ((2, 8), (0, 8), (3, 1), (5, 2)):
+        levels = ngram_join._levels(packed, bits, fan_bits, Scratch(spark, "test"))
+        told = {(r["node"], r["bucket"]): np.frombuffer(zstandard.decompress(r["levels"], 1 << 20), np.uint8) for r in levels.collect()}
+        for pack in range(5):
+            mine = np.unique(np.concatenate([s for c, s in sets.items() if c % 5 == pack]))
+            level = np.concatenate([told[pack, b] for b in range(1 << bits) if (pack, b) in told])
+            assert level.tolist() == ngram_join.levels_of(np.array([df[t] for t in mine.tolist()])).tolist()
+
+
+def test_the_exchange_of_frequencies_is_linear(spark):
+    """Rows for each pack stay under the fan-out at each hop, however many packs there are."""
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices([f"w{k}" for k in range(900)], k=60))) for i in range(1500)], "doc_id long, text string")
+    for packs in (8, 64, 256):
+        asked = ngram_join._asked(ngram_join._packed(docs, 5, packs), (packs - 1).bit_length(), 3)
+        assert len(asked) == -(-(packs - 1).bit_length() // 3)
+        assert all(df.count() <= 8 * packs for df in asked)
 
 
 def test_components_of_a_path(spark):
