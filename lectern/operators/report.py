@@ -40,19 +40,23 @@ def inspection(units: DataFrame, routes: DataFrame, regions: DataFrame | None =
     return out.join(per_doc, "doc_id", "left")
 
 
-def render_report(units: DataFrame, verdicts: DataFrame) -> DataFrame:
+def render_report(units: DataFrame, verdicts: DataFrame, kept: DataFrame | None = None, every: DataFrame | None = None) -> DataFrame:
     """doc_id, pages, warnings, validation_pass. ``units``: with translation, final_size, warning, error.
 
     A unit without a translation stands in the report with its error, and its document does not pass.
+    ``kept``: lines that are put back, by page; ``every``: all pages, also those that nothing stands on,
+    which pass.
     """
     u = F.struct("unit_ord", F.col("unit_id").alias("id"), "kind", F.col("text").alias("source"), "translation", bbox_list(F.col("bbox")).alias("bbox"), F.col("n_lines").alias("original_line_count"), F.col("final_size").alias("final_font_size"), "warning", "error")
     pages = units.groupBy(*PAGE).agg(F.array_sort(F.collect_list(u)).alias("units"), F.count_if(F.col("warning").isNotNull() | F.col("error").isNotNull()).alias("warned"), F.count_if(F.col("error").isNotNull()).alias("lost"))
     check = F.struct("text_count", F.col("text_text").alias("text_text_collisions"), F.col("text_drawing").alias("text_drawing_collisions"), F.col("outside").alias("outside_safe_regions"), "pass", "skipped")
     v = verdicts.select(*PAGE, check.alias("validation"))
-    all_pages = page_keys(pages, v).join(pages, PAGE, "left").join(v, PAGE, "left")
-    failed = ~F.coalesce("validation.pass", F.lit(False))
+    line = F.struct("ord", "text", bbox_list(F.col("bbox")).alias("bbox"), F.col("final_size").alias("final_font_size"))
+    back = (kept if kept is not None else units.limit(0).selectExpr(*PAGE, "unit_ord AS ord", "text", "bbox", "size AS final_size")).groupBy(*PAGE).agg(F.array_sort(F.collect_list(line)).alias("kept_lines"))
+    all_pages = page_keys(pages, v, *([every] if every is not None else [])).join(pages, PAGE, "left").join(v, PAGE, "left").join(back, PAGE, "left")
+    failed = ~F.coalesce("validation.pass", F.col("units").isNull())
     lost = F.coalesce("lost", F.lit(0))
-    page = F.struct((F.col("page") + 1).alias("page"), "units", "validation")
+    page = F.struct((F.col("page") + 1).alias("page"), "units", "validation", "kept_lines")
     return all_pages.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(page)).alias("pages"), (F.coalesce(F.sum("warned"), F.lit(0)) + F.sum(failed.cast("long"))).alias("warnings"), F.bool_and(~failed & (lost == 0)).alias("validation_pass")
     )

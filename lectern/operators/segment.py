@@ -47,10 +47,11 @@ def kind(n: Column, widest: Column, mean_center: Column, first_x0: Column, chars
     )
 
 
-def text_units(lines: DataFrame, page_width: float = 595.0) -> DataFrame:
+def text_units(lines: DataFrame, page_width: float = 595.0, pages: DataFrame | None = None) -> DataFrame:
     """doc_id, page, block, text, bbox, n_lines, kind, font, size, color, flags, lines: a unit per block.
 
-    Equal window and grouping keys: (doc_id, page) is shuffled once.
+    Equal window and grouping keys: (doc_id, page) is shuffled once. ``pages``
+    (doc_id, page, width) knows the width of its pages; the others have ``page_width``.
     """
     g = group_lines(lines)
     ordered = F.array_sort(F.collect_list(F.struct("n", "text", "bbox", "spans")))
@@ -62,14 +63,17 @@ def text_units(lines: DataFrame, page_width: float = 595.0) -> DataFrame:
     widest = F.array_max(F.transform(boxes, width))
     texts = F.transform("lines", lambda x: x["text"])
     u = u.withColumn("style", dominant(F.flatten(F.transform("lines", lambda x: x["spans"]))))
-    style = F.col("style")
+    style, across = F.col("style"), F.lit(page_width)
+    if pages is not None:
+        u = u.join(pages.select(*PAGE, F.col("width").alias("_across")), PAGE, "left")
+        across = F.coalesce("_across", across)
     return u.select(
         *PAGE,
         "block",
         tx.strip(F.array_join(texts, "\n")).alias("text"),
         box(side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1")).alias("bbox"),
         n.alias("n_lines"),
-        kind(n, widest, mean, F.get(boxes, 0)["x0"], F.length(F.array_join(texts, " ")), F.lit(page_width)).alias("kind"),
+        kind(n, widest, mean, F.get(boxes, 0)["x0"], F.length(F.array_join(texts, " ")), across).alias("kind"),
         F.coalesce(style["font"], F.lit("")).alias("font"),
         F.coalesce(style["size"], F.lit(10.0)).alias("size"),
         F.coalesce(style["color"], F.lit(0)).alias("color"),
@@ -101,7 +105,7 @@ def cell_units(cells: DataFrame) -> DataFrame:
     )
 
 
-def segment(lines: DataFrame, language: str, grids: DataFrame | None = None, page_width: float = 595.0) -> DataFrame:
+def segment(lines: DataFrame, language: str, grids: DataFrame | None = None, page_width: float = 595.0, pages: DataFrame | None = None) -> DataFrame:
     """All units of all pages: doc_id, page, unit_id, unit_ord, text, bbox, n_lines, kind, style.
 
     ``unit_id`` is unique in its document: p{page}_t001.. for cells, then
@@ -109,12 +113,12 @@ def segment(lines: DataFrame, language: str, grids: DataFrame | None = None, pag
     """
     source = lines.filter(tx.is_source_text(F.col("text"), language))
     if grids is None:
-        u = text_units(source, page_width)
+        u = text_units(source, page_width, pages)
         ordinal = F.col("block") + 1
         return _named(u, ordinal, "u").drop("block")
     placed = match_grid(source, grids)
     cells = cell_units(cell_lines(placed))
-    blocks = text_units(placed.filter("grid IS NULL").drop("grid"), page_width)
+    blocks = text_units(placed.filter("grid IS NULL").drop("grid"), page_width, pages)
     counts = cells.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("cells"))
     blocks = blocks.join(counts, PAGE, "left")
     text = _named(blocks, F.col("block") + 1 + F.coalesce("cells", F.lit(0)), "u").drop("block", "cells")

@@ -34,6 +34,14 @@ class ServiceError(RuntimeError):
         self.status = status
 
 
+class LeftOut(RuntimeError):
+    """A unit for which the backend gave no translation, however it was asked."""
+
+
+#: What a request may fail with and become error rows: the service, the network, an unreadable or refused text. All else is a fault of the program and stops the job.
+FAILURES = (ServiceError, LeftOut, OSError, ValueError)
+
+
 class EchoBackend:
     """A stand-in without a network: each text in brackets with the language."""
 
@@ -129,7 +137,7 @@ def translate_units(backend: Backend, units: list[dict], **options) -> dict[str,
         if not left:
             continue
         if depth > DEPTH:
-            raise RuntimeError(f"no translation for {left[0]['id']}")
+            raise LeftOut(f"no translation for {left[0]['id']}")
         if len(left) > 1 and depth < DEPTH:
             work += [(left[: len(left) // 2], depth + 1), (left[len(left) // 2 :], depth + 1)]
         else:
@@ -140,8 +148,8 @@ def translate_units(backend: Backend, units: list[dict], **options) -> dict[str,
 def translate_misses(misses: DataFrame, backend: Backend, size: int = BATCH) -> DataFrame:
     """cache_key, doc_id, page, unit_ord, kind, text -> cache_key, translation, error.
 
-    Requests hold ``size`` units of a document, in order (``batches``); a failing
-    request becomes error rows. Write the result before it is read: a
+    Requests hold ``size`` units of a document, in order (``batches``); a request that
+    fails (``FAILURES``) becomes error rows. Write the result before it is read: a
     recomputed partition pays its calls again.
     """
 
@@ -149,7 +157,7 @@ def translate_misses(misses: DataFrame, backend: Backend, size: int = BATCH) ->
         # keys name units in requests: unit ids repeat between documents
         try:
             got, error = translate_units(backend, [{"id": k, "kind": kind, "text": t} for k, kind, t in rows]), None
-        except Exception as e:  # noqa: BLE001  whatever a backend raises is that request's error
+        except FAILURES as e:
             got, error = {}, f"{type(e).__name__}: {e}"
         return pd.DataFrame({"cache_key": [r[0] for r in rows], "translation": [got.get(r[0]) for r in rows], "error": [error] * len(rows)})
 
@@ -170,9 +178,9 @@ def translate_misses(misses: DataFrame, backend: Backend, size: int = BATCH) ->
 
 
 def resolve(found: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Units of ``lookup`` with translation from the cache or from ``fresh``, or an error."""
+    """Units of ``lookup`` with translation from the cache or from ``fresh`` (and whether it is from there), or an error."""
     f = fresh.select("cache_key", F.col("translation").alias("new"), F.col("error").alias("_error"))
-    out = found.join(f, "cache_key", "left").withColumn("translation", F.coalesce("cached", "new"))
+    out = found.join(f, "cache_key", "left").withColumns({"translation": F.coalesce("cached", "new"), "fresh": F.col("cached").isNull() & F.col("new").isNotNull()})
     return out.withColumn("error", F.when(F.col("translation").isNull(), F.coalesce("_error", F.lit("the backend gave no translation")))).drop("new", "cached", "_error")
 
 

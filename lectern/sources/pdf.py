@@ -1,14 +1,17 @@
-"""Optional reading of PDF files. Without the PDF library an attempt to read says so; the engine needs it nowhere."""
+"""Reading documents through Spark's own files, for stores that only Spark reaches. ``pages`` is the data source for all others.
+
+PDFs need the PDF library on all executors; without it an attempt to read says so.
+"""
 
 from __future__ import annotations
 
-import base64
-import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .pages import SCHEMA, page_rows
+
 
 def available() -> bool:
     import importlib.util
@@ -16,34 +19,19 @@ def available() -> bool:
     return importlib.util.find_spec("pymupdf") is not None
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """file, page, width, height, text, image_count, drawing_count, raw (JSON of the text blocks), visuals (JSON of images
-    and drawings, see ``visuals``): a row per page.
-
-    Files are read by Spark, a partition of files at a time; bytes are not shuffled.
-    """
-    if not available():
+def read_pages(spark: SparkSession, path: str, pattern: str = "*.pdf", dpi: int = 0) -> DataFrame:
+    """A row per page and per failure, as ``pages.SCHEMA`` has them. A document is one value of the scan; bytes are not shuffled."""
+    if pattern.endswith(".pdf") and not available():
         raise RuntimeError("reading PDF files needs the pymupdf package on all executors")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def visuals(doc, page) -> str:
-        found = []
-        for info in page.get_images(full=True):
-            got = doc.extract_image(info[0]) or {}
-            data = base64.b64encode(got.get("image") or b"").decode()
-            found.append({"xref": info[0], "ext": got.get("ext"), "width": got.get("width"), "height": got.get("height"), "data": data, "rects": [list(r) for r in page.get_image_rects(info[0])]})
-        return json.dumps({"images": found, "drawings": [{"rect": list(d["rect"]) if d.get("rect") else None} for d in page.get_drawings()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = list(page_rows(name, content or b"", dpi=dpi))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], KINDS.get(n, pa.string())) for i, n in enumerate(names)], names)
 
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pymupdf
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with pymupdf.open(stream=content, filetype="pdf") as doc:
-                    rows = [
-                        (path, i + 1, p.rect.width, p.rect.height, p.get_text("text"), len(p.get_images(full=True)), len(p.get_drawings()), json.dumps(p.get_text("dict"), default=str), visuals(doc, p))
-                        for i, p in enumerate(doc)
-                    ]
-                yield pd.DataFrame(rows, columns=["file", "page", "width", "height", "text", "image_count", "drawing_count", "raw", "visuals"])
-
-    schema = "file string, page int, width double, height double, text string, image_count int, drawing_count int, raw string, visuals string"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(pages, schema)
+
+KINDS = {"page": pa.int32(), "width": pa.float64(), "height": pa.float64(), "image_count": pa.int32(), "drawing_count": pa.int32(), "raster": pa.binary()}

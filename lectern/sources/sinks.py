@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CACHE
+from .cache_log import CacheLog
 
 
 def upsert(cache: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
@@ -18,20 +18,18 @@ def upsert(cache: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def write_cache(spark: SparkSession, cache: DataFrame, root: str) -> str:
-    """Writes a new version of the cache under ``root`` and returns its path; earlier versions stay readable."""
-    path = f"{root.rstrip('/')}/v{spark.range(1).select((F.unix_micros(F.current_timestamp())).alias('t')).first()['t']}"
-    cache.repartitionByRange("cache_key").sortWithinPartitions("cache_key").write.parquet(path)
-    return path
+    """Puts ``cache`` in place of all that the log under ``root`` holds, and returns where its rows are; earlier generations stay readable."""
+    log = CacheLog(spark, root)
+    entry = log.append(cache, base=True, replaces=tuple(e.number for e in log.live()))
+    if entry is None:
+        raise RuntimeError(f"the cache under {root} was compacted by another writer meanwhile")
+    return f"{log.root}/data/{entry.name}/rows"
 
 
 def latest_cache(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest version of the cache under ``root``, or None."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    versions = sorted((int(n[1:]), n) for n in names if n[:1] == "v" and n[1:].isdigit())
-    return spark.read.schema(CACHE).parquet(f"{root.rstrip('/')}/{versions[-1][1]}") if versions else None
+    """The cache under ``root`` as its log has it, or None if there is none."""
+    log = CacheLog(spark, root)
+    return log.read() if log.live() else None
 
 
 def newest_first(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import quality
 from ..schemas import CACHE
 from ..sources import sinks
+from ..sources.cache_log import CacheLog
 from ..sources.tables import synthetic_lines
 
 
@@ -34,15 +35,21 @@ def events_per_window(events: DataFrame, window: str = "10 minutes", late: str =
 
 
 def upsert_stream(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch adds its rows to the cache under ``root`` as a delta; a repeated epoch overwrites its own."""
+    """Each micro-batch adds its rows to the cache's log under ``root`` as a generation; a repeated epoch of the same checkpoint is taken in once."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.select(*CACHE.names, F.lit(epoch).cast("long").alias("ord")).write.mode("overwrite").parquet(f"{root}/delta/epoch={epoch}")
+        rows = batch.select(*CACHE.names, F.lit(epoch).cast("long").alias("ord"))
+        CacheLog(batch.sparkSession, root).append(sinks.upsert(rows.drop("ord").limit(0), rows), stream=checkpoint, epoch=epoch)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def compact(spark: SparkSession, root: str, cache: DataFrame | None = None) -> DataFrame:
-    """The cache after all deltas under ``root``, later ones first; write it as the next version from time to time."""
-    old = cache if cache is not None else spark.createDataFrame([], CACHE)
-    return sinks.upsert(old, spark.read.parquet(f"{root}/delta").drop("epoch"))
+    """Takes all generations under ``root`` together, and returns the cache that is there then.
+
+    ``cache`` stands in for what was compacted before, where the caller has changed
+    it: generations that came since count over it, those taken in before do not.
+    """
+    log = CacheLog(spark, root)
+    log.compact(cache)
+    return log.read()
