@@ -198,8 +198,9 @@ def _asked(packed: DataFrame, bits: int, fan_bits: int) -> list[DataFrame]:
     schema, whole = "node long, bucket long, low binary, high binary, counts binary", min(64, 32 + bits)
 
     def ask(rows: pa.Table) -> pa.Table:
-        tokens = _flat(rows.filter(pc.invert(rows["doc"]))["tokens"]) >> np.uint64(64 - whole)
-        return _split(rows["pack"][0].as_py(), 0, *np.unique(tokens, return_counts=True), whole, widths[0])
+        tokens, counts = np.unique(_flat(rows.filter(pc.invert(rows["doc"]))["tokens"]), return_counts=True)
+        # shingles that agree in all bits that are sent stay apart here: each has its own place in the answer
+        return _split(rows["pack"][0].as_py(), 0, tokens >> np.uint64(64 - whole), counts, whole, widths[0])
 
     out = [packed.groupBy("pack").applyInArrow(sparing(ask), schema)]
     for h in range(1, hops):

@@ -106,6 +106,18 @@ def test_frequencies_are_exact(spark):
             assert level.tolist() == ngram_join.levels_of(np.array([df[t] for t in mine.tolist()])).tolist()
 
 
+@pytest.mark.parametrize("fan_bits", [8, 1])
+def test_shingles_that_share_what_is_sent_of_them(spark, fan_bits):
+    """Each has its own place in the answer; their frequencies add up."""
+    base = 77 << 40
+    sets = {0: [base, base + 1, 5], 2: [base + 1, base + 2], 1: [base + 2, 9 << 50]}
+    rows = [(c % 4, False, None, len(t), c, None, np.array(sorted(t), np.uint64).tobytes()) for c, t in sets.items()]
+    packed = spark.createDataFrame(rows, "pack int, doc boolean, doc_id long, n long, cls long, m long, tokens binary")
+    told = {(r["node"], r["bucket"]): list(zstandard.decompress(r["levels"], 1 << 20)) for r in ngram_join._levels(packed, 2, fan_bits, Scratch(spark, "test")).collect()}
+    five = ngram_join.levels_of(np.array([5]))[0]
+    assert {k: v for k, v in told.items()} == {(0, 0): [0, five, five], (2, 0): [five, five], (1, 0): [five, 0]}
+
+
 def test_the_exchange_of_frequencies_is_linear(spark):
     """Rows for each pack stay under the fan-out at each hop, however many packs there are."""
     rnd = random.Random(6)
