@@ -101,7 +101,8 @@ def first_filled(*columns: Column) -> Column:
 
 
 #: The parts of a JSON text: strings, brackets and marks, words and numbers, white space; any other character stands alone.
-JSON_PART = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+|\s+|.'
+#: Strings are taken without a way back, which keeps the stack flat however long they are.
+JSON_PART = r'"(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^\s"{}\[\],:]+|\s+|.'
 
 
 def strip_fences(c: Column) -> Column:

@@ -100,6 +100,30 @@ bands AS (SELECT doc_id, page, y AS top, lead(y) OVER (PARTITION BY doc_id, page
 reach AS (SELECT doc_id, page, max(y1) + 20 AS y1 FROM full_lines GROUP BY doc_id, page)"""
 
 
+LANGUAGES = "['Japanese','English','Chinese','Korean','French','German','Spanish','Italian','Portuguese','Russian','Arabic','Hindi','Tamil','Telugu','Malayalam','Kannada','Thai','Vietnamese','Dutch','Polish','Ukrainian']"
+#: Parts of each brand as models, by the rules of the fixture.
+MODELS = """
+models AS (
+  SELECT p_brand AS service, p_name, p_partkey % 3 = 0 AS unnamed, p_size % 5 AS i, p_size % 3 AS o, p_size % 3 = 2 AND p_size % 7 = 0 AS vectors,
+    CASE WHEN p_partkey % 50 = 7 THEN '' ELSE (CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE p_type END) || '/' || (CASE WHEN p_partkey % 9 = 0 THEN 'embedding-' ELSE replace(p_name, ' ', '-') END) || p_partkey END AS id
+  FROM part)"""
+#: The letters of the fixture and the characters of each language's script.
+SCRIPTS = [
+    ("Japanese", "ア", r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"), ("Chinese", "本", r"\x{3400}-\x{9fff}"), ("Korean", "가", r"\x{ac00}-\x{d7af}"), ("Arabic", "ا", r"\x{600}-\x{6ff}"),
+    ("Russian", "д", r"\x{400}-\x{4ff}"), ("Ukrainian", "ї", r"\x{400}-\x{4ff}"), ("Thai", "ก", r"\x{e00}-\x{e7f}"), ("Hindi", "अ", r"\x{900}-\x{97f}"), ("Tamil", "அ", r"\x{b80}-\x{bff}"),
+    ("Telugu", "అ", r"\x{c00}-\x{c7f}"), ("Malayalam", "അ", r"\x{d00}-\x{d7f}"), ("Kannada", "ಅ", r"\x{c80}-\x{cff}"),
+]
+CJK = f"[{SCRIPTS[0][2]}]"
+
+
+def _scripts() -> str:
+    letter = "CASE ord % 13 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c, _) in enumerate(SCRIPTS)) + " END"
+    kinds = [(n, f"{strip('t')} <> '' AND regexp_matches(t, '[{p}]')") for n, _, p in SCRIPTS] + [("English", f"{strip('t')} <> '' AND regexp_matches(t, '[A-Za-z\\x{{c0}}-\\x{{ff}}]')"), ("any_cjk", f"regexp_matches(t, '{CJK}')")]
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS language, count(*) FILTER ({test}) AS lines FROM t" for n, test in kinds)
+    text = "CASE WHEN c IS NULL THEN text WHEN page % 2 = 0 THEN replace(text, 'e', c) ELSE c || regexp_replace(text, '[A-Za-z\\x{c0}-\\x{ff}]', '', 'g') END"
+    return _with(LINES, f"l AS (SELECT *, {letter} AS c FROM lines)", f"t AS MATERIALIZED (SELECT {text} AS t FROM l)") + rows
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -141,13 +165,6 @@ SELECT doc_id, page, a, b, round(area, 6) AS area FROM p WHERE area > 0.4 AND ar
         "document_verdict": _with(LINES, RULES, ITEMS, CROSSINGS, OUTSIDE, VERDICT) + "SELECT doc_id, count(*) AS pages, bool_and(pass) AS validation_pass, count(*) FILTER (NOT pass) AS warnings FROM verdicts GROUP BY doc_id",
         "table_grids": _with(LINES, GRIDS)
         + "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY top) - 1 AS INT) AS grid_ord, round(top, 6) AS top, round(bottom, 6) AS bottom, CAST(3 AS INT) AS n_xs, 50.3::DOUBLE AS x_first FROM bands JOIN reach USING (doc_id, page) WHERE bottom - top >= 12 AND 36 <= top + 2 AND y1 >= bottom - 2",
-        "region_page_boxes": "SELECT * FROM (VALUES (0, 60.0::DOUBLE, 85.0::DOUBLE, 160.0::DOUBLE, 135.0::DOUBLE), (1, -2.5, 2.5, 45.0, 50.0)) t(id, p_x0, p_y0, p_x1, p_y1)",
-        "json_repair": "SELECT * FROM (VALUES (1, 'a', 'A'), (2, 'b', 'B'), (3, 'c', 'C'), (3, 'd', 'D'), (7, 'e', '2')) t(doc_id, unit_id, translation)",
-        "image_regions": """SELECT * FROM (VALUES ('p1_img7_0_r1', 10.0::DOUBLE, 10.0::DOUBLE, 60.0::DOUBLE, 40.0::DOUBLE, 'a', 'A', 1.0::DOUBLE), ('p1_img7_0_r2', 20.0, 20.0, 90.0, 50.0, 'd', 'D', 0.0),
-  ('p1_img7_1_r1', 220.0, 20.0, 320.0, 80.0, 'a', 'A', 1.0), ('p1_img7_1_r2', 240.0, 40.0, 380.0, 100.0, 'd', 'D', 0.0)) t(region_id, x0, y0, x1, y1, source_text, translation, confidence)""",
-        "model_catalog": "SELECT * FROM (VALUES (1, 'A/vision', true), (2, 'b/text', false), (3, 'd/open', false)) t(place, id, vision)",
-        "image_model_catalog": "SELECT * FROM (VALUES (1, 'f/paint', 'F'), (2, 'e/paint', 'e/paint')) t(place, id, name)",
-        "target_languages": "SELECT unnest(['Japanese','English','Chinese','Korean','German','Spanish','Italian','Portuguese','Russian','Arabic','Hindi','Tamil','Telugu','Malayalam','Kannada','Thai','Vietnamese','Dutch','Polish','Ukrainian']) AS language",
         "aspect_ratios": """WITH c AS (SELECT * FROM (VALUES (0, '1:1', 1, 1), (1, '4:5', 4, 5), (2, '3:4', 3, 4), (3, '2:3', 2, 3), (4, '9:16', 9, 16), (5, '16:9', 16, 9), (6, '3:2', 3, 2), (7, '5:4', 5, 4)) t(i, name, a, b)),
 p AS (SELECT p_partkey AS id, p_size * 40 AS w, 1000 AS h FROM part)
 SELECT id, arg_min(name, (abs(a / b - w / h), i)) AS aspect, CAST(any_value(greatest(1, trunc(w * (900.0::DOUBLE / greatest(w, h))))) AS INT) AS sent_w, CAST(any_value(greatest(1, trunc(h * (900.0::DOUBLE / greatest(w, h))))) AS INT) AS sent_h
@@ -171,12 +188,54 @@ SELECT l.doc_id, l.page, l.n AS lines, coalesce(u.n, 0) AS units, coalesce(r.n,
         "merged_rows": _with(LINES, f"w AS (SELECT doc_id, page, ord, y0, y1, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM lines)")
         + """SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0) - 1 AS INT) AS ord, sha256(array_to_string(w, ' ')) AS text_sha, CAST(len(w) AS INT) AS n_spans,
   50.0::DOUBLE AS x0, y0, 50.0::DOUBLE + (len(w) - 1) * 40 + 30 AS x1, y1 FROM w WHERE len(w) > 0""",
-        "ocr_codes": """SELECT i, code, pack, 'auto' AS mode FROM (VALUES (0, 'japan', 'jpn+eng'), (1, 'latin', 'eng'), (2, 'chinese', 'chi_tra+eng'), (3, 'korean', 'kor+eng'), (4, 'latin', 'eng'), (5, 'latin', 'eng'), (6, 'latin', 'eng'), (7, 'latin', 'eng'),
-  (8, 'latin', 'eng'), (9, 'latin', 'eng'), (10, 'arabic', 'ara+eng'), (11, 'hindi', 'hin+eng'), (12, 'tamil', 'tam+eng'), (13, 'telugu', 'tel+eng'), (14, 'malayalam', 'mal+eng'), (15, 'kannada', 'kan+eng'), (16, 'thai', 'tha+eng'), (17, 'latin', 'eng'),
-  (18, 'latin', 'eng'), (19, 'latin', 'eng'), (20, 'latin', 'eng'), (21, 'ch', 'chi_sim+eng'), (22, 'chinese', 'chi_tra+eng'), (23, 'latin', 'eng'), (24, 'latin', 'eng')) t(i, code, pack)""",
-        "recognized_text": """SELECT * FROM (VALUES (1::BIGINT, 0, 0, 'y', 2.5::DOUBLE, 2.5::DOUBLE, 25.0::DOUBLE, 7.5::DOUBLE, NULL::DOUBLE), (1, 0, 1, 'x', 5.0, 10.0, 30.0, 20.0, NULL),
-  (2, 0, 0, 'hi', 5.0, 5.0, 15.0, 10.0, 0.426667), (2, 0, 1, 'end', 2.5, 20.0, 17.5, 25.0, 0.426667)) t(doc_id, page, ord, text, x0, y0, x1, y1, confidence)""",
-        "extractor_payload": """SELECT * FROM (VALUES (1::BIGINT, 0, 0, 'a b', 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE, 2, 10.0::DOUBLE), (1, 0, 3, '日本', 5.0, 6.0, 7.0, 8.0, 2, 10.0)) t(doc_id, page, ord, text, x0, y0, x1, y1, n_spans, first_size)""",
+        "region_page_boxes": _with(LINES)
+        + """, v AS (
+  SELECT doc_id, page, ord, length(text) AS n, y0, 100 + 10 * (length(text) % 40) AS w, 80 + 5 * (ord % 20) AS h, length(text) % 90 AS a, ord - 3 AS b,
+    CASE WHEN ord % 5 = 0 THEN length(text) % 90 + 1 ELSE length(text) % 500 END AS c, 2 * ord + 9 AS d FROM lines WHERE ord % 11 <> 3),
+k AS (SELECT *, least(least(w, c), greatest(0, a)) AS px0, least(least(h, d), greatest(0, b)) AS py0, greatest(least(w, c), greatest(0, a)) AS px1, greatest(least(h, d), greatest(0, b)) AS py1 FROM v)
+SELECT doc_id, page, ord, round(40.0::DOUBLE + px0 * (n::DOUBLE / w), 6) AS x0, round(y0 + py0 * ((2.0::DOUBLE * ord) / h), 6) AS y0, round(40.0::DOUBLE + px1 * (n::DOUBLE / w), 6) AS x1, round(y0 + py1 * ((2.0::DOUBLE * ord) / h), 6) AS y1
+FROM k WHERE px1 - px0 >= 2 AND py1 - py0 >= 2""",
+        "json_repair": _with(LINES, SOURCE, UNITS, "b AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY page, unit_ord) - 1) // 4 AS INT) AS batch FROM units)")
+        + "SELECT doc_id, batch, unit_id, sha256(text) AS translation_sha FROM b WHERE batch % 5 <> 4",
+        "image_regions": _with(LINES)
+        + f""", r AS (
+  SELECT doc_id, page, ord, {strip("text")} AS t, 10 + ord AS a, least(100, 60 + ord) AS c, least(2 * ord, least(90, 2 * ord + CASE WHEN ord % 6 = 5 THEN 1 ELSE 8 END)) AS b,
+    greatest(2 * ord, least(90, 2 * ord + CASE WHEN ord % 6 = 5 THEN 1 ELSE 8 END)) AS d FROM lines WHERE ord % 4 <> 3),
+f AS (SELECT *, 2 * a AS fx0, least(200, 2 * c) AS fx1, least(2 * b, least(180, 2 * d)) AS fy0, greatest(2 * b, least(180, 2 * d)) AS fy1 FROM r WHERE t <> '' AND c - a >= 2 AND d - b >= 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS n FROM f WHERE fy1 - fy0 >= 2 AND fx1 - fx0 >= 2),
+p AS (SELECT n.*, occ FROM n, (VALUES (0), (1)) o(occ) WHERE occ = 0 OR (doc_id + page) % 3 = 0)
+SELECT doc_id, printf('p%d_img7_%d_r%d', page + 1, occ, n) AS region_id, round(100.0::DOUBLE * occ + fx0 * 0.5::DOUBLE, 6) AS x0, round(10.0::DOUBLE + fy0 * ((90.0::DOUBLE + 90 * occ) / 180), 6) AS y0,
+  round(100.0::DOUBLE * occ + fx1 * 0.5::DOUBLE, 6) AS x1, round(10.0::DOUBLE + fy1 * ((90.0::DOUBLE + 90 * occ) / 180), 6) AS y1, sha256(t) AS source_sha, 'T ' || ord AS translation,
+  CASE WHEN ord % 5 = 0 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, ord / 10.0::DOUBLE), 6) END AS confidence FROM p""",
+        "model_catalog": _with(MODELS)
+        + """SELECT service, CAST(row_number() OVER (PARTITION BY service ORDER BY i <> 0, lower(id), id) AS INT) AS place, id, i = 0 AS vision FROM models
+WHERE id <> '' AND NOT (contains(lower(id), 'embedding') AND o = 2) AND i <> 1 AND NOT vectors""",
+        "image_model_catalog": _with(MODELS)
+        + """SELECT service, CAST(row_number() OVER (PARTITION BY service ORDER BY id <> 'SMALL/small-bolt1', lower(id), id) AS INT) AS place, id, CASE WHEN unnamed THEN id ELSE p_name END AS name FROM models
+WHERE id <> '' AND i IN (0, 1) AND o = 1""",
+        "target_languages": f"""SELECT lang, language, count(*) AS docs FROM documents, (SELECT unnest({LANGUAGES}) AS language)
+WHERE language <> coalesce(CASE lang WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' END, '') GROUP BY lang, language""",
+        "ocr_codes": f"""WITH n AS (SELECT unnest({LANGUAGES[:-1]}, 'Simplified Chinese', ' traditional chinese ', '', '-']) AS language, unnest(range(25)) AS i),
+c AS (SELECT *, CASE i WHEN 0 THEN 'japan' WHEN 2 THEN 'chinese' WHEN 3 THEN 'korean' WHEN 10 THEN 'arabic' WHEN 11 THEN 'hindi' WHEN 12 THEN 'tamil' WHEN 13 THEN 'telugu' WHEN 14 THEN 'malayalam' WHEN 15 THEN 'kannada'
+  WHEN 16 THEN 'thai' WHEN 21 THEN 'ch' WHEN 22 THEN 'chinese' ELSE 'latin' END AS code FROM n)
+SELECT language, code, CASE code WHEN 'japan' THEN 'jpn+eng' WHEN 'chinese' THEN 'chi_tra+eng' WHEN 'korean' THEN 'kor+eng' WHEN 'arabic' THEN 'ara+eng' WHEN 'hindi' THEN 'hin+eng' WHEN 'tamil' THEN 'tam+eng' WHEN 'telugu' THEN 'tel+eng'
+  WHEN 'malayalam' THEN 'mal+eng' WHEN 'kannada' THEN 'kan+eng' WHEN 'thai' THEN 'tha+eng' WHEN 'ch' THEN 'chi_sim+eng' ELSE 'eng' END AS pack, CASE doc_id % 5 WHEN 1 THEN 'native' WHEN 2 THEN 'ocr' ELSE 'auto' END AS mode, count(*) AS docs
+FROM documents JOIN c ON doc_id % 25 = i GROUP BY ALL""",
+        "recognized_text": _with(
+            LINES,
+            f"t AS (SELECT *, {strip('text')} AS t, CASE WHEN ord % 11 = 0 OR ord % 13 = 0 THEN NULL ELSE ord * 7 % 100 END AS conf FROM lines)",
+            "m AS (SELECT doc_id, page, round(coalesce(avg(conf) / 100, 0), 6) AS confidence FROM t GROUP BY ALL)",
+            "k AS (SELECT *, 'boxes' AS kind FROM t WHERE t <> '' UNION ALL SELECT *, 'words' FROM t WHERE t <> '' AND conf >= 20)",
+        )
+        + "SELECT doc_id, page, kind, CAST(row_number() OVER (PARTITION BY doc_id, page, kind ORDER BY ord) - 1 AS INT) AS ord, sha256(t) AS text_sha, x0, y0, x1, y1, confidence FROM k JOIN m USING (doc_id, page)",
+        "extractor_payload": _with(
+            LINES,
+            "t AS (SELECT *, CASE WHEN ord % 5 = 2 THEN translate(text, 'aeo', '日ア本') ELSE text END AS t, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1 AS k FROM lines WHERE ord % 7 <> 6)",
+            f"p AS (SELECT *, {strip('substr(t, 1, 3)')} AS a, {strip('substr(t, 4)')} AS b FROM t WHERE ord % 9 <> 8)",
+            f"j AS (SELECT *, CASE WHEN a = '' THEN b WHEN b = '' THEN a WHEN regexp_matches(a || b, '{CJK}') THEN a || b ELSE a || ' ' || b END AS j FROM p)",
+        )
+        + "SELECT doc_id, page, CAST(k AS INT) AS ord, sha256(j) AS text_sha, x0, y0, x1, y1, 3 AS n_spans, CASE WHEN ord % 3 = 0 THEN 12.5::DOUBLE ELSE 10.0::DOUBLE END AS first_size, CASE WHEN ord % 2 = 0 THEN x1 ELSE 0.0::DOUBLE END AS first_x1 FROM j WHERE j <> ''",
+        "source_scripts": _scripts(),
         "inspection_report": _with(LINES, SOURCE, UNITS)
         + "SELECT l.doc_id, l.n AS pages, coalesce(u.n, 0) AS n_units FROM (SELECT doc_id, count(DISTINCT page) AS n FROM lines GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u USING (doc_id)",
     }

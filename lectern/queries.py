@@ -1,7 +1,8 @@
 """The queries of the layout engine and, where it can be said in SQL, the same in SQL.
 
 All run over whole tables. Tables of this kind have no boxes, so lines come
-from ``synthetic_lines``; literal cases stand where the tables hold none.
+from ``synthetic_lines``, and what extractors, engines and models would say of
+them is made from the lines by rule.
 """
 
 from __future__ import annotations
@@ -215,39 +216,59 @@ def merged_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "page", "ord", F.sha2("text", 256).alias("text_sha"), F.size("spans").alias("n_spans"), "bbox.*")
 
 
-_REGIONS = "SELECT * FROM VALUES (0, 40D, 60D, 240D, 160D, 800, 400, array('80', '100', '480', '300')), (1, 0D, 0D, 50D, 50D, 100, 200, array('90', '10', '-5', '400')), (2, 0D, 0D, 10D, 10D, 100, 100, array('1', '1', '2', '50')), (3, 0D, 0D, 10D, 10D, 100, 100, array('1', 'x', '2', '50')) AS t(id, x0, y0, x1, y1, w, h, px)"
-
-
 def region_page_boxes(spark: SparkSession, d: str) -> DataFrame:
-    r = spark.sql(_REGIONS).withColumn("b", geo.valid_box(F.col("px"), F.col("w"), F.col("h"))).filter("b IS NOT NULL")
-    p = geo.page_box(geo.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), F.col("w"), F.col("h"), F.col("b"))
-    return r.select("id", *[F.round(p[c], 6).alias(f"p_{c}") for c in ("x0", "y0", "x1", "y1")])
-
-
-#: Replies as models give them: fenced, with prose, without commas, with text after the object, and not JSON at all.
-REPLIES = [
-    (1, '```json\n{"translations": [{"id": "a", "translation": "A"}]}\n```'),
-    (2, 'Here you are: {"translations": [{"unit_id": " `b` ", "translated_text": " B "}]} Done.'),
-    (3, '{"translations": [{"id": "c" "translation": "C"} {"id": "d", "translation": "D"}]}'),
-    (4, '{"translations": []}'),
-    (5, "no reply"),
-    (6, None),
-    (7, '{"translations": [{"id": "e", "translation": "1"}, {"id": "e", "translation": "2"}, {"id": "", "translation": "x"}]}'),
-]
+    """A region in the pixels of an image for every line: some beyond the image, some turned around, too thin or not numbers."""
+    n, k = F.length("text"), F.col("ord")
+    w, h = 100 + 10 * (n % 40), 80 + 5 * (k % 20)
+    corner = F.when(k % 11 == 3, F.lit("x")).otherwise((k - 3).cast("string"))
+    px = F.array((n % 90).cast("string"), corner, F.when(k % 5 == 0, n % 90 + 1).otherwise(n % 500).cast("string"), (F.lit(2) * k + 9).cast("string"))
+    image = geo.box(F.lit(40.0), F.col("bbox.y0"), F.lit(40.0) + n, F.col("bbox.y0") + 2 * k)
+    r = _lines(spark, d).select("doc_id", "page", "ord", geo.valid_box(px, w, h).alias("b"), geo.page_box(image, w, h, geo.valid_box(px, w, h)).alias("p"))
+    return r.filter("b IS NOT NULL").select("doc_id", "page", "ord", *[F.round(F.col("p")[c], 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _replies(units: DataFrame) -> DataFrame:
+    """doc_id, batch, reply: what a model might answer to batches of units. By batch and unit: commas left out, a fence or prose around, other names of fields,
+    ids in backticks, a first answer that a later one corrects, and a reply that is none."""
+    key = F.element_at(F.array(*map(F.lit, ("id", "unit_id", "segment_id"))), F.col("unit_ord") % 3 + 1)
+    name = F.when(F.col("unit_ord") % 2 == 0, "translation").otherwise("translated_text")
+    ticked = F.when(F.col("unit_ord") % 4 == 1, F.concat(F.lit(" `"), "unit_id", F.lit("` "))).otherwise(F.col("unit_id"))
+    item = lambda text: F.to_json(F.map_from_arrays(F.array(key, name), F.array(ticked, text)))
+    rows = translate.batches(units).select("doc_id", "batch", F.struct("page", "unit_ord", F.lit(1).alias("turn"), item(F.col("text")).alias("item")).alias("i"), F.struct("page", "unit_ord", F.lit(0).alias("turn"), item(F.lit("not yet")).alias("item")).alias("first"))
+    rows = rows.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list("i")).alias("items"), F.array_sort(F.collect_list("first")).alias("firsts"))
+    items = F.transform(F.concat(F.slice("firsts", 1, 1), F.col("items")), lambda x: x["item"])
+    body = F.concat(F.lit('{"translations": ['), F.array_join(items, " ") , F.lit("]}"))
+    whole = F.concat(F.lit('{"translations": ['), F.array_join(items, ", "), F.lit("]}"))
+    reply = (
+        F.when(F.col("batch") % 5 == 4, F.lit("I cannot help with that."))
+        .when(F.col("batch") % 5 == 0, body)
+        .when(F.col("batch") % 5 == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
+        .when(F.col("batch") % 5 == 2, F.concat(F.lit("Here you are: "), whole, F.lit(" Done.")))
+        .otherwise(whole)
+    )
+    return rows.select("doc_id", "batch", reply.alias("reply"))
 
 
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
-    replies = spark.createDataFrame([(i, 0, r) for i, r in REPLIES], "doc_id int, batch int, reply string")
-    return translate.parse_translations(replies).select("doc_id", "unit_id", "translation")
+    """What is read from broken replies to the units of all documents."""
+    found = translate.parse_translations(_replies(_units(spark, d)))
+    return found.select("doc_id", "batch", "unit_id", F.sha2("translation", 256).alias("translation_sha"))
 
 
 def image_regions(spark: SparkSession, d: str) -> DataFrame:
-    """A reply with four regions, of which two can be placed, for an image that stands on its page twice."""
-    reply = '{"regions": [{"bbox": [10, 10, 60, 40], "source_text": " a ", "translation": "A", "confidence": 1.7}, {"bbox": [0, 0, 1, 9], "source_text": "b", "translation": "B"}, {"bbox": [5, 5, 50, 50], "source_text": "c", "translation": ""}, {"bbox": [90, 90, 20, 20], "source_text": "d", "translation": "D", "confidence": "x"}]}'
-    replies = spark.createDataFrame([("h", reply, 100, 50, 0.5, 200, 100)], "digest string, reply string, sent_w int, sent_h int, scale double, image_w int, image_h int")
-    placements = spark.sql("SELECT * FROM VALUES (1L, 0, 7, 0, named_struct('x0', 0D, 'y0', 0D, 'x1', 100D, 'y1', 50D)), (1L, 0, 7, 1, named_struct('x0', 200D, 'y0', 0D, 'x1', 400D, 'y1', 100D)) AS t(doc_id, page, xref, occ, rect)")
-    images = spark.sql("SELECT * FROM VALUES (1L, 0, 7, 'h', 200, 100) AS t(doc_id, page, xref, digest, image_w, image_h)")
-    return regions.place_regions(placements, images, regions.read_regions(replies)).select("region_id", "bbox.*", "source_text", "translation", "confidence")
+    """An image on every page, twice on every third one; the reply has a region for each of the page's lines, some of which cannot be placed."""
+    k, text = F.col("ord"), F.col("text")
+    box_px = F.array(F.lit(10) + k, F.lit(2) * k, F.lit(60) + k, F.when(k % 6 == 5, F.lit(2) * k + 1).otherwise(F.lit(2) * k + 8))
+    said = F.struct(box_px.cast("array<string>").alias("bbox"), text.alias("source_text"), F.when(k % 4 == 3, "").otherwise(F.concat(F.lit("T "), k.cast("string"))).alias("translation"), F.when(k % 5 == 0, "high").otherwise((k / 10).cast("string")).alias("confidence"))
+    pages = _lines(spark, d).groupBy("doc_id", "page").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("ord", said.alias("r")))), lambda x: x["r"]).alias("regions"))).alias("reply"))
+    pages = pages.withColumn("digest", F.sha2(F.concat_ws("/", "doc_id", "page", "reply"), 256))
+    replies = pages.select("digest", "reply", F.lit(100).alias("sent_w"), F.lit(90).alias("sent_h"), F.lit(0.5).alias("scale"), F.lit(200).alias("image_w"), F.lit(180).alias("image_h")).dropDuplicates(["digest"])
+    at = F.when((F.col("doc_id") + F.col("page")) % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    places = pages.select("doc_id", "page", F.lit(7).alias("xref"), F.explode(at).alias("occ"))
+    places = places.withColumn("rect", geo.box(F.lit(100.0) * F.col("occ"), F.lit(10.0), F.lit(100.0) * F.col("occ") + 100, F.lit(100.0) + 90 * F.col("occ")))
+    images = pages.select("doc_id", "page", F.lit(7).alias("xref"), "digest", F.lit(200).alias("image_w"), F.lit(180).alias("image_h"))
+    out = regions.place_regions(places, images, regions.read_regions(replies))
+    return out.select("doc_id", "region_id", *[F.round(F.col("bbox")[c], 6).alias(c) for c in ("x0", "y0", "x1", "y1")], F.sha2("source_text", 256).alias("source_sha"), "translation", F.round("confidence", 6).alias("confidence"))
 
 
 def fit_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -255,19 +276,35 @@ def fit_plan(spark: SparkSession, d: str) -> DataFrame:
     return fit.plan_fit(units).select("doc_id", "unit_id", F.round("final_size", 4).alias("final_size"), F.size("fitted").alias("n_fitted"), F.col("warning").isNotNull().alias("warned"))
 
 
-_CATALOG = "SELECT * FROM VALUES ('b/text', 'B', array('text'), array('text')), ('A/vision', null, array('text', 'image'), array('text')), ('c/embedding-1', 'E', array('text'), array('embedding')), ('d/open', 'D', null, null), ('e/paint', '', array('image', 'text'), array('image')), ('', 'none', null, null), ('f/paint', 'F', array('image'), array('image', 'text')) AS t(id, name, inputs, outputs)"
+def _catalogs(spark: SparkSession, d: str) -> DataFrame:
+    """service, value: a catalog of each brand as JSON, a model for each of its parts. Types name what a model takes and gives; some say nothing of it."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    some = lambda *x: F.array(*map(F.lit, x))
+    ins = F.when(size % 5 == 0, some("text", "image")).when(size % 5 == 1, some("image")).when(size % 5 == 2, some("text"))
+    outs = F.when(size % 3 == 0, some("text")).when(size % 3 == 1, some("image", "text")).when(size % 7 == 0, some("embedding"))
+    id_ = F.when(k % 50 == 7, "").otherwise(F.concat_ws("/", F.when(k % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type")), F.when(k % 9 == 0, F.concat(F.lit("embedding-"), k.cast("string"))).otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), k.cast("string")))))
+    model = F.struct(id_.alias("id"), F.when(k % 3 == 0, "").otherwise(F.col("p_name")).alias("name"), F.struct(ins.alias("input_modalities"), outs.alias("output_modalities")).alias("architecture"))
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("service")).agg(F.to_json(F.struct(F.collect_list(model).alias("data"))).alias("value"))
 
 
 def model_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.chat_models(spark.sql(_CATALOG))
+    return catalog.chat_models(catalog.read_catalog(_catalogs(spark, d), keep=("service",)), by=("service",))
 
 
 def image_model_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.image_models(spark.sql(_CATALOG), "f/paint")
+    return catalog.image_models(catalog.read_catalog(_catalogs(spark, d), keep=("service",)), "SMALL/small-bolt1", by=("service",))
+
+
+#: Names of the languages of the documents' codes.
+NAMES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French"}
 
 
 def target_languages(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.targets(spark.createDataFrame([(x,) for x in catalog.LANGUAGES], "language string"), "French")
+    """For how many documents each language can be chosen as a target."""
+    names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
+    docs = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    offered = docs.select("lang", "docs", F.explode(F.array(*map(F.lit, catalog.LANGUAGES))).alias("language"))
+    return catalog.targets(offered, F.try_element_at(names, F.col("lang"))).select("lang", "language", "docs")
 
 
 def aspect_ratios(spark: SparkSession, d: str) -> DataFrame:
@@ -278,24 +315,56 @@ def aspect_ratios(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ocr_codes(spark: SparkSession, d: str) -> DataFrame:
-    names = [*catalog.LANGUAGES, "Simplified Chinese", " traditional chinese ", "", None]
-    t = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, language string")
-    return t.select("i", tx.ocr_code(F.col("language")).alias("code"), tx.ocr_pack(tx.ocr_code(F.col("language"))).alias("pack"), tx.mode(F.col("language")).alias("mode"))
+    """Codes, packs and modes of a language and a mode that each document names by its number."""
+    names = F.array(*map(F.lit, [*catalog.LANGUAGES, "Simplified Chinese", " traditional chinese ", ""]))
+    modes = F.array(*map(F.lit, [*tx.MODES, "other"]))
+    t = table(spark, d, "documents").select(F.get(names, (F.col("doc_id") % 25).cast("int")).alias("language"), F.get(modes, (F.col("doc_id") % 5).cast("int")).alias("label"))
+    t = t.select(F.coalesce("language", F.lit("-")).alias("language"), tx.ocr_code(F.col("language")).alias("code"), tx.ocr_pack(tx.ocr_code(F.col("language"))).alias("pack"), tx.mode(F.col("label")).alias("mode"))
+    return t.groupBy("language", "code", "pack", "mode").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def recognized_text(spark: SparkSession, d: str) -> DataFrame:
-    """Both shapes of recognition results: boxes with points, and words with confidences."""
-    boxes = spark.sql("SELECT 1L AS doc_id, 0 AS page, array(' x ', '', 'y') AS texts, array(array(array(10D, 20D), array(60D, 20D), array(60D, 40D), array(10D, 40D)), array(array(0D, 0D), array(1D, 1D)), array(array(5D, 5D), array(50D, 15D))) AS boxes")
-    words = spark.sql("SELECT * FROM VALUES (2L, 0, 0, 'hi', '96', 10, 10, 20, 10), (2L, 0, 1, 'low', '12', 40, 10, 20, 10), (2L, 0, 2, '', '-1', 0, 0, 9, 9), (2L, 0, 3, 'end', '20', 5, 40, 30, 10) AS t(doc_id, page, i, text, conf, left, top, width, height)")
-    found = recognized_lines(boxes, 2.0).unionByName(recognized_words(words, 2.0)).join(mean_confidence(words), ["doc_id", "page"], "left")
-    return found.select("doc_id", "page", "ord", "text", "bbox.*", F.round("confidence", 6).alias("confidence"))
+    """Both shapes of recognition results, made from the lines: boxes with points somewhere in a payload, and words with confidences."""
+    ln, b, k = _lines(spark, d), F.col("bbox"), F.col("ord")
+    point = lambda x, y: F.array((2 * x).cast("double"), (2 * y).cast("double"))
+    turned = F.array(point(b["x1"], b["y1"]), point(b["x0"], b["y1"]), point(b["x0"], b["y0"]), point(b["x1"], b["y0"]))
+    of_page = lambda c: F.transform(F.array_sort(F.collect_list(F.struct((-k).alias("k"), c.alias("v")))), lambda x: x["v"])  # noqa: E731  from below upwards
+    held = F.to_json(F.struct(F.array(F.lit("page"), F.lit("1")).alias("meta"), F.array(F.struct(F.struct(of_page(F.concat(F.lit(" "), "text")).alias("rec_texts"), of_page(turned).alias("rec_polys")).alias("res"))).alias("out")))
+    boxes = recognized_lines(visuals.recognition_payloads(ln.groupBy("doc_id", "page").agg(held.alias("reply"))), 2.0)
+    conf = F.when(k % 11 == 0, "-1").when(k % 13 == 0, "").otherwise((k * 7 % 100).cast("string"))
+    words = ln.select("doc_id", "page", k.alias("i"), "text", conf.alias("conf"), (b["x0"] * 2).cast("int").alias("left"), (b["y0"] * 2).cast("int").alias("top"), ((b["x1"] - b["x0"]) * 2).cast("int").alias("width"), F.lit(20).alias("height"))
+    found = boxes.withColumn("kind", F.lit("boxes")).unionByName(recognized_words(words, 2.0).withColumn("kind", F.lit("words"))).join(mean_confidence(words), ["doc_id", "page"], "left")
+    return found.select("doc_id", "page", "kind", "ord", F.sha2("text", 256).alias("text_sha"), "bbox.*", F.round("confidence", 6).alias("confidence"))
 
 
 def extractor_payload(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks as an extractor gives them: other types, empty lines and missing fields."""
-    raw = '{"blocks": [{"type": 1}, {"type": 0, "lines": [{"bbox": [1, 2, 3, 4], "spans": [{"text": " a "}, {"text": "b", "size": 12.5, "bbox": [2, 2, 3, 4]}]}, {"bbox": [0, 0, 1, 1], "spans": []}, {"spans": [{"text": "  "}]}]}, {"type": 0, "lines": [{"bbox": [5, 6, 7, 8], "spans": [{"text": "日"}, {"text": "本"}]}]}]}'
-    t = raw_lines(spark.createDataFrame([(1, 0, raw), (2, 0, None), (3, 0, "{}")], "doc_id long, page int, raw string"))
-    return t.select("doc_id", "page", "ord", "text", "bbox.*", F.size("spans").alias("n_spans"), F.get("spans", 0)["size"].alias("first_size"))
+    """Blocks as an extractor gives them, made from the lines: a block a line, of another type at every seventh; two spans or three with fields left out; vowels of
+    every fifth line written in another script."""
+    k, b = F.col("ord"), F.col("bbox")
+    text = F.when(k % 5 == 2, F.translate("text", "aeo", "日ア本")).otherwise(F.col("text"))
+    corners = F.array(b["x0"], b["y0"], b["x1"], b["y1"])
+    span = lambda t, size: F.struct(t.alias("text"), F.when(k % 2 == 0, corners).alias("bbox"), size.alias("size"))
+    spans = F.array(span(F.substring(text, 1, 3), F.when(k % 3 == 0, 12.5)), span(F.lit("  "), F.lit(None).cast("double")), span(F.expr("substr(t, 4)"), F.lit(None).cast("double")))
+    line = F.struct(corners.alias("bbox"), F.when(k % 9 == 8, F.slice(spans, 1, 0)).otherwise(spans).alias("spans"))
+    block = F.struct(F.when(k % 7 == 6, 1).otherwise(0).alias("type"), F.array(line).alias("lines"))
+    blocks = _lines(spark, d).withColumn("t", text).groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))), lambda x: x["b"]).alias("blocks"))
+    found = raw_lines(blocks.select("doc_id", "page", F.to_json(F.struct("blocks")).alias("raw")))
+    return found.select("doc_id", "page", "ord", F.sha2("text", 256).alias("text_sha"), "bbox.*", F.size("spans").alias("n_spans"), F.get("spans", 0)["size"].alias("first_size"), F.get("spans", 0)["bbox"]["x1"].alias("first_x1"))
+
+
+#: A letter of each script that a source language is told by.
+LETTERS = {"Japanese": "ア", "Chinese": "本", "Korean": "가", "Arabic": "ا", "Russian": "д", "Ukrainian": "ї", "Thai": "ก", "Hindi": "अ", "Tamil": "அ", "Telugu": "అ", "Malayalam": "അ", "Kannada": "ಅ"}
+
+
+def source_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines each source language would take, where the lines write their e in one of twelve scripts by turns, or have no letter but that one."""
+    k = F.col("ord") % 13
+    letter = F.get(F.array(*map(F.lit, LETTERS.values())), k)
+    text = F.when(letter.isNull(), F.col("text")).when(F.col("page") % 2 == 0, F.replace("text", F.lit("e"), letter)).otherwise(F.concat(letter, F.regexp_replace("text", "[A-Za-zÀ-ÿ]", "")))
+    t = _lines(spark, d).select(text.alias("t"))
+    counts = [F.count_if(tx.is_source_text(F.col("t"), name)).alias(name) for name in (*LETTERS, LATIN)]
+    one = t.agg(*counts, F.count_if(tx.has_cjk(F.col("t"))).alias("any_cjk"))
+    return one.unpivot([], [*LETTERS, LATIN, "any_cjk"], "language", "lines")
 
 
 def page_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +413,7 @@ FUNCTIONS = [
     source_lines_by_lang, page_quality_score, extraction_route, document_profile, paragraph_units, unit_kinds, dominant_style, cache_keys, cache_hit_miss, call_batches, cache_upsert,
     dedupe_savings, missing_ids, text_collisions, rule_crossings, outside_safe, uncovered_lines, decoration_rules, page_verdict, document_verdict, table_grids, grid_cells, merged_rows,
     region_page_boxes, json_repair, image_regions, fit_plan, model_catalog, image_model_catalog, target_languages, aspect_ratios, ocr_codes, recognized_text, extractor_payload, page_boxes,
-    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report,
+    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report, source_scripts,
 ]
 
 
