@@ -116,6 +116,63 @@ SCRIPTS = [
 CJK = f"[{SCRIPTS[0][2]}]"
 
 
+#: Cells of the table fixture: the one inner border cuts a line's span at the blank nearest to its share of the characters.
+CELLS = f"""
+grids AS (SELECT doc_id, page, top, bottom FROM bands JOIN reach USING (doc_id, page) WHERE bottom - top >= 12 AND 36 <= top + 2 AND y1 >= bottom - 2),
+kept AS (SELECT * FROM full_lines WHERE regexp_matches(text, '[A-Za-z\\x{{c0}}-\\x{{ff}}]')),
+placed AS (
+  SELECT l.*, g.top, g.bottom FROM kept l LEFT JOIN (
+    SELECT l.doc_id, l.page, l.ord, min(top) AS top, min_by(bottom, top) AS bottom FROM kept l JOIN grids g ON l.doc_id = g.doc_id AND l.page = g.page AND (l.y0 + l.y1) / 2 BETWEEN top - 2 AND bottom + 2 GROUP BY ALL) g USING (doc_id, page, ord)),
+share AS (SELECT *, length(text) AS n, CAST(greatest(1, least(length(text) - 1, round_even(length(text) * (150.0::DOUBLE / greatest(0.001, x1 - 50)), 0))) AS INT) AS guess FROM placed WHERE top IS NOT NULL),
+snapped AS (
+  SELECT *, coalesce(list_sort(list_transform(list_filter(range(1, n - 1), lambda i: regexp_matches(text[i + 1:i + 1], '{WS}')), lambda i: {{'d': abs(i - guess), 'i': i}}))[1]['i'], guess) AS cut FROM share),
+pieces AS (
+  SELECT doc_id, page, ord, y0, top, bottom, text AS t, x0, x1 FROM snapped WHERE n < 2 OR x1 <= 200
+  UNION ALL SELECT doc_id, page, ord, y0, top, bottom, text[:cut], x0, x0 + (x1 - x0) * (cut / n) FROM snapped WHERE n >= 2 AND x1 > 200
+  UNION ALL SELECT doc_id, page, ord, y0, top, bottom, text[cut + 1:], x0 + (x1 - x0) * (cut / n), x1 FROM snapped WHERE n >= 2 AND x1 > 200),
+cells AS (
+  SELECT doc_id, page, ord, y0, top, bottom, c0, c1, string_agg(t, '' ORDER BY x0) AS t FROM pieces, (VALUES (50.3::DOUBLE, 200.0::DOUBLE), (200.0, 500.0)) c(c0, c1)
+  WHERE (x0 + x1) / 2 >= c0 - 1 AND (x0 + x1) / 2 <= c1 + 1 GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(y0 / 2, 0) * 2, c0, top) AS k FROM cells),
+held AS (SELECT doc_id, page, count(*) AS cells FROM cells GROUP BY ALL),
+source AS (SELECT doc_id, page, ord, text, x0, y0, x1, y1 FROM placed WHERE top IS NULL)"""
+#: Lines that a text takes at each size that is tried, word by word; a word wider than the place goes on character by character.
+#: A token joins a line after a blank (0), opens one (1), or follows without a blank (2).
+SIZES = [10.0]
+while SIZES[-1] - 0.15 >= 9.0 - 1e-6:
+    SIZES.append(SIZES[-1] - 0.15)
+FITS = f"""
+adv AS (SELECT unnest({{advances}}) AS w, unnest(range(32, 127)) AS code),
+doubled AS (SELECT doc_id, unit_id, n_lines, greatest(8, x1 - x0) AS width, y1 - y0 AS height, {strip("text || ' ' || text")} AS t FROM units),
+word AS (SELECT doc_id, unit_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT *, list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '') AS w FROM doubled)),
+letters AS (SELECT doc_id, unit_id, i, unnest(string_split(word, '')) AS c, unnest(range(length(word))) AS j FROM word),
+wide AS (SELECT l.doc_id, l.unit_id, l.i, l.j, coalesce(adv.w, 556) AS w FROM letters l LEFT JOIN adv ON adv.code = unicode(l.c)),
+whole AS (SELECT doc_id, unit_id, i, sum(w) AS w FROM wide GROUP BY ALL),
+tried AS (SELECT d.*, size, (1000 * width) / size AS room FROM doubled d, (SELECT unnest({SIZES}) AS size)),
+tokens AS (
+  SELECT doc_id, unit_id, size, i, 0 AS j, w, 0 AS kind FROM tried JOIN whole USING (doc_id, unit_id) WHERE w <= room
+  UNION ALL SELECT t.doc_id, t.unit_id, size, x.i, x.j, x.w, CASE WHEN x.j = 0 THEN 1 ELSE 2 END FROM tried t JOIN whole a USING (doc_id, unit_id) JOIN wide x USING (doc_id, unit_id) WHERE a.i = x.i AND a.w > room),
+queue AS MATERIALIZED (SELECT doc_id, unit_id, size, w, kind, row_number() OVER (PARTITION BY doc_id, unit_id, size ORDER BY i, j) AS k FROM tokens),
+steps AS (
+  SELECT doc_id, unit_id, size, room, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS lines, CAST(0 AS HUGEINT) AS used FROM tried
+  UNION ALL
+  SELECT s.doc_id, s.unit_id, s.size, s.room, q.k, CASE WHEN joins THEN s.lines ELSE s.lines + 1 END, CASE WHEN joins THEN s.used + q.w + CASE WHEN q.kind = 0 THEN 278 ELSE 0 END ELSE q.w END
+  FROM steps s JOIN queue q ON q.doc_id = s.doc_id AND q.unit_id = s.unit_id AND q.size = s.size AND q.k = s.k + 1,
+    LATERAL (SELECT s.lines > 0 AND q.kind <> 1 AND s.used + q.w + CASE WHEN q.kind = 0 THEN 278 ELSE 0 END <= s.room AS joins)),
+taken AS (SELECT doc_id, unit_id, size, arg_max(lines, k) AS lines FROM steps GROUP BY ALL),
+good AS (
+  SELECT doc_id, unit_id, max(size) AS size FROM taken JOIN doubled USING (doc_id, unit_id)
+  WHERE lines > 0 AND lines <= n_lines AND lines * greatest(1, (1.075::DOUBLE - -0.299::DOUBLE) * size) * 1.02::DOUBLE <= height + 0.5 GROUP BY ALL)"""
+
+
+def _fits() -> str:
+    from .functions.fonts import ADVANCES  # fixed values of a font
+
+    return "WITH RECURSIVE " + ",\n".join([LINES, SOURCE, UNITS, FITS.replace("{advances}", str(ADVANCES))]) + f"""
+SELECT doc_id, unit_id, round(coalesce(g.size, 9.0), 4) AS final_size, CAST(least(n_lines, t.lines) AS INT) AS n_fitted, g.size IS NULL AS warned
+FROM doubled d LEFT JOIN good g USING (doc_id, unit_id) JOIN taken t ON t.doc_id = d.doc_id AND t.unit_id = d.unit_id AND t.size = coalesce(g.size, {SIZES[-1]})"""
+
+
 def _scripts() -> str:
     letter = "CASE ord % 13 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c, _) in enumerate(SCRIPTS)) + " END"
     kinds = [(n, f"{strip('t')} <> '' AND regexp_matches(t, '[{p}]')") for n, _, p in SCRIPTS] + [("English", f"{strip('t')} <> '' AND regexp_matches(t, '[A-Za-z\\x{{c0}}-\\x{{ff}}]')"), ("any_cjk", f"regexp_matches(t, '{CJK}')")]
@@ -236,6 +293,10 @@ FROM documents JOIN c ON doc_id % 25 = i GROUP BY ALL""",
         )
         + "SELECT doc_id, page, CAST(k AS INT) AS ord, sha256(j) AS text_sha, x0, y0, x1, y1, 3 AS n_spans, CASE WHEN ord % 3 = 0 THEN 12.5::DOUBLE ELSE 10.0::DOUBLE END AS first_size, CASE WHEN ord % 2 = 0 THEN x1 ELSE 0.0::DOUBLE END AS first_x1 FROM j WHERE j <> ''",
         "source_scripts": _scripts(),
+        "grid_cells": _with(LINES, GRIDS, CELLS, UNITS)
+        + f"""SELECT doc_id, printf('p%d_t%03d', page + 1, k) AS unit_id, 'table_cell' AS kind, CAST(1 AS INT) AS n_lines, sha256({strip("t")}) AS text_sha, c0 AS x0, top AS y0, c1 AS x1, bottom AS y1 FROM numbered
+UNION ALL SELECT doc_id, printf('p%d_u%03d', page + 1, unit_ord + coalesce(cells, 0)), kind, n_lines, sha256(text), x0, y0, x1, y1 FROM units LEFT JOIN held USING (doc_id, page)""",
+        "fit_plan": _fits(),
         "inspection_report": _with(LINES, SOURCE, UNITS)
         + "SELECT l.doc_id, l.n AS pages, coalesce(u.n, 0) AS n_units FROM (SELECT doc_id, count(DISTINCT page) AS n FROM lines GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u USING (doc_id)",
     }
