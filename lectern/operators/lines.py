@@ -11,9 +11,10 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -40,41 +41,81 @@ def assign_rows(boxes: list[tuple[float, float, float, float]]) -> list[tuple[in
     return out
 
 
-def merge_rows(lines: DataFrame) -> DataFrame:
-    """doc_id, page, ord, text, bbox, spans -> the same, merged; ``ord`` is then the order by top and left.
-
-    Only boxes go through Python; texts and spans stay in the plan and are
-    joined back by (doc_id, page, ord).
-    """
+def with_rows(lines: DataFrame) -> DataFrame:
+    """Adds row and turn (``assign_rows``) to lines. Sorted pages stream by in Arrow batches; only boxes are looked at, other columns pass as they are."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted pages stream by; the last one of a frame may go on in the next."""
-        rest: pd.DataFrame | None = None
-        for pdf in chain(frames, [None]):
-            if pdf is not None:
-                rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last page of a batch may go on in the next."""
+        rest: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                part = pa.Table.from_batches([batch])
+                rest = part if rest is None else pa.concat_tables([rest, part])
             if rest is None or not len(rest):
                 continue
-            keys = rest[KEYS].to_numpy()
+            keys = np.stack([np.asarray(rest[k].combine_chunks()) for k in KEYS], 1)
             starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-            ready = len(rest) if pdf is None else int(starts[-1])
-            corners = list(zip(rest.x0, rest.y0, rest.x1, rest.y1))
+            ready = len(rest) if batch is None else int(starts[-1])
+            if not ready:
+                continue
+            box = rest["bbox"].combine_chunks()
+            corners = list(zip(*[np.asarray(box.field(c)).tolist() for c in ("x0", "y0", "x1", "y1")]))
             found = [x for a, z in zip(starts, np.append(starts[1:], len(rest))) if z <= ready for x in assign_rows(corners[a:z])]
-            if found:
-                yield rest.iloc[:ready][[*KEYS, "ord"]].assign(row=[r for r, _ in found], turn=[t for _, t in found])
-            rest = rest.iloc[ready:].reset_index(drop=True)
+            done = rest.slice(0, ready).combine_chunks()
+            yield from done.append_column("row", pa.array([r for r, _ in found], pa.int32())).append_column("turn", pa.array([t for _, t in found], pa.int32())).to_batches()
+            rest = rest.slice(ready)
 
-    flat = lines.select(*KEYS, "ord", "bbox.*").repartition(*KEYS).sortWithinPartitions(*KEYS, "ord")
-    rows = flat.mapInPandas(run, "doc_id long, page int, ord int, row int, turn int")
-    spans = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "spans"))), lambda s: s["spans"]))
+    there = lines.select(*KEYS, "ord", "text", "bbox", "spans").repartition(*KEYS).sortWithinPartitions(*KEYS, "ord")
+    return there.mapInArrow(run, T.StructType([*there.schema.fields, T.StructField("row", T.IntegerType()), T.StructField("turn", T.IntegerType())]))
+
+
+def merge_rows(lines: DataFrame) -> DataFrame:
+    """doc_id, page, ord, text, bbox, spans -> the same, merged; ``ord`` is then the order by top and left."""
+    return merged(with_rows(lines))
+
+
+def merged(lines: DataFrame) -> DataFrame:
+    """``merge_rows`` of lines that have their row and turn."""
     # spans keep the order in which fragments took their turn, then sort stably by their left edge
-    merged = (
-        lines.join(rows, [*KEYS, "ord"])
-        .groupBy(*KEYS, "row")
-        .agg(F.struct(F.min("bbox.x0").alias("x0"), F.min("bbox.y0").alias("y0"), F.max("bbox.x1").alias("x1"), F.max("bbox.y1").alias("y1")).alias("bbox"), spans.alias("spans"), F.count(F.lit(1)).alias("n"), F.first("text").alias("only"))
+    spans = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "spans"))), lambda s: s["spans"]))
+    rows = lines.groupBy(*KEYS, "row").agg(
+        F.struct(F.min("bbox.x0").alias("x0"), F.min("bbox.y0").alias("y0"), F.max("bbox.x1").alias("x1"), F.max("bbox.y1").alias("y1")).alias("bbox"), spans.alias("spans"), F.count(F.lit(1)).alias("n"), F.first("text").alias("only")
     )
     by_left = F.array_sort(F.transform("spans", lambda s, i: F.struct(s["bbox"]["x0"].alias("x"), i.alias("i"), s.alias("s"))))
-    merged = merged.withColumn("spans", F.when(F.col("n") == 1, F.col("spans")).otherwise(F.transform(by_left, lambda t: t["s"])))
-    merged = merged.withColumn("text", F.when(F.col("n") == 1, F.col("only")).otherwise(tx.join_fragments(F.transform("spans", lambda s: s["text"]))))
+    rows = rows.withColumn("spans", F.when(F.col("n") == 1, F.col("spans")).otherwise(F.transform(by_left, lambda t: t["s"])))
+    rows = rows.withColumn("text", F.when(F.col("n") == 1, F.col("only")).otherwise(tx.join_fragments(F.transform("spans", lambda s: s["text"]))))
     order = Window.partitionBy(*KEYS).orderBy("bbox.y0", "bbox.x0", "row")
-    return merged.select(*KEYS, (F.row_number().over(order) - 1).alias("ord"), "text", "bbox", "spans")
+    return rows.select(*KEYS, (F.row_number().over(order) - 1).alias("ord"), "text", "bbox", "spans")
+
+
+class RowTurns:
+    """A table function: the fold over the boxes of one page, for SQL. ``register`` gives it its name.
+
+    SELECT * FROM row_turns(TABLE(boxes) PARTITION BY (doc_id, page) ORDER BY ord), where boxes has doc_id, page, ord, x0, y0, x1, y1.
+    """
+
+    def __init__(self) -> None:
+        self.keys: list[tuple] = []
+        self.boxes: list[tuple[float, float, float, float]] = []
+
+    def eval(self, row: Row) -> None:
+        self.keys.append((row["doc_id"], row["page"], row["ord"]))
+        self.boxes.append((row["x0"], row["y0"], row["x1"], row["y1"]))
+
+    def terminate(self) -> Iterator[tuple]:
+        for key, found in zip(self.keys, assign_rows(self.boxes)):
+            yield (*key, *found)
+
+
+class TextLines:
+    """A table function: the lines of a text with their page and place, 50 to a page: SELECT * FROM documents, LATERAL text_lines(text)."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, int, str]]:
+        for n, line in enumerate(text.split("\n") if text is not None else []):
+            yield n // 50, n % 50, line
+
+
+def register(spark: SparkSession) -> None:
+    """Makes row_turns and text_lines callable in SQL."""
+    spark.udtf.register("row_turns", F.udtf(RowTurns, returnType="doc_id long, page int, ord int, row int, turn int"))
+    spark.udtf.register("text_lines", F.udtf(TextLines, returnType="page int, ord int, line string"))

@@ -19,13 +19,34 @@ def rendered(spans: DataFrame) -> DataFrame:
     return spans.select(*PAGE, "ord", tx.strip(F.col("text")).alias("text"), "bbox").filter("text != ''")
 
 
-def text_collisions(items: DataFrame) -> DataFrame:
-    """doc_id, page, a, b, area: pairs that share more than 0.4 square points and 12 % of the smaller box."""
-    a = items.select(*PAGE, F.col("ord").alias("a"), F.col("bbox").alias("ab"))
-    b = items.select(*PAGE, F.col("ord").alias("b"), F.col("bbox").alias("bb"))
-    shared = intersection_area(F.col("ab"), F.col("bb"))
-    least = F.least(F.greatest(F.lit(1.0), area(F.col("ab"))), F.greatest(F.lit(1.0), area(F.col("bb"))))
-    return a.join(b, PAGE).filter("a < b").filter((shared > 0.4) & (shared / least > 0.12)).select(*PAGE, "a", "b", shared.alias("area"))
+#: Cells of a page in which boxes meet, in points: a few lines high, about half a line wide.
+CELL_WIDTH, CELL_HEIGHT = 256.0, 36.0
+
+
+def in_cells(items: DataFrame, cell_width: float = CELL_WIDTH, cell_height: float = CELL_HEIGHT) -> DataFrame:
+    """Adds cx, cy: a row for each cell of the page that a box reaches into. Boxes without an area meet nothing and go."""
+    b, at = F.col("bbox"), lambda v, size: F.floor(v / size)
+    cells = lambda lo, hi, size: F.explode(F.sequence(at(b[lo], size), at(b[hi], size)))
+    there = items.filter((width(b) > 0) & (height(b) > 0))
+    return there.withColumn("cx", cells("x0", "x1", cell_width)).withColumn("cy", cells("y0", "y1", cell_height))
+
+
+def text_collisions(items: DataFrame, cell_width: float = CELL_WIDTH, cell_height: float = CELL_HEIGHT) -> DataFrame:
+    """doc_id, page, a, b, area: pairs that share more than 0.4 square points and 12 % of the smaller box.
+
+    Boxes meet by cells of the page, so work follows what is near and not the
+    square of a page. A pair counts in the one cell that holds the upper left
+    corner of what it shares.
+    """
+    dealt = in_cells(items, cell_width, cell_height)
+    a = dealt.select(*PAGE, "cx", "cy", F.col("ord").alias("a"), F.col("bbox").alias("ab"))
+    b = dealt.select(*PAGE, "cx", "cy", F.col("ord").alias("b"), F.col("bbox").alias("bb"))
+    ab, bb = F.col("ab"), F.col("bb")
+    shared = intersection_area(ab, bb)
+    least = F.least(F.greatest(F.lit(1.0), area(ab)), F.greatest(F.lit(1.0), area(bb)))
+    here = (F.floor(F.greatest(ab["x0"], bb["x0"]) / cell_width) == F.col("cx")) & (F.floor(F.greatest(ab["y0"], bb["y0"]) / cell_height) == F.col("cy"))
+    met = a.join(b, [*PAGE, "cx", "cy"]).filter((F.col("a") < F.col("b")) & here)
+    return met.filter((shared > 0.4) & (shared / least > 0.12)).select(*PAGE, "a", "b", shared.alias("area"))
 
 
 def rule_crossings(items: DataFrame, rules: DataFrame) -> DataFrame:

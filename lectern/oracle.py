@@ -244,6 +244,9 @@ SELECT l.doc_id, l.page, l.n AS lines, coalesce(u.n, 0) AS units, coalesce(r.n,
         + "SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS units, CAST(sum(length(text) + 5) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS lost FROM units GROUP BY doc_id",
         "merged_rows": _with(LINES, f"w AS (SELECT doc_id, page, ord, y0, y1, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM lines)")
         + """SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0) - 1 AS INT) AS ord, sha256(array_to_string(w, ' ')) AS text_sha, CAST(len(w) AS INT) AS n_spans,
+  50.0::DOUBLE AS x0, y0, 50.0::DOUBLE + (len(w) - 1) * 40 + 30 AS x1, y1 FROM w WHERE len(w) > 0""",
+        "merged_rows_in_sql": _with(LINES, f"w AS (SELECT doc_id, page, ord, y0, y1, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM lines)")
+        + """SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0) - 1 AS INT) AS ord, sha256(array_to_string(w, ' ')) AS text_sha, CAST(len(w) AS INT) AS n_spans,
   50.0::DOUBLE AS x0, y0, 50.0::DOUBLE + (len(w) - 1) * 40 + 30 AS x1, y1 FROM w WHERE len(w) > 0""",
         "region_page_boxes": _with(LINES)
         + """, v AS (

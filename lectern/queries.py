@@ -205,17 +205,40 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
     return units.select("doc_id", "unit_id", "kind", "n_lines", F.sha2("text", 256).alias("text_sha"), "bbox.*")
 
 
-def merged_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Every line cut in words, put together again."""
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Every line cut in words, as lines of their own."""
     words = _lines(spark, d).select("doc_id", "page", "ord", F.posexplode(tx.words(F.col("text"))).alias("i", "w"), "bbox")
     x = 50 + F.col("i") * 40.0
     b = geo.box(x, F.col("bbox.y0") + (F.col("i") % 2) * 0.5, x + 30, F.col("bbox.y1"))
     span = F.struct(F.col("w").alias("text"), b.alias("bbox"), F.lit("F").alias("font"), F.lit(10.0).alias("size"), F.lit(0).alias("color"), F.lit(0).alias("flags"))
-    parts = words.select("doc_id", "page", (F.col("ord") * 100_000 + F.col("i")).cast("int").alias("ord"), F.col("w").alias("text"), b.alias("bbox"), F.array(span).alias("spans"))
-    out = lines.merge_rows(parts)
+    return words.select("doc_id", "page", (F.col("ord") * 100_000 + F.col("i")).cast("int").alias("ord"), F.col("w").alias("text"), b.alias("bbox"), F.array(span).alias("spans"))
+
+
+def merged_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every line cut in words, put together again."""
+    out = lines.merge_rows(_words(spark, d))
     return out.select("doc_id", "page", "ord", F.sha2("text", 256).alias("text_sha"), F.size("spans").alias("n_spans"), "bbox.*")
 
 
+def merged_rows_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """``merged_rows`` by SQL and table functions: lines from texts, words from lines, the fold over each page's boxes, and rows from its turns."""
+    lines.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("merged_documents")
+    return spark.sql(
+        """
+        WITH l AS (SELECT doc_id, page, ord, line FROM merged_documents, LATERAL text_lines(text) WHERE text IS NOT NULL),
+        w AS (
+          SELECT doc_id, page, ord, i, w FROM (SELECT *, filter(split(line, '(?U)[\\\\s\\\\x1c-\\\\x1f\\\\x85]+'), x -> x != '') AS ws FROM l) LATERAL VIEW posexplode(ws) AS i, w),
+        b AS (SELECT doc_id, page, CAST(ord * 100000 + i AS INT) AS ord, w, 50D + i * 40D AS x0, 40D + 18D * ord + (i % 2) * 0.5D AS y0, 80D + i * 40D AS x1, 50D + 18D * ord AS y1 FROM w),
+        t AS (SELECT * FROM row_turns(TABLE(SELECT doc_id, page, ord, x0, y0, x1, y1 FROM b) PARTITION BY (doc_id, page) ORDER BY ord)),
+        r AS (
+          SELECT doc_id, page, row, array_join(transform(array_sort(collect_list(struct(x0, turn, w))), x -> x.w), ' ') AS text, CAST(count(1) AS INT) AS n_spans, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+          FROM t JOIN b USING (doc_id, page, ord) GROUP BY doc_id, page, row)
+        SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, row) - 1 AS INT) AS ord, sha2(text, 256) AS text_sha, n_spans, x0, y0, x1, y1 FROM r
+        """
+    )
+
+
 def region_page_boxes(spark: SparkSession, d: str) -> DataFrame:
     """A region in the pixels of an image for every line: some beyond the image, some turned around, too thin or not numbers."""
     n, k = F.length("text"), F.col("ord")
@@ -413,7 +436,7 @@ FUNCTIONS = [
     source_lines_by_lang, page_quality_score, extraction_route, document_profile, paragraph_units, unit_kinds, dominant_style, cache_keys, cache_hit_miss, call_batches, cache_upsert,
     dedupe_savings, missing_ids, text_collisions, rule_crossings, outside_safe, uncovered_lines, decoration_rules, page_verdict, document_verdict, table_grids, grid_cells, merged_rows,
     region_page_boxes, json_repair, image_regions, fit_plan, model_catalog, image_model_catalog, target_languages, aspect_ratios, ocr_codes, recognized_text, extractor_payload, page_boxes,
-    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report, source_scripts,
+    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report, source_scripts, merged_rows_in_sql,
 ]
 
 
