@@ -165,6 +165,20 @@ good AS (
   WHERE lines > 0 AND lines <= n_lines AND lines * greatest(1, (1.075::DOUBLE - -0.299::DOUBLE) * size) * 1.02::DOUBLE <= height + 0.5 GROUP BY ALL)"""
 
 
+PIXELS = """
+d AS (SELECT doc_id, hex(encode(text)) AS hx, CAST(greatest(1, ceil(strlen(text) / 48)) AS INT) AS h FROM documents WHERE text IS NOT NULL),
+px AS MATERIALIZED (
+  SELECT doc_id, h, i // 48 AS y, (i % 48) // 3 AS x, i % 3 AS c, CASE WHEN 2 * i < length(hx) THEN CAST('0x' || substr(hx, CAST(2 * i + 1 AS BIGINT), 2) AS INT) ELSE 0 END AS v FROM (SELECT *, unnest(range(h * 48)) AS i FROM d)),
+holes AS (
+  SELECT doc_id, h, 'a' AS region_id, doc_id % 5 AS x0, doc_id % 4 AS y0, 16 - doc_id % 3 AS x1, greatest(0, h - doc_id % 2) AS y1 FROM d
+  UNION ALL SELECT doc_id, h, 'b', 3, greatest(0, h - 2 - doc_id % 7), 9, greatest(0, h - 1) FROM d),
+open AS (SELECT *, least(x1, x0 + greatest(1, (x1 - x0) // 8)) AS xr, least(y1, y0 + greatest(1, (y1 - y0) // 8)) AS yl FROM holes WHERE x1 > x0 AND y1 > y0),
+beside AS (
+  SELECT o.doc_id, region_id, c, v FROM px JOIN open o USING (doc_id)
+  WHERE (y IN (y0 - 1, y1) AND x >= x0 AND x < xr) OR (x IN (x0 - 1, x1) AND y >= y0 AND y < yl)),
+colors AS (SELECT doc_id, region_id, c, list_sort(list(v))[count(*) // 2 + 1] AS v, count(*) AS samples FROM beside GROUP BY ALL)"""
+
+
 def _fits() -> str:
     from .functions.fonts import ADVANCES  # fixed values of a font
 
@@ -300,6 +314,18 @@ FROM documents JOIN c ON doc_id % 25 = i GROUP BY ALL""",
         + f"""SELECT doc_id, printf('p%d_t%03d', page + 1, k) AS unit_id, 'table_cell' AS kind, CAST(1 AS INT) AS n_lines, sha256({strip("t")}) AS text_sha, c0 AS x0, top AS y0, c1 AS x1, bottom AS y1 FROM numbered
 UNION ALL SELECT doc_id, printf('p%d_u%03d', page + 1, unit_ord + coalesce(cells, 0)), kind, n_lines, sha256(text), x0, y0, x1, y1 FROM units LEFT JOIN held USING (doc_id, page)""",
         "fit_plan": _fits(),
+        "border_colors": _with(PIXELS)
+        + "SELECT CAST(doc_id AS VARCHAR) AS id, region_id, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b, max(samples) AS samples FROM colors GROUP BY doc_id, region_id",
+        "scaled_rasters": _with(
+            PIXELS,
+            "s AS (SELECT doc_id, h, CASE WHEN h > 24 THEN CAST(greatest(1, trunc(16 * (24.0::DOUBLE / h))) AS INT) ELSE 16 END AS sw, CASE WHEN h > 24 THEN CAST(greatest(1, trunc(h * (24.0::DOUBLE / h))) AS INT) ELSE h END AS sh FROM d)",
+            "t AS (SELECT *, unnest(range(y * sh // h, ((y + 1) * sh - 1) // h + 1)) AS ty FROM px JOIN s USING (doc_id, h))",
+            "u AS (SELECT *, unnest(range(x * sw // 16, ((x + 1) * sw - 1) // 16 + 1)) AS tx FROM t)",
+            "m AS (SELECT doc_id, h, sw, sh, ty, tx, c, sum(v * (least((ty + 1) * h, (y + 1) * sh) - greatest(ty * h, y * sh)) * (least((tx + 1) * 16, (x + 1) * sw) - greatest(tx * 16, x * sw))) AS v FROM u GROUP BY ALL)",
+        )
+        + """SELECT CAST(doc_id AS VARCHAR) AS id, sw AS width, sh AS height, sha256(unhex(string_agg(printf('%02X', CAST((2 * v + 16 * h) // (32 * h) AS INT)), '' ORDER BY ty, tx, c))) AS pixels_sha FROM m GROUP BY doc_id, sw, sh""",
+        "erased_rasters": _with(PIXELS, "f AS (SELECT px.*, k.v AS fill, region_id FROM px JOIN open o USING (doc_id) JOIN colors k USING (doc_id, region_id, c) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1)", "l AS (SELECT doc_id, y, x, c, arg_max(fill, region_id) AS fill FROM f GROUP BY ALL)")
+        + """SELECT CAST(doc_id AS VARCHAR) AS id, CAST(16 AS INT) AS width, h AS height, sha256(unhex(string_agg(printf('%02X', CAST(coalesce(fill, v) AS INT)), '' ORDER BY y, x, c))) AS pixels_sha FROM px LEFT JOIN l USING (doc_id, y, x, c) GROUP BY doc_id, h""",
         "inspection_report": _with(LINES, SOURCE, UNITS)
         + "SELECT l.doc_id, l.n AS pages, coalesce(u.n, 0) AS n_units FROM (SELECT doc_id, count(DISTINCT page) AS n FROM lines GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u USING (doc_id)",
     }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as geo
 from .functions import text as tx
-from .operators import catalog, fit, grids, lines, qa, quality, regions, report, segment, translate
+from .operators import catalog, fit, grids, lines, qa, quality, rasters, regions, report, segment, translate
 from .plans.documents import Options, inspect, translate_documents
 from .sources import sinks, visuals
 from .sources.tables import mean_confidence, raw_lines, recognized_lines, recognized_words, synthetic_lines, synthetic_rules, table
@@ -432,11 +432,44 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.size("pages").cast("long").alias("pages"), F.size(each).cast("long").alias("units"), chars.alias("chars"), F.size(F.filter(each, lambda u: u["error"].isNotNull())).cast("long").alias("lost"))
 
 
+def _rasters(spark: SparkSession, d: str) -> DataFrame:
+    """A picture of every document: its bytes as colours, 16 pixels to a row."""
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "utf-8").alias("raw"))
+    t = t.withColumn("height", F.expr("CAST(greatest(1, ceil(octet_length(raw) / 48)) AS INT)"))
+    return t.select(F.col("doc_id").cast("string").alias("id"), F.lit(16).alias("width"), "height", F.expr("rpad(raw, height * 48, X'00')").alias("pixels"))
+
+
+def _holes(spark: SparkSession, d: str) -> DataFrame:
+    """Two regions of each picture, some of which reach its edges or overlap."""
+    k, h = F.col("id").cast("long"), F.col("height")
+    at = lambda n, x0, y0, x1, y1: F.struct(F.lit(n).alias("region_id"), *[v.cast("int").alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1))])
+    both = F.array(at("a", k % 5, k % 4, 16 - k % 3, h - k % 2), at("b", F.lit(3), h - 2 - k % 7, F.lit(9), h - 1))
+    r = _rasters(spark, d).select("id", F.inline(both))
+    return r.withColumn("y0", F.greatest(F.lit(0), "y0")).withColumn("y1", F.greatest(F.lit(0), "y1"))
+
+
+def border_colors(spark: SparkSession, d: str) -> DataFrame:
+    """The colour beside each region of each picture."""
+    return rasters.border_colors(_rasters(spark, d), _holes(spark, d), 64).select("id", "region_id", "r", "g", "b", "samples")
+
+
+def scaled_rasters(spark: SparkSession, d: str) -> DataFrame:
+    """Every picture with no side over 24 pixels."""
+    return rasters.scaled(_rasters(spark, d), 24, 64).select("id", "width", "height", F.sha2("pixels", 256).alias("pixels_sha"))
+
+
+def erased_rasters(spark: SparkSession, d: str) -> DataFrame:
+    """Every picture with its regions filled by the colour beside them."""
+    pictures, holes = _rasters(spark, d), _holes(spark, d)
+    out = rasters.erased(pictures, holes, rasters.border_colors(pictures, holes, 64))
+    return out.select("id", "width", "height", F.sha2("pixels", 256).alias("pixels_sha"))
+
+
 FUNCTIONS = [
     source_lines_by_lang, page_quality_score, extraction_route, document_profile, paragraph_units, unit_kinds, dominant_style, cache_keys, cache_hit_miss, call_batches, cache_upsert,
     dedupe_savings, missing_ids, text_collisions, rule_crossings, outside_safe, uncovered_lines, decoration_rules, page_verdict, document_verdict, table_grids, grid_cells, merged_rows,
     region_page_boxes, json_repair, image_regions, fit_plan, model_catalog, image_model_catalog, target_languages, aspect_ratios, ocr_codes, recognized_text, extractor_payload, page_boxes,
-    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report, source_scripts, merged_rows_in_sql,
+    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report, source_scripts, merged_rows_in_sql, border_colors, scaled_rasters, erased_rasters,
 ]
 
 
