@@ -16,8 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.gettempdir()}/lectern-{spark.sparkContext.applicationId}"
-    return found.rstrip("/")
+        found = f"file://{tempfile.gettempdir()}"
+    return f"{found.rstrip('/')}/lectern-llm-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. For the caller, once its results are written: results are read from these tables."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, small_enough
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 SPACE = r"[\x20\x09-\x0D]+"
@@ -139,13 +139,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     store = Scratch(docs.sparkSession, "mixing")
     sized = store.write(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")  # texts are split once
     targets = store.write(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs), "targets")
+    few = small_enough(targets, width=256)  # sources may be hosts or addresses: then they are shuffled
+    beside = F.broadcast if few else (lambda df: df)
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
     wanted = int(total * budget)
     block = max(1, min(largest_block, -(-wanted // slots)))
     plan = schedule(targets, block, -(-wanted // block))
     per_epoch = F.ceil(F.col("source_size") / F.lit(block))
     plan = (
-        plan.join(F.broadcast(targets), "ord")  # one row per source
+        plan.join(beside(targets), "ord")  # one row per source
         .withColumn("epoch", F.floor(F.col("rank") / per_epoch))
         .withColumn("block", F.col("rank") - F.col("epoch") * per_epoch)
         .withColumn("before", F.col("epoch") * F.col("source_size") + F.col("block") * block)
@@ -154,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     plan = store.write(plan, "schedule")
     taken = plan.groupBy("ord", "block").agg(F.collect_list("tokens").alias("lengths"))  # an entry per epoch
     owners = targets.select(F.col("ord"), F.col("source").alias("of"))
-    placed = _lines(sized.join(F.broadcast(owners), F.col("source").eqNullSafe(F.col("of"))).drop("of"), per_bucket)
+    placed = _lines(sized.join(beside(owners), F.col("source").eqNullSafe(F.col("of"))).drop("of"), per_bucket)
     pieces = placed.filter("size > 0").select(
         "doc_id", "ord", "size", "start", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block")
     )
@@ -163,7 +165,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     got = pieces.join(taken, ["ord", "block"], "left").select("doc_id", "ord", "size", "start", F.coalesce(overlap, F.lit(0)).alias("taken"))
     got = got.groupBy("doc_id", "ord", "size", "start").agg(F.sum("taken").alias("taken"))
     empty = placed.filter("size = 0").select("doc_id", "ord", "size", "start", F.lit(0).cast("long").alias("taken"))
-    out = got.unionByName(empty).join(F.broadcast(targets), "ord")
+    out = got.unionByName(empty).join(beside(targets), "ord")
     copies = F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     return {
         "documents": out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", copies.alias("copies")),

@@ -31,7 +31,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"))["documents"]
+    return mixing.mix(_read(spark, sf_dir, "documents"))["documents"].select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def _fold(n: int) -> Column:

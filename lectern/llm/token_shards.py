@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bpe import frugal, slices, Encoder
-from ._store import Scratch, hash_sample
+from ._store import Scratch, hash_sample, small_enough
 
 MAGIC = b"LTOK"
 HEAD = struct.Struct("<4sB8sQ")  # magic, bytes per id, dictionary hash, documents
@@ -173,7 +173,8 @@ def read_tokens(files: TokenFiles) -> DataFrame:
                 cols = [pa.array(shard.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(shard.counts, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = files.shards.join(F.broadcast(files.parts), "part").select((F.col("base") + F.col("part_base")).alias("base"), "shard")
+    parts = F.broadcast(files.parts) if small_enough(files.parts) else files.parts  # a row for each part
+    placed = files.shards.join(parts, "part").select((F.col("base") + F.col("part_base")).alias("base"), "shard")
     return placed.mapInArrow(frugal(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
