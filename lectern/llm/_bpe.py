@@ -4,8 +4,9 @@ The tokenizer first cuts a text into pieces (words with their leading blank,
 numbers, punctuation, white space) and then encodes each piece on its own. The
 cut is made here with numpy on the UTF-8 bytes of whole batches; pieces that
 the memo does not hold go to the tokenizers library in one call. The memo is a
-direct-mapped table of fixed size. Texts with characters outside ASCII and the
-Latin letters U+00C0-U+024F, or with the content of an added token such as
+direct-mapped table of fixed size. Texts with characters outside ASCII, the
+Latin signs and letters U+00A1-U+024F, dashes, quotes and dots U+2010-U+2027 and
+currency signs U+20A0-U+20BF, or with the content of an added token such as
 ``<|endoftext|>``, are encoded whole by the library; so are all texts where the
 file asks for another way to cut or for a normalizer.
 """
@@ -48,6 +49,35 @@ def _byte_classes() -> np.ndarray:
 
 
 CLASSES = _byte_classes()
+
+
+def _latin_signs() -> np.ndarray:
+    """Class of U+00A1 to U+00BF by their second byte; what stands before them (controls, the no-break space) stays unsure."""
+    out = np.full(256, UNSURE, np.uint8)
+    out[0xA1:0xC0] = OTHER
+    out[[0xAA, 0xB5, 0xBA]] = LETTER
+    out[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = NUMBER
+    return out
+
+
+SIGNS = _latin_signs()
+
+
+def kinds_of(data: np.ndarray, n: int) -> np.ndarray:
+    """Class of each of the first ``n`` bytes; ``data`` has two more. Signs of Latin texts beyond ASCII (quotes, dashes, currencies, times and
+    divided by) get the class of their character on all of their bytes."""
+    kind = CLASSES[data[:n]]
+    two = np.flatnonzero(data[:n] == 0xC2)
+    second = SIGNS[data[two + 1]]
+    kind[two], kind[two + 1] = second, np.where(second == UNSURE, LETTER, second)
+    three = np.flatnonzero(data[:n] == 0xE2)
+    b, c = data[three + 1], data[three + 2]
+    three = three[((b == 0x80) & (c >= 0x90) & (c <= 0xA7)) | ((b == 0x82) & (c >= 0xA0) & (c <= 0xBF))]
+    for k in range(3):
+        kind[three + k] = OTHER
+    signs = np.flatnonzero((data[:n] == 0xC3) & ((data[1 : n + 1] == 0x97) | (data[1 : n + 1] == 0xB7)))
+    kind[signs] = kind[signs + 1] = OTHER
+    return kind
 #: Keeps the first n bytes of a little-endian word.
 KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
@@ -141,10 +171,9 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), unsure
     data = data[: n + 2]
-    kind = CLASSES[data[:n]]
+    kind = kinds_of(data, n)
     begins = offsets[full]
-    signs = np.flatnonzero((data[:n] == 0xC3) & ((data[1 : n + 1] == 0x97) | (data[1 : n + 1] == 0xB7)))  # not letters
-    odd = np.concatenate([np.flatnonzero(kind == UNSURE), signs])
+    odd = np.flatnonzero(kind == UNSURE)
     unsure[full[np.searchsorted(begins, odd, side="right") - 1]] = True
     new = np.empty(n + 1, bool)
     new[0] = new[n] = True

@@ -25,6 +25,23 @@ def encoder():
     return Encoder(PATH, bits=10, most_ids=2000)  # small, so that slots are taken over and the store is cleared
 
 
+SIGNS = [chr(c) for c in (*range(0xA0, 0xC0), *range(0x2010, 0x202A), 0x20AC, 0x20BF, 0x2122, 0xD7, 0xF7, 0xE9)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=[*" \n'sdtlab9.,", *SIGNS], max_size=20), min_size=1, max_size=8))
+def test_signs_beyond_ascii_are_cut_as_the_library_does(encoder, texts):
+    flat, counts = encoder.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_quotes_and_dashes_do_not_send_a_text_to_the_library():
+    from lectern.llm._bpe import cut, utf8
+
+    texts = pa.array(["“It’s” — 5 € · ½ ×2…", "中", "a\u2028b"])
+    assert cut(*utf8(texts))[1].tolist() == [False, True, True]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.text(alphabet=" \n\t'sdtmlrveab9.,!éß×中’ ", max_size=25), st.text(max_size=12)), min_size=1, max_size=8))
 def test_memo_encodes_as_the_library(encoder, texts):
