@@ -187,6 +187,26 @@ SELECT doc_id, unit_id, round(coalesce(g.size, 9.0), 4) AS final_size, CAST(leas
 FROM doubled d LEFT JOIN good g USING (doc_id, unit_id) JOIN taken t ON t.doc_id = d.doc_id AND t.unit_id = d.unit_id AND t.size = coalesce(g.size, {SIZES[-1]})"""
 
 
+#: Sizes of a cell that takes no size of the search: one line, ever smaller.
+SHRUNK = [9.0]
+while SHRUNK[-1] > 4.8:
+    SHRUNK.append(SHRUNK[-1] - 0.1)
+
+
+def _cell_fits() -> str:
+    from .functions.fonts import ADVANCES  # fixed values of a font
+
+    cells = f"units AS (SELECT doc_id, printf('p%d_t%03d', page + 1, k) AS unit_id, 1 AS n_lines, {strip('t')} AS text, c0 + 12 AS x0, c1 AS x1, top + 5 AS y0, bottom AS y1 FROM numbered)"
+    tried = FITS.replace("{advances}", str(ADVANCES)).replace("greatest(8, x1 - x0) AS width", "x1 - x0 AS width")
+    start = tried.index("good AS (")
+    good = "good AS (SELECT doc_id, unit_id, max(size) AS size FROM taken JOIN doubled USING (doc_id, unit_id) WHERE lines > 0 AND lines * (1.075::DOUBLE - -0.299::DOUBLE) * size * 1.05::DOUBLE <= height GROUP BY ALL)"
+    length = "length AS (SELECT doc_id, unit_id, sum(coalesce(w, 556)) AS w FROM (SELECT doc_id, unit_id, unnest(string_split(t, '')) AS c FROM doubled WHERE t <> '') l LEFT JOIN adv ON adv.code = unicode(l.c) GROUP BY ALL)"
+    return "WITH RECURSIVE " + ",\n".join([LINES, GRIDS, CELLS, cells, tried[:start] + good, length]) + f"""
+SELECT doc_id, unit_id, round(coalesce(g.size, list_filter({SHRUNK}, lambda s: s <= 4.8 OR s * coalesce(n.w, 0) / 1000 <= width)[1]), 4) AS final_size,
+  CAST(CASE WHEN g.size IS NULL THEN 1 ELSE t.lines END AS INT) AS n_fitted, g.size IS NULL AS warned
+FROM doubled d LEFT JOIN good g USING (doc_id, unit_id) LEFT JOIN length n USING (doc_id, unit_id) LEFT JOIN taken t ON t.doc_id = d.doc_id AND t.unit_id = d.unit_id AND t.size = g.size"""
+
+
 def _scripts() -> str:
     letter = "CASE ord % 13 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c, _) in enumerate(SCRIPTS)) + " END"
     kinds = [(n, f"{strip('t')} <> '' AND regexp_matches(t, '[{p}]')") for n, _, p in SCRIPTS] + [("English", f"{strip('t')} <> '' AND regexp_matches(t, '[A-Za-z\\x{{c0}}-\\x{{ff}}]')"), ("any_cjk", f"regexp_matches(t, '{CJK}')")]
@@ -326,6 +346,13 @@ UNION ALL SELECT doc_id, printf('p%d_u%03d', page + 1, unit_ord + coalesce(cells
         + """SELECT CAST(doc_id AS VARCHAR) AS id, sw AS width, sh AS height, sha256(unhex(string_agg(printf('%02X', CAST((2 * v + 16 * h) // (32 * h) AS INT)), '' ORDER BY ty, tx, c))) AS pixels_sha FROM m GROUP BY doc_id, sw, sh""",
         "erased_rasters": _with(PIXELS, "f AS (SELECT px.*, k.v AS fill, region_id FROM px JOIN open o USING (doc_id) JOIN colors k USING (doc_id, region_id, c) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1)", "l AS (SELECT doc_id, y, x, c, arg_max(fill, region_id) AS fill FROM f GROUP BY ALL)")
         + """SELECT CAST(doc_id AS VARCHAR) AS id, CAST(16 AS INT) AS width, h AS height, sha256(unhex(string_agg(printf('%02X', CAST(coalesce(fill, v) AS INT)), '' ORDER BY y, x, c))) AS pixels_sha FROM px LEFT JOIN l USING (doc_id, y, x, c) GROUP BY doc_id, h""",
+        "cell_fit": _cell_fits(),
+        "lines_put_back": _with(
+            LINES,
+            "t AS (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN translate(text, 'aeo', '日ア本') ELSE text END AS text) FROM lines)",
+            f"p AS (SELECT DISTINCT doc_id, page FROM t WHERE regexp_matches(text, '{CJK}'))",
+        )
+        + f"SELECT doc_id, page, ord, sha256(text) AS text_sha, x0, y0, x1, y1, 10.0::DOUBLE AS final_size FROM t JOIN p USING (doc_id, page) WHERE {strip('text')} <> '' AND NOT regexp_matches(text, '{CJK}')",
         "inspection_report": _with(LINES, SOURCE, UNITS)
         + "SELECT l.doc_id, l.n AS pages, coalesce(u.n, 0) AS n_units FROM (SELECT doc_id, count(DISTINCT page) AS n FROM lines GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u USING (doc_id)",
     }

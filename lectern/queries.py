@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as geo
 from .functions import text as tx
 from .operators import catalog, fit, grids, lines, qa, quality, rasters, regions, report, segment, translate
-from .plans.documents import Options, inspect, translate_documents
+from .plans.documents import Options, inspect, kept_lines, translate_documents
 from .sources import sinks, visuals
 from .sources.tables import mean_confidence, raw_lines, recognized_lines, recognized_words, synthetic_lines, synthetic_rules, table
 
@@ -432,6 +432,20 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.size("pages").cast("long").alias("pages"), F.size(each).cast("long").alias("units"), chars.alias("chars"), F.size(F.filter(each, lambda u: u["error"].isNotNull())).cast("long").alias("lost"))
 
 
+def cell_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes at which table cells take twice their text."""
+    rows, rules = _tables(spark, d)
+    cells = segment.segment(rows, LATIN, grids.detect_grids(rules)).filter("kind = 'table_cell'").withColumn("translation", F.concat(F.col("text"), F.lit(" "), F.col("text")))
+    return fit.plan_fit(cells).select("doc_id", "unit_id", F.round("final_size", 4).alias("final_size"), F.size("fitted").alias("n_fitted"), F.col("warning").isNotNull().alias("warned"))
+
+
+def lines_put_back(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that a run leaves as they are, with their size, where the vowels of every third line are Japanese, the source language."""
+    ln = _lines(spark, d).withColumn("text", F.when(F.col("ord") % 3 == 0, F.translate("text", "aeo", "日ア本")).otherwise(F.col("text")))
+    placed = segment.segment(ln, "Japanese").withColumn("translation", F.col("text"))
+    return kept_lines(ln, placed).select("doc_id", "page", "ord", F.sha2("text", 256).alias("text_sha"), "bbox.*", "final_size")
+
+
 def _rasters(spark: SparkSession, d: str) -> DataFrame:
     """A picture of every document: its bytes as colours, 16 pixels to a row."""
     t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "utf-8").alias("raw"))
@@ -469,7 +483,7 @@ FUNCTIONS = [
     source_lines_by_lang, page_quality_score, extraction_route, document_profile, paragraph_units, unit_kinds, dominant_style, cache_keys, cache_hit_miss, call_batches, cache_upsert,
     dedupe_savings, missing_ids, text_collisions, rule_crossings, outside_safe, uncovered_lines, decoration_rules, page_verdict, document_verdict, table_grids, grid_cells, merged_rows,
     region_page_boxes, json_repair, image_regions, fit_plan, model_catalog, image_model_catalog, target_languages, aspect_ratios, ocr_codes, recognized_text, extractor_payload, page_boxes,
-    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report, source_scripts, merged_rows_in_sql, border_colors, scaled_rasters, erased_rasters,
+    page_components, inspection_report, styled_units, page_images, drawn_grids, run_report, source_scripts, merged_rows_in_sql, border_colors, scaled_rasters, erased_rasters, cell_fit, lines_put_back,
 ]
 
 
