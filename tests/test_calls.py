@@ -123,3 +123,78 @@ def test_a_fault_of_the_program_stops_the_job(spark):
     units = spark.createDataFrame([("k", 1, 0, 1, "label", "t")], "cache_key string, doc_id long, page int, unit_ord int, kind string, text string")
     with pytest.raises(Exception, match="TypeError"):
         translate.translate_misses(units, Wrong()).collect()
+
+
+def test_catalogs_are_kept_for_a_while(spark, tmp_path):
+    from lectern.operators import catalog
+    from lectern.sources.catalogs import catalog_payloads
+
+    asked, clock = [], [1000.0]
+
+    def fetch(service):
+        asked.append(service)
+        if service == "down":
+            raise OSError("no way there")
+        return json.dumps({"data": [{"id": f"{service}/{len(asked)}"}]})
+
+    read = lambda: {r["service"]: r["id"] for r in catalog.chat_models(catalog.read_catalog(catalog_payloads(spark, f"{tmp_path}/c", ["a", "b", "down"], fetch, 600, lambda: clock[0]), keep=("service",)), by=("service",)).collect()}
+    assert read() == {"a": "a/1", "b": "b/2"}
+    clock[0] += 599
+    assert read() == {"a": "a/1", "b": "b/2"} and asked == ["a", "b", "down", "down"]
+    clock[0] += 2
+    assert read() == {"a": "a/5", "b": "b/6"}
+
+
+def narrow(folder, most):
+    """A service that refuses with 429 what goes over ``most`` requests of a round; a file for each request says in which partition it was made."""
+
+    class Narrow:
+        def translate(self, units):
+            from pyspark import TaskContext
+
+            with open(f"{folder}/round") as f:
+                n = f.read()
+            made = len([x for x in os.listdir(folder) if x.startswith(f"{n}-")])
+            name = f"{folder}/{n}-{TaskContext.get().partitionId()}-{units[0]['id'][:12]}"
+            open(name, "w").close()
+            if made >= most:
+                os.rename(name, name + "-refused")
+                raise translate.ServiceError(429)
+            return json.dumps({"translations": [{"id": u["id"], "translation": "T " + u["text"]} for u in units if "lost" not in u["text"]]})
+
+    return Narrow()
+
+
+def test_a_busy_service_slows_all_partitions(spark, tmp_path):
+    from lectern.sources.cache_log import CacheLog
+    from lectern.streaming.paced import Pace, PacedTranslation
+
+    (tmp_path / "calls").mkdir()
+    schema = "doc_id long, page int, unit_ord int, kind string, text string"
+    spark.createDataFrame([(d, 0, u, "label", f"text {d} {u % 7}") for d in range(30) for u in range(10)], schema).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(99, 0, 0, "label", "a lost text")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    slept = []
+    log = CacheLog(spark, f"{tmp_path}/cache")
+
+    class Counted(PacedTranslation):
+        def _ask(self, due):
+            with open(f"{tmp_path}/calls/round", "w") as f:
+                f.write(str(len(self._rounds("answers"))))
+            return super()._ask(due)
+
+    paced = Counted(spark, f"{tmp_path}/paced", narrow(str(tmp_path / "calls"), 5), log, ("French", "German", "m"), start=24, most=64, step=2, lanes=3, attempts=2, sleep=slept.append)
+    paced.stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp").awaitTermination()
+    rounds = paced.drain(60)
+    assert log.read().count() == 30 * 7 and rounds > 5  # each text once, and the lost one given up after its attempts
+    by_round = {}
+    for name in os.listdir(tmp_path / "calls"):
+        if "-" in name:
+            n, partition, *_ = name.split("-")
+            by_round.setdefault(int(n), []).append((partition, name.endswith("-refused")))
+    assert any(r for _, r in by_round[0]) and any(r for _, r in by_round[1])  # 24, then 12 of 5
+    assert max(len(v) for n, v in by_round.items() if n > 2) <= 5 + 3  # the lanes together ask for no more than the pace lets them
+    assert len({p for p, _ in by_round[0]}) >= 2 and slept[:3] == [0.0, 1.0, 2.0]
+    assert Pace(8).after(1, 2, 64) == Pace(4, 1.0, 1) and Pace(4, 1.0, 1).after(2, 2, 64) == Pace(2, 2.0, 2) and Pace(2, 2.0, 2).after(0, 2, 64) == Pace(4)
+    made = len(os.listdir(tmp_path / "calls"))
+    paced.round(0)  # a repeated round asks nobody
+    assert len(os.listdir(tmp_path / "calls")) == made and log.read().count() == 30 * 7
