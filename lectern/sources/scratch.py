@@ -6,20 +6,28 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table under spark.checkpoint.dir: what it costs is paid once, and a lost executor costs a re-read.
-
-    Only a session that is one process may do without that setting.
-    """
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir. Only a session that is one process may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.gettempdir()}/lectern-{spark.sparkContext.applicationId}"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: what it costs is paid once, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. For the caller, once its results are written: results are read from them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
