@@ -35,6 +35,8 @@ CUTTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 PAD = 64
+#: Pieces that are looked up at a time.
+BLOCK = 1 << 16
 
 
 def _byte_classes() -> np.ndarray:
@@ -241,9 +243,16 @@ class Encoder:
         return self.used - len(flat)
 
     def _find(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of each piece."""
+        """Place and number of ids of each piece, some thousand pieces at a time: what stands beside them takes memory too."""
         if self.used > self.most_ids:
             self.clear()
+        at, size = np.empty(len(starts), np.int32), np.empty(len(starts), np.int32)
+        for a in range(0, len(starts), BLOCK):
+            part = slice(a, a + BLOCK)
+            at[part], size[part] = self._find_block(data, starts[part], sizes[part])
+        return at, size
+
+    def _find_block(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = hash_pieces(data, starts, sizes) | np.uint64(1)  # 0 is an empty slot
         slot = (keys >> np.uint64(20)) & self.mask
         at, size = self.at[slot], self.size[slot]
@@ -251,8 +260,8 @@ class Encoder:
         if len(miss):
             _, first, where = np.unique(keys[miss], return_index=True, return_inverse=True)
             new = miss[first]
-            text = data.tobytes()
-            pieces = [text[a : a + n].decode() for a, n in zip(starts[new].tolist(), sizes[new].tolist())]
+            text = memoryview(data)
+            pieces = [str(text[a : a + n], "utf-8") for a, n in zip(starts[new].tolist(), sizes[new].tolist())]
             flat, n_ids = self._library(pieces)
             base = self._add(flat) + np.cumsum(n_ids) - n_ids
             at[miss], size[miss] = base[where], n_ids[where]
