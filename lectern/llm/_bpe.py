@@ -3,8 +3,9 @@
 The tokenizer first cuts a text into pieces (words with their leading blank,
 numbers, punctuation, white space) and then encodes each piece on its own. The
 cut is made here with numpy on the UTF-8 bytes of whole batches; pieces that
-the memo does not hold go to the tokenizers library in one call. The memo is a
-direct-mapped table of fixed size. Texts with characters outside ASCII, the
+the memo does not hold go straight to the model of the tokenizers library, which
+neither cuts nor aligns them again. The memo is a direct-mapped table of fixed
+size. Texts with characters outside ASCII, the
 Latin signs and letters U+00A1-U+024F, dashes, quotes and dots U+2010-U+2027 and
 currency signs U+20A0-U+20BF, or with the content of an added token such as
 ``<|endoftext|>``, are encoded whole by the library; so are all texts where the
@@ -65,6 +66,17 @@ def _latin_signs() -> np.ndarray:
 SIGNS = _latin_signs()
 
 
+def _byte_letters() -> np.ndarray:
+    """Code point that stands for each byte in a byte-level vocabulary: its own where it prints, else one from U+0100 on."""
+    out = np.arange(256, dtype="<u2")
+    hidden = [*range(33), *range(127, 161), 173]
+    out[hidden] = 256 + np.arange(len(hidden))
+    return out
+
+
+LETTERS = _byte_letters()
+
+
 def kinds_of(data: np.ndarray, n: int) -> np.ndarray:
     """Class of each of the first ``n`` bytes; ``data`` has two more. Signs of Latin texts beyond ASCII (quotes, dashes, currencies, times and
     divided by) get the class of their character on all of their bytes."""
@@ -165,6 +177,18 @@ def hash_pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return h
 
 
+def spelled(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """Byte ranges in the letters of a byte-level vocabulary, where no byte is a blank. There is a range, and none is empty."""
+    ends = np.cumsum(sizes)
+    n = int(ends[-1])
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(n)
+    out, inside = np.full(n + len(sizes), 32, "<u2"), np.ones(n + len(sizes), bool)
+    inside[ends + np.arange(len(sizes))] = False
+    out[inside] = LETTERS[data[at]]
+    return out[:-1].tobytes().decode("utf-16-le").split(" ")
+
+
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the pieces of all texts, and which texts hold unsure characters."""
     n = int(offsets[-1])
@@ -217,6 +241,7 @@ class Encoder:
 
     def __init__(self, path: str, bits: int = 20, most_ids: int = 4_000_000):
         self.tokenizer = library(path)
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         cutter = self.tokenizer.pre_tokenizer
         self.known = cutter is not None and self.tokenizer.normalizer is None and json.loads(cutter.__getstate__()) == CUTTER
@@ -230,9 +255,13 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and how many each has: one encoding whose words are the pieces."""
-        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
+        """Ids of all pieces, spelled in the vocabulary's letters, and how many each has."""
+        tokenize, ids, n_ids = self.model.tokenize, [], []
+        for piece in pieces:
+            found = [token.id for token in tokenize(piece)]
+            ids += found
+            n_ids.append(len(found))
+        return np.array(ids, np.uint32), np.array(n_ids, np.int64)
 
     def _add(self, flat: np.ndarray) -> int:
         """Where ``flat`` stands in the store of ids."""
@@ -260,9 +289,7 @@ class Encoder:
         if len(miss):
             _, first, where = np.unique(keys[miss], return_index=True, return_inverse=True)
             new = miss[first]
-            text = memoryview(data)
-            pieces = [str(text[a : a + n], "utf-8") for a, n in zip(starts[new].tolist(), sizes[new].tolist())]
-            flat, n_ids = self._library(pieces)
+            flat, n_ids = self._library(spelled(data, starts[new], sizes[new]))
             base = self._add(flat) + np.cumsum(n_ids) - n_ids
             at[miss], size[miss] = base[where], n_ids[where]
             self.keys[slot[new]], self.at[slot[new]], self.size[slot[new]] = keys[new], base, n_ids

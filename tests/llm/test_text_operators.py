@@ -42,6 +42,24 @@ def test_quotes_and_dashes_do_not_send_a_text_to_the_library():
     assert cut(*utf8(texts))[1].tolist() == [False, True, True]
 
 
+def test_new_pieces_go_straight_to_the_model():
+    """The library does not cut them again, which took more than half of the time of an encoding."""
+    mine = Encoder(PATH, bits=10)
+    mine.tokenizer = None
+    texts = ["It's “new” –  pieces\n\n of größe 12€", "", None, "".join(map(chr, [*range(127), *range(0xA1, 0x250)])), "x" * 5000 + " y"]
+    flat, counts = mine.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_bytes_are_spelled_as_the_library_does():
+    from lectern.llm._bpe import spelled, utf8
+
+    words = [chr(c) for c in (*range(0x800), *range(0x800, 0xD800, 61), *range(0xE000, 0x110000, 997))] + ["a b", "中 é\n🙂"]
+    data, offsets = utf8(pa.array(words))
+    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    assert spelled(data, offsets[:-1], np.diff(offsets)) == [byte_level.pre_tokenize_str(w)[0][0] for w in words]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.text(alphabet=" \n\t'sdtmlrveab9.,!éß×中’ ", max_size=25), st.text(max_size=12)), min_size=1, max_size=8))
 def test_memo_encodes_as_the_library(encoder, texts):
