@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from lectern.llm import ann_forest, chat_format, decontamination, mixing, ngram_join
+from lectern.llm import _components, ann_forest, chat_format, decontamination, mixing, ngram_join
 from lectern.llm import queries as llm_queries
 from lectern.llm._components import components
 from lectern.llm._store import Scratch
@@ -134,6 +134,33 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, 3: 3, 7: 3}
 
 
+@pytest.mark.parametrize("few", [1 << 18, 40])
+def test_few_edges_are_joined_in_one_pass(spark, monkeypatch, few):
+    """Rounds of shuffles are for edges of several tasks; both ways give the components of a search."""
+    rnd = random.Random(few)
+    pairs = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(120)]
+    beside = collections.defaultdict(set)
+    for u, v in pairs:
+        if u != v:
+            beside[u].add(v), beside[v].add(u)
+    want = {}
+    for node in sorted(beside):
+        todo = [] if node in want else [node]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = node
+                todo += beside[x]
+    monkeypatch.setattr(_components, "FEW", few)
+    store, written = Scratch(spark, "test"), []
+    write = store.write
+    store.write = lambda df, table: written.append(table) or write(df, table)
+    edges = write(spark.createDataFrame(pairs, "u long, v long").repartition(5), "edges")
+    got = components(edges, store, "few").collect()
+    assert sorted((r["node"], r["component"]) for r in got) == sorted(want.items())
+    assert (written == ["few-0"]) == (few > len(pairs))
+
+
 def filled(sizes, weights=(5, 2, 1), budget=1.5, most=2.0):
     """Targets by sharing again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
