@@ -49,9 +49,13 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(table))
-        return self.spark.read.schema(df.schema).parquet(self.path(table))
+    def write(self, df: DataFrame, table: str, large_values: bool = False) -> DataFrame:
+        """``large_values``: compressed already, and of a megabyte or so. Codecs and ranged reads would hold whole pages of them in buffers beside the heap."""
+        writer, reader = df.write.mode("overwrite"), self.spark.read
+        if large_values:
+            writer, reader = writer.option("compression", "none"), reader.option("parquet.hadoop.vectored.io.enabled", "false")
+        writer.parquet(self.path(table))
+        return reader.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:
         jvm = self.spark._jvm

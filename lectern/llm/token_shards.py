@@ -154,7 +154,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions: i
     keys = [F.col("doc_id").asc_nulls_first(), "_hash"]
     dealt = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.spark_partition_id().alias("_from"))
     ordered = dealt.repartitionByRange(partitions, *keys, "_from").sortWithinPartitions(*keys, "text").select("doc_id", "text")
-    shards = store.write(ordered.mapInArrow(frugal(encode), "part int, seq int, base long, n_docs long, n_tokens long, shard binary"), "shards")
+    shards = store.write(ordered.mapInArrow(frugal(encode), "part int, seq int, base long, n_docs long, n_tokens long, shard binary"), "shards", large_values=True)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
     return TokenFiles(shards, parts, dictionary)

@@ -2,10 +2,12 @@
 
 import itertools
 import zlib
+from urllib.parse import unquote
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,6 +98,13 @@ def test_length_histogram_and_sums(spark, encoder):
     assert empty.count() == 0 and token_lengths.quantile(empty, 0.5) is None
 
 
+def test_shards_need_no_codec(spark):
+    """Frames are compressed already; a codec would hold a page of shards beside the heap when they are written and when they are read."""
+    files = token_shards.write_tokens(spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string"), PATH, partitions=2)
+    columns = [pq.read_metadata(f.removeprefix("file:")).row_group(0).to_dict()["columns"] for f in map(unquote, files.shards.inputFiles())]
+    assert columns and {c["compression"] for cs in columns for c in cs} == {"UNCOMPRESSED"}
+
+
 def test_token_files_round_trip(spark, encoder):
     rows = [(i, t) for i, t in enumerate(TRICKY)] + [(3, "again"), (None, "no id"), (10**12, "far"), (-5, "low")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int").repartition(5)
