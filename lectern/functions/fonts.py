@@ -7,6 +7,7 @@ otherwise.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +22,15 @@ ASCENDER, DESCENDER = 1.075, -0.299
 
 
 _WIDTHS = {chr(32 + i): w for i, w in enumerate(ADVANCES)}
+_BY_CODE = np.array([DEFAULT] * 32 + ADVANCES + [DEFAULT])
 
 
 def advance(text: str) -> int:
     """Width in thousandths of the size."""
-    return sum(_WIDTHS.get(c, DEFAULT) for c in text)
+    if len(text) < 40:
+        return sum(_WIDTHS.get(c, DEFAULT) for c in text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(_BY_CODE[np.minimum(codes, 127)].sum())
 
 
 def measure(text: str, size: float) -> float:

@@ -38,11 +38,19 @@ MODES = {"Auto (MuPDF → OCR when needed)": "auto", "Native MuPDF only": "nativ
 KEY_VERSION = "v9-tablecells"
 
 WHITE = "[\\s\\x1c-\\x1f\\x85]"
+NOT_WHITE = "[^\\s\\x1c-\\x1f\\x85]"
+#: The characters of ``WHITE`` one by one.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Both ends without Unicode white space (U+001C to U+001F included)."""
-    return F.regexp_replace(c, f"(?U)^{WHITE}+|{WHITE}+$", "")
+    return F.trim(c, F.lit(BLANKS))
+
+
+def not_blank(c: Column) -> Column:
+    """Whether something is left of a text when it is stripped; looks no further than to the first such character."""
+    return c.rlike(f"(?U){NOT_WHITE}")
 
 
 def words(c: Column) -> Column:
@@ -58,7 +66,7 @@ def is_source_text(text: Column, language: str | None) -> Column:
     """Whether a text has a character of the language's script; blank: false."""
     name = (language or "").lower()
     pattern = next((p for keys, p in SCRIPTS if any(k in name for k in keys)), LATIN)
-    return (strip(text) != "") & text.rlike(pattern)
+    return text.rlike(pattern)  # no range holds white space
 
 
 def join_fragments(parts: Column) -> Column:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.geometry import box, center_x, center_y, cluster, height, overlap_x, width
@@ -24,24 +21,34 @@ def is_vertical(b: Column) -> Column:
 
 
 def detect_grids(rules: DataFrame, tolerance: float = 1.5) -> DataFrame:
-    """doc_id, page, bbox of rules -> doc_id, page, grid_ord, top, bottom, xs: row bands with two columns or more."""
+    """doc_id, page, bbox of rules -> doc_id, page, grid_ord, top, bottom, xs: row bands with two columns or more. Rules are read and dealt out by page once."""
     b = F.col("bbox")
-    ys = rules.filter(is_horizontal(b)).groupBy(*PAGE).agg(cluster(F.collect_list(b["y0"]), tolerance).alias("ys"))
-    bands = F.transform(F.sequence(F.lit(0), F.size("ys") - 2), lambda i: F.struct(i.alias("n"), F.get("ys", i).alias("top"), F.get("ys", i + 1).alias("bottom")))
-    bands = ys.filter("size(ys) > 1").select(*PAGE, F.inline(bands)).filter("bottom - top >= 12")
-    upright = rules.filter(is_vertical(b)).select(*PAGE, b["x0"].alias("x"), b["y0"].alias("y0"), b["y1"].alias("y1"))
-    spanning = bands.join(upright, PAGE).filter("y0 <= top + 2 AND y1 >= bottom - 2")
-    grids = spanning.groupBy(*PAGE, "n", "top", "bottom").agg(cluster(F.collect_list("x"), tolerance).alias("xs")).filter("size(xs) >= 3")
-    order = Window.partitionBy(*PAGE).orderBy("n")
-    return grids.select(*PAGE, (F.row_number().over(order) - 1).alias("grid_ord"), "top", "bottom", "xs")
+    flat = F.collect_list(F.when(is_horizontal(b), b["y0"]))
+    upright = F.collect_list(F.when(is_vertical(b), F.struct(b["x0"].alias("x"), b["y0"].alias("y0"), b["y1"].alias("y1"))))
+    pages = rules.filter("doc_id IS NOT NULL AND page IS NOT NULL").groupBy(*PAGE).agg(cluster(flat, tolerance).alias("ys"), upright.alias("upright")).filter("size(ys) > 1")
+    bands = F.transform(F.sequence(F.lit(0), F.size("ys") - 2), lambda i: F.struct(F.get("ys", i).alias("top"), F.get("ys", i + 1).alias("bottom")))
+    spanning = lambda g: F.filter("upright", lambda u: (u["y0"] <= g["top"] + 2) & (u["y1"] >= g["bottom"] - 2))
+    found = F.transform(F.filter(bands, lambda g: g["bottom"] - g["top"] >= 12), lambda g: F.struct(g["top"].alias("top"), g["bottom"].alias("bottom"), cluster(F.transform(spanning(g), lambda u: u["x"]), tolerance).alias("xs")))
+    grids = pages.select(*PAGE, F.posexplode(F.filter(found, lambda g: F.size(g["xs"]) >= 3)).alias("grid_ord", "g"))
+    return grids.select(*PAGE, "grid_ord", "g.top", "g.bottom", "g.xs")
 
 
 def match_grid(lines: DataFrame, grids: DataFrame) -> DataFrame:
     """Adds grid (null beside all grids): the first band, in grid order, that holds a line's middle. Its x is not looked at."""
     y = center_y(F.col("bbox"))
-    near = lines.select(*PAGE, "ord", y.alias("cy")).join(grids, PAGE).filter("cy BETWEEN top - 2 AND bottom + 2")
-    first = near.groupBy(*PAGE, "ord").agg(F.min_by(F.struct("grid_ord", "top", "bottom", "xs"), "grid_ord").alias("grid"))
-    return lines.join(first, [*PAGE, "ord"], "left")
+    on_page = grids.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("grid_ord", "top", "bottom", "xs"))).alias("_grids"))
+    holding = F.filter("_grids", lambda g: (y >= g["top"] - 2) & (y <= g["bottom"] + 2))
+    return lines.join(on_page, PAGE, "left").withColumn("grid", F.get(holding, 0)).drop("_grids")
+
+
+def nearest_blank(t: str, at: int) -> int:
+    """Where the blank inside a text is that is nearest to ``at``, the first of equals; ``at`` where there is none. Looks outwards from there."""
+    n = len(t)
+    for d in range(max(at, n - at)):
+        for i in (at - d, at + d):
+            if 0 < i < n - 1 and t[i].isspace():
+                return i
+    return at
 
 
 def cut_text(text: str, x0: float, x1: float, borders: list[float]) -> list[tuple[str, float, float]]:
@@ -55,7 +62,7 @@ def cut_text(text: str, x0: float, x1: float, borders: list[float]) -> list[tupl
                 out.append((t, a, z))
                 continue
             at = max(1, min(n - 1, round(n * ((border - a) / max(0.001, z - a)))))
-            at = min((i for i in range(1, n - 1) if t[i].isspace()), key=lambda i: abs(i - at), default=at)
+            at = nearest_blank(t, at)
             middle = a + (z - a) * (at / n)
             out += [(t[:at], a, middle), (t[at:], middle, z)]
         pieces = out
@@ -63,20 +70,18 @@ def cut_text(text: str, x0: float, x1: float, borders: list[float]) -> list[tupl
 
 
 def cut_spans(lines: DataFrame) -> DataFrame:
-    """Lines with a grid -> the same with ``pieces``: their spans, cut at the inner borders of the grid. Few lines stand in grids; they go through Arrow batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            at = rows.schema.get_field_index("spans")
-            xs = rows.column(rows.schema.get_field_index("grid")).field("xs").to_pylist()
-            pieces = []
-            for spans, borders in zip(rows.column(at).to_pylist(), xs):
-                cut = [(s, *p) for s in spans or [] for p in cut_text(s["text"] or "", s["bbox"]["x0"], s["bbox"]["x1"], borders[1:-1])]
-                pieces.append([s | {"text": t, "bbox": s["bbox"] | {"x0": a, "x1": z}} for s, t, a, z in cut])
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pieces, rows.schema.field(at).type)], [*rows.schema.names, "pieces"])
+    """Lines with a grid -> the same with ``pieces``: their spans, cut at the inner borders of the grid. Only spans and borders go through Arrow batches, and lines stay where their page is."""
+
+    @F.arrow_udf(returnType=lines.schema["spans"].dataType)
+    def pieces(spans: pa.Array, xs: pa.Array) -> pa.Array:
+        out = []
+        for line, borders in zip(spans.to_pylist(), xs.to_pylist()):
+            cut = [(s, *p) for s in line or [] for p in cut_text(s["text"] or "", s["bbox"]["x0"], s["bbox"]["x1"], borders[1:-1])]
+            out.append([s | {"text": t, "bbox": s["bbox"] | {"x0": a, "x1": z}} for s, t, a, z in cut])
+        return pa.array(out, spans.type)
 
     inside = lines.filter("grid IS NOT NULL").select(*PAGE, "ord", "grid", "bbox", "spans")
-    return inside.mapInArrow(run, T.StructType([*inside.schema.fields, T.StructField("pieces", inside.schema["spans"].dataType)]))
+    return inside.withColumn("pieces", pieces("spans", "grid.xs"))
 
 
 def cell_lines(lines: DataFrame) -> DataFrame:

@@ -18,6 +18,13 @@ def dominant(spans: Column) -> Column:
     return F.array_min(F.transform(ranked, lambda r: F.struct(r["n"].alias("n"), r["i"].alias("i"), r["s"]["font"].alias("font"), r["s"]["size"].alias("size"), r["s"]["color"].alias("color"), r["s"]["flags"].alias("flags"))))
 
 
+def dominant_of(lines: Column) -> Column:
+    """The longest of the lines' own ``dominant`` styles; of equals that of the first line. Texts need not be gathered for it."""
+    known = F.filter(lines, lambda x: x["style"].isNotNull())
+    ranked = lambda x: F.struct(x["style"]["n"].alias("n"), x["ord"].alias("ord"), x["style"].alias("s"))
+    return F.array_min(F.transform(known, ranked))["s"]
+
+
 def continues(b: Column, size: Column, pb: Column, psize: Column) -> Column:
     """Whether a line goes on with the block of the line before it."""
     gap = b["y0"] - pb["y1"]
@@ -28,10 +35,9 @@ def continues(b: Column, size: Column, pb: Column, psize: Column) -> Column:
 
 
 def group_lines(lines: DataFrame) -> DataFrame:
-    """Adds n (place in reading order) and block (number of its block on the page)."""
+    """Adds style (of its longest span), n (place in reading order) and block (number of its block on the page)."""
     order = Window.partitionBy(*PAGE).orderBy("bbox.y0", "bbox.x0", "ord")
-    size = F.coalesce(dominant(F.col("spans"))["size"], F.lit(10.0))
-    t = lines.withColumn("_size", size)
+    t = lines.withColumn("style", dominant(F.col("spans"))).withColumn("_size", F.coalesce("style.size", F.lit(10.0)))
     t = t.withColumns({"_pb": F.lag("bbox").over(order), "_ps": F.lag("_size").over(order), "n": F.row_number().over(order) - 1})
     starts = F.col("_pb").isNull() | ~continues(F.col("bbox"), F.col("_size"), F.col("_pb"), F.col("_ps"))
     return t.withColumn("block", (F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).cast("int")).drop("_size", "_pb", "_ps")
@@ -54,7 +60,7 @@ def text_units(lines: DataFrame, page_width: float = 595.0, pages: DataFrame | N
     (doc_id, page, width) knows the width of its pages; the others have ``page_width``.
     """
     g = group_lines(lines)
-    ordered = F.array_sort(F.collect_list(F.struct("n", "text", "bbox", "spans")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("n").alias("ord"), "text", "bbox", "style")))
     u = g.groupBy(*PAGE, "block").agg(ordered.alias("lines"))
     boxes = F.transform("lines", lambda x: x["bbox"])
     side = lambda f, k: f(F.transform(boxes, lambda b: b[k]))
@@ -62,7 +68,7 @@ def text_units(lines: DataFrame, page_width: float = 595.0, pages: DataFrame | N
     mean = F.aggregate(boxes, F.lit(0.0), lambda a, b: a + center_x(b)) / n
     widest = F.array_max(F.transform(boxes, width))
     texts = F.transform("lines", lambda x: x["text"])
-    u = u.withColumn("style", dominant(F.flatten(F.transform("lines", lambda x: x["spans"]))))
+    u = u.withColumn("style", dominant_of(F.col("lines")))
     style, across = F.col("style"), F.lit(page_width)
     if pages is not None:
         u = u.join(pages.select(*PAGE, F.col("width").alias("_across")), PAGE, "left")
@@ -85,9 +91,9 @@ def text_units(lines: DataFrame, page_width: float = 595.0, pages: DataFrame | N
 def cell_units(cells: DataFrame) -> DataFrame:
     """A unit per occupied cell and row: its box is the whole band by the column."""
     key = [*PAGE, "top", "bottom", "x0", "x1", "col", "row_key"]
-    g = cells.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("bbox.x0", "ord", "text", "bbox", "spans"))).alias("lines"))
-    in_turn = F.transform(F.array_sort(F.transform("lines", lambda x: F.struct(x["ord"].alias("ord"), x["spans"].alias("spans")))), lambda x: x["spans"])
-    g = g.withColumn("style", dominant(F.flatten(in_turn)))
+    styled = cells.withColumn("style", dominant(F.col("spans"))).drop("spans").repartition(*PAGE)  # for the groups and the window
+    g = styled.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("bbox.x0", "ord", "text", "bbox", "style"))).alias("lines"))
+    g = g.withColumn("style", dominant_of(F.col("lines")))
     style = F.col("style")
     order = Window.partitionBy(*PAGE).orderBy("row_key", "x0", "top", "col")
     return g.select(

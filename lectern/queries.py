@@ -185,12 +185,11 @@ def document_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Each page's lines as a table of three columns: rules under every fourth line, uprights at three places."""
-    rows = _lines(spark, d).filter(tx.strip(F.col("text")) != "")
-    flat = rows.filter("ord % 4 = 0").select("doc_id", "page", geo.box(F.lit(50.0), F.col("bbox.y0") - 4, F.lit(500.0), F.col("bbox.y0") - 3.5).alias("bbox"))
-    pages = rows.groupBy("doc_id", "page").agg(F.max("bbox.y1").alias("y1"))
-    up = pages.select("doc_id", "page", "y1", F.explode(F.array(*[F.lit(x) for x in (50.0, 50.6, 200.0, 500.0)])).alias("x"))
-    up = up.select("doc_id", "page", geo.box(F.col("x"), F.lit(36.0), F.col("x") + 0.5, F.col("y1") + 20).alias("bbox"))
-    return rows, flat.unionByName(up)
+    rows = _lines(spark, d).filter(tx.not_blank(F.col("text")))
+    pages = rows.groupBy("doc_id", "page").agg(F.max("bbox.y1").alias("y1"), F.collect_list(F.when(F.col("ord") % 4 == 0, F.col("bbox.y0"))).alias("ys"))
+    flat = F.transform("ys", lambda y: geo.box(F.lit(50.0), y - 4, F.lit(500.0), y - 3.5))
+    up = F.transform(F.array(*[F.lit(x) for x in (50.0, 50.6, 200.0, 500.0)]), lambda x: geo.box(x, F.lit(36.0), x + 0.5, F.col("y1") + 20))
+    return rows, pages.select("doc_id", "page", F.explode(F.concat(flat, up)).alias("bbox"))
 
 
 def table_grids(spark: SparkSession, d: str) -> DataFrame:
