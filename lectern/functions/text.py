@@ -70,10 +70,25 @@ def is_source_text(text: Column, language: str | None) -> Column:
 
 
 def join_fragments(parts: Column) -> Column:
-    """Stripped parts from left to right: one blank between, none beside CJK characters."""
+    """Stripped parts from left to right: one blank between, none from the first on that has CJK characters, nor before it."""
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # noqa: E731  computed once
+
+    def glued(kept: Column, joined: Column) -> Column:
+        first = F.greatest(F.array_position(F.transform(kept, has_cjk), True).cast("int"), F.lit(1))
+        return F.when(~has_cjk(joined), joined).otherwise(F.concat(F.array_join(F.slice(kept, 1, first - 1), " "), F.array_join(F.slice(kept, first, F.size(kept)), "")))
+
     kept = F.filter(F.transform(parts, strip), lambda p: p != "")
-    glue = lambda a, p: F.when(a == "", p).when(has_cjk(a) | has_cjk(p), F.concat(a, p)).otherwise(F.concat(a, F.lit(" "), p))
-    return strip(F.aggregate(kept, F.lit(""), glue))
+    return bound(kept, lambda k: bound(F.array_join(k, " "), lambda j: glued(k, j)))
+
+
+def joined(parts: list[str | None]) -> str:
+    """``join_fragments`` for parts at hand."""
+    kept = [s for p in parts if p and (s := p.strip())]
+    text = " ".join(kept)
+    if not re.search(CJK, text):
+        return text
+    first = next(i for i, p in enumerate(kept) if re.search(CJK, p))
+    return " ".join(kept[:first]) + "".join(kept[first:])
 
 
 def ocr_code(language: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as geo
@@ -204,18 +204,24 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
     return units.select("doc_id", "unit_id", "kind", "n_lines", F.sha2("text", 256).alias("text_sha"), "bbox.*")
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    """Every line cut in words, as lines of their own."""
-    words = _lines(spark, d).select("doc_id", "page", "ord", F.posexplode(tx.words(F.col("text"))).alias("i", "w"), "bbox")
-    x = 50 + F.col("i") * 40.0
-    b = geo.box(x, F.col("bbox.y0") + (F.col("i") % 2) * 0.5, x + 30, F.col("bbox.y1"))
-    span = F.struct(F.col("w").alias("text"), b.alias("bbox"), F.lit("F").alias("font"), F.lit(10.0).alias("size"), F.lit(0).alias("color"), F.lit(0).alias("flags"))
-    return words.select("doc_id", "page", (F.col("ord") * 100_000 + F.col("i")).cast("int").alias("ord"), F.col("w").alias("text"), b.alias("bbox"), F.array(span).alias("spans"))
+def _word_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose fragments are the words of their lines. Lines are dealt out by page; they are cut to words there."""
+    there = F.array_sort(F.collect_list(F.struct("ord", "text", "bbox.y0", "bbox.y1")))
+    pages = _lines(spark, d).groupBy("doc_id", "page").agg(there.alias("there"))
+
+    def fragment(ln: Column, w: Column, i: Column) -> Column:
+        x = 50 + i * 40.0
+        b = geo.box(x, ln["y0"] + (i % 2) * 0.5, x + 30, ln["y1"])
+        span = F.struct(w.alias("text"), b.alias("bbox"), F.lit("F").alias("font"), F.lit(10.0).alias("size"), F.lit(0).alias("color"), F.lit(0).alias("flags"))
+        return F.struct(w.alias("text"), b.alias("bbox"), F.array(span).alias("spans"))
+
+    fragments = F.flatten(F.transform("there", lambda ln: F.transform(tx.words(ln["text"]), lambda w, i: fragment(ln, w, i))))
+    return pages.select("doc_id", "page", fragments.alias("fragments"))
 
 
 def merged_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every line cut in words, put together again."""
-    out = lines.merge_rows(_words(spark, d))
+    out = lines.merge_pages(_word_pages(spark, d))
     return out.select("doc_id", "page", "ord", F.sha2("text", 256).alias("text_sha"), F.size("spans").alias("n_spans"), "bbox.*")
 
 
