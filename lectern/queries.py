@@ -226,20 +226,21 @@ def merged_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_rows_in_sql(spark: SparkSession, d: str) -> DataFrame:
-    """``merged_rows`` by SQL and table functions: lines from texts, words from lines, the fold over each page's boxes, and rows from its turns."""
+    """``merged_rows`` by SQL and table functions: lines from texts, words from lines, the fold over each page's boxes, and rows from their members. Only lines are dealt out."""
     lines.register(spark)
     table(spark, d, "documents").createOrReplaceTempView("merged_documents")
     return spark.sql(
         """
         WITH l AS (SELECT doc_id, page, ord, line FROM merged_documents, LATERAL text_lines(text) WHERE text IS NOT NULL),
-        w AS (
-          SELECT doc_id, page, ord, i, w FROM (SELECT *, filter(split(line, '(?U)[\\\\s\\\\x1c-\\\\x1f\\\\x85]+'), x -> x != '') AS ws FROM l) LATERAL VIEW posexplode(ws) AS i, w),
-        b AS (SELECT doc_id, page, CAST(ord * 100000 + i AS INT) AS ord, w, 50D + i * 40D AS x0, 40D + 18D * ord + (i % 2) * 0.5D AS y0, 80D + i * 40D AS x1, 50D + 18D * ord AS y1 FROM w),
-        t AS (SELECT * FROM row_turns(TABLE(SELECT doc_id, page, ord, x0, y0, x1, y1 FROM b) PARTITION BY (doc_id, page) ORDER BY ord)),
+        p AS (SELECT doc_id, page, array_sort(collect_list(struct(ord, line))) AS there FROM l GROUP BY doc_id, page),
+        b AS (
+          SELECT doc_id, page, flatten(transform(there, l -> transform(filter(split(l.line, '(?U)[\\\\s\\\\x1c-\\\\x1f\\\\x85]+'), x -> x != ''), (w, i) ->
+            struct(w, 50D + i * 40D AS x0, 40D + 18D * l.ord + (i % 2) * 0.5D AS y0, 80D + i * 40D AS x1, 50D + 18D * l.ord AS y1)))) AS bs FROM p),
+        t AS (SELECT doc_id, page, bs, members FROM b, LATERAL row_members(bs.x0, bs.y0, bs.y1)),
         r AS (
-          SELECT doc_id, page, row, array_join(transform(array_sort(collect_list(struct(x0, turn, w))), x -> x.w), ' ') AS text, CAST(count(1) AS INT) AS n_spans, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
-          FROM t JOIN b USING (doc_id, page, ord) GROUP BY doc_id, page, row)
-        SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, row) - 1 AS INT) AS ord, sha2(text, 256) AS text_sha, n_spans, x0, y0, x1, y1 FROM r
+          SELECT doc_id, page, posexplode(array_sort(transform(transform(members, m -> transform(m, i -> bs[i])), (g, n) ->
+            struct(array_min(g.y0) AS y0, array_min(g.x0) AS x0, n, array_max(g.x1) AS x1, array_max(g.y1) AS y1, size(g) AS n_spans, array_join(transform(array_sort(transform(g, (x, k) -> struct(x.x0, k, x.w))), x -> x.w), ' ') AS text)))) AS (ord, r) FROM t)
+        SELECT doc_id, page, ord, sha2(r.text, 256) AS text_sha, r.n_spans, r.x0, r.y0, r.x1, r.y1 FROM r
         """
     )
 
