@@ -48,12 +48,18 @@ def render_report(units: DataFrame, verdicts: DataFrame, kept: DataFrame | None
     which pass.
     """
     u = F.struct("unit_ord", F.col("unit_id").alias("id"), "kind", F.col("text").alias("source"), "translation", bbox_list(F.col("bbox")).alias("bbox"), F.col("n_lines").alias("original_line_count"), F.col("final_size").alias("final_font_size"), "warning", "error")
-    pages = units.groupBy(*PAGE).agg(F.array_sort(F.collect_list(u)).alias("units"), F.count_if(F.col("warning").isNotNull() | F.col("error").isNotNull()).alias("warned"), F.count_if(F.col("error").isNotNull()).alias("lost"))
     check = F.struct("text_count", F.col("text_text").alias("text_text_collisions"), F.col("text_drawing").alias("text_drawing_collisions"), F.col("outside").alias("outside_safe_regions"), "pass", "skipped")
-    v = verdicts.select(*PAGE, check.alias("validation"))
     line = F.struct("ord", "text", bbox_list(F.col("bbox")).alias("bbox"), F.col("final_size").alias("final_font_size"))
-    back = (kept if kept is not None else units.limit(0).selectExpr(*PAGE, "unit_ord AS ord", "text", "bbox", "size AS final_size")).groupBy(*PAGE).agg(F.array_sort(F.collect_list(line)).alias("kept_lines"))
-    all_pages = page_keys(pages, v, *([every] if every is not None else [])).join(pages, PAGE, "left").join(v, PAGE, "left").join(back, PAGE, "left")
+    # all parts as rows of one table: they are dealt out once, by document, for its pages and for itself
+    rows = units.select(*PAGE, u.alias("unit"), (F.col("warning").isNotNull() | F.col("error").isNotNull()).alias("warned"), F.col("error").isNotNull().alias("gone"))
+    back = kept if kept is not None else units.filter("false").selectExpr(*PAGE, "unit_ord AS ord", "text", "bbox", "size AS final_size")
+    parts = [verdicts.select(*PAGE, check.alias("check"), F.lit(True).alias("named")), back.select(*PAGE, line.alias("line"))]
+    for part in [*parts, *([every.select(*PAGE, F.lit(True).alias("named"))] if every is not None else [])]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    filled = lambda c: F.nullif(F.array_sort(F.collect_list(c)), F.array())
+    all_pages = rows.repartition("doc_id").groupBy(*PAGE).agg(
+        filled("unit").alias("units"), F.first("check", True).alias("validation"), filled("line").alias("kept_lines"), F.count_if("warned").alias("warned"), F.count_if("gone").alias("lost"), F.bool_or(F.col("unit").isNotNull() | F.coalesce("named", F.lit(False))).alias("named")
+    ).filter("named")
     failed = ~F.coalesce("validation.pass", F.col("units").isNull())
     lost = F.coalesce("lost", F.lit(0))
     page = F.struct((F.col("page") + 1).alias("page"), "units", "validation", "kept_lines")

@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import fit, grids, lines, qa, quality, report, segment, translate
 from ..sources import sinks
 from ..sources.cache_log import CacheLog
-from ..sources.scratch import written
+from ..sources.scratch import forget, written
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,8 @@ def inspect(page_lines: DataFrame, options: Options = Options(), rules: DataFram
     return report.inspection(units_of(page_lines, options, rules, pages), routes)
 
 
-def translated_units(units: DataFrame, backend: translate.Backend, options: Options, cache: DataFrame | None = None) -> DataFrame:
-    """Units with translation, or with error: a written table. Each distinct miss is asked for once. Without a cache in use, nothing is looked up."""
+def translated_units(units: DataFrame, backend: translate.Backend, options: Options, cache: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Units with translation, or with error, and the written tables that they are read from. Each distinct miss is asked for once. Without a cache in use, nothing is looked up."""
     keyed = translate.with_keys(units, options.source_language, options.target_language, options.model)
     if cache is not None and options.use_cache:
         found = translate.lookup(keyed, cache)
@@ -61,7 +61,7 @@ def translated_units(units: DataFrame, backend: translate.Backend, options: Opti
         found = keyed.withColumn("cached", F.lit(None).cast("string"))
     found = written(found, "found")
     fresh = written(translate.translate_misses(translate.distinct_misses(found), backend), "fresh")
-    return written(translate.resolve(found, fresh), "resolved")
+    return translate.resolve(found, fresh), [found, fresh]
 
 
 def translate_documents(
@@ -76,28 +76,30 @@ def translate_documents(
     that no translated line covers are put back as they were, with their size, and
     are checked with the rest. ``pages`` as for ``inspect``: pages that nothing
     stands on are in the report too. A run with nothing to translate is an error.
+    A table that only leads to the next is deleted when that is written.
     """
     options.check()
-    units = units_of(page_lines, options, rules, pages)
+    units, own = units_of(page_lines, options, rules, pages), []
     log = CacheLog(page_lines.sparkSession, cache_root) if cache_root is not None and options.use_cache else None
     if log is not None and cache is None:
         units = written(units, "units")
+        own = [units]
         cache = log.lookup(translate.with_keys(units, options.source_language, options.target_language, options.model))
-    resolved = translated_units(units, backend, options, cache)
-    if resolved.isEmpty():
+    resolved, held = translated_units(units, backend, options, cache)
+    if held[0].isEmpty():
         raise ValueError("there is nothing to translate")
     if log is not None:
         fresh = resolved.filter("fresh")
         rows = translate.cache_rows(fresh, options.source_language, options.target_language, options.model)
         if not fresh.isEmpty():
             log.append(sinks.upsert(rows.drop("ord").limit(0), rows))
-    there = resolved.filter("translation IS NOT NULL")
-    placed = written(resolved.join(fit.plan_fit(there, options.min_font_scale), ["doc_id", "page", "unit_id"], "left"), "placed")
+    placed = written(fit.with_sizes(resolved, options.min_font_scale).drop("cache_key", "fresh"), "placed")
+    forget(*held, *own)
     items = qa.rendered(placed.filter("translation IS NOT NULL").select("doc_id", "page", F.xxhash64("unit_id").alias("ord"), F.col("translation").alias("text"), "bbox"))
     kept = written(kept_lines(page_lines, placed), "kept")
     crossings = qa.rule_crossings(items, rules) if rules is not None else items.filter("false").select("doc_id", "page")
     expected = qa.expected_regions(placed.filter("translation IS NOT NULL"))
-    verdicts = qa.page_verdicts(items, qa.text_collisions(items), crossings, qa.outside_safe(items, expected))
+    verdicts = written(qa.page_verdicts(items, qa.text_collisions(items), crossings, qa.outside_safe(items, expected)), "verdicts")
     return report.render_report(placed, verdicts, kept, pages)
 
 
@@ -105,5 +107,5 @@ def kept_lines(page_lines: DataFrame, placed: DataFrame) -> DataFrame:
     """doc_id, page, ord, text, bbox, final_size: the lines of translated pages that no line of a translated unit covers. They keep their text and get their own size back."""
     done = placed.filter("translation IS NOT NULL")
     covering = done.select("doc_id", "page", F.explode("line_boxes").alias("bbox"))
-    lines_there = page_lines.join(done.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").filter(tx.strip(F.col("text")) != "")
-    return qa.uncovered(lines_there, covering).select("doc_id", "page", "ord", "text", "bbox", qa.reinserted_size(F.col("spans")).alias("final_size"))
+    sized = page_lines.filter(tx.not_blank(F.col("text"))).select("doc_id", "page", "ord", "text", "bbox", qa.reinserted_size(F.col("spans")).alias("final_size"))
+    return qa.uncovered(sized.join(done.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"), covering)

@@ -19,14 +19,33 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
 
 
+#: Whether the shuffle files of a query go when it has ended, instead of when the driver happens to collect its garbage.
+DONE_WITH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what it costs is paid once, and a lost executor costs a re-read."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(DONE_WITH, None)
+    spark.conf.set(DONE_WITH, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(DONE_WITH) if before is None else spark.conf.set(DONE_WITH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing is read from any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[0].endswith(f"/lectern-{spark.sparkContext.applicationId}"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables. For the caller, once its results are written: results are read from them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
